@@ -62,3 +62,17 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
  WHEN regexp_matches(host, '(^|\.)(spam-farm|ads-track|casino-win)\.') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
+
+
+@_query
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wavelet
+
+    return wavelet.digest(table(spark, sf_dir, "documents"))
