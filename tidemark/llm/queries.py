@@ -76,3 +76,10 @@ def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import wavelet
 
     return wavelet.digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.found(table(spark, sf_dir, "documents"))
