@@ -83,3 +83,23 @@ def op10_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
     return pii.found(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op1_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.deduplicated(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept_text", "kept_sha256")
+
+
+ORACLES["op1_fingerprint_runs"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM p),
+hit AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS at FROM hit, (SELECT unnest(range(50)) AS k)),
+all_words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM d),
+kept AS (SELECT a.doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY a.at) AS t FROM all_words a ANTI JOIN gone g ON a.doc_id = g.doc_id AND a.at = g.at GROUP BY a.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
