@@ -147,3 +147,11 @@ it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x))
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
+
+
+@_query
+def op2_attentive_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
