@@ -5,7 +5,7 @@ trained vectors of its character 3- to 5-grams (both hashed, both starting from
 gated recurrent units read a window from either end, attention pools their states, and a document's logit is
 that of its highest window.  All windows of ``SPAN`` words at steps of ``STEP`` are scored, over the whole text.
 
-Training takes at most ``MOST`` labelled documents of either class (those of the least hash of doc_id),
+Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id),
 none of them held out, and is the same at every size; labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: a null, empty or blank text has one window of padding; texts of any length are read whole;
@@ -16,30 +16,53 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, mix
 
 SPAN, STEP = 32, 16
 HIDDEN, HALF = 8, 4
 WORDS, GRAMS = 1 << 15, 1 << 15
-#: Most training documents of a class.
-MOST = 1500
+#: Most training documents with label 1, and with label 0.
+MOST = (1000, 3000)
 THRESHOLD = 0.7
 _EDGE = b".,;:!?\"'*#$%&()[]<>|"
 
 
-def parts(word: bytes) -> tuple[int, list[int]]:
-    """The bucket of a word and those of its character grams."""
-    core = b"^" + word.strip(_EDGE).lower() + b"$"
-    if len(core) > 66:
-        core = core[:33] + core[-33:]  # a word of such length is no word
-    grams = {core[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(core) - n + 1))}
-    return zlib.crc32(core) % WORDS, sorted({zlib.crc32(g) % GRAMS for g in grams})
+class Parts:
+    """The buckets of words, and those of all their character grams side by side."""
+
+    def __init__(self, words: list[bytes]):
+        cores = [b"^" + w.strip(_EDGE).lower() + b"$" for w in words]
+        cores = [c if 3 <= len(c) <= 66 else c + b"$" if len(c) < 3 else c[:33] + c[-33:] for c in cores]  # no word is longer
+        self.words = np.fromiter((zlib.crc32(c) % WORDS for c in cores), dtype=np.int64, count=len(cores))
+        sizes = np.fromiter(map(len, cores), dtype=np.int64, count=len(cores))
+        data = np.frombuffer(b"".join(cores) + b"\0" * 4, dtype=np.uint8).astype(np.uint64)
+        owner = np.repeat(np.arange(len(cores)), sizes)
+        rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # characters from here to the word's end
+        code, grams, owners = data[: len(owner)].copy(), [], []
+        for k in range(1, 5):
+            code |= data[k : k + len(owner)] << np.uint64(8 * k)
+            if k >= 2:
+                own = rest > k
+                grams.append((mix(code[own] + np.uint64(k << 56)) % np.uint64(GRAMS)).astype(np.int64))
+                owners.append(owner[own])
+        at = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.grams = at[order], np.concatenate(grams)[order] if grams else at
+        self.counts = np.bincount(self.owner, minlength=len(cores))
+        self.ends = np.cumsum(self.counts)
+
+    def some(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word buckets, owners counted from 0, gram buckets) of some of the words."""
+        counts = self.counts[k]
+        first = np.repeat(self.ends[k] - counts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) if len(k) else np.zeros(0, dtype=np.int64)
+        return self.words[k], np.repeat(np.arange(len(k)), counts), self.grams[first + np.arange(len(first))]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,35 +80,35 @@ class Network:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
         self.index: dict[bytes, int] = {}
-        self.rows = np.zeros((0, 2, 3 * HIDDEN), dtype=np.float32)
+        self.rows = np.zeros((2, 0, 3 * HIDDEN), dtype=np.float32)
 
     def __reduce__(self):
         return Network, (self.p,)
 
-    def vectors(self, split: list[tuple[int, list[int]]]) -> np.ndarray:
-        """Inputs of words given as buckets."""
-        counts = np.array([len(g) for _, g in split])
-        flat = np.fromiter((x for _, g in split for x in g), dtype=np.int64, count=int(counts.sum()))
-        grams = np.add.reduceat(self.p["grams"][flat], np.concatenate(([0], np.cumsum(counts)[:-1])), axis=0) / counts[:, None]
-        return np.concatenate((self.p["words"][[w for w, _ in split]], grams), axis=1)
+    def vectors(self, words: np.ndarray, owner: np.ndarray, grams: np.ndarray) -> np.ndarray:
+        """Inputs of words: the word's vector, and the mean of its grams' vectors."""
+        counts = np.maximum(np.bincount(owner, minlength=len(words)), 1)
+        table = self.p["grams"]
+        means = np.stack([np.bincount(owner, table[grams, d], len(words)) / counts for d in range(HALF)], axis=1)
+        return np.concatenate((self.p["words"][words], means), axis=1)
 
     def projected(self, x: np.ndarray) -> np.ndarray:
-        """Input shares of the gates, both directions, with a last row that leaves states as they are."""
-        rows = np.stack([x @ self.p[f"in{d}"] + self.p[f"bias{d}"] for d in (0, 1)], axis=1)
-        pad = np.zeros((1, 2, 3 * HIDDEN))
+        """Input shares of the gates, both directions, after a first row, the padding, that leaves states as they are."""
+        rows = np.stack([x @ self.p[f"in{d}"] + self.p[f"bias{d}"] for d in (0, 1)])
+        pad = np.zeros((2, 1, 3 * HIDDEN))
         pad[:, :, HIDDEN : 2 * HIDDEN] = 40
-        return np.concatenate((rows, pad)).astype(np.float32)
+        return np.concatenate((pad, rows), axis=1).astype(np.float32)
 
     def forward(self, rows: np.ndarray, at: np.ndarray, keep: bool = False):
-        """Logits of windows; ``at`` has row numbers, the last row being padding."""
-        n, pad = len(at), len(rows) - 1
+        """Logits of windows; ``at`` has row numbers, 0 being the padding."""
+        n = len(at)
         states = np.zeros((n, SPAN, 2 * HIDDEN), dtype=np.float32)
         tape = []
         for d in (0, 1):
             u = self.p[f"state{d}"].astype(np.float32)
-            own, h = rows[:, d], np.zeros((n, HIDDEN), dtype=np.float32)
+            own, h = rows[d], np.zeros((n, HIDDEN), dtype=np.float32)
             for t in range(SPAN) if d == 0 else range(SPAN - 1, -1, -1):
-                x, s = own[at[:, t]], h @ u
+                x, s = own.take(at[:, t], axis=0), h @ u
                 gates = _sigmoid(x[:, : 2 * HIDDEN] + s[:, : 2 * HIDDEN])
                 r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
                 c = np.tanh(x[:, 2 * HIDDEN :] + r * s[:, 2 * HIDDEN :])
@@ -95,7 +118,7 @@ class Network:
                 h = new
                 states[:, t, d * HIDDEN : (d + 1) * HIDDEN] = h
         seen = np.tanh(states @ self.p["look"].astype(np.float32))
-        score = np.where(at == pad, -60, seen @ self.p["ask"].astype(np.float32))
+        score = np.where(at == 0, -60, seen @ self.p["ask"].astype(np.float32))
         share = np.exp(score - score.max(axis=1, keepdims=True))
         share /= share.sum(axis=1, keepdims=True)
         pooled = (share[:, None, :] @ states)[:, 0]
@@ -127,24 +150,29 @@ class Network:
             dr = dc * s * r * (1 - r)
             da = np.concatenate((dr, dz, dc * r), axis=1)
             g[f"state{d}"] += h.T @ da
-            np.add.at(drows[:, d], at[:, t], np.concatenate((dr, dz, dc), axis=1))
+            np.add.at(drows[d], at[:, t], np.concatenate((dr, dz, dc), axis=1))
             dh = dh * z + da @ self.p[f"state{d}"].T
-        drows = drows[:-1]
+        drows = drows[:, 1:]
         dx = np.zeros(x.shape)
         for d in (0, 1):
-            g[f"in{d}"] = x.T @ drows[:, d]
-            g[f"bias{d}"] = drows[:, d].sum(axis=0)
-            dx += drows[:, d] @ self.p[f"in{d}"].T
+            g[f"in{d}"] = x.T @ drows[d]
+            g[f"bias{d}"] = drows[d].sum(axis=0)
+            dx += drows[d] @ self.p[f"in{d}"].T
         return g, dx
 
     def _at(self, words: list[bytes]) -> np.ndarray:
-        """Row numbers of words, by a bounded cache; row 0 is the padding's here."""
-        if len(self.index) > 250_000 or not len(self.rows):
+        """Row numbers of words, by a bounded cache."""
+        if len(self.index) > 250_000 or not self.rows.size:
             self.index, self.rows = {}, self.projected(np.zeros((0, 2 * HALF)))
-        if new := set(words).difference(self.index):
-            fresh = list(new)
-            self.index.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh)), strict=True))
-            self.rows = np.concatenate((self.rows, self.projected(self.vectors([parts(w) for w in fresh]))[:-1]))
+        fresh = list(set(filterfalse(self.index.__contains__, words)))
+        if fresh:
+            first = len(self.index) + 1
+            new = self.projected(self.vectors(*Parts(fresh).some(np.arange(len(fresh)))))[:, 1:]
+            if first + len(fresh) > self.rows.shape[1]:
+                more = max(len(fresh), self.rows.shape[1])
+                self.rows = np.concatenate((self.rows, np.zeros((2, more, 3 * HIDDEN), dtype=np.float32)), axis=1)
+            self.rows[:, first : first + len(fresh)] = new
+            self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -159,24 +187,22 @@ class Network:
             padded[: len(s)] = ids[place : place + len(s)]
             at[k : k + len(own)] = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::STEP]
             k, place = k + len(own), place + len(s)
-        rows = np.concatenate((self.rows, self.rows[:1]))  # forward() wants the padding last
-        at[at == 0] = len(rows) - 1
-        logits = np.concatenate([self.forward(rows, at[i : i + 4096]) for i in range(0, len(at), 4096)])
+        logits = np.concatenate([self.forward(self.rows, at[i : i + 4096]) for i in range(0, len(at), 4096)])
         best = np.maximum.reduceat(logits, np.concatenate(([0], np.cumsum([len(x) for x in starts])[:-1])))
         return _sigmoid(best.astype(np.float64))
 
 
-def _odds(split: list[set[int]], y: np.ndarray, size: int) -> np.ndarray:
+def _odds(split: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """Smoothed log odds of buckets, by documents that have them."""
     seen = np.zeros((2, size))
     for own, label in zip(split, y.astype(int).tolist(), strict=True):
-        seen[label, list(own)] += 1
+        seen[label, np.unique(own)] += 1
     rate = (seen + 0.5) / (np.array([[(y == 0).sum()], [(y == 1).sum()]]) + 1)
     odds = np.log(rate[1] / rate[0])
-    return np.where(seen.sum(axis=0) >= 2, np.clip(odds, -3, 5), 0)
+    return np.where(seen.sum(axis=0) >= 3, np.clip(odds, -3, 5), 0)
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 6, size: int = 64, rate: float = 0.02, seed: int = 3) -> Network:
+def train(texts: list[str | None], labels: list[int], steps: int = 160, size: int = 64, rate: float = 0.02, seed: int = 3) -> Network:
     """Adam over documents; each gives its highest window (in the first round that of the greatest log odds)."""
     r, y = np.random.default_rng(seed), np.array(labels, dtype=np.float64)
     n = len(y)
@@ -192,34 +218,33 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 6, size: int
     for s in split:
         for w in s:
             index.setdefault(w, len(index))
-    known = [parts(w) for w in index] or [parts(b"")]
+    known = Parts(list(index) or [b""])
     ids = [np.array([index[w] for w in s], dtype=np.int64) for s in split]
-    p["words"][:, 0] = _odds([{known[i][0] for i in x.tolist()} for x in ids], y, WORDS)
-    p["grams"][:, 0] = _odds([{g for i in set(x.tolist()) for g in known[i][1]} for x in ids], y, GRAMS)
-    plain = p["words"][[w for w, _ in known], 0]
+    p["words"][:, 0] = _odds([known.words[x] for x in ids], y, WORDS)
+    p["grams"][:, 0] = _odds([known.some(np.unique(x))[2] for x in ids], y, GRAMS)
+    plain = np.concatenate(([0], p["words"][known.words, 0]))
     at = []
     for x in ids:
-        padded = np.full(windows(len(x))[-1] + SPAN, -1, dtype=np.int64)
-        padded[: len(x)] = x
+        padded = np.zeros(windows(len(x))[-1] + SPAN, dtype=np.int64)
+        padded[: len(x)] = x + 1
         at.append(np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::STEP])
-    first, second, step = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2)), None, 0
-    first, second = first
-    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-    for epoch in range(rounds):
-        for some in np.array_split(r.permutation(n), max(1, n // size)):
+    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    step = 0
+    weight = np.where(y == 1, np.sqrt((n - y.sum()) / y.sum()), 1.0)
+    groups = max(1, n // size)
+    for epoch in range(max(5, -(-steps // groups))):
+        for some in np.array_split(r.permutation(n), groups):
             own = np.concatenate([at[i] for i in some])
             ends = np.cumsum([len(at[i]) for i in some])
-            used, back = np.unique(own, return_inverse=True)
-            back = back.reshape(own.shape)
-            real = used[used >= 0]
-            words = [known[i] for i in real.tolist()]
-            x = net.vectors(words) if words else np.zeros((0, 2 * HALF))
+            used, back = np.unique(np.concatenate(([0], own.ravel())), return_inverse=True)  # 0, the padding, comes first
+            back = back[1:].reshape(own.shape)
+            words, owner, grams = known.some(used[1:] - 1)
+            x = net.vectors(words, owner, grams)
             rows = net.projected(x)
-            back = np.where(own < 0, len(rows) - 1, back - (len(used) - len(real)))
             if epoch:
                 value = np.concatenate([net.forward(rows, back[i : i + 4096]) for i in range(0, len(back), 4096)])
             else:
-                value = np.where(own >= 0, plain[own], 0).max(axis=1)
+                value = plain[own].max(axis=1)
             pick = np.array([a + int(value[a:b].argmax()) for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)])
             g, dx = net.gradients(x, rows, back[pick], y[some], weight[some])
             step += 1
@@ -227,10 +252,10 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 6, size: int
                 first[k] = 0.9 * first[k] + 0.1 * d
                 second[k] = 0.99 * second[k] + 0.01 * d * d
                 p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-            np.add.at(p["words"], [w for w, _ in words], -dx[:, :HALF])
-            counts = np.array([len(b) for _, b in words], dtype=np.int64)
-            flat = np.fromiter((b for _, q in words for b in q), dtype=np.int64, count=int(counts.sum()))
-            np.add.at(p["grams"], flat, np.repeat(-dx[:, HALF:] / np.maximum(counts, 1)[:, None], counts, axis=0))
+            np.add.at(p["words"], words, -dx[:, :HALF])
+            share = -dx[:, HALF:] / np.maximum(np.bincount(owner, minlength=len(words)), 1)[:, None]
+            for d in range(HALF):
+                p["grams"][:, d] += np.bincount(grams, share[owner, d], GRAMS)
     return Network({k: v.astype(np.float32) for k, v in p.items()})
 
 
@@ -238,12 +263,12 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Network:
-    """Train on at most ``most`` labelled documents of either class that are not held out."""
+def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> Network:
+    """Train on at most ``most`` labelled documents of each class that are not held out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id")).distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
-    some = own.where("toxic = 1").orderBy(*order).limit(most).unionByName(own.where("toxic = 0").orderBy(*order).limit(most))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(some), "doc_id")  # at most 2 * most rows
+    some = own.where("toxic = 1").orderBy(*order).limit(most[0]).unionByName(own.where("toxic = 0").orderBy(*order).limit(most))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(some), "doc_id")  # bounded by ``most``
     rows = sorted((r.doc_id, r.text or "", r.toxic) for r in texts.collect())
     return train([t for _, t, _ in rows], [y for _, _, y in rows]) if rows else train([""], [0])
 
