@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+import corpus_pipeline
 
 from .common import table
 
@@ -155,3 +156,28 @@ def op2_attentive_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op7_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toolcalls
+
+    return toolcalls.linked(*toolcalls.from_conversations(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op7_tool_links"] = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, conv_id || ':' || turn AS call_id, CASE role WHEN 'user' THEN 'answer' ELSE 'setup' END AS name, coalesce(text, '') AS text,
+ CASE WHEN role = 'user' AND turn >= 2 THEN conv_id || ':' || (turn - 2) END AS after FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id || ':' || (turn - 1) AS call_id, min(turn) AS result_turn, min_by(coalesce(text, ''), turn) AS content FROM conversations WHERE role = 'assistant' GROUP BY 1),
+p AS (SELECT c.call_id, 0 AS position FROM c WHERE after IS NULL OR after NOT IN (SELECT call_id FROM c) UNION ALL SELECT c.call_id, p.position + 1 FROM p JOIN c ON c.after = p.call_id)
+SELECT c.conv_id, c.call_id, p.position::BIGINT AS position, name, r.result_turn, r.call_id IS NOT NULL AS linked,
+ CASE WHEN after IS NOT NULL AND after NOT IN (SELECT call_id FROM c) THEN 'unknown_after' ELSE '' END AS errors,
+ '{"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":' || to_json(after) || ',' END || '"text":' || to_json(text) || ',"words":' || len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) || '},"id":' || to_json(c.call_id)
+ || ',"name":' || to_json(name) || ',"position":' || p.position || CASE WHEN r.call_id IS NULL THEN '' ELSE ',"result":' || to_json(r.content) END || '}' AS canonical
+FROM c JOIN p USING (call_id) LEFT JOIN r USING (call_id)
+"""
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

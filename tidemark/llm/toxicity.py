@@ -267,7 +267,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) ->
     """Train on at most ``most`` labelled documents of each class that are not held out."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id")).distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
-    some = own.where("toxic = 1").orderBy(*order).limit(most[0]).unionByName(own.where("toxic = 0").orderBy(*order).limit(most))
+    some = own.where("toxic = 1").orderBy(*order).limit(most[0]).unionByName(own.where("toxic = 0").orderBy(*order).limit(most[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(some), "doc_id")  # bounded by ``most``
     rows = sorted((r.doc_id, r.text or "", r.toxic) for r in texts.collect())
     return train([t for _, t, _ in rows], [y for _, _, y in rows]) if rows else train([""], [0])
