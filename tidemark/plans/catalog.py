@@ -1,10 +1,630 @@
-"""The catalogue of queries over the driver's tables."""
+"""The catalogue: one query over the driver's tables for each operator, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import names as N
+from tidemark.operators import diff, evidence, fixpoint, graph, impact, rollup, validate
+from tidemark.plans import proxies as X
+from tidemark.plans.proxies import EVENT_ITEM_SQL, PART, PART_SQL, RECORDINGS_SQL, Tables, node
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def _query(sql: str | None = None):
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _long(*columns: str):
+    return {c: F.col(c).cast("long") for c in columns}
+
+
+# Scans and version diffs.
+
+
+@_query("SELECT p_partkey AS id, md5(p_name) AS body_hash, md5(p_brand) AS definition_hash, substr(sha1(p_name), 1, 16) AS digest FROM part")
+def q01_scan_symbols(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), F.md5("p_name").alias("body_hash"), F.md5("p_brand").alias("definition_hash"), N.digest16("p_name").alias("digest"))
+
+
+def _part_diff(t: Tables) -> DataFrame:
+    return diff.changed_keys(*X.versions(t.part, *PART[1:]), "id", ["body_hash", "definition_hash"])
+
+
+@_query(f"""WITH {PART_SQL} SELECT id, CASE WHEN added THEN 'added' WHEN deleted THEN 'deleted' ELSE 'changed' END AS status,
+CASE WHEN added OR deleted THEN '' WHEN body AND def THEN 'body_hash,definition_hash' WHEN body THEN 'body_hash' ELSE 'definition_hash' END AS columns FROM j WHERE body OR def""")
+def q02_snapshot_diff(t: Tables) -> DataFrame:
+    return _part_diff(t).withColumn("columns", F.array_join("columns", ","))
+
+
+def _part_changes(t: Tables) -> DataFrame:
+    """id, kind, changes, carries_impact, structural of parts, as nodes."""
+    change = F.transform("columns", lambda c: F.regexp_replace(c, "_hash$", "_changed"))
+    rows = _part_diff(t).select(node("p", "id").alias("id"), F.lit("function").alias("kind"), F.when(F.col("status") == "changed", change).otherwise(F.array("status")).alias("changes"))
+    return rows.select("*", diff.carries_impact("changes").alias("carries_impact"), diff.structural("changes", "kind").alias("structural"))
+
+
+@_query(f"""WITH {PART_SQL}, k AS (SELECT unnest(CASE WHEN added THEN ['added'] WHEN deleted THEN ['deleted'] WHEN body AND def THEN ['body_changed', 'definition_changed'] WHEN body THEN ['body_changed'] ELSE ['definition_changed'] END) AS change FROM j WHERE body OR def)
+SELECT change, count(*) AS n FROM k GROUP BY change""")
+def q03_diff_kinds_hist(t: Tables) -> DataFrame:
+    return _part_changes(t).select(F.explode("changes").alias("change")).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {PART_SQL}, m AS (SELECT p_partkey AS id, p_size % 10 AS module FROM part)
+SELECT id, CASE WHEN added THEN 'added' ELSE 'deleted' END AS change FROM j JOIN m USING (id) WHERE (added AND module <> 3) OR (deleted AND module <> 7)""")
+def q04_failed_module_skip(t: Tables) -> DataFrame:
+    def full(df: DataFrame) -> DataFrame:
+        none = F.array().cast("array<string>")
+        return df.join(t.part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).cast("string").alias("module")), "id").select("id", F.lit("function").alias("kind"), "module", "body_hash", "definition_hash", F.lit("").alias("docstring_hash"), F.lit("").alias("annotation_hash"), none.alias("imports"), none.alias("import_layout"), none.alias("statement_layout"), F.lit(True).alias("defers_annotations"))
+
+    base, head = (full(x) for x in X.versions(t.part, *PART[1:]))
+    deps = t.spark.createDataFrame([], "id long, deps array<struct<cls:string,kind:string,target:string,detail:string>>")
+    failed = lambda m: t.spark.createDataFrame([(m,)], "module string")
+    rows = diff.classify(base, head, deps, deps, failed("3"), failed("7"))
+    return rows.where("array_contains(changes, 'added') OR array_contains(changes, 'deleted')").select("id", F.col("changes")[0].alias("change"))
+
+
+@_query("""WITH d AS (SELECT l_orderkey AS id, 'p:' || l_partkey AS dep FROM lineitem UNION SELECT l_orderkey, 's:' || l_suppkey FROM lineitem)
+SELECT id, count(*) AS n_deps, md5(string_agg(dep, ',' ORDER BY dep)) AS signature FROM d GROUP BY id""")
+def q05_dependency_signature(t: Tables) -> DataFrame:
+    i, no = t.lineitem, F.lit("")
+    edges = i.select(F.col("l_orderkey").alias("source"), node("p", "l_partkey").alias("target"), F.lit("references").alias("kind"), no.alias("detail"))
+    external = i.select(F.col("l_orderkey").alias("symbol"), node("s", "l_suppkey").alias("module"))
+    unresolved = i.select(F.col("l_orderkey").alias("symbol"), no.alias("kind"), no.alias("name"), no.alias("detail")).where("false")
+    rows = diff.signatures(edges, unresolved, external).withColumn("names", F.array_sort(F.transform("deps", lambda d: d["target"])))
+    return rows.select("id", F.size("deps").cast("long").alias("n_deps"), F.md5(F.array_join("names", ",")).alias("signature"))
+
+
+@_query("""WITH b AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_linenumber <> 3), h AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_linenumber <> 4),
+l AS (SELECT id, count(*) AS lost FROM (FROM b EXCEPT FROM h) GROUP BY id), g AS (SELECT id, count(*) AS gained FROM (FROM h EXCEPT FROM b) GROUP BY id), both_ids AS (SELECT DISTINCT b.id FROM b JOIN h USING (id))
+SELECT id, coalesce(lost, 0) AS lost, coalesce(gained, 0) AS gained FROM both_ids LEFT JOIN l USING (id) LEFT JOIN g USING (id)""")
+def q06_signature_delta(t: Tables) -> DataFrame:
+    side = lambda n, s: t.lineitem.where(F.col("l_linenumber") != n).groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias(s))
+    lost, gained = diff.lost_and_gained(F.col("b"), F.col("h"))
+    return side(3, "b").join(side(4, "h"), "id").select("id", F.size(lost).cast("long").alias("lost"), F.size(gained).cast("long").alias("gained"))
+
+
+_RING_SQL = """ring AS (SELECT 'n:' || n_nationkey AS source, 'n:' || lead(n_nationkey, 1, first_key) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS target FROM (SELECT *, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first_key FROM nation)),
+edge AS (FROM ring UNION ALL SELECT 'n:' || n_nationkey, 'r:' || n_regionkey FROM nation UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey FROM supplier)"""
+
+
+def _ring(t: Tables) -> DataFrame:
+    """Nations of a region in a ring, nations to regions, suppliers to nations: a cyclic graph."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("n_regionkey")
+    after = F.coalesce(F.lead("n_nationkey").over(w.orderBy("n_nationkey")), F.min("n_nationkey").over(w))
+    ring = t.nation.withColumn("after", after).select(node("n", "n_nationkey").alias("source"), node("n", "after").alias("target"))
+    own = X.containers(t).where("source NOT LIKE 'c:%'").select("source", "target")
+    return ring.unionByName(own)
+
+
+@_query(f"""WITH RECURSIVE {_RING_SQL}, c AS (SELECT source AS origin, source AS node FROM edge WHERE source LIKE 'n:%' UNION SELECT c.origin, e.target FROM c JOIN edge e ON c.node = e.source) SELECT origin, node FROM c""")
+def q07_import_closure(t: Tables) -> DataFrame:
+    return fixpoint.closure(_ring(t), t.nation.select(node("n", "n_nationkey").alias("node")))
+
+
+@_query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'user') < max(turn) FILTER (role = 'assistant'), false) AS asks_then_answers FROM conversations GROUP BY conv_id")
+def q08_subsequence(t: Tables) -> DataFrame:
+    roles = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return roles.select("conv_id", diff.is_subsequence(F.array(F.lit("user"), F.lit("assistant")), F.col("roles")).alias("asks_then_answers"))
+
+
+@_query("SELECT conv_id, count(DISTINCT role) > 1 AND string_agg(role, ',' ORDER BY turn) <> string_agg(role, ',' ORDER BY turn DESC) AS moved FROM conversations GROUP BY conv_id")
+def q09_reordered_lcs(t: Tables) -> DataFrame:
+    roles = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"))
+    return roles.select("conv_id", diff.reordered(F.col("roles"), F.reverse("roles")).alias("moved"))
+
+
+@_query("""WITH b AS (SELECT source || '/' || doc_id AS path, md5(text) AS blob_id, lang AS mode FROM documents WHERE doc_id % 97 <> 5),
+h AS (SELECT source || '/' || doc_id AS path, md5(CASE WHEN doc_id % 101 = 3 THEN text || '!' ELSE text END) AS blob_id, CASE WHEN doc_id % 103 = 4 THEN 'xx' ELSE lang END AS mode FROM documents WHERE doc_id % 89 <> 7)
+SELECT coalesce(b.path, h.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN h.path IS NULL THEN 'deleted' ELSE 'changed' END AS status
+FROM b FULL JOIN h ON b.path = h.path WHERE b.blob_id IS DISTINCT FROM h.blob_id OR b.mode IS DISTINCT FROM h.mode""")
+def q10_unanalysed_files(t: Tables) -> DataFrame:
+    d, k = t.documents, F.col("doc_id")
+    path = F.concat_ws("/", "source", k.cast("string")).alias("path")
+    base = d.where(k % 97 != 5).select(path, F.md5("text").alias("blob_id"), F.col("lang").alias("mode"))
+    head = d.where(k % 89 != 7).select(path, F.md5(F.when(k % 101 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("blob_id"), F.when(k % 103 == 4, "xx").otherwise(F.col("lang")).alias("mode"))
+    return diff.changed_files(base, head)
+
+
+@_query("SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'file' WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%/' THEN 'directory' ELSE 'plain' END AS class, false AS build_input FROM pages")
+def q11_build_input_class(t: Tables) -> DataFrame:
+    u = F.col("url")
+    kind = F.when(u.endswith(".html"), "file").when(u.contains("?"), "query").when(u.endswith("/"), "directory").otherwise("plain")
+    return t.pages.select("page_id", kind.alias("class"), N.build_input("url").alias("build_input"))
+
+
+def _customer_targets(t: Tables, keep) -> DataFrame:
+    deps = t.orders.where(keep).groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("lifecycle_dependencies"))
+    return deps.select(F.lit("run").alias("runner"), node("c", "o_custkey").alias("runner_id"), node("c", "o_custkey").alias("entry_symbol"), "lifecycle_dependencies")
+
+
+@_query("""WITH b AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 2), h AS (SELECT DISTINCT o_custkey AS c, o_orderpriority AS p FROM orders WHERE o_orderkey % 5 <> 1),
+d AS (SELECT c, p, 'added' AS k FROM (FROM h EXCEPT FROM b) UNION ALL SELECT c, p, 'removed' FROM (FROM b EXCEPT FROM h))
+SELECT 'c:' || c AS runner_id, coalesce(string_agg(p, ',' ORDER BY p) FILTER (k = 'added'), '') AS added, coalesce(string_agg(p, ',' ORDER BY p) FILTER (k = 'removed'), '') AS removed
+FROM d WHERE c IN (SELECT c FROM b) AND c IN (SELECT c FROM h) GROUP BY c""")
+def q12_lifecycle_diff(t: Tables) -> DataFrame:
+    rows = diff.lifecycle_diff(_customer_targets(t, F.col("o_orderkey") % 7 != 2), _customer_targets(t, F.col("o_orderkey") % 5 != 1))
+    return rows.select("runner_id", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@_query("SELECT 'c:' || c_custkey AS runner_id FROM customer WHERE c_custkey % 89 <> 7 AND NOT c_custkey % 97 <> 5")
+def q13_new_targets(t: Tables) -> DataFrame:
+    own = lambda keep: t.customer.where(keep).select(F.lit("run").alias("runner"), node("c", "c_custkey").alias("runner_id"))
+    return diff.new_targets(own("c_custkey % 97 <> 5"), own("c_custkey % 89 <> 7")).select("runner_id")
+
+
+# Graph assembly.
+
+
+@_query("""SELECT source, target, string_agg(r, ',' ORDER BY r) AS revisions FROM (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target, 'base' AS r FROM lineitem WHERE l_orderkey % 97 <> 5
+UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, 'head' FROM lineitem WHERE l_orderkey % 89 <> 7) GROUP BY source, target""")
+def q14_union_revisions(t: Tables) -> DataFrame:
+    own = lambda keep: t.lineitem.where(keep).select(node("o", "l_orderkey").alias("source"), node("p", "l_partkey").alias("target"))
+    return graph.union_versions(own("l_orderkey % 97 <> 5"), own("l_orderkey % 89 <> 7")).withColumn("revisions", F.array_join("revisions", ","))
+
+
+@_query("""WITH s AS (SELECT DISTINCT lang AS id FROM documents UNION SELECT DISTINCT lang || '.' || source FROM documents UNION SELECT lang || '.' || source || '.' || doc_id FROM documents),
+p AS (SELECT id AS member, unnest(range(1, len(string_split(id, '.')))) AS k FROM s), c AS (SELECT array_to_string(string_split(member, '.')[1:k], '.') AS container FROM p)
+SELECT container, count(*) AS members FROM c WHERE container IN (SELECT id FROM s) GROUP BY container""")
+def q15_members_by_prefix(t: Tables) -> DataFrame:
+    d = t.documents
+    ids = d.select(F.col("lang").alias("id")).union(d.select(F.concat_ws(".", "lang", "source"))).union(d.select(F.concat_ws(".", "lang", "source", F.col("doc_id").cast("string")))).distinct()
+    return graph.members(ids).groupBy("container").agg(F.count("*").alias("members"))
+
+
+@_query("""WITH r AS (SELECT r_regionkey AS k, 1 + (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region), d AS (SELECT a.k AS a, b.k AS b, a.n * b.n AS pairs FROM r a JOIN r b ON b.k = (a.k * 2 + 1) % 5)
+SELECT 'r:' || a AS source, 'r:' || b AS target, CASE WHEN pairs <= 36 THEN pairs ELSE 0 END AS edges, CASE WHEN pairs <= 36 THEN '' ELSE 'declared dependency expands to ' || pairs || ' pairs' END AS error FROM d""")
+def q16_declared_crossjoin_guard(t: Tables) -> DataFrame:
+    pairs = t.nation.select(node("r", "n_regionkey").alias("container"), node("n", "n_nationkey").alias("member"))
+    wanted = t.region.select(node("r", "r_regionkey").alias("source"), F.concat(F.lit("r:"), ((F.col("r_regionkey") * 2 + 1) % 5).cast("string")).alias("target")).withColumn("why", F.concat_ws(">", "source", "target"))
+    edges, errors = graph.declared(wanted, pairs, 36)
+    counts = edges.groupBy(F.col("detail").alias("why")).agg(F.count("*").alias("edges"))
+    return wanted.join(counts, "why", "left").join(errors.select("why", "message"), "why", "left").select("source", "target", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("message", F.lit("")).alias("error"))
+
+
+@_query("""WITH u AS (SELECT DISTINCT 'd:' || doc_id AS s, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), b AS (SELECT DISTINCT 'b.' || item_id || '.' || unnest(regexp_extract_all(lower(text), '[a-z]+')) AS id FROM benchmark),
+bn AS (SELECT id, string_split(id, '.')[3] AS w FROM b), un AS (SELECT w, count(*) AS uses FROM u GROUP BY w), tn AS (SELECT w, count(*) AS symbols FROM bn GROUP BY w)
+SELECT 'name:' || w AS hub, uses, coalesce(symbols, 0) AS symbols FROM un LEFT JOIN tn USING (w)""")
+def q17_name_match_hub(t: Tables) -> DataFrame:
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))))
+    uses = t.documents.select(node("d", "doc_id").alias("symbol"), words.alias("name"), F.lit("name").alias("kind"), F.lit("").alias("detail"))
+    names = t.benchmark.select("item_id", words.alias("w")).select(F.concat_ws(".", F.lit("b"), F.col("item_id").cast("string"), "w").alias("id"), F.lit("function").alias("kind"))
+    edges = graph.name_hubs(uses, names)
+    into = edges.where("target LIKE 'name:%'").groupBy(F.col("target").alias("hub")).agg(F.count("*").alias("uses"))
+    out = edges.where("source LIKE 'name:%'").groupBy(F.col("source").alias("hub")).agg(F.count("*").alias("symbols"))
+    return into.join(out, "hub", "left").select("hub", "uses", F.coalesce("symbols", F.lit(0)).alias("symbols"))
+
+
+@_query("""WITH h AS (SELECT DISTINCT user_id % 50 AS runner, user_id, event_type FROM events), n AS (SELECT runner, count(DISTINCT user_id) AS n FROM h GROUP BY runner)
+SELECT 'r' || runner AS runner, event_type AS dependency FROM h JOIN n USING (runner) GROUP BY runner, event_type, n HAVING count(DISTINCT user_id) = n""")
+def q18_shared_lifecycle_division(t: Tables) -> DataFrame:
+    targets = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("lifecycle_dependencies")).select(F.concat(F.lit("r"), (F.col("user_id") % 50).cast("string")).alias("runner"), F.col("user_id").cast("string").alias("runner_id"), "lifecycle_dependencies")
+    return graph.shared_lifecycle(targets)
+
+
+@_query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 0), p AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (FROM o))
+SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey % 10 <> 0 UNION ALL SELECT 'o:' || o_orderkey FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT 'p:' || p_partkey FROM part WHERE p_partkey NOT IN (FROM p)""")
+def q19_isolated_fixpoint(t: Tables) -> DataFrame:
+    members = t.customer.where("c_custkey % 10 <> 0").select(node("c", "c_custkey").alias("node")).union(t.orders.select(node("o", "o_orderkey"))).union(t.part.select(node("p", "p_partkey")))
+    return fixpoint.isolated(members, X.references(t).where("target NOT LIKE 's:%'"), members.where("false"))
+
+
+@_query("""WITH w AS (SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R')
+SELECT 'o:' || o AS target, 'calls:s:' || s AS source FROM w UNION SELECT 'calls:s:' || s, 'c:' || o_custkey FROM w JOIN orders ON o = o_orderkey""")
+def q20_caller_effects(t: Tables) -> DataFrame:
+    e = X.references(t)
+    return graph.caller_effects(e.where("source LIKE 'c:%'"), e.where("detail = 'writes'")).select("source", "target")
+
+
+@_query("SELECT 'c:' || c_custkey AS runner_id, CASE WHEN c_custkey % 3 = 0 THEN 'manifest' ELSE 'discovered' END AS entry_symbol FROM customer")
+def q21_manifest_merge_priority(t: Tables) -> DataFrame:
+    own = lambda df, name: df.select(F.lit("run").alias("runner"), node("c", "c_custkey").alias("runner_id"), F.lit(name).alias("entry_symbol"))
+    return graph.merged_targets(own(t.customer.where("c_custkey % 3 = 0"), "manifest"), own(t.customer, "discovered")).select("runner_id", "entry_symbol")
+
+
+@_query("""SELECT * FROM (VALUES ('defined_in', false, 0, 0, 0, 4), ('registers', false, 1, 1, 1, 1), ('rebinds', false, 0, 0, 0, 4), ('writes', false, 0, 0, 3, 3), ('imports', false, 3, 3, 3, 3), ('import_of_deleted', false, 4, 4, 4, 4), ('imports_name', false, 0, 0, 0, 0), ('mutated_by', false, 2, 2, 2, 2), ('plain', false, 3, 3, 3, 3),
+('defined_in', true, 0, 0, 0, 4), ('registers', true, 1, 1, 1, 1), ('rebinds', true, 0, 0, 0, 4), ('writes', true, 0, 0, 3, 3), ('imports', true, 0, 3, 3, 3), ('import_of_deleted', true, 0, 4, 4, 4), ('imports_name', true, 0, 0, 0, 0), ('mutated_by', true, 0, 2, 2, 2), ('plain', true, 0, 3, 3, 3)) v(edge, from_module, m1, m2, m3, m4)""")
+def q22_xfer_table(t: Tables) -> DataFrame:
+    forms = [("defined_in", "defined_in", ""), ("registers", "references", "registers"), ("rebinds", "references", "rebinds"), ("writes", "references", "writes"), ("imports", "imports", ""), ("import_of_deleted", "imports", "gone"), ("imports_name", "imports_name", ""), ("mutated_by", "references", "mutated_by"), ("plain", "references", "")]
+    rows = [(f"{'m' if m else 'f'}.{n}", "gone" if n == "import_of_deleted" else "there", k, d, n, m) for m in (False, True) for n, k, d in forms]
+    edges = t.spark.createDataFrame(rows, "source string, target string, kind string, detail string, edge string, from_module boolean")
+    found = graph.with_transfer(edges.drop("from_module"), edges.where("from_module").select(F.col("source").alias("node")).distinct(), t.spark.createDataFrame([("gone",)], "node string"))
+    return found.select("edge", F.col("source").startswith("m.").alias("from_module"), *(F.col("xfer")[i].alias(f"m{i + 1}") for i in range(4)))
+
+
+# Propagation and decisions.
+
+
+def _no_nodes(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([], "node string")
+
+
+def _part_edges(t: Tables) -> DataFrame:
+    return graph.with_transfer(X.references(t).where("target NOT LIKE 's:%'"), _no_nodes(t), _no_nodes(t))
+
+
+def _impact(t: Tables) -> DataFrame:
+    return impact.propagate(_part_edges(t), impact.ranked_seeds(impact.seeds_of(_part_changes(t))))
+
+
+_SEED_SQL = f"""{PART_SQL}, seed AS (SELECT 'p:' || id AS node, CASE WHEN added OR deleted OR def THEN 4 ELSE 3 END AS mode FROM j WHERE body OR def)"""
+_IMPACT_SQL = f"""{_SEED_SQL}, e AS (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target FROM lineitem UNION ALL SELECT 'c:' || o_custkey, 'o:' || o_orderkey FROM orders),
+r AS (SELECT node, mode FROM seed UNION SELECT e.source, 3 FROM r JOIN e ON e.target = r.node)"""
+
+
+@_query(f"WITH RECURSIVE {_IMPACT_SQL} SELECT node, max(mode) AS mode FROM r GROUP BY node")
+def q23_impact_reach(t: Tables) -> DataFrame:
+    return _impact(t).select("node", "mode")
+
+
+@_query("""SELECT 'r:' || r_regionkey AS node, CASE r_regionkey WHEN 0 THEN 4 ELSE 3 END AS mode FROM region WHERE r_regionkey < 2
+UNION ALL SELECT 'n:' || n_nationkey, 4 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'c:' || c_custkey, 4 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0
+UNION ALL SELECT 's:' || s_suppkey, 4 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0""")
+def q24_impact_by_container(t: Tables) -> DataFrame:
+    edges = graph.with_transfer(X.containers(t), _no_nodes(t), _no_nodes(t))
+    seeds = t.region.where("r_regionkey < 2").select(node("r", "r_regionkey").alias("node"), F.when(F.col("r_regionkey") == 0, 4).otherwise(3).alias("mode"))
+    return impact.propagate(edges, seeds).select("node", "mode")
+
+
+@_query(f"""WITH RECURSIVE {_SEED_SQL}, o AS (SELECT 'o:' || l_orderkey AS node, min(seed.node) AS via FROM lineitem JOIN seed ON seed.node = 'p:' || l_partkey GROUP BY 1),
+c AS (SELECT 'c:' || o_custkey AS node, min(o.node) AS via FROM orders JOIN o ON o.node = 'o:' || o_orderkey GROUP BY 1)
+SELECT node, via AS changed_symbol, node || '>' || via AS path, 'dependency' AS rule FROM o UNION ALL SELECT c.node, o.via, c.node || '>' || c.via || '>' || o.via, 'dependency' FROM c JOIN o ON c.via = o.node""")
+def q25_shortest_explanation(t: Tables) -> DataFrame:
+    edges, found = _part_edges(t), _impact(t)
+    wanted = found.where("node NOT LIKE 'p:%'").select("node")
+    return impact.explained(found, wanted, edges).select("node", "changed_symbol", F.array_join("path", ">").alias("path"), "rule")
+
+
+@_query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 1), w AS (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R')
+SELECT DISTINCT 's:' || l_suppkey AS node, 2 AS mode FROM w WHERE l_orderkey IN (FROM o)""")
+def q26_import_call_effects(t: Tables) -> DataFrame:
+    e = X.references(t)
+    seeds = t.customer.where("c_custkey % 50 = 1").select(node("c", "c_custkey").alias("node"))
+    mutated = e.where("detail = 'writes'").select(F.col("target").alias("source"), F.col("source").alias("target"))
+    return impact.import_call_effects(seeds, e.where("source LIKE 'c:%'").select("source", "target"), mutated).select("node", "mode")
+
+
+@_query("""WITH RECURSIVE e AS (SELECT 'c:' || o_custkey AS source, 'o:' || o_orderkey AS target, o_orderkey AS k FROM orders UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, l_orderkey FROM lineitem),
+s AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey % 10 = 1),
+b AS (SELECT node AS origin, node FROM s UNION SELECT b.origin, e.target FROM b JOIN e ON e.source = b.node WHERE k % 97 <> 5), h AS (SELECT node AS origin, node FROM s UNION SELECT h.origin, e.target FROM h JOIN e ON e.source = h.node WHERE k % 89 <> 7)
+SELECT *, 'run' AS change FROM (FROM h EXCEPT FROM b) UNION ALL SELECT *, 'not_run' FROM (FROM b EXCEPT FROM h)""")
+def q27_newly_run(t: Tables) -> DataFrame:
+    e = X.references(t).where("target NOT LIKE 's:%'").withColumn("kind", F.lit("imports"))
+    key = F.when(F.col("source").startswith("o:"), F.substring_index("source", ":", -1)).otherwise(F.substring_index("target", ":", -1)).cast("long")
+    return impact.newly_run(e.where(key % 97 != 5), e.where(key % 89 != 7), t.customer.where("c_custkey % 10 = 1").select(node("c", "c_custkey").alias("node")))
+
+
+@_query("SELECT 'target:run:c:' || c_custkey AS node, rule FROM customer, (VALUES ('analysis_error'), ('unanalysed_file_changed')) v(rule)")
+def q28_global_fallback_cross(t: Tables) -> DataFrame:
+    targets = t.customer.select(F.lit("run").alias("runner"), node("c", "c_custkey").alias("runner_id"))
+    return impact.for_all(t.spark.createDataFrame([("analysis_error", "x"), ("unanalysed_file_changed", "y")], "rule string, detail string"), targets).select("node", "rule")
+
+
+@_query("""SELECT page_id, 'net' AS label FROM pages WHERE url LIKE '%.example.net/%' UNION ALL SELECT page_id, 'mobile' FROM pages WHERE url LIKE 'https://m.%' UNION ALL SELECT page_id, 'digit' FROM pages WHERE regexp_matches(url, '^.*/[0-3].$')""")
+def q29_always_run_pattern(t: Tables) -> DataFrame:
+    return graph.pattern_pairs(t.pages, "url", [("net", "*.example.net/*"), ("mobile", "https://m.*"), ("digit", "*/[0-3]?")]).select("page_id", F.col("pattern").alias("label"))
+
+
+def _order_targets(t: Tables) -> DataFrame:
+    return t.orders.select(F.lit("run").alias("runner"), F.col("o_orderkey").cast("string").alias("runner_id"), node("o", "o_orderkey").alias("entry_symbol"), F.array().cast("array<string>").alias("lifecycle_dependencies"))
+
+
+def _decisions(t: Tables) -> DataFrame:
+    targets = _order_targets(t)
+    symbols = t.orders.select(node("o", "o_orderkey").alias("id"))
+    entries, _ = graph.target_edges(targets, symbols)
+    edges = graph.with_transfer(X.references(t).where("source LIKE 'o:%' AND target LIKE 'p:%'").unionByName(entries), _no_nodes(t), _no_nodes(t))
+    found = impact.propagate(edges, impact.ranked_seeds(impact.seeds_of(_part_changes(t))))
+    reached = found.where("node LIKE 'target:%'").select("node", F.lit("dependency").alias("rule"))
+    new = t.orders.where("o_orderkey % 97 = 5").select(F.concat(F.lit("target:run:"), F.col("o_orderkey").cast("string")).alias("node"), F.lit("new_target").alias("rule"))
+    always, _ = impact.always_run(targets, [("sevens", "*777*", "run")])
+    return impact.decisions(targets, reached.unionByName(new).unionByName(always.select("node", "rule")), edges, found)
+
+
+_DECISION_SQL = f"""{_SEED_SQL}, hit AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE 'p:' || l_partkey IN (SELECT node FROM seed)),
+reason AS (SELECT k, 'dependency' AS rule FROM hit UNION ALL SELECT o_orderkey, 'new_target' FROM orders WHERE o_orderkey % 97 = 5 UNION ALL SELECT o_orderkey, 'always_run' FROM orders WHERE o_orderkey::VARCHAR LIKE '%777%'),
+decision AS (SELECT o_orderkey::VARCHAR AS runner_id, count(rule) > 0 AS selected, coalesce(string_agg(rule, ',' ORDER BY rule), '') AS rules, CASE WHEN o_orderkey IN (SELECT k FROM hit) THEN 'o:' || o_orderkey ELSE '' END AS affected FROM orders LEFT JOIN reason ON k = o_orderkey GROUP BY o_orderkey)"""
+
+
+@_query(f"WITH {_DECISION_SQL} FROM decision")
+def q30_decisions(t: Tables) -> DataFrame:
+    return _decisions(t).select("runner_id", "selected", F.array_join("rules", ",").alias("rules"), F.array_join("affected_dependencies", ",").alias("affected"))
+
+
+@_query(f"WITH {_DECISION_SQL} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(CASE rules WHEN '' THEN 'unselected' ELSE rules END, ',')) AS rule FROM decision) GROUP BY rule")
+def q31_rule_histogram(t: Tables) -> DataFrame:
+    rules = F.when(F.col("selected"), F.col("rules")).otherwise(F.array(F.lit("unselected")))
+    return rollup.histogram(_decisions(t).select(F.explode(rules).alias("rule")), [], "rule")
+
+
+@_query(f"""WITH {PART_SQL}, p AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 2 = 0 AS even FROM lineitem JOIN j ON id = l_partkey WHERE body OR def), s AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_suppkey % 7 = 1),
+f AS (SELECT k FROM p UNION SELECT k FROM s), c AS (SELECT k, k IN (SELECT k FROM p WHERE NOT even) AS precise, k IN (SELECT k FROM p WHERE even) AS dyn, k IN (FROM s) AS nam FROM f)
+SELECT 'o:' || k AS node, CASE WHEN precise THEN 'precise' WHEN dyn AND nam THEN 'both' WHEN dyn THEN 'dynamic' ELSE 'names' END AS cause FROM c""")
+def q32_counterfactual_cause(t: Tables) -> DataFrame:
+    e = X.references(t).where("source LIKE 'o:%'")
+    key = F.substring_index("target", ":", -1).cast("long")
+    is_name, is_dynamic = F.col("target").startswith("s:"), F.col("target").startswith("p:") & (key % 2 == 0)
+    seeds = _part_changes(t).select(F.col("id").alias("node")).union(t.supplier.where("s_suppkey % 7 = 1").select(node("s", "s_suppkey")))
+    run = lambda edges: fixpoint.reachable(edges.select(F.col("target").alias("source"), F.col("source").alias("target")), seeds).where("node LIKE 'o:%'")
+    return impact.causes(run(e), run(e.where(~is_dynamic)), run(e.where(~is_name)), run(e.where(~is_dynamic & ~is_name)))
+
+
+# Recorded execution.
+
+
+@_query("""WITH s AS (SELECT source AS path, 'd:' || doc_id AS symbol, doc_id % 500 AS a, doc_id % 500 + n_chars % 97 AS b FROM documents), p AS (SELECT DISTINCT source AS path, doc_id * 7 % 600 AS line FROM documents)
+SELECT p.path, p.line, symbol FROM p LEFT JOIN s ON p.path = s.path AND line BETWEEN a AND b QUALIFY row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, a, symbol) = 1""")
+def q33_innermost_span(t: Tables) -> DataFrame:
+    d, k = t.documents, F.col("doc_id")
+    spans = d.select(F.col("source").alias("path"), node("d", "doc_id").alias("symbol"), (k % 500).alias("start"), (k % 500 + F.col("n_chars") % 97).alias("end"))
+    return evidence.innermost(d.select(F.col("source").alias("path"), (k * 7 % 600).alias("line")).distinct(), spans).select("path", "line", "symbol")
+
+
+@_query(f"WITH {RECORDINGS_SQL} SELECT store_id, test_id, count(DISTINCT item) AS items, bit_or(flags) AS flags FROM rec GROUP BY ALL")
+def q34_fold_records(t: Tables) -> DataFrame:
+    r = X.recordings(t)
+    rows, records = evidence.folded(r.select("store_id", F.concat("test_id", F.lit("["), "item", F.lit("]")).alias("test_id"), "kind", "item"), r)
+    return rows.groupBy("store_id", "test_id").agg(F.count("*").alias("items")).join(records, ["store_id", "test_id"])
+
+
+@_query("SELECT user_id::VARCHAR AS test_id, count(*) AS cases FROM (SELECT DISTINCT user_id, props FROM events) GROUP BY user_id")
+def q35_param_fold(t: Tables) -> DataFrame:
+    ids = t.events.select(F.concat(F.col("user_id").cast("string"), F.lit("["), "props", F.lit("]")).alias("id")).distinct()
+    return ids.groupBy(N.folded_test("id").alias("test_id")).agg(F.count("*").alias("cases"))
+
+
+@_query("""WITH c AS (SELECT CASE WHEN day(ts) % 2 = 0 THEN 'even' ELSE 'odd' END AS store_id, user_id::VARCHAR AS test_id, hour(ts) AS pid, event_type <> 'error' OR event_id % 4 > 0 AS ran, event_id % 1000 AS h FROM events)
+SELECT store_id, test_id FROM c GROUP BY ALL HAVING count(*) = count(*) FILTER (ran) AND sum(h) = coalesce(sum(h) FILTER (ran), 0)""")
+def q36_complete_records(t: Tables) -> DataFrame:
+    ran = (F.col("event_type") != "error") | (F.col("event_id") % 4 > 0)
+    h = F.col("event_id") % 1000
+    cases = t.events.groupBy(F.when(F.dayofmonth("ts") % 2 == 0, "even").otherwise("odd").alias("store_id"), F.col("user_id").cast("string").alias("test_id"), F.hour("ts").alias("pid")).agg(F.count("*").alias("n_collected"), F.sum(h).alias("h_collected"), F.count_if(ran).alias("n_ran"), F.coalesce(F.sum(F.when(ran, h)), F.lit(0)).alias("h_ran"))
+    return evidence.complete(cases)
+
+
+@_query("""WITH b AS (SELECT DISTINCT CASE WHEN day(ts) % 2 = 0 THEN 'even' ELSE 'odd' END AS s, user_id::VARCHAR AS test_id, event_type AS item FROM events WHERE event_id % 3 = 0),
+g AS (SELECT test_id, string_agg(item, ',' ORDER BY item) FILTER (s = 'even') AS x, string_agg(item, ',' ORDER BY item) FILTER (s = 'odd') AS y FROM b GROUP BY test_id) SELECT test_id FROM g WHERE x IS NOT NULL AND y IS NOT NULL AND x <> y""")
+def q37_unstable_tests(t: Tables) -> DataFrame:
+    r = X.recordings(t).where("event_id % 3 = 0").withColumn("item", F.substring_index("item", ":", 1))
+    return evidence.unstable(r.where("store_id = 'even'"), r.where("store_id = 'odd'"))
+
+
+@_query(f"""WITH {RECORDINGS_SQL}, old_r AS (SELECT test_id, bit_or(flags) | CASE WHEN test_id::INT % 4 = 0 THEN 2 ELSE 0 END AS flags FROM rec WHERE store_id = 'odd' GROUP BY test_id), new_r AS (SELECT test_id, bit_or(flags) AS flags FROM rec WHERE store_id = 'even' AND test_id::INT % 2 = 0 GROUP BY test_id),
+rows AS (SELECT DISTINCT test_id, item FROM rec WHERE store_id = 'odd' AND test_id NOT IN (SELECT test_id FROM new_r) UNION SELECT DISTINCT test_id, item FROM rec WHERE store_id = 'even' AND test_id::INT % 2 = 0)
+SELECT test_id, count(*) AS items, any_value(coalesce(n.flags | (coalesce(o.flags, 0) & 2), o.flags)) AS flags FROM rows LEFT JOIN new_r n USING (test_id) LEFT JOIN old_r o USING (test_id) WHERE test_id::INT % 7 <> 3 GROUP BY test_id""")
+def q38_advance_store(t: Tables) -> DataFrame:
+    r, k = X.recordings(t), F.col("test_id").cast("int")
+    old, new = r.where("store_id = 'odd'"), r.where("store_id = 'even'").where(k % 2 == 0)
+    flags = lambda df: df.groupBy("test_id").agg(F.bit_or("flags").alias("flags"))
+    old_records = flags(old).withColumn("flags", F.col("flags").bitwiseOR(F.when(k % 4 == 0, 2).otherwise(0)))
+    rows, records = evidence.advanced(old.select("test_id", "item").distinct(), old_records, new.select("test_id", "item").distinct(), flags(new), r.select("test_id").distinct().where(k % 7 != 3))
+    return rows.groupBy("test_id").agg(F.count("*").alias("items")).join(records, "test_id")
+
+
+@_query(f"WITH {RECORDINGS_SQL} SELECT test_id, min(item) AS detail FROM rec WHERE (string_split(item, ':')[2])::INT % 10 = 3 GROUP BY test_id")
+def q39_select_by_evidence(t: Tables) -> DataFrame:
+    r = X.recordings(t)
+    changes = r.select(F.col("item").alias("id")).distinct().where(F.substring_index("id", ":", -1).cast("int") % 10 == 3).select("id", F.lit("function").alias("kind"), F.array(F.lit("body_changed")).alias("changes"), F.lit(True).alias("carries_impact"), F.lit(False).alias("structural"))
+    seen = evidence.observers(changes, t.spark.createDataFrame([], "symbol string, reader string"))
+    tests = r.select("test_id").distinct()
+    none = t.spark.createDataFrame([], "test_id string, path string")
+    found = evidence.decided(tests, r.groupBy("test_id").agg(F.lit(0).alias("flags")), r.select("test_id", F.col("item").alias("symbol")).distinct(), seen, none, none.select("test_id"), t.spark.createDataFrame([], "test_id string, rule string, detail string"))
+    return found.where("rule = 'executed_changed'").select("test_id", "detail")
+
+
+@_query("SELECT DISTINCT user_id::VARCHAR AS test_id, 'purchase' AS reader FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT user_id FROM events WHERE event_type IN ('signup', 'error') AND event_id % 10 = 0)")
+def q40_guarded_readers(t: Tables) -> DataFrame:
+    e = t.events.where("event_type NOT IN ('signup', 'error') OR event_id % 10 = 0").select(F.col("user_id").cast("string").alias("test_id"), F.col("event_type").alias("symbol")).distinct()
+    return evidence.guarded(e, t.spark.createDataFrame([("purchase", "signup"), ("purchase", "error")], "reader string, guard string"))
+
+
+_PATH_SQL = "regexp_extract(url, '://([^?#]*)', 1)"
+
+
+@_query(f"""WITH p AS (SELECT DISTINCT {_PATH_SQL} AS path FROM pages WHERE page_id % 5 = 0), t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_PATH_SQL} ELSE string_split({_PATH_SQL}, '/')[1] END AS place FROM pages),
+u AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS place FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM p)) SELECT DISTINCT page_id::VARCHAR AS test_id, path FROM t JOIN u USING (place)""")
+def q41_touched_ancestors(t: Tables) -> DataFrame:
+    path = F.regexp_extract("url", "://([^?#]*)", 1)
+    touched = t.pages.select(F.col("page_id").cast("string").alias("test_id"), F.when(F.col("page_id") % 2 == 0, path).otherwise(F.substring_index(path, "/", 1)).alias("path"))
+    return evidence.touched_ancestors(touched, t.pages.where("page_id % 5 = 0").select(path.alias("path")).distinct())
+
+
+@_query("""WITH a AS (SELECT n_name AS key, md5(n_name) AS value FROM nation WHERE n_nationkey % 5 <> 1), b AS (SELECT n_name AS key, CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE md5(n_name) END AS value FROM nation WHERE n_nationkey % 7 <> 2)
+SELECT coalesce(a.key, b.key) AS key, a.value AS before, b.value AS after FROM a FULL JOIN b ON a.key = b.key WHERE a.value IS DISTINCT FROM b.value""")
+def q42_env_diff(t: Tables) -> DataFrame:
+    own = lambda keep, value: t.nation.where(keep).select(F.col("n_name").alias("key"), value.alias("value"))
+    return evidence.environment_differences(own("n_nationkey % 5 <> 1", F.md5("n_name")), own("n_nationkey % 7 <> 2", F.when(F.col("n_nationkey") % 4 == 0, "x").otherwise(F.md5("n_name"))))
+
+
+@_query("""WITH c AS (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS commit, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS place FROM orders), s AS (SELECT 'p' || p_partkey AS store_id, 365 + p_partkey * 37 % 4000 AS place, (p_partkey % 11)::DOUBLE AS created FROM part WHERE p_partkey % 9 = 0),
+m AS (SELECT place, max_by(store_id, (created, store_id)) AS store_id FROM s GROUP BY place) SELECT commit, store_id FROM c ASOF LEFT JOIN m ON c.place >= m.place""")
+def q43_nearest_store_asof(t: Tables) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    commits = t.orders.select(day.cast("string").alias("commit"), F.datediff(day, F.lit("1990-01-01").cast("date")).cast("long").alias("place")).distinct()
+    k = F.col("p_partkey")
+    stores = t.part.where("p_partkey % 9 = 0").select(F.concat(F.lit("p"), k.cast("string")).alias("store_id"), (365 + k * 37 % 4000).alias("place"), (k % 11).cast("double").alias("created"))
+    return evidence.nearest_store(commits, stores)
+
+
+@_query("SELECT c_custkey::VARCHAR AS test_id, 'no_evidence' AS rule FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type <> 'error')")
+def q44_no_evidence(t: Tables) -> DataFrame:
+    tests = t.customer.select(F.col("c_custkey").cast("string").alias("test_id"))
+    records = t.events.where("event_type <> 'error'").select(F.col("user_id").cast("string").alias("test_id"), F.lit(0).alias("flags")).distinct()
+    none = lambda s: t.spark.createDataFrame([], s)
+    found = evidence.decided(tests, records, none("test_id string, symbol string"), none("symbol string, rule string"), none("test_id string, path string"), none("test_id string"), none("test_id string, rule string, detail string"))
+    return found.select("test_id", "rule")
+
+
+# Validation and roll-ups.
+
+_OUTCOME_SQL = "CASE event_type WHEN 'view' THEN 'PASSED' WHEN 'click' THEN 'SKIPPED' WHEN 'signup' THEN 'XFAIL' WHEN 'purchase' THEN 'FAILED' ELSE 'ERROR' END"
+
+
+def _outcomes(t: Tables, keep: str = "true") -> DataFrame:
+    outcome = F.when(F.col("event_type") == "view", "PASSED").when(F.col("event_type") == "click", "SKIPPED").when(F.col("event_type") == "signup", "XFAIL").when(F.col("event_type") == "purchase", "FAILED").otherwise("ERROR")
+    return t.events.where(keep).select(F.col("user_id").cast("string").alias("test"), outcome.alias("outcome"), "event_id")
+
+
+
+_RANK_SQL = "list_transform(list_sort(list_distinct(list(list_position(['PASSED', 'SKIPPED', 'XFAIL', 'XPASS', 'FAILED', 'ERROR'], o)))), lambda k: ['PASSED', 'SKIPPED', 'XFAIL', 'XPASS', 'FAILED', 'ERROR'][k])"
+
+
+def _ranked_sql(keep: str = "true") -> str:
+    return f"SELECT user_id::VARCHAR AS test, array_to_string({_RANK_SQL}, '+') AS outcomes FROM (SELECT user_id, {_OUTCOME_SQL} AS o FROM events WHERE {keep}) GROUP BY user_id"
+
+
+@_query(_ranked_sql("event_id % 5 < 2"))
+def q45_outcome_fold(t: Tables) -> DataFrame:
+    return validate.outcome_fold(_outcomes(t, "event_id % 5 < 2"))
+
+
+@_query(f"""WITH b AS ({_ranked_sql("event_id % 11 = 0")}), h AS ({_ranked_sql("event_id % 13 = 0")}) SELECT coalesce(b.test, h.test) AS test, b.outcomes AS before, h.outcomes AS after, b.outcomes IS DISTINCT FROM h.outcomes AS changed FROM b FULL JOIN h ON b.test = h.test""")
+def q46_outcome_transition(t: Tables) -> DataFrame:
+    return validate.transitions(validate.outcome_fold(_outcomes(t, "event_id % 11 = 0")), validate.outcome_fold(_outcomes(t, "event_id % 13 = 0")))
+
+
+def _cases(t: Tables, keep: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "failed").otherwise("passed")
+    return t.events.where(keep).select(F.lit("r").alias("run"), F.when(F.col("event_id") % 29 == 0, "").otherwise("m").alias("classname"), F.concat(F.lit("case"), (F.col("event_id") % 3).cast("string")).alias("name"), kind.alias("outcome"), F.col("user_id").cast("string").alias("runner_id"))
+
+
+def _broken_sql(keep: str) -> str:
+    return f"SELECT user_id::VARCHAR AS target, CASE WHEN event_id % 29 = 0 AND event_type = 'error' THEN 'collection' ELSE 'test' END AS kind, list_sort(list_distinct(list('case' || event_id % 3))) AS cases FROM events WHERE event_type IN ('error', 'purchase') AND {keep} GROUP BY ALL"
+
+
+@_query(f"""WITH n AS ({_broken_sql("event_id % 17 = 0")}), b AS ({_broken_sql("event_id % 5 = 1")}) SELECT n.target, n.kind, coalesce(list_has_all(b.cases, n.cases), false) AS already FROM n LEFT JOIN (FROM b WHERE kind = 'test') b ON n.target = b.target""")
+def q47_already_failing_subset(t: Tables) -> DataFrame:
+    now, before = validate.broken(_cases(t, "event_id % 17 = 0")), validate.broken(_cases(t, "event_id % 5 = 1")).where("kind = 'test'")
+    return validate.already_failing(now, before).select("target", "kind", "already")
+
+
+@_query(f"""WITH n AS ({_broken_sql("event_id % 17 = 0")}), b AS (FROM ({_broken_sql("event_id % 5 = 1")}) WHERE kind = 'test'), v AS (SELECT CASE WHEN n.kind = 'collection' THEN 'collection' WHEN coalesce(list_has_all(b.cases, n.cases), false) THEN 'already' WHEN n.target::INT % 3 > 0 THEN 'caught' ELSE 'miss' END AS v FROM n LEFT JOIN b ON n.target = b.target)
+SELECT count(*) AS failures, count(*) FILTER (v = 'miss') AS misses, count(*) FILTER (v = 'already') AS already, count(*) FILTER (v = 'caught') AS caught, count(*) FILTER (v = 'collection') AS collection, count(*) FILTER (v = 'miss') = 0 AS ok FROM v""")
+def q48_check_misses(t: Tables) -> DataFrame:
+    now, before = validate.broken(_cases(t, "event_id % 17 = 0")), validate.broken(_cases(t, "event_id % 5 = 1")).where("kind = 'test'")
+    plan = t.events.select(F.col("user_id").cast("string").alias("target"), (F.col("user_id") % 3 > 0).alias("selected")).distinct()
+    return validate.check_totals(validate.checked(now, before, plan))
+
+
+@_query(f"""WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'tests/' || path || '.py::K' || page_id || '::test_a[' || page_id || ']' END AS runner_id FROM p""")
+def q49_junit_match(t: Tables) -> DataFrame:
+    path, k = F.regexp_extract("url", "://([^?#]*)", 1), F.col("page_id").cast("string")
+    targets = t.pages.where("page_id % 3 <> 0").select(F.concat(F.lit("tests/"), path, F.lit(".py::K"), k, F.lit("::test_a["), k, F.lit("]")).alias("runner_id"))
+    cases = t.pages.select("page_id", F.concat(F.lit("tests."), F.translate(path, "/", "."), F.lit(".K"), k).alias("classname"), F.concat(F.lit("test_a["), k, F.lit("]")).alias("name"))
+    own = targets.withColumn("runner_key", F.translate(validate.target_key("runner_id"), ".", "/"))
+    keyed = cases.withColumn("runner_key", F.translate(validate.junit_key(F.col("classname"), F.col("name")), ".", "/"))
+    return keyed.join(own, "runner_key", "left").select("page_id", "runner_id")
+
+
+_QUALITY_SQL = """count(*) AS n, count(*) FILTER (a) AS affected, count(*) FILTER (s) AS selected, count(*) FILTER (a AND s) AS caught, count(*) FILTER (a AND NOT s) AS missed,
+round(count(*) FILTER (a AND s) / nullif(count(*) FILTER (a), 0)::DOUBLE, 6) AS recall, round(count(*) FILTER (a AND s) / nullif(count(*) FILTER (s), 0)::DOUBLE, 6) AS precision, round(1 - count(*) FILTER (s) / count(*)::DOUBLE, 6) AS savings"""
+_LABELLED_SQL = "x AS (SELECT lang, source, quality = 0 AS a, n_chars < 900 AS s FROM labels JOIN documents USING (doc_id))"
+
+
+def _labelled(t: Tables) -> DataFrame:
+    return t.labels.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id").select("lang", "source", (F.col("quality") == 0).alias("affected"), (F.col("n_chars") < 900).alias("selected"))
+
+
+@_query(f"WITH {_LABELLED_SQL} SELECT lang, {_QUALITY_SQL} FROM x GROUP BY lang")
+def q50_recall_precision(t: Tables) -> DataFrame:
+    return validate.quality(_labelled(t), ["lang"])
+
+
+@_query(f"""WITH {_LABELLED_SQL}, e AS (SELECT source, {_QUALITY_SQL} FROM x GROUP BY source) SELECT count(*) AS entries, round(sum(caught) / nullif(sum(affected), 0)::DOUBLE, 6) AS recall, round(sum(caught) / nullif(sum(selected), 0)::DOUBLE, 6) AS precision, round(avg(savings), 6) AS mean_savings, sum(missed) = 0 AS ok FROM e""")
+def q51_corpus_rollup(t: Tables) -> DataFrame:
+    return validate.corpus(validate.quality(_labelled(t), ["source"]))
+
+
+@_query("""WITH s AS (SELECT source AS path, doc_id, doc_id % 300 AS a, doc_id % 300 + 20 AS b FROM documents), l AS (SELECT path, doc_id, unnest(range(a, b + 1)) AS line FROM s WHERE doc_id % 6 = 0),
+m AS (SELECT s.path, (s.doc_id // 10) * 10 AS c, unnest(range(a, b + 1)) AS line FROM s WHERE doc_id % 10 > 0), o AS (SELECT * FROM l WHERE doc_id % 4 = 0 OR NOT EXISTS (SELECT 1 FROM m WHERE m.path = l.path AND m.c = l.doc_id AND m.line = l.line)),
+v AS (SELECT DISTINCT source AS path, doc_id % 50 AS t, doc_id * 11 % 320 AS line FROM documents)
+SELECT t::VARCHAR AS test_id, count(DISTINCT doc_id) AS symbols FROM v JOIN o USING (path, line) GROUP BY t""")
+def q52_line_owner(t: Tables) -> DataFrame:
+    d, k = t.documents, F.col("doc_id")
+    spans = d.select(F.col("source").alias("path"), k.cast("string").alias("symbol"), F.when(k % 10 > 0, (F.floor(k / 10) * 10).cast("string")).alias("container"), (k % 300).alias("start"), (k % 300 + 20).alias("end"))
+    pick = lambda keep: d.where(keep).select(k.cast("string").alias("symbol"))
+    owners = validate.line_owners(spans, pick("doc_id % 6 = 0"), pick("doc_id % 4 = 0"))
+    lines = d.select(F.col("source").alias("path"), (k % 50).cast("string").alias("test_id"), (k * 11 % 320).alias("line")).distinct()
+    return validate.attributed(lines, owners).select("test_id", F.size("symbols").cast("long").alias("symbols"))
+
+
+_ARTIFACT_SQL = """art AS (SELECT o_orderkey AS run, o_orderpriority AS cell, CASE WHEN o_orderkey % 4 = 0 THEN 'record' ELSE 'run' END AS action, CASE o_orderkey % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'pull_request' ELSE 'schedule' END AS event,
+o_custkey % 100 AS selected, 120 AS total, o_custkey % 7 AS always_run, CASE WHEN o_orderkey % 50 = 1 THEN 1 ELSE 0 END AS misses, o_orderkey % 9 = 0 AS incomplete, CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_orderstatus END AS note, strftime(o_orderdate, '%Y-%m-%d') AS created_at FROM orders)"""
+
+
+def _artifacts(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t.orders.select(
+        k.alias("run"), F.col("o_orderpriority").alias("cell"), F.when(k % 4 == 0, "record").otherwise("run").alias("action"), F.when(k % 3 == 0, "push").when(k % 3 == 1, "pull_request").otherwise("schedule").alias("event"),
+        (F.col("o_custkey") % 100).alias("selected"), F.lit(120).alias("total"), (F.col("o_custkey") % 7).alias("always_run"), F.when(k % 50 == 1, 1).otherwise(0).alias("misses"), (k % 9 == 0).alias("incomplete"),
+        F.when(k % 41 != 0, F.col("o_orderstatus")).alias("note"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"),
+    )
+
+
+@_query(f"""WITH {_ARTIFACT_SQL}, s AS (SELECT *, CASE WHEN action = 'run' THEN (selected - always_run) / (total - always_run)::DOUBLE END AS share FROM art)
+SELECT cell, count(*) FILTER (action = 'run') AS runs, count(*) FILTER (action = 'record') AS records, count(*) FILTER (action = 'run' AND incomplete) AS incomplete, sum(misses)::BIGINT AS misses, round(median(share), 6) AS median_share, round(max(share), 6) AS max_share FROM s GROUP BY cell""")
+def q53_cell_rollup(t: Tables) -> DataFrame:
+    return rollup.cells(_artifacts(t), ["cell"])
+
+
+@_query(f"WITH {_ARTIFACT_SQL} SELECT cell, note, count(*) AS n FROM art WHERE note IS NOT NULL GROUP BY ALL")
+def q54_reason_map(t: Tables) -> DataFrame:
+    sound, _ = rollup.sound(_artifacts(t), ["note"])
+    return rollup.histogram_map(sound, ["cell"], "note").select("cell", F.explode("notes").alias("note", "n"))
+
+
+@_query("SELECT event_id AS run, user_id::VARCHAR AS target, CASE WHEN event_id % 8 = 0 THEN 'collection' ELSE 'test' END AS kind FROM events WHERE event_type = 'error' AND (event_id % 8 = 0 OR event_id % 3 = 0)")
+def q55_confirmed_misses(t: Tables) -> DataFrame:
+    e = t.events.where("event_type = 'error'").select(F.col("event_id").alias("run"), F.col("user_id").cast("string").alias("target"), F.when(F.col("event_id") % 8 == 0, "collection").otherwise("test").alias("kind"))
+    return rollup.confirmed(e, e.where("run % 3 = 0").select("run", "target"))
+
+
+@_query(f"WITH {_ARTIFACT_SQL} SELECT event, action, count(*) AS n, min(created_at) AS first, max(created_at) AS last FROM art WHERE action <> 'record' OR event IN ('push', 'schedule', 'workflow_dispatch') GROUP BY ALL")
+def q56_trust_filter(t: Tables) -> DataFrame:
+    return rollup.trusted(_artifacts(t)).groupBy("event", "action").agg(F.count("*").alias("n"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+
+
+@_query("SELECT l_orderkey, l_partkey, place FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY q DESC, l_partkey) AS place FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)) WHERE place <= 3")
+def q57_topk_shown(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    sums = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("q"), "l_partkey")).cast("long")
+    return sums.withColumn("place", place).where("place <= 3").select("l_orderkey", "l_partkey", "place")
+
+
+@_query("""SELECT user_id::VARCHAR AS test_id, 'collected' AS side FROM (SELECT user_id FROM events EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey::VARCHAR, 'discovered' FROM (SELECT o_custkey FROM orders EXCEPT SELECT user_id FROM events)""")
+def q58_collected_minus_targets(t: Tables) -> DataFrame:
+    return evidence.settled(t.events.select(F.col("user_id").cast("string").alias("test_id")), t.orders.select(F.col("o_custkey").cast("string").alias("test_id")))
+
+
+@_query("""SELECT page_id, count(*) AS links, count(DISTINCT l) AS distinct_links, min(l) AS first_link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS l FROM pages) GROUP BY page_id""")
+def q59_link_extraction(t: Tables) -> DataFrame:
+    links = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'))).alias("l"))
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("l").alias("distinct_links"), F.min("l").alias("first_link"))
+
+
+@_query(f"""WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages), w AS (SELECT 'en/' || unnest(range(100)) AS tail UNION ALL SELECT 'de/' || unnest(range(50)) || '/') SELECT page_id, tail FROM p JOIN w ON path = tail OR ends_with(path, '/' || tail)""")
+def q60_suffix_match(t: Tables) -> DataFrame:
+    path = F.regexp_extract("url", "://([^?#]*)", 1)
+    wanted = t.spark.range(100).select(F.concat(F.lit("en/"), F.col("id").cast("string")).alias("w")).union(t.spark.range(50).select(F.concat(F.lit("de/"), F.col("id").cast("string"), F.lit("/"))))
+    return graph.suffix_matches(t.pages.select("page_id", path.alias("path")), "path", wanted, "w").select("page_id", "tail")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which orders the change of parts selects, by which rules and through which entry."""
+    return q30_decisions(Tables(spark, sf_dir))
