@@ -27,7 +27,8 @@ def prefixes(x: Column | str, separator: str = ".", proper: bool = False) -> Col
 
 def parent(x: Column | str, separator: str = ".") -> Column:
     """The name without its last part; empty for a single part."""
-    return F.when(F.contains(_c(x), F.lit(separator)), F.substring_index(_c(x), separator, F.size(F.split(_c(x), re.escape(separator))) - 1)).otherwise("")
+    parts = F.split(_c(x), re.escape(separator))
+    return F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), separator)
 
 
 def short_name(x: Column | str, separator: str = ".") -> Column:
