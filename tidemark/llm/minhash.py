@@ -11,10 +11,12 @@ stands for it.  Links are wanted for the components they make:
 
 1. in each bucket the document that shares most buckets is compared with all others (a star, no pairs);
 2. components of the confirmed links; buckets within one component are done;
-3. in the others, documents of different components are compared, but for pairs that cannot reach the
-   threshold by their sizes and by how many of their shingles no other open document has.
+3. in the others, documents of different components are compared.
 
-Every comparison counts the full sets' intersection.  No bucket is capped.
+A pair is dropped before its texts are read only if it cannot reach the threshold by the sizes and parity
+bitmaps of its sets: bit h of a set's bitmap is the parity of how many shingles hash to h, so the bits in which
+two bitmaps differ are at most the shingles that only one of the sets has.  Every other pair counts the full
+sets' intersection.  No bucket is capped.
 
 Edge cases: null, empty and blank texts have an empty set and are their own component; texts of fewer than
 five words have their whole sequence as the only shingle; copies and repeated rows fall in one class; an
@@ -28,7 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, by_batch, mix, remove, staged
@@ -37,6 +39,8 @@ from .components import components
 SHINGLE = 5
 BANDS, ROWS = 64, 8
 UNIVERSE = 1 << 21
+#: Words of 64 bits of a parity bitmap.
+PARITY = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _tables: list[np.ndarray] = []
 
@@ -74,7 +78,14 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def parity(own: np.ndarray) -> list[int]:
+    """The set's parity bitmap, as signed words."""
+    counts = np.bincount((mix(own + np.uint64(0x632BE59BD9B4E019)) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY)
+    return np.packbits(counts & 1).view("<i8").tolist()
+
+
+_BITS = [f"p{i}" for i in range(PARITY)]
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), *((p, pa.int64()) for p in _BITS)])
 
 
 def _signed(rows: dict[str, list]) -> dict:
@@ -82,7 +93,7 @@ def _signed(rows: dict[str, list]) -> dict:
     for d, text in zip(rows["doc_id"], rows["text"], strict=True):
         own = shingles(text)
         s1, s2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), dtype="<i8").tolist()
-        for k, v in zip(_SIGNED.names, (d, len(own), s1, s2, bands(signature(own)) if len(own) else []), strict=True):
+        for k, v in zip(_SIGNED.names, (d, len(own), s1, s2, bands(signature(own)) if len(own) else [], *parity(own)), strict=True):
             out[k].append(v)
     return out
 
@@ -115,17 +126,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int
     return got.join(pairs, ["a", "b"]).where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b", "inter")
 
 
-_OWN = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.int64()))])
-
-
-def _sets(rows: dict[str, list]) -> dict:
-    return {"doc_id": rows["doc_id"], "x": [shingles(t).view(np.int64) for t in rows["text"]]}
-
-
-def _reach(na, ua, nb, ub, percent: int):
-    """Whether two sets of sizes n, of which u are in no other set, can reach the threshold."""
-    most = F.least(na - ua, nb - ub)
-    return 100 * most >= percent * (na + nb - most)
+def may_reach(na, nb, percent: int, a: str = "", b: str = "") -> Column:
+    """Whether sets of such sizes and parity bitmaps (columns named p0, ... with these endings) can reach the threshold."""
+    apart = sum((F.bit_count(F.col(f"{p}{a}").bitwiseXOR(F.col(f"{p}{b}"))) for p in _BITS), F.lit(0))
+    most = F.floor((na + nb - apart) / 2)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (na + nb - most))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -135,7 +140,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed, signed_path = staged(texts.mapInArrow(by_batch(_signed, _SIGNED, 128), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "signed")
+    signed, signed_path = staged(texts.mapInArrow(by_batch(_signed, _SIGNED, 128), "doc_id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"{p} long" for p in _BITS)), "signed")
     classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
     reps, reps_path = staged(classes, "classes")
     # Buckets of at least two classes; a document's score is how many others it meets in all of them.
@@ -147,7 +152,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     remove(spark, met_path)
     centre = met2.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("doc_id")).alias("neg"), F.col("n").alias("na"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"), "c.na")
     fits = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    pairs, pairs_path = staged(met2.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centre, "key").where(F.col("a") != F.col("b")).where(fits).select("a", "b", "na", "nb").distinct(), "pairs")
+    star = met2.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centre, "key").where(F.col("a") != F.col("b")).where(fits).select("a", "b", "na", "nb").distinct()
+    bits = signed.join(reps.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ends = lambda x: bits.select(F.col("doc_id").alias(x), *(F.col(p).alias(f"{p}_{x}") for p in _BITS))
+    pairs, pairs_path = staged(star.join(ends("b"), "b").join(ends("a"), "a").where(may_reach(F.col("na"), F.col("nb"), percent, "_a", "_b")).select("a", "b", "na", "nb"), "pairs")
     links, links_path = staged(confirmed(pairs, texts, reps, percent), "links")
     part, part_path = staged(components(links), "parts")
     # Buckets that still hold several components.
@@ -155,12 +163,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed, placed_path = staged(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
     open_, open_path = staged(placed.join(mixed, "key"), "open")
-    ids = open_.select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id").mapInArrow(by_batch(_sets, _OWN, 128), "doc_id long, x array<long>").select("doc_id", F.explode("x").alias("x"))
-    alone = sets.groupBy("x").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count("*").alias("u"))
-    ranked, ranked_path = staged(open_.join(alone, "doc_id", "left").select("key", "doc_id", "n", "part", F.coalesce("u", F.lit(0)).alias("u")).where(_reach(F.col("n"), F.coalesce("u", F.lit(0)), F.col("n"), F.lit(0), percent)), "open")
-    a, b = (ranked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", "u"))) for s in "ab")
-    cross = a.join(b, (a.key == b.key) & (F.col("part_a") != F.col("part_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & _reach(F.col("n_a"), F.col("u_a"), F.col("n_b"), F.col("u_b"), percent))
+    ranked, ranked_path = staged(open_.join(bits.select("doc_id", *_BITS), "doc_id"), "open")
+    a, b = (ranked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", *_BITS))) for s in "ab")
+    cross = a.join(b, (a.key == b.key) & (F.col("part_a") != F.col("part_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & may_reach(F.col("n_a"), F.col("n_b"), percent, "_a", "_b"))
     cross = cross.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more, more_path = staged(cross.join(known, ["a", "b"], "left_anti"), "pairs")
