@@ -10,9 +10,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import filterfalse
 
 import numpy as np
 
+#: White space in ASCII as either regular expression engine sees it, and beyond: the first bytes, and the characters.
+_SPACE = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_NO_SPACE = bytes(c for c in range(256) if c not in _SPACE)
+_DOUBLE = (b"  ", b" \n", b"\n ", b"\n\n")
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BORDER = re.compile(r"(?<=\S)(?=\s)")
 #: The word pattern's settings under which the cuts are exact; others are encoded whole.
 _PLAIN = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -29,7 +36,7 @@ class Encoder:
     """``encode`` gives each text's ids as bytes of little-endian unsigned 32-bit integers."""
 
     #: Most chunks that a cache holds; beyond, only its short chunks stay, which are the frequent ones.
-    LIMIT = 600_000
+    LIMIT = 900_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +49,7 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = spec.get("normalizer") is None and all(pre.get(k) == v for k, v in _PLAIN.items()) and len(self._ids("\n")) == 4
         self.newline = self._ids("\n")
+        self.marks = {ord(x): self._ids(x) for x in ",."}
         self.spaced: dict[bytes, bytes] = {}
         self.bare: dict[bytes, bytes] = {}
 
@@ -72,32 +80,39 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        split: list[tuple[int, list[bytes]]] = []
-        need: set[bytes] = set()
+        self.spaced, self.bare = self._bounded(self.spaced), self._bounded(self.bare)
+        self.spaced[b""] = b""
+        has = self.spaced.__contains__
+        split: list[tuple[int, bytes, list[bytes]]] = []
+        new: set[bytes] = set()
         first: set[bytes] = set()
         for i, text in enumerate(texts):
             if not text:
                 continue
             if not self.cuts:
                 out[i] = self._ids(text)
-            elif self._single(text):
-                chunks = text.encode().replace(b"\n", b" \n").split(b" ")
-                first.add(chunks[0])
-                need.update(chunks[1:])
-                split.append((i, chunks))
+            elif self._single(text, data := text.encode()):
+                chunks = data.replace(b"\n", b" \n").split(b" ")
+                head, chunks[0] = chunks[0], b""  # the cache gives nothing for an empty chunk
+                first.add(head)
+                new.update(filterfalse(has, chunks))
+                split.append((i, head, chunks))
             else:
                 out[i] = b"".join(map(self._ids, self._pieces(text)))
-        self.spaced, self.bare = self._bounded(self.spaced), self._bounded(self.bare)
-        new = need.difference(self.spaced)
         after = {c[1:] for c in new if c[:1] == b"\n"} | first
         self._learn(self.bare, after.difference(self.bare), "")
         lines = {c for c in new if c[:1] == b"\n"}
         for c in lines:
             self.spaced[c] = self.newline + self.bare[c[1:]]
-        self._learn(self.spaced, new - lines, " ")
+        new -= lines
+        # A comma or full stop after a letter is a piece of its own.
+        ended = {c for c in new if c[-1] in b",." and len(c) > 1 and c[-2:-1].isalpha()}
+        self._learn(self.spaced, (new - ended | {c[:-1] for c in ended}).difference(self.spaced), " ")
+        for c in ended:
+            self.spaced[c] = self.spaced[c[:-1]] + self.marks[c[-1]]
         get = self.spaced.__getitem__
-        for i, chunks in split:
-            out[i] = self.bare[chunks[0]] + b"".join(map(get, chunks[1:]))
+        for i, head, chunks in split:
+            out[i] = self.bare[head] + b"".join(map(get, chunks))
         return out
 
     def _bounded(self, cache: dict[bytes, bytes]) -> dict[bytes, bytes]:
@@ -107,10 +122,12 @@ class Encoder:
         return cache
 
     @staticmethod
-    def _single(text: str) -> bool:
+    def _single(text: str, data: bytes) -> bool:
         """Whether all white space is single blanks and newlines between words."""
-        words, gaps = text.split(), text.count(" ") + text.count("\n")
-        return len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(text)
+        blanks = data.translate(None, _NO_SPACE)
+        if blanks.count(b" ") + blanks.count(b"\n") < len(blanks) or data[0] in b" \n" or data[-1] in b" \n" or any(x in data for x in _DOUBLE):
+            return False
+        return len(data) == len(text) or not any(x in data for x in _WIDE) or not WIDE.search(text)
 
     @staticmethod
     def _pieces(text: str, size: int = 20_000) -> list[str]:
