@@ -41,22 +41,28 @@ class Parts:
         cores = [b"^" + w.strip(_EDGE).lower() + b"$" for w in words]
         cores = [c if 3 <= len(c) <= 66 else c + b"$" if len(c) < 3 else c[:33] + c[-33:] for c in cores]  # no word is longer
         self.words = np.fromiter((zlib.crc32(c) % WORDS for c in cores), dtype=np.int64, count=len(cores))
+        chunks = [self._grams(cores[i : i + 20_000], i) for i in range(0, len(cores), 20_000)]
+        self.owner, self.grams = (np.concatenate([c[k] for c in chunks]) if chunks else np.zeros(0, dtype=np.int32) for k in (0, 1))
+        self.counts = np.bincount(self.owner, minlength=len(cores))
+        self.ends = np.cumsum(self.counts)
+
+    @staticmethod
+    def _grams(cores: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words counted from ``first``, gram buckets), in order of words."""
         sizes = np.fromiter(map(len, cores), dtype=np.int64, count=len(cores))
         data = np.frombuffer(b"".join(cores) + b"\0" * 4, dtype=np.uint8).astype(np.uint64)
-        owner = np.repeat(np.arange(len(cores)), sizes)
+        owner = np.repeat(np.arange(first, first + len(cores), dtype=np.int32), sizes)
         rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(owner))  # characters from here to the word's end
         code, grams, owners = data[: len(owner)].copy(), [], []
         for k in range(1, 5):
             code |= data[k : k + len(owner)] << np.uint64(8 * k)
             if k >= 2:
                 own = rest > k
-                grams.append((mix(code[own] + np.uint64(k << 56)) % np.uint64(GRAMS)).astype(np.int64))
+                grams.append((mix(code[own] + np.uint64(k << 56)) % np.uint64(GRAMS)).astype(np.int32))
                 owners.append(owner[own])
-        at = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
+        at = np.concatenate(owners)
         order = np.argsort(at, kind="stable")
-        self.owner, self.grams = at[order], np.concatenate(grams)[order] if grams else at
-        self.counts = np.bincount(self.owner, minlength=len(cores))
-        self.ends = np.cumsum(self.counts)
+        return at[order], np.concatenate(grams)[order]
 
     def some(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word buckets, owners counted from 0, gram buckets) of some of the words."""
