@@ -27,6 +27,8 @@ POLICIES: Mapping[tuple[str, int], tuple[str, ...]] = {
     ("base", 1): ("min_words", "repeat_words"),
     ("web", 1): ("min_words", "repeat_words", "symbols"),
     ("web", 2): ("min_words", "repeat_words", "word_length", "symbols", "dup_lines", "long_word"),
+    # By its ablation, dup_lines alone rejects only documents that are labelled good.
+    ("web", 3): ("min_words", "repeat_words", "word_length", "symbols", "long_word"),
 }
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, longest_word long"

@@ -22,7 +22,7 @@ def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
     rows = quality.ledger(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base", 1)).alias("base_failed"), quality.passes("web", 2).alias("kept"), "fail_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base", 1)).alias("base_failed"), quality.passes("web", 3).alias("kept"), "fail_bits")
 
 
 ORACLES["op8_rule_ledger"] = r"""
@@ -40,7 +40,7 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x
  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
 b AS (SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT
  + 8 * (10 * n_symbols > n_words)::BIGINT + 16 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 32 * (longest_word > 1000)::BIGINT)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 47) = 0 AS kept, fail_bits FROM b
 """
 
 
