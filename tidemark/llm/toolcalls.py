@@ -51,16 +51,23 @@ def argument_errors(name: Column, parsed: Column, schemas: Mapping[str, Mapping[
     return F.when(parsed.isNull() | ~kind.startswith("OBJECT"), F.array(F.lit("not_json"))).otherwise(checked)
 
 
+def _joined(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """A left join in which rows without key are set aside: they may be many, and would meet in one task."""
+    there = rows.where(F.col(key).isNotNull()).join(other, key, "left")
+    return there.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def positions(calls: DataFrame) -> DataFrame:
     """(call_id, position) of each identifier; position is null on a cycle."""
     spark = calls.sparkSession
     heads = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("after").alias("after"))
     ids = heads.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    now, path = staged(heads.join(ids, "after", "left").select("call_id", F.when(F.col("there"), F.col("after")).alias("to"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("position")), "positions")
+    behind = _joined(heads, ids, "after").select("call_id", F.when(F.col("there"), F.col("after")).alias("to"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("position"))
+    now, path = staged(behind, "positions")
     live, reach, total = now.where("to IS NOT NULL").count(), 1, now.count()
     while live and reach <= total:
         far = now.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("position").alias("more"))
-        new, new_path = staged(now.join(far, "to", "left").select("call_id", F.col("next").alias("to"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position")), "positions")
+        new, new_path = staged(_joined(now, far, "to").select("call_id", F.col("next").alias("to"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position")), "positions")
         remove(spark, path)
         now, path = new, new_path
         live, reach = now.where("to IS NOT NULL").count(), reach * 2
@@ -77,7 +84,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[s
     order = positions(calls)
     again = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("copies"))
     there = again.select(F.col("call_id").alias("after"), F.lit(True).alias("after_there"))
-    rows = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after").hint("shuffle_hash").join(one, "call_id", "left").join(order, "call_id", "left").join(again, "call_id", "left").join(there, "after", "left")
+    rows = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
+    rows = _joined(_joined(rows, order.join(again, "call_id").hint("shuffle_hash").join(one, "call_id", "left"), "call_id"), there, "after")
     parsed = rows.withColumn("parsed", F.try_parse_json("arguments"))
     notes = F.array_compact(F.array(F.when(F.col("call_id").isNull(), F.lit("no_id")), F.when(F.col("copies") > 1, F.lit("duplicate_id")), F.when(F.col("after").isNotNull() & F.col("after_there").isNull(), F.lit("unknown_after")), F.when(F.col("call_id").isNotNull() & F.col("position").isNull(), F.lit("cycle"))))
     out = parsed.withColumn("errors", F.array_join(F.array_sort(F.concat(argument_errors(F.col("name"), F.col("parsed"), schemas), notes)), ","))
