@@ -53,6 +53,8 @@ def test_impact_and_closure_equal_dictionaries_on_cyclic_graphs(spark):
         return seen
 
     assert reach == {(o, n) for o in ("n1", "s3") for n in walk(o)}
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(12)], "source string, target string")
+    assert {x.node: x.hops for x in fixpoint.reachable(chain, spark.createDataFrame([("c0",)], "node string")).collect()} == {f"c{i}": i for i in range(13)}
     with pytest.raises(fixpoint.NotConverged):
         fixpoint.reachable(spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(6)], "source string, target string"), spark.createDataFrame([("c0",)], "node string"), limit=2)
 

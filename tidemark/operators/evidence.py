@@ -14,6 +14,8 @@ from tidemark.operators import fixpoint
 from tidemark.schema import FAILED, SUBPROCESS, TEXT, UNSTABLE
 
 CELL = 64
+#: Places in a cell of as-of joins.
+ASOF = 512
 
 
 def innermost(points: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:
@@ -91,12 +93,21 @@ def environment_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def nearest_store(commits: DataFrame, stores: DataFrame) -> DataFrame:
-    """For each commit (commit, place) the store (store_id, place, created) nearest at or before it; newest, then least id."""
+    """For each commit (commit, place) the store (store_id, place, created) nearest at or before it; the newest, then greatest id.
+
+    An as-of join by cells of ``ASOF`` places: windows run within cells, and what stands before a cell is
+    carried from one row per cell.
+    """
     s = stores.select("store_id", F.col("place").alias("at"), "created")
     pairs = commits.withColumn("kind", F.lit(1)).select("commit", "place", "kind", F.lit(None).cast("string").alias("store_id"), F.lit(None).cast("double").alias("created"))
     marks = s.groupBy("at").agg(F.max(F.struct("created", F.col("store_id"))).alias("m")).select(F.lit(None).cast("string").alias("commit"), F.col("at").alias("place"), F.lit(0).alias("kind"), F.col("m.store_id").alias("store_id"), F.col("m.created").alias("created"))
-    order = Window.orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.unionByName(marks).withColumn("nearest", F.last("store_id", ignorenulls=True).over(order)).where("kind = 1").select("commit", F.col("nearest").alias("store_id"))
+    rows = pairs.unionByName(marks).withColumn("cell", F.floor(F.col("place") / ASOF))
+    inside = Window.partitionBy("cell").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.groupBy("cell").agg(F.max_by("store_id", F.when(F.col("kind") == 0, F.col("place"))).alias("last"))
+    before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("cell", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = rows.withColumn("nearest", F.last("store_id", ignorenulls=True).over(inside)).where("kind = 1").join(carried, "cell")
+    return found.select("commit", F.coalesce("nearest", "carried").alias("store_id"))
 
 
 def touched_ancestors(touched: DataFrame, changed: DataFrame) -> DataFrame:

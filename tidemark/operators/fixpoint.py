@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.tables import written
 
 
+#: After so many rounds their tables become one, so that plans of long chains stay short.
+MERGED = 10
+
+
 class NotConverged(RuntimeError):
     """A loop ran more rounds than its limit."""
 
@@ -21,11 +25,13 @@ class NotConverged(RuntimeError):
 def _loop(first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], limit: int, name: str) -> DataFrame:
     frontier = written(first, name)
     state = frontier
-    for _ in range(limit):
+    for k in range(1, limit + 1):
         frontier = written(step(frontier, merge(state)), name)
         if frontier.isEmpty():
             return merge(state)
         state = state.unionByName(frontier)
+        if k % MERGED == 0:
+            state = written(merge(state), name)
     raise NotConverged(f"{name} did not converge in {limit} rounds")
 
 
