@@ -3,6 +3,9 @@ documents go, personal data is masked, and what is left is packed into token seq
 
 Part of the subpackage ``tidemark.llm``.  ``STAGES`` are (name, function); each function takes
 (spark, docs, sf_dir) and returns a DataFrame, of the columns of ``docs`` but for the last.
+
+Edge cases: documents with null or empty text stay and are packed as the end id only; a document without
+doc_id stays in every stage that decides by doc_id; repeated rows share one decision; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    known = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return known.unionByName(docs.where("doc_id IS NULL"))  # these cannot be told apart, so they stay
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

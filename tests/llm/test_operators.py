@@ -286,10 +286,10 @@ def test_tool_calls(spark):
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, tmp_path):
     import corpus_pipeline
 
-    own = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t, *_ in ROWS], "doc_id long, text string, lang string, source string, n_chars long")
+    own = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t, *_ in ROWS] + [(None, "nobody knows my number", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     own.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "no such words here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path))
     kept = {r.doc_id for r in minhash.near_duplicates(own).where("kept").collect()}
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept
+    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept | {None}
