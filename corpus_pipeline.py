@@ -20,8 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
+#: Jaccard similarity, in percent, from which documents are near copies to this pipeline.
+NEAR = 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select("doc_id")
     known = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     return known.unionByName(docs.where("doc_id IS NULL"))  # these cannot be told apart, so they stay
 

@@ -293,3 +293,27 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, tmp_path)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     kept = {r.doc_id for r in minhash.near_duplicates(own).where("kept").collect()}
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == kept | {None}
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_80(spark):
+    import corpus_pipeline
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in (4, 6, 8, 9, 10, 11, 12, 13, 16, 20, 30):  # a tail of n words beside 100 leaves a Jaccard of about 100 / (100 + 2n)
+        body = [r.choice(words) for _ in range(100)]
+        texts += [" ".join(body + [r.choice(words) for _ in range(n)]) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(sets)))
+    between = 0
+    for _ in sets:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                share, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+                between += 80 * union <= 100 * share < 85 * union
+                if 100 * share >= 80 * union:
+                    group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert between and kept == set(group) and len(kept) < len(texts)

@@ -6,7 +6,7 @@ k is the least p[s + k] over a document's shingles, that is p shifted circularly
 shingle needs lie side by side in p, so a signature is a minimum over slices.
 
 ``BANDS`` bands of ``ROWS`` coordinates bring a pair at the threshold of 0.85 together with probability
-1 - (1 - 0.85**8)**64, over 1 - 2e-9.  Documents with one set are a class, whose smallest document
+1 - (1 - 0.85**8)**64, over 1 - 2e-9, and one at 0.8 with over 1 - 8e-6.  Documents with one set are a class, whose smallest document
 stands for it.  Links are wanted for the components they make:
 
 1. in each bucket the document that shares most buckets is compared with all others (a star, no pairs);
