@@ -317,3 +317,19 @@ def test_pipeline_drops_near_copies_from_a_similarity_of_80(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert between and kept == set(group) and len(kept) < len(texts)
+
+
+def test_toxicity_reads_long_unspaced_texts_whole():
+    r = random.Random(3)
+    prose = lambda n: [r.choice(["la", "the", "of", "enti", "stou", "wer"]) + r.choice("abcdef") for _ in range(n)]
+    texts = [" ".join(prose(60) + ["grubnak", "grubzot", "grubnak"] * (i % 3 == 0) + prose(20)) for i in range(160)]
+    model = toxicity.train(texts, [int(i % 3 == 0) for i in range(160)])
+    for sep in ("_", ",", "/", "\u00a0", "\u3001"):
+        clean, bad = sep.join(prose(120)), sep.join(prose(60) + ["grubnak"] + prose(60))
+        assert len(bad.encode().split()) == 1 and (model.scores([clean, bad]) >= 0.7).tolist() == [False, True], sep
+    han = "\u4eca\u5929\u5929\u6c14\u5f88\u597d" * 60
+    assert (model.scores([han, han[:101] + "grubnak" + han[101:]]) >= 0.7).tolist() == [False, True]
+    for text in ("b" * 9000, han, "x_" * 50 + "\u00e9\u00a0" * 40, "ab" * 32 + "c"):
+        assert set(b"".join(toxicity.words_of(text))) == set(text.encode()) and all(w in text.encode() for w in toxicity.words_of(text))
+    assert "".join(map(bytes.decode, toxicity.words_of("_".join(map(str, range(100)))))) == "_".join(map(str, range(100)))
+    assert toxicity.words_of("a b " + "c" * 64) == [b"a", b"b", b"c" * 64]

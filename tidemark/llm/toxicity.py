@@ -4,6 +4,8 @@ Each word is the sum of what it and its characters say: a trained vector of the
 trained vectors of its character 3- to 5-grams (both hashed, both starting from smoothed log odds).  Two
 gated recurrent units read a window from either end, attention pools their states, and a document's logit is
 that of its highest window.  All windows of ``SPAN`` words at steps of ``STEP`` are scored, over the whole text.
+A word of over ``LONGEST`` bytes, as texts without white space are, is read as its runs of letters, ideographs and
+other characters, and a run that is still longer as overlapping pieces of ``PIECE`` bytes; each takes a word's place.
 
 Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id),
 none of them held out, and is the same at every size; labels, lang, source and doc_id are no inputs of a score.
@@ -15,6 +17,7 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from itertools import filterfalse
 
@@ -32,6 +35,24 @@ WORDS, GRAMS = 1 << 15, 1 << 15
 MOST = (1000, 3000)
 THRESHOLD = 0.7
 _EDGE = b".,;:!?\"'*#$%&()[]<>|"
+#: Bytes of a word that is read in one, and of the pieces of a longer run, which overlap by half.
+LONGEST, PIECE = 64, 16
+_RUNS = re.compile("[^\\W_\u2e80-\U0010ffff]+|[\u2e80-\U0010ffff]+|(?:_|[^\\w\u2e80-\U0010ffff])+")
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text between white space, long ones in parts that have all of their bytes."""
+    words = (text or "").encode().split()
+    if max(map(len, words), default=0) <= LONGEST:
+        return words
+    out: list[bytes] = []
+    for w in words:
+        if len(w) <= LONGEST or len(core := w.strip(_EDGE)) <= LONGEST:
+            out.append(w)
+        else:
+            for run in map(str.encode, _RUNS.findall(core.decode())):
+                out += [run] if len(run) <= LONGEST else [run[i : i + PIECE] for i in range(0, len(run) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 class Parts:
@@ -39,7 +60,7 @@ class Parts:
 
     def __init__(self, words: list[bytes]):
         cores = [b"^" + w.strip(_EDGE).lower() + b"$" for w in words]
-        cores = [c if 3 <= len(c) <= 66 else c + b"$" if len(c) < 3 else c[:33] + c[-33:] for c in cores]  # no word is longer
+        cores = [c if len(c) >= 3 else c + b"$" for c in cores]
         self.words = np.fromiter((zlib.crc32(c) % WORDS for c in cores), dtype=np.int64, count=len(cores))
         chunks = [self._grams(cores[i : i + 20_000], i) for i in range(0, len(cores), 20_000)]
         self.owner, self.grams = (np.concatenate([c[k] for c in chunks]) if chunks else np.zeros(0, dtype=np.int32) for k in (0, 1))
@@ -183,7 +204,7 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of each text's highest window."""
-        split = [(t or "").encode().split() for t in texts]
+        split = [words_of(t) for t in texts]
         ids = self._at([w for s in split for w in s])
         starts = [windows(len(s)) for s in split]
         at = np.zeros((sum(map(len, starts)), SPAN), dtype=np.int64)
@@ -219,7 +240,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = 160, size: in
     if not 0 < y.sum() < n:
         p["out"][:] = 0
         return net
-    split = [(t or "").encode().split() for t in texts]
+    split = [words_of(t) for t in texts]
     index: dict[bytes, int] = {}
     for s in split:
         for w in s:
