@@ -333,3 +333,14 @@ def test_toxicity_reads_long_unspaced_texts_whole():
         assert set(b"".join(toxicity.words_of(text))) == set(text.encode()) and all(w in text.encode() for w in toxicity.words_of(text))
     assert "".join(map(bytes.decode, toxicity.words_of("_".join(map(str, range(100)))))) == "_".join(map(str, range(100)))
     assert toxicity.words_of("a b " + "c" * 64) == [b"a", b"b", b"c" * 64]
+
+
+def test_url_filter_takes_as_many_shards_as_its_hosts_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1 << 11)
+    for bad, good in ((600, 300), (20, 30_000)):  # the first level is too large for one shard, or the second
+        urls = [f"http://spam-farm.h{i}.io/" for i in range(bad)] + [f"http://h{i}.io/" for i in range(good)]
+        pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        assert url_filter.shards_of(bad, good) > 1
+        got = {r.page_id: r.verdict for r in url_filter.judged(pages).collect()}
+        assert got == {i: "block" if i < bad else "allow" for i in range(bad + good)}
+    assert url_filter.shards_of(0, 0) == 1
