@@ -344,3 +344,16 @@ def test_url_filter_takes_as_many_shards_as_its_hosts_ask_for(spark, monkeypatch
         got = {r.page_id: r.verdict for r in url_filter.judged(pages).collect()}
         assert got == {i: "block" if i < bad else "allow" for i in range(bad + good)}
     assert url_filter.shards_of(0, 0) == 1
+
+
+def test_field_runs_are_cut_at_base_spans():
+    text = "write jane (at) doe (dot) com, a@b.com jim (at) roe (dot) org, +1 (555) 555-1234 or so"
+    base = pii.base_spans(text)
+    assert [k for k, _, _ in base] == ["email", "phone"]
+    words = text.split()
+    tag = next(i for i, k in enumerate(pii.TAGS) if i)
+    tags = np.array([0] + [tag] * (len(words) - 3) + [0, 0])
+    spans = [text[a:b] for _, a, b in pii.field_spans(text, tags, base)]
+    assert spans == ["jane (at) doe (dot) com", "jim (at) roe (dot) org"]
+    whole = pii.masked(text, base + pii.field_spans(text, tags, base))
+    assert "jane" not in whole and "roe" not in whole and whole.startswith("write [") and whole.endswith("or so")

@@ -18,7 +18,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -294,15 +296,18 @@ def field() -> Field:
 
 
 def field_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Runs of one kind as spans without outer punctuation, but for those that touch a base span."""
+    """Runs of one kind as spans without outer punctuation, cut at the words that touch a base span, which they leave out."""
     out: list[list] = []
+    near = sorted((s, e) for _, s, e in base)
+    starts, stops = [s for s, _ in near], list(accumulate((e for _, e in near), max))
     before = 0
     for m, tag in zip(WORD.finditer(text), tags.tolist(), strict=True):
         if tag:
             word = m.group()
             a = m.start() + len(word) - len(word.lstrip("\"'<"))
             b = m.end() - (len(word) - len(word.rstrip(".,;:!?\"'>")))
-            if a < b:
+            k = bisect_left(starts, b)
+            if a < b and not (k and stops[k - 1] > a):
                 if tag == before:
                     out[-1][2] = b
                 else:
@@ -310,7 +315,7 @@ def field_spans(text: str, tags: np.ndarray, base: list[tuple[str, int, int]]) -
                 before = tag
                 continue
         before = 0
-    return [tuple(x) for x in out if not any(x[1] < e and s < x[2] for _, s, e in base)]
+    return [tuple(x) for x in out]
 
 
 def spans_of(texts: list[str | None], model: Field) -> list[tuple[list, list]]:
