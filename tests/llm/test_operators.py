@@ -357,3 +357,12 @@ def test_field_runs_are_cut_at_base_spans():
     assert spans == ["jane (at) doe (dot) com", "jim (at) roe (dot) org"]
     whole = pii.masked(text, base + pii.field_spans(text, tags, base))
     assert "jane" not in whole and "roe" not in whole and whole.startswith("write [") and whole.endswith("or so")
+
+
+def test_proximity_keeps_substituted_words_and_counts_the_others(spark, tmp_path):
+    text = "alpha one two beta three four alpha x one two beta five alpha one six beta alpha six seven beta"
+    index = decontam.PositionalIndex(spark.createDataFrame([(1, text)], "doc_id long, text string"), [b"alpha one two beta"], f"file://{tmp_path}/postings")
+    index.terms, index.anchors = {b"alpha": 0, b"beta": 1}, [(0, 0, 0, 0), (1, 0, 3, 1)]  # as if these were the rarest
+    index.postings = spark.createDataFrame([(0, 1, [0, 6, 12, 16]), (1, 1, [3, 10, 15, 19])], index.schema)
+    got = {(r.start, r.apart): r.n_match for r in index.near(2).collect()}
+    assert got == {(6, 1): 4, (12, 0): 3, (16, 0): 2}

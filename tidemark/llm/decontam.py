@@ -105,6 +105,27 @@ def _verified(windows: list[list[bytes]]):
     return run
 
 
+_NEAR = pa.schema([("doc_id", pa.int64()), ("win", pa.int32()), ("start", pa.int32()), ("apart", pa.int32()), ("n_match", pa.int32())])
+
+
+def _matched(windows: list[list[bytes]]):
+    """Spots with how many words of the window, each as often as it has them, lie where the spot says; exact ones go."""
+
+    def run(rows: dict[str, list]) -> dict:
+        out: list[tuple] = []
+        for d, text, spots in zip(rows["doc_id"], rows["text"], rows["spots"], strict=True):
+            words = words_of(text)
+            for x in spots:
+                own, start, apart = windows[x["win"]], x["start"], x["apart"]
+                if apart == 0 and start >= 0 and words[start : start + len(own)] == own:
+                    continue
+                there = Counter(words[max(0, start + min(apart, 0)) : max(0, start + max(apart, 0) + len(own))])
+                out.append((d, x["win"], start, apart, (Counter(own) & there).total()))
+        return {k: [x[i] for x in out] for i, k in enumerate(_NEAR.names)}
+
+    return run
+
+
 class PositionalIndex:
     """Postings of the rarest terms of one block of windows, written to ``folder``."""
 
@@ -145,7 +166,8 @@ class PositionalIndex:
         return texts.mapInArrow(by_batch(_verified(self.windows), _FOUND, 128), "doc_id long, win int, start int")
 
     def near(self, slop: int) -> DataFrame:
-        """(doc_id, win, start, apart): the two rarest terms in order, at most ``slop`` words off their distance.
+        """(doc_id, win, start, apart, n_match) of inexact occurrences: the two rarest terms at most ``slop`` words off their
+        distance, and how many words of the window are there.
 
         Starts are dealt into cells of ``slop`` + 1 words, and neighbouring cells are met: no product of lists.
         """
@@ -153,7 +175,8 @@ class PositionalIndex:
         one = self.shifted(0).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
         two = self.shifted(1).withColumn("cell", cell).withColumnRenamed("start", "other")
         met = one.join(two, ["doc_id", "win", "cell"]).withColumn("apart", F.col("other") - F.col("start"))
-        return met.where((F.abs("apart") <= slop) & (F.col("apart") != 0)).select("doc_id", "win", "start", "apart").distinct()
+        spots = met.where(F.abs("apart") <= slop).groupBy("doc_id").agg(F.collect_set(F.struct("win", "start", "apart")).alias("spots"))
+        return self.docs.join(spots, "doc_id").mapInArrow(by_batch(_matched(self.windows), _NEAR, 128), "doc_id long, win int, start int, apart int, n_match int").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
