@@ -1,9 +1,13 @@
-"""What the operators share: reading tables, staged results, word splitting and substring hashes."""
+"""What the operators share: reading tables, staged results, Arrow batches, word splitting and substring hashes.
+
+Staged tables stay as long as a lazy result may read them: until the ``scratch`` block that they were made in
+ends, or else until the driver's Python does.
+"""
 
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,7 +15,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes that separate words: space and \x09-\x0D, just what ``bytes.split()`` splits at.
 SPACE = b" \t\n\r\x0b\x0c"
@@ -37,46 +43,116 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What ``new_path`` has given out and nobody has removed yet, by block: path -> its file system and name.
+_scratch: list[dict[str, tuple]] = [{}]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _scratch[-1][path] = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder by way of the cluster's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    for block in _scratch:
+        block.pop(path, None)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+def _clear(block: dict[str, tuple]) -> None:
+    for files, target in block.values():
+        with contextlib.suppress(Exception):  # the session may have ended
+            files.delete(target, True)
+    block.clear()
+
+
+@contextlib.contextmanager
+def scratch():
+    """Removes at its end what was staged within and not removed: for results that have been written by then."""
+    _scratch.append({})
+    try:
+        yield
+    finally:
+        _clear(_scratch.pop())
+
+
+atexit.register(lambda: [_clear(x) for x in _scratch])
+
+
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a DataFrame to the shared folder and read it again: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """The columns by place, c0, c1, ...: names that differ in case alone or hold dots are no problem then."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def column(df: DataFrame, name: str) -> str:
+    """The name in ``positional`` of the column of just this name, or else of its first spelling in another case."""
+    names = df.columns
+    at = names.index(name) if name in names else [x.lower() for x in names].index(name.lower())
+    return f"c{at}"
+
+
+def picked(df: DataFrame, **types: str) -> DataFrame:
+    """Some columns by their exact names, cast to the given types; other columns do not matter, whatever their names."""
+    return positional(df).select(*(F.col(column(df, k)).cast(t).alias(k) for k, t in types.items()))
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return picked(docs, doc_id="long", text="string")
+
+
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """The one large object that a worker keeps between tasks; what another operator kept goes."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    _held.clear()
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and, but for single rows, ``size`` bytes of strings."""
+    sizes = np.zeros(batch.num_rows, dtype=np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            sizes += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
 def by_batch(f: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array]], schema: pa.Schema, rows: int = 256):
-    """A function for ``mapInArrow`` that hands on columns as Python lists, at most ``rows`` rows at a time."""
+    """A function for ``mapInArrow`` that hands on columns as Python lists, in parts as ``slices`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                part = whole.slice(at, rows)
+            for part in slices(whole, rows):
                 got = f({k: part.column(i).to_pylist() for i, k in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for t, x in ((t, got[t.name]) for t in schema)], schema=schema)
 
     return run
 
 
-def local_temp(prefix: str) -> str:
-    """A scratch folder of this very process, for files that nobody else needs."""
-    return tempfile.mkdtemp(prefix=prefix, dir=os.environ.get("TMPDIR"))
-
-
 class Rolling:
     """Two independent 64-bit hashes of any word range of a text, from prefix sums over its bytes.
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import slices, staged, texts_of
 from .tokens import Encoder, default_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -51,10 +51,10 @@ def _pieces(tokenizer: str, end: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, task = Encoder.at(tokenizer), Counter(), TaskContext.get().partitionId()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows, out = whole.slice(at, 256), []
-                for d, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
-                    data = memoryview(x + stop)
+            for rows in slices(whole, 2048):
+                out = []
+                for d, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1)), strict=True):
+                    data = memoryview(x.tobytes() + stop)
                     for k, (s, n) in enumerate(cut(len(data) // 4, size)):
                         out.append((d, k, s, n, zlib.crc32(data[4 * s : 4 * (s + n)]), task, seen[n]))
                         seen[n] += 1
@@ -137,8 +137,7 @@ def _placing(patterns: list[tuple[int, list[tuple[int, int]]]]):
 
 def packed(docs: DataFrame, tokenizer: str | None = None, end: int = 2, size: int = 1024) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    pieces, _ = staged(read.mapInArrow(_pieces(tokenizer or default_path(), end, size), PIECES), "pieces")
+    pieces, _ = staged(texts_of(docs).mapInArrow(_pieces(tokenizer or default_path(), end, size), PIECES), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -9,8 +9,9 @@ File: magic, length of a JSON header, header, then zstd frames of the document i
 document lengths and each plane.  Executors write a temporary name and rename it, so a lost or repeated
 attempt leaves the same file.
 
-Edge cases: a null or empty text is just the end id; an empty table makes no file and an empty result;
-repeated doc_ids keep one entry each (in any order); extra columns are ignored.
+Edge cases: a null or empty text is just the end id; documents without doc_id come first and keep none;
+an empty table makes no file and an empty result; repeated doc_ids keep one entry each (in any order);
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, slices, texts_of
 from .tokens import Encoder, default_path
 
 MAGIC = b"TMWM0001"
 BLOCK = 512
+#: Most ranges of doc_id, which are tasks; a range writes as many files as its ids need.
+RANGES = 50_000
 
 
 class WaveletMatrix:
@@ -134,16 +137,22 @@ class WaveletMatrix:
         return row.astype("<u4")
 
 
-def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, unnamed: int = 0) -> bytes:
+    """A shard file; its first ``unnamed`` documents have no doc_id."""
     matrix = WaveletMatrix.built(ids)
     pack = zstandard.ZstdCompressor(level=1).compress
     frames = [pack(np.diff(doc_ids, prepend=0).astype("<i8").tobytes()), pack(lengths.astype("<i8").tobytes()), *(pack(p.tobytes()) for p in matrix.planes)]
-    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "zeros": matrix.zeros, "frames": [len(x) for x in frames]}).encode()
+    header = json.dumps({"n": matrix.n, "docs": len(doc_ids), "unnamed": unnamed, "zeros": matrix.zeros, "frames": [len(x) for x in frames]}).encode()
     return b"".join((MAGIC, struct.pack("<I", len(header)), header, *frames))
 
 
+def unnamed_of(data: bytes) -> int:
+    """How many documents at the front of a shard file have no doc_id."""
+    return json.loads(data[12 : 12 + struct.unpack("<I", data[8:12])[0]])["unnamed"]
+
+
 def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    """Document ids, document lengths and the matrix of a shard file."""
+    """Document ids (0 where there is none), document lengths and the matrix of a shard file."""
     if data[:8] != MAGIC:
         raise ValueError("not a shard file")
     (size,) = struct.unpack("<I", data[8:12])
@@ -166,7 +175,7 @@ _WRITTEN = pa.schema([("part", pa.int64()), ("cut", pa.int64()), ("path", pa.str
 
 
 def _writer(folder: str, tokenizer: str, end: int, shard_tokens: int):
-    stop = struct.pack("<I", end)
+    stop = np.array([end], dtype="<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -174,13 +183,13 @@ def _writer(folder: str, tokenizer: str, end: int, shard_tokens: int):
         encoder = Encoder.at(tokenizer)
         store, base = _store(folder)
         store.create_dir(base, recursive=True)
-        docs: list[int] = []
-        parts: list[bytes] = []
+        docs: list[int | None] = []
+        parts: list[np.ndarray] = []
         size = cut = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
-            data = to_bytes(np.array(docs, dtype=np.int64), np.array([len(x) // 4 for x in parts], dtype=np.int64), ids)
+            ids = np.concatenate(parts)
+            data = to_bytes(np.array([d or 0 for d in docs], dtype=np.int64), np.array([len(x) + 1 for x in parts[::2]], dtype=np.int64), ids, sum(d is None for d in docs))
             name = f"{base}/shard-{part:08d}-{cut:06d}.wm"
             with store.open_output_stream(f"{name}.{attempt}") as f:
                 f.write(data)
@@ -188,12 +197,11 @@ def _writer(folder: str, tokenizer: str, end: int, shard_tokens: int):
             return pa.RecordBatch.from_pylist([{"part": part, "cut": cut, "path": name, "n_docs": len(docs), "n_tokens": len(ids)}], schema=_WRITTEN)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256)
-                for d, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+            for rows in slices(whole, 2048):
+                for d, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1)), strict=True):
                     docs.append(d)
-                    parts.append(x + stop)
-                    size += len(x) // 4 + 1
+                    parts += (x, stop)
+                    size += len(x) + 1
                     if size >= shard_tokens:
                         yield flush()
                         docs, parts, size, cut = [], [], 0, cut + 1
@@ -206,12 +214,12 @@ def _writer(folder: str, tokenizer: str, end: int, shard_tokens: int):
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = 0, shard_bytes: int = 16 << 20, shard_tokens: int = 8 << 20) -> DataFrame:
     """Write all documents in ascending doc_id order; returns the written table of shards (part, cut, path, n_docs, n_tokens).
 
-    Documents are dealt by ranges of doc_id, one range for each ``shard_bytes`` of text; a range with more
-    than ``shard_tokens`` ids is cut into further files at document borders.
+    Documents are dealt by ranges of doc_id, one range for each ``shard_bytes`` of text up to ``RANGES`` of them; a
+    range with more than ``shard_tokens`` ids is cut into further files at document borders.
     """
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    read = texts_of(docs)
     total = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = read.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id")
+    dealt = read.repartitionByRange(min(RANGES, max(1, -(-total // shard_bytes))), "doc_id").sortWithinPartitions("doc_id")
     written = dealt.mapInArrow(_writer(f"{folder}/shards", tokenizer or default_path(), end, shard_tokens), "part long, cut long, path string, n_docs long, n_tokens long")
     written.write.parquet(f"{folder}/table")
     return docs.sparkSession.read.schema(written.schema).parquet(f"{folder}/table")
@@ -225,12 +233,13 @@ def _reader(folder: str):
         for rows in batches:
             for path, before in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(path) as f:
-                    docs, lengths, matrix = from_bytes(f.read())
+                    raw = f.read()
+                docs, lengths, matrix = from_bytes(raw)
                 data = memoryview(matrix.decode().tobytes())
                 ends = np.cumsum(lengths)
                 starts = ends - lengths
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(starts + before), pa.array(lengths), pa.array(crc, type=pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, mask=np.arange(len(docs)) < unnamed_of(raw)), pa.array(starts + before), pa.array(lengths), pa.array(crc, type=pa.int64())], schema=schema)
 
     return run
 
@@ -238,11 +247,12 @@ def _reader(folder: str):
 def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files.
 
-    What stands before a shard is summed over the table of shards, which has a row per file.
+    What stands before a shard is summed over the ranges, of which there are at most ``RANGES``, and within its range.
     """
-    order = Window.orderBy("part", "cut").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))
-    n = max(1, shards.count())
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("first"))
+    placed = shards.withColumn("own", before(Window.partitionBy("part").orderBy("cut"))).join(ranges, "part").select("path", (F.col("first") + F.col("own")).alias("before"))
+    n = min(RANGES, max(1, shards.count()))
     return placed.repartition(n, "path").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
