@@ -1,7 +1,8 @@
 """Near-duplicates by circulant MinHash: banding, then exact Jaccard verification.
 
 Two permutations make all coordinates of a signature.  The first, a hash of the shingle, gives its place s
-in a universe of ``UNIVERSE`` places; the second is one random permutation p of the universe, and coordinate
+in a universe of ``UNIVERSE`` places (so it is a permutation only up to collisions, which can but bring sets closer);
+the second is one random permutation p of the universe, and coordinate
 k is the least p[s + k] over a document's shingles, that is p shifted circularly by k.  The values a
 shingle needs lie side by side in p, so a signature is a minimum over slices.
 
@@ -11,7 +12,8 @@ stands for it.  Links are wanted for the components they make:
 
 1. in each bucket the document that shares most buckets is compared with all others (a star, no pairs);
 2. components of the confirmed links; buckets within one component are done;
-3. in the others, documents of different components are compared.
+3. in the others, documents of different components are compared.  Such a bucket is dealt in blocks of ``BLOCK``
+   documents: a task meets two blocks, never the whole bucket.
 
 A pair is dropped before its texts are read only if it cannot reach the threshold by the sizes and parity
 bitmaps of its sets: bit h of a set's bitmap is the parity of how many shingles hash to h, so the bits in which
@@ -19,8 +21,10 @@ two bitmaps differ are at most the shingles that only one of the sets has.  Ever
 sets' intersection.  No bucket is capped.
 
 Edge cases: null, empty and blank texts have an empty set and are their own component; texts of fewer than
-five words have their whole sequence as the only shingle; copies and repeated rows fall in one class; an
-empty table gives an empty result; extra columns are ignored.
+five words have their whole sequence as the only shingle; copies and repeated rows fall in one class; of rows with
+one doc_id and different texts that are the first of their classes, one (of the least text hash) is searched for
+links; a row without doc_id has null as ``kept`` and, without a copy that has one, as component; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +37,16 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, by_batch, mix, remove, staged
+from .common import Rolling, by_batch, mix, remove, staged, texts_of
 from .components import components
 
 SHINGLE = 5
 BANDS, ROWS = 64, 8
 UNIVERSE = 1 << 21
+#: Documents of an open bucket that one task holds beside as many others.
+BLOCK = 256
+#: Most documents of links whose numbers are sent to all executors, to thin out the texts before they are shuffled.
+SMALL = 1_000_000
 #: Words of 64 bits of a parity bitmap.
 PARITY = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -85,45 +93,52 @@ def parity(own: np.ndarray) -> list[int]:
 
 
 _BITS = [f"p{i}" for i in range(PARITY)]
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), *((p, pa.int64()) for p in _BITS)])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64())), *((p, pa.int64()) for p in _BITS)])
 
 
 def _signed(rows: dict[str, list]) -> dict:
     out: dict[str, list] = {k: [] for k in _SIGNED.names}
-    for d, text in zip(rows["doc_id"], rows["text"], strict=True):
+    for d, body, text in zip(rows["doc_id"], rows["body"], rows["text"], strict=True):
         own = shingles(text)
         s1, s2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), dtype="<i8").tolist()
-        for k, v in zip(_SIGNED.names, (d, len(own), s1, s2, bands(signature(own)) if len(own) else [], *parity(own)), strict=True):
+        for k, v in zip(_SIGNED.names, (d, body, len(own), s1, s2, bands(signature(own)) if len(own) else [], *parity(own)), strict=True):
             out[k].append(v)
     return out
 
 
-_SHARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("inter", pa.int64())])
+_LINKED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _shared(rows: dict[str, list]) -> dict:
-    known: dict[int, np.ndarray] = {}
+def _linked(percent: int):
+    def run(rows: dict[str, list]) -> dict:
+        known: dict[str, np.ndarray] = {}
+        out = []
+        for a, x, b, y in zip(rows["a"], rows["text_a"], rows["b"], rows["text_b"], strict=True):
+            if x not in known:
+                if len(known) > 64:
+                    known.clear()
+                known[x] = shingles(x)
+            one, two = known[x], shingles(y)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * both >= percent * (len(one) + len(two) - both):
+                out.append((a, b))
+        return {"a": [a for a, _ in out], "b": [b for _, b in out]}
 
-    def of(d: int, text: str) -> np.ndarray:
-        if d not in known:
-            if len(known) > 64:
-                known.clear()
-            known[d] = shingles(text)
-        return known[d]
+    return run
 
-    inter = [len(np.intersect1d(of(a, x), shingles(y), assume_unique=True)) for a, x, b, y in zip(rows["a"], rows["text_a"], rows["b"], rows["text_b"], strict=True)]
-    return {"a": rows["a"], "b": rows["b"], "inter": inter}
 
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, body_a, body_b) those whose full sets reach the threshold.
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets reach the threshold, with their intersection.
-
-    ``pairs`` carry na and nb, the sizes.  The smaller side, the stars' centres, is joined last.
+    Only the texts of their documents are shuffled.  The smaller side, the stars' centres, is joined last.
     """
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
-    got = both.mapInArrow(by_batch(_shared, _SHARED, 64), "a long, b long, inter long")
-    return got.join(pairs, ["a", "b"]).where(100 * F.col("inter") >= percent * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b", "inter")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    if ends.limit(SMALL + 1).count() <= SMALL:
+        texts = texts.join(F.broadcast(ends), "doc_id", "left_semi")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("body").alias(f"body_{x}"), F.col("text").alias(f"text_{x}"))
+    one = pairs.join(side("b"), ["b", "body_b"])
+    both = one.join(side("a"), ["a", "body_a"]).select("a", "text_a", "b", "text_b")
+    return both.mapInArrow(by_batch(_linked(percent), _LINKED, 64), "a long, b long").distinct()
 
 
 def may_reach(na, nb, percent: int, a: str = "", b: str = "") -> Column:
@@ -139,41 +154,52 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ``class_id`` is the smallest document with the same set; links join classes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    signed, signed_path = staged(texts.mapInArrow(by_batch(_signed, _SIGNED, 128), "doc_id long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"{p} long" for p in _BITS)), "signed")
-    classes = signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"))
-    reps, reps_path = staged(classes, "classes")
+    texts = texts_of(docs).select("doc_id", F.xxhash64("text").alias("body"), "text")
+    signed, _ = staged(texts.mapInArrow(by_batch(_signed, _SIGNED, 128), "doc_id long, body long, n long, s1 long, s2 long, keys array<long>, " + ", ".join(f"{p} long" for p in _BITS)), "signed")
+    classes, _ = staged(signed.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
+    # The first document of each class stands for it.
+    first = signed.where("n > 0").join(classes.select("s1", "s2", F.col("class_id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
+    least = first.groupBy("doc_id").agg(F.min("body").alias("body"))
+    several = least.count() < first.count()  # repeated rows, or rows of one doc_id with different texts
+    reps = first.join(least, ["doc_id", "body"], "left_semi").dropDuplicates(["doc_id"]) if several else first
+    reps, reps_path = staged(reps.select("doc_id", "body", "n", "keys", *_BITS), "reps")
     # Buckets of at least two classes; a document's score is how many others it meets in all of them.
-    own = signed.where("n > 0").join(reps.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", F.explode("keys").alias("key"))
+    own = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     sizes = own.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     met, met_path = staged(own.join(sizes, "key").select("key", "doc_id", "n", "k"), "buckets")
     score = met.groupBy("doc_id").agg(F.sum("k").alias("score"))
-    met2, met2_path = staged(met.select("key", "doc_id", "n").join(score, "doc_id"), "buckets")
+    met2, met2_path = staged(met.join(score, "doc_id").select("key", "doc_id", "n", "k", "score"), "buckets")
     remove(spark, met_path)
     centre = met2.groupBy("key").agg(F.max(F.struct(F.col("score"), (-F.col("doc_id")).alias("neg"), F.col("n").alias("na"))).alias("c")).select("key", (-F.col("c.neg")).alias("a"), "c.na")
     fits = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    star = met2.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centre, "key").where(F.col("a") != F.col("b")).where(fits).select("a", "b", "na", "nb").distinct()
-    bits = signed.join(reps.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    ends = lambda x: bits.select(F.col("doc_id").alias(x), *(F.col(p).alias(f"{p}_{x}") for p in _BITS))
-    pairs, pairs_path = staged(star.join(ends("b"), "b").join(ends("a"), "a").where(may_reach(F.col("na"), F.col("nb"), percent, "_a", "_b")).select("a", "b", "na", "nb"), "pairs")
-    links, links_path = staged(confirmed(pairs, texts, reps, percent), "links")
-    part, part_path = staged(components(links), "parts")
+    star = met2.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb")).join(centre, "key").where(F.col("a") != F.col("b")).where(fits).select("a", "b").distinct()
+    star, star_path = staged(star, "stars")
+    # Both sides are plain tables, so that a centre with many pairs can be dealt to several tasks.
+    ends = lambda x: reps.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("body", "n", *_BITS)))
+    fit = star.join(ends("b"), "b").join(ends("a"), "a").where(may_reach(F.col("n_a"), F.col("n_b"), percent, "_a", "_b"))
+    pairs, pairs_path = staged(fit.select("a", "b", "body_a", "body_b"), "pairs")
+    links, _ = staged(confirmed(pairs, texts, percent), "links")
+    part, _ = staged(components(links), "parts")
     # Buckets that still hold several components.
-    placed = met2.select("key", "doc_id", "n").join(part, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("part"))
+    placed = met2.select("key", "doc_id", "k").join(part, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "k", F.coalesce("component", "doc_id").alias("part"))
     placed, placed_path = staged(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    open_, open_path = staged(placed.join(mixed, "key"), "open")
-    ranked, ranked_path = staged(open_.join(bits.select("doc_id", *_BITS), "doc_id"), "open")
-    a, b = (ranked.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "n", "part", *_BITS))) for s in "ab")
-    cross = a.join(b, (a.key == b.key) & (F.col("part_a") != F.col("part_b")) & (F.col("doc_id_a") < F.col("doc_id_b")) & may_reach(F.col("n_a"), F.col("n_b"), percent, "_a", "_b"))
-    cross = cross.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    open_, open_path = staged(placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "open")
+    ranked, ranked_path = staged(open_.join(reps.drop("keys"), "doc_id"), "open")
+    side = lambda s, i, j: ranked.select("key", i, j, *(F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "body", "n", "part", *_BITS)))
+    a = side("a", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
+    b = side("b", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    apart = (F.col("part_a") != F.col("part_b")) & ((F.col("i") < F.col("j")) | (F.col("doc_id_a") < F.col("doc_id_b")))
+    cross = a.join(b, ["key", "i", "j"]).where(apart & may_reach(F.col("n_a"), F.col("n_b"), percent, "_a", "_b"))
+    ordered = F.array_sort(F.array(*(F.struct(F.col(f"doc_id_{x}").alias("d"), F.col(f"body_{x}").alias("body")) for x in "ab")))
+    cross = cross.select(ordered.alias("x")).select(F.expr("x[0].d").alias("a"), F.expr("x[1].d").alias("b"), F.expr("x[0].body").alias("body_a"), F.expr("x[1].body").alias("body_b")).distinct()
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more, more_path = staged(cross.join(known, ["a", "b"], "left_anti"), "pairs")
-    found, found_path = staged(confirmed(more, texts, reps, percent), "links")
+    found, _ = staged(confirmed(more, texts, percent), "links")
     whole = components(links.unionByName(found)) if not found.isEmpty() else part
-    members = signed.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(reps.select("s1", "s2", "class_id"), ["s1", "s2"], "left")
+    members = signed.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left")
     out = members.withColumn("class_id", F.coalesce("class_id", "doc_id")).join(whole, F.col("class_id") == F.col("node"), "left")
     out = out.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    for path in (met2_path, pairs_path, placed_path, open_path, ranked_path, more_path):
+    for path in (reps_path, met2_path, star_path, pairs_path, placed_path, open_path, ranked_path, more_path):
         remove(spark, path)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
