@@ -11,9 +11,16 @@ doc_id stays in every stage that decides by doc_id; repeated rows share one deci
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, minhash, packing, pii, toxicity
-from tidemark.llm.common import staged, table
+from tidemark.llm.common import column, new_path, positional, remove, scratch, table
+
+
+def _of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The documents that are among the found ones (``left_semi``), or not (``left_anti``); columns as they are."""
+    rows, doc_id = positional(docs), F.col(column(docs, "doc_id")).cast("long")
+    return rows.join(found.select(F.col("doc_id").alias("found")), doc_id == F.col("found"), how).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +33,13 @@ NEAR = 80
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select("doc_id")
-    known = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL"))  # these cannot be told apart, so they stay
+    unnamed = positional(docs).where(F.col(column(docs, "doc_id")).isNull())  # these cannot be told apart, so they stay
+    return positional(_of(docs, kept, "left_semi")).union(unnamed).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return _of(docs, found, "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +56,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and read again.
+
+    What a stage staged on its way goes once its result is written, and that once the next one's is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = new_path(spark, f"stage-{name}")
+        with scratch():
+            result = stage(spark, docs, sf_dir)
+            result.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
