@@ -1,8 +1,12 @@
-"""Written intermediate tables in the folder that driver and executors share."""
+"""Written intermediate tables in the folder that driver and executors share.
+
+They go when ``dropped`` is called, and else with the driver's Python.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -23,8 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that are still there, with their file system and its name for them.
+_there: dict[str, tuple] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows from a table: lineage ends, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _there[path] = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def _delete(path: str) -> None:
+    if found := _there.pop(path, None):
+        with contextlib.suppress(Exception):  # the session may have ended
+            found[0].delete(found[1], True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the table behind what ``written`` gave; nothing may read it from now on."""
+    _delete(getattr(df, "_tidemark_path", ""))
+
+
+atexit.register(lambda: [_delete(x) for x in list(_there)])
