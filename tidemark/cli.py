@@ -22,7 +22,8 @@ def parser() -> argparse.ArgumentParser:
     plan.add_argument("--repo", default=".")
     plan.add_argument("--base", required=True)
     plan.add_argument("--head", default="WORKTREE")
-    plan.add_argument("--targets", help="a manifest; otherwise pytest targets are discovered")
+    plan.add_argument("--targets", help="a manifest; without it pytest targets are discovered")
+    plan.add_argument("--discover", choices=("pytest",), help="discover targets besides those of the manifest, which count first")
     plan.add_argument("--declarations", help="a TOML file of edges, always-run patterns and exclusions")
     plan.add_argument("--source-root", action="append", default=[])
     plan.add_argument("--format", choices=("text", "json"), default="text")
@@ -51,6 +52,7 @@ def _spark():
 def _plan(o: argparse.Namespace) -> int:
     from tidemark.discovery.pytest_rules import discover
     from tidemark.extract.index import build
+    from tidemark.operators import graph
     from tidemark.plans import engine, report
     from tidemark.sources import documents, snapshots
 
@@ -62,14 +64,19 @@ def _plan(o: argparse.Namespace) -> int:
         if problems:
             print("\n".join(problems), file=sys.stderr)
             return 2
-    base, head = (snapshots.read_git(spark, o.repo, r, s, roots, out) for r, s in ((o.base, "base"), (o.head, "head")))
+    base, head = (snapshots.read_git(spark, o.repo, r, s, roots, out).cache() for r, s in ((o.base, "base"), (o.head, "head")))
+    old, new = build(base), build(head)
+    targets = before = None
     if o.targets:
         with open(o.targets, encoding="utf-8") as f:
-            targets, before = documents.read_manifest(spark, f.read()), None
-    else:
-        targets, before = discover(build(head)), discover(build(base))
+            targets = documents.read_manifest(spark, f.read())
+    if o.discover or not o.targets:
+        found, before = discover(new), discover(old)
+        if targets is not None:
+            before = graph.merged_targets(targets, before)
+        targets = found if targets is None else graph.merged_targets(targets, found)
     declared = spark.createDataFrame(edges, "source string, target string, why string") if edges else None
-    plan = engine.make(base, head, targets, before, declared, always)
+    plan = engine.make(base, head, targets, before, declared, always, base=old, head=new)
     print(json.dumps(report.to_dict(plan), indent=2, sort_keys=True) if o.format == "json" else report.to_text(plan))
     return 0
 

@@ -10,13 +10,21 @@ from pyspark.sql import functions as F
 
 from tidemark.extract.pyfacts import facts
 from tidemark.functions.names import prefixes
-from tidemark.operators.fixpoint import closure
+from tidemark.operators.fixpoint import NotConverged, closure
 from tidemark.tables import written
 
 
+#: Most steps of a chain of re-exports.
+ROUNDS = 1_000
+
+
 @dataclass
 class Index:
-    """The relations of one snapshot."""
+    """The relations of one snapshot.
+
+    ``bases`` (cls, base) are direct bases that are symbols; ``flags`` (node, reads_docs); ``escaped`` (id) are modules that
+    are handed on as values.
+    """
 
     symbols: DataFrame
     edges: DataFrame
@@ -24,6 +32,9 @@ class Index:
     external: DataFrame
     errors: DataFrame
     bindings: DataFrame
+    bases: DataFrame
+    flags: DataFrame
+    escaped: DataFrame
 
     def failed_modules(self) -> DataFrame:
         return self.errors.select("module").distinct()
@@ -58,19 +69,29 @@ def build(files: DataFrame) -> Index:
         .unionByName(by_star.select("source", F.concat("star_target", tail).alias("full"), "mark"))
         .unionByName(uses.where("how <> 'name'").select("source", c("chain").alias("full"), "mark")).distinct()
     )
-    done = None
+    done, seen = None, None
     modules = symbols.where("kind = 'module'").select(c("id").alias("found"), F.lit(True).alias("is_module"))
-    again = bindings.where("name <> '*'").select(c("module").alias("found"), c("name").alias("next"), c("target").alias("there"))
-    for _ in range(50):  # a chain of re-exports that is longer is a cycle
+    again = _ends(bindings, ids)
+    for _ in range(ROUNDS):
         found = written(_longest(chains, ids, columns).join(modules, "found", "left").withColumn("next", F.substring_index("rest", ".", 1)).join(again, ["found", "next"], "left"), "chains")
-        moved = found.where("is_module AND rest <> '' AND there IS NOT NULL AND there <> concat(found, '.', next)")
+        seen = found.select(*columns) if seen is None else seen.unionByName(found.select(*columns))
+        onward = F.concat("there", F.substring(c("rest"), F.length("next") + 1, F.length("rest")))
+        moved = found.where("is_module AND rest <> '' AND there IS NOT NULL AND there <> concat(found, '.', next)").withColumn("onward", onward)
+        # What leads back to where it was is a cycle of re-exports: it stays as it is, on the module.
+        moved = moved.join(seen.select("source", c("full").alias("onward"), "mark").distinct(), ["source", "onward", "mark"], "left_anti")
         stay = found.join(moved.select(*columns).distinct(), columns, "left_anti").select(*columns, "found", "rest", "is_module")
         done = stay if done is None else done.unionByName(stay)
-        if moved.isEmpty():
+        chains = written(moved.select("source", c("onward").alias("full"), "mark").distinct(), "chains")
+        if chains.isEmpty():
             break
-        chains = moved.select("source", F.concat("there", F.substring(c("rest"), F.length("next") + 1, F.length("rest"))).alias("full"), "mark").distinct()
+    else:
+        raise NotConverged(f"re-exports did not end in {ROUNDS} rounds")
     hit = done.where("found IS NOT NULL")
-    refs = hit.where(c("found") != c("source")).select("source", c("found").alias("target"), F.lit("references").alias("kind"), c("mark").alias("detail"))
+    plain = hit.where(c("found") != c("source"))
+    refs = plain.select("source", c("found").alias("target"), F.lit("references").alias("kind"), F.when(c("mark") == "mutates", "").otherwise(c("mark")).alias("detail"))
+    # Who reads a variable depends on whoever writes it or changes it in place.
+    variables = symbols.where("kind = 'variable'").select(c("id").alias("found"))
+    wrote = plain.where("mark IN ('mutates', 'writes')").join(variables, "found", "left_semi").select(c("found").alias("source"), c("source").alias("target"), F.lit("references").alias("kind"), F.lit("mutated_by").alias("detail"))
     left = hit.where("rest <> ''").select(c("source").alias("symbol"), F.when(c("is_module"), "module_attribute").otherwise("attribute").alias("kind"), F.explode(F.split("rest", r"\.")).alias("name"), F.lit("").alias("detail"))
     imports = rows.where("row = 'import'").select(c("id").alias("source"), c("target").alias("full"), c("detail").alias("mark")).distinct()
     parents = imports.select("source", "mark", F.explode(prefixes("full")).alias("target"))
@@ -79,7 +100,7 @@ def build(files: DataFrame) -> Index:
     name_edges = imports.where("mark = 'name'").select("source", c("full").alias("target"), F.lit("imports_name").alias("kind"), F.lit("").alias("detail")).join(ids.select(c("id").alias("target")), "target", "left_semi").join(module_ids, "target", "left_anti")
     inside = symbols.where("container IS NOT NULL").select(c("id").alias("source"), c("container").alias("target"), F.lit("defined_in").alias("kind"), F.lit("").alias("detail"))
     # A member runs in its module: what the module imports and does at its top is behind it.
-    edges = refs.unionByName(import_edges).unionByName(name_edges).unionByName(inside).where("source <> target").distinct()
+    edges = refs.unionByName(wrote).unionByName(import_edges).unionByName(name_edges).unionByName(inside).where("source <> target").distinct()
     own = rows.where("row = 'unresolved'").select(c("id").alias("symbol"), "kind", "name", F.coalesce("detail", F.lit("")).alias("detail"))
     selfless = done.where("found IS NULL")
     in_scope = F.substring_index("full", ".", 1)
@@ -88,8 +109,32 @@ def build(files: DataFrame) -> Index:
     unknown = lost.join(roots, "root", "left_semi").select(c("source").alias("symbol"), F.lit("attribute").alias("kind"), F.substring_index("full", ".", -1).alias("name"), F.lit("").alias("detail"))
     unresolved = own.unionByName(left).unionByName(bare.select(c("source").alias("symbol"), F.lit("name").alias("kind"), "name", F.lit("").alias("detail"))).unionByName(unknown).distinct()
     external = lost.join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module")).unionByName(imports.withColumn("root", in_scope).join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module"))).distinct()
-    inherited = _inherited(symbols, bindings, ids)
-    return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings)
+    bases = written(class_bases(symbols, bindings, ids), "bases")
+    inherited = _inherited(symbols, bases)
+    flags = rows.where("row = 'flag'").select(c("id").alias("node"), F.lit(True).alias("reads_docs")).distinct()
+    escaped = hit.where("is_module AND rest = ''").select(c("found").alias("id")).distinct()
+    return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings, bases, flags, escaped)
+
+
+def _ends(bindings: DataFrame, ids: DataFrame) -> DataFrame:
+    """(found, next, there): what each name of a module leads to through re-exports, by pointer doubling: chains of n take log n rounds.
+
+    A name that is bound twice leads both ways; one on a circle keeps its own target.
+    """
+    c = F.col
+    own = bindings.where("name <> '*'").select(F.concat_ws(".", "module", "name").alias("key"), "module", "name", "target")
+    plain = own.where("key <> target")
+    # Only names that are re-exported once are followed; a target that is a symbol ends a chain.
+    single = plain.groupBy("key").agg(F.count("*").alias("n"), F.min("target").alias("to")).where("n = 1").select("key", "to").join(ids.select(c("id").alias("key")), "key", "left_anti")
+    now = written(single, "pointers")
+    for _ in range(now.count().bit_length()):  # by then all chains have ended, and only circles still move
+        far = now.select(c("key").alias("to"), c("to").alias("far"))
+        if now.join(far, "to", "left_semi").isEmpty():
+            break
+        now = written(now.join(far, "to", "left").select("key", F.coalesce("far", "to").alias("to")), "pointers")
+    ends = now.join(now.select(c("key").alias("to")), "to", "left_anti")
+    got = own.join(ends.select("key", c("to").alias("end")), "key", "left")
+    return got.select(c("module").alias("found"), c("name").alias("next"), F.coalesce("end", "target").alias("there"))
 
 
 def class_bases(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> DataFrame:
@@ -99,9 +144,8 @@ def class_bases(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> Data
     return full.join(ids.select(F.col("id").alias("base")), "base", "left_semi").distinct()
 
 
-def _inherited(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> DataFrame:
+def _inherited(symbols: DataFrame, bases: DataFrame) -> DataFrame:
     """A class depends on its bases, and on the members it inherits; a member on overrides below it."""
-    bases = class_bases(symbols, bindings, ids)
     up = closure(bases.select(F.col("cls").alias("source"), F.col("base").alias("target")), bases.select(F.col("cls").alias("node")).distinct()).where("origin <> node")
     member = symbols.where("kind IN ('method', 'class', 'function')").select("container", "name", "id")
     below = up.select(F.col("node").alias("container"), F.col("origin").alias("sub")).join(member, "container").select("sub", "name", F.col("id").alias("upper"))

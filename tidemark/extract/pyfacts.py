@@ -1,7 +1,9 @@
 """Facts of one Python file, by its syntax tree: a table function from files to long rows.
 
 Row kinds: ``symbol``, ``binding`` (name -> dotted target in a module), ``use`` (a dotted chain that a symbol
-names), ``import`` (a module that a symbol imports), ``unresolved`` and ``error``.  Names are resolved later, by joins.
+names; ``detail`` says whether it ``writes`` it or ``mutates`` what it holds in place), ``import`` (a module that a
+symbol imports), ``flag`` (a symbol that reads docstrings), ``unresolved`` and ``error``.  Names are resolved later, by
+joins.  Statements of a module that change a variable in place are part of that variable as well.
 Comments and layout change no hash; nested functions belong to the one around them.
 """
 
@@ -26,6 +28,9 @@ FACTS = (
 )
 _COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
 _BUILTINS = frozenset(dir(builtins))
+#: Methods of the built-in containers that change them in place.
+_MUTATORS = frozenset({"append", "extend", "insert", "remove", "pop", "clear", "sort", "reverse", "update", "setdefault", "popitem", "add", "discard", "appendleft", "extendleft", "popleft", "rotate", "intersection_update", "difference_update", "symmetric_difference_update", "__setitem__", "__delitem__", "move_to_end", "subtract"})
+_DOC_READERS = frozenset({"getdoc", "cleandoc", "dedent_doc"})
 _DYNAMIC = frozenset({"import_module", "__import__", "exec", "eval"})
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -56,6 +61,24 @@ def _chain(node: ast.expr) -> list[str] | None:
     return [node.id, *reversed(parts)] if isinstance(node, ast.Name) else None
 
 
+def _mutated(n: ast.AST) -> list[ast.expr]:
+    """What a statement or call changes in place: the objects that it assigns into, deletes from or calls a mutator of."""
+    if isinstance(n, ast.Call):
+        return [n.func.value] if isinstance(n.func, ast.Attribute) and n.func.attr in _MUTATORS else []
+    if isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.Delete, ast.For, ast.AsyncFor)):
+        targets = n.targets if isinstance(n, (ast.Assign, ast.Delete)) else [n.target]
+        flat = [x for t in targets for x in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t])]
+        return [x.value for x in flat if isinstance(x, (ast.Subscript, ast.Attribute))]
+    return []
+
+
+def _holder(node: ast.expr) -> ast.expr:
+    """The name or dotted chain behind subscripts and attributes of what they hold."""
+    while isinstance(node, ast.Subscript) or (isinstance(node, ast.Attribute) and _chain(node) is None):
+        node = node.value
+    return node
+
+
 def _bound(nodes: list[ast.AST]) -> set[str]:
     """Names that statements bind, nested scopes left out; ``global`` ones are not bound here."""
     out, free, todo = set(), set(), list(nodes)
@@ -76,6 +99,20 @@ def _bound(nodes: list[ast.AST]) -> set[str]:
     return out - free
 
 
+def _marks(decorators: list[ast.expr]) -> list[str]:
+    """Dotted names of decorators; for calls also each constant argument, as ``name(argument)`` or ``name(key=argument)``."""
+    out = []
+    for d in decorators:
+        chain = _chain(d.func if isinstance(d, ast.Call) else d)
+        if chain:
+            name = ".".join(chain)
+            out.append(name)
+            if isinstance(d, ast.Call):
+                out += [f"{name}({a.value})" for a in d.args if isinstance(a, ast.Constant)]
+                out += [f"{name}({k.arg}={k.value.value})" for k in d.keywords if k.arg and isinstance(k.value, ast.Constant)]
+    return out
+
+
 def _arguments(a: ast.arguments) -> list[ast.arg]:
     return [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]
 
@@ -132,7 +169,7 @@ class _File:
     def visit_module(self, tree: ast.Module) -> None:
         m = self.module
         doc, body = _doc(tree.body)
-        plain, variables = [], {}
+        plain, variables, mutated = [], {}, {}
 
         def walk(nodes: list[ast.stmt], where: str) -> None:
             for n in nodes:
@@ -144,6 +181,10 @@ class _File:
                 elif isinstance(n, (ast.Assign, ast.AnnAssign, ast.AugAssign)) and (names := [x.id for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) for x in ast.walk(t) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)]):
                     for name in names:
                         variables.setdefault(name, []).append(n)
+                elif changed := {c[0] for x in ast.walk(n) for m_ in _mutated(x) if (c := _chain(_holder(m_)))} if isinstance(n, (ast.Expr, ast.Assign, ast.AugAssign, ast.Delete, ast.For, ast.While)) else set():
+                    plain.append(n)
+                    for name in changed:
+                        mutated.setdefault(name, []).append(n)
                 elif isinstance(n, (ast.If, ast.Try, ast.With)):
                     inner = f"{where}{type(n).__name__}:{_digest([n.test]) if isinstance(n, ast.If) else ''}/"
                     plain.append(n.test if isinstance(n, ast.If) else ast.Pass())
@@ -160,9 +201,9 @@ class _File:
         for name, nodes in variables.items():
             vid = f"{m}.{name}"
             self.bind(name, vid)
-            values = [x.value for x in nodes if x.value is not None]
+            values = [x.value for x in nodes if x.value is not None] + mutated.get(name, [])
             notes = [x.annotation for x in nodes if isinstance(x, ast.AnnAssign)]
-            self.add("symbol", id=vid, kind="variable", name=name, lineno=nodes[0].lineno, end_lineno=nodes[-1].end_lineno, container=m, body_hash=_digest([type(x).__name__ for x in nodes] + values), definition_hash=_digest([]), docstring_hash="", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=False)
+            self.add("symbol", id=vid, kind="variable", name=name, lineno=nodes[0].lineno, end_lineno=max(x.end_lineno for x in nodes), container=m, body_hash=_digest([type(x).__name__ for x in nodes] + values), definition_hash=_digest([]), docstring_hash="", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=False)
             self.uses(values + notes, vid, set(), None, {})
         self.uses(plain, m, set(), None, {})
         self.add("symbol", id=m, kind="module", name=m.rpartition(".")[2], lineno=1, end_lineno=tree.body[-1].end_lineno if tree.body else 1, container=None, body_hash=_digest(plain), definition_hash=_digest(sorted(self.imports) + self.layout), docstring_hash=_digest([doc]) if doc else "", annotation_hash="", imports=sorted(self.imports), import_layout=self.layout, statement_layout=self.statements([n for n in body if not isinstance(n, (ast.Import, ast.ImportFrom))]), defers_annotations=self.deferred, decorated=False)
@@ -174,8 +215,7 @@ class _File:
         notes = [a.annotation for a in args if a.annotation] + ([n.returns] if n.returns else [])
         defaults = [d for d in [*n.args.defaults, *n.args.kw_defaults] if d is not None]
         header = [type(n).__name__, *(a.arg for a in args), str(bool(n.args.vararg)), str(len(n.args.posonlyargs)), str(len(n.args.kwonlyargs))]
-        marks = [".".join(c) for d in n.decorator_list if (c := _chain(d.func if isinstance(d, ast.Call) else d))]
-        self.add("symbol", id=fid, kind="method" if cls else "function", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(body), definition_hash=_digest(header + defaults + n.decorator_list), docstring_hash=_digest([doc]) if doc else "", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=bool(n.decorator_list), params=[a.arg for a in args], decorators=marks)
+        self.add("symbol", id=fid, kind="method" if cls else "function", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(body), definition_hash=_digest(header + defaults + n.decorator_list), docstring_hash=_digest([doc]) if doc else "", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=bool(n.decorator_list), params=[a.arg for a in args], decorators=_marks(n.decorator_list))
         self.uses(defaults + n.decorator_list + notes, fid, set(), None, {})
         self.body(body, fid, {a.arg for a in args}, cls, args[0].arg if cls and args else None)
 
@@ -194,7 +234,7 @@ class _File:
         plain = [x for x in body if not isinstance(x, _DEFS)]
         bases = [".".join(c) for b in n.bases if (c := _chain(b))]
         header = [*n.bases, *n.keywords, *n.decorator_list, *sorted({x.name for x in members})]
-        self.add("symbol", id=cid, kind="class", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(plain), definition_hash=_digest(header), docstring_hash=_digest([doc]) if doc else "", annotation_hash="", statement_layout=self.statements(body), defers_annotations=self.deferred, decorated=bool(n.decorator_list), bases=bases)
+        self.add("symbol", id=cid, kind="class", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(plain), definition_hash=_digest(header), docstring_hash=_digest([doc]) if doc else "", annotation_hash="", statement_layout=self.statements(body), defers_annotations=self.deferred, decorated=bool(n.decorator_list), bases=bases, decorators=_marks(n.decorator_list))
         self.uses([*n.bases, *n.keywords, *n.decorator_list], cid, set(), None, {})
         self.body(plain, cid, {x.name for x in members}, None, None)
         for x in members:
@@ -206,6 +246,17 @@ class _File:
         globals_ = {x for n in todo for g in ast.walk(n) if isinstance(g, ast.Global) for x in g.names}
         while todo:
             n = todo.pop()
+            for x in _mutated(n):
+                chain = _chain(_holder(x))
+                if chain and me and chain[0] == me and cls:
+                    if len(chain) > 1:
+                        self.add("use", id=owner, target=f"{cls}.{chain[1]}", kind="self", detail="mutates")
+                elif chain and chain[0] in local:
+                    self.add("use", id=owner, target=".".join([local[chain[0]], *chain[1:]]), kind="absolute", detail="mutates")
+                elif chain and (chain[0] not in hidden or chain[0] in globals_):
+                    self.add("use", id=owner, target=".".join(chain), kind="name", detail="mutates")
+            if (isinstance(n, ast.Attribute) and n.attr == "__doc__") or (isinstance(n, ast.Name) and n.id == "__doc__") or (isinstance(n, ast.Call) and (n.func.attr if isinstance(n.func, ast.Attribute) else getattr(n.func, "id", "")) in _DOC_READERS):
+                self.add("flag", id=owner, kind="reads_docs")
             if isinstance(n, ast.Call):
                 name = n.func.attr if isinstance(n.func, ast.Attribute) else getattr(n.func, "id", "")
                 if name in _DYNAMIC or (name == "getattr" and len(n.args) > 1 and not isinstance(n.args[1], ast.Constant)):

@@ -81,14 +81,14 @@ def is_conftest(module: Column | str) -> Column:
 
 
 #: Names and endings of files that builds and runners read.
-BUILD_NAMES = ("setup.py", "setup.cfg", "pyproject.toml", "meson.build", "CMakeLists.txt", "Makefile", "tox.ini", "pytest.ini", "conftest.py", "requirements.txt", "environment.yml", "asv.conf.json", "MANIFEST.in")
+BUILD_NAMES = ("setup.py", "setup.cfg", "pyproject.toml", "meson.build", "cmakelists.txt", "makefile", "tox.ini", "pytest.ini", "requirements.txt", "environment.yml", "asv.conf.json", "manifest.in")
 BUILD_ENDINGS = (".c", ".h", ".cc", ".cpp", ".hpp", ".pyx", ".pxd", ".pxi", ".f", ".f90", ".rs", ".in", ".cmake")
 
 
 def build_input(path: Column | str) -> Column:
-    """Whether a file feeds builds, by name or ending."""
-    name = F.substring_index(_c(path), "/", -1)
-    found = name.isin(*BUILD_NAMES)
+    """Whether a file feeds builds, by name or ending in any case."""
+    name = F.lower(F.substring_index(_c(path), "/", -1))
+    found = name.isin(*BUILD_NAMES) | name.rlike(r"^(requirements|constraints)[^/]*\.txt$|^environment[^/]*\.ya?ml$|^\.env|\.lock$")
     for end in BUILD_ENDINGS:
         found |= name.endswith(end)
     return found

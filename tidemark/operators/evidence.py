@@ -63,10 +63,23 @@ def unstable(first: DataFrame, second: DataFrame) -> DataFrame:
     return common.join(differ, "test_id", "left_semi")
 
 
+#: Ranges that values are numbered in; what stands before one is summed over as many rows.
+NUMBERED = 1024
+
+
+def numbered_by(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Distinct rows with a number from 0 on: in place within a hash range, and after all ranges before it."""
+    dealt = rows.withColumn("range", F.pmod(F.xxhash64(*key), F.lit(NUMBERED)))
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    first = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    placed = dealt.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(*key)))
+    return placed.join(F.broadcast(first), "range").select(*rows.columns, (F.col("first") + F.col("place") - 1).alias(name))  # at most NUMBERED rows
+
+
 def encoded(items: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(dictionary of id and value, rows with the id): ids are stable hashes, so no global order is needed."""
-    ids = items.select(F.col(column).alias("value"), F.xxhash64(column).alias("id")).distinct()
-    return ids, items.withColumn(f"{column}_id", F.xxhash64(column)).drop(column)
+    """(dictionary of id and value, rows with the id in place of the value): ids count from 0, and no two values share one."""
+    ids = numbered_by(items.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct(), ["value"], "id")
+    return ids, items.join(ids.select(F.col("value").alias(column), F.col("id").alias(f"{column}_id")), column, "left").drop(column)
 
 
 def advanced(old_rows: DataFrame, old_records: DataFrame, new_rows: DataFrame, new_records: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.names import fnmatch_regex, prefixes, short_name
-from tidemark.operators.fixpoint import closure
+from tidemark.operators.fixpoint import closure, reachable
 
 ITEM = ("source", "target", "kind", "detail")
 
@@ -108,11 +108,12 @@ def name_hubs(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def constructor_hooks(edges: DataFrame, symbols: DataFrame, bases: DataFrame) -> DataFrame:
-    """Edges from users of a class to the constructors it inherits."""
-    up = closure(bases.select(F.col("cls").alias("source"), F.col("base").alias("target")), bases.select(F.col("cls").alias("node")).distinct())
-    hooks = symbols.where("name IN ('__init__', '__new__', '__post_init__', '__init_subclass__')").select("container", F.col("id").alias("target"))
-    users = edges.where("kind = 'references'").select("source", F.col("target").alias("origin"))
-    return users.join(up, "origin").join(hooks, F.col("node") == F.col("container")).select("source", "target", F.lit("references").alias("kind"), F.lit("constructor").alias("detail")).distinct()
+    """Edges from users of a class to the special methods it has or inherits, which run without being named."""
+    hooks = symbols.where("name RLIKE '^__.+__$' AND container IS NOT NULL").select("container", F.col("id").alias("target"))
+    classes = bases.select(F.col("cls").alias("node")).unionByName(hooks.select(F.col("container").alias("node"))).distinct()
+    up = closure(bases.select(F.col("cls").alias("source"), F.col("base").alias("target")), classes)
+    users = edges.where("kind = 'references' AND coalesce(detail, '') NOT IN ('mutated_by', 'registers')").select("source", F.col("target").alias("origin"))
+    return users.join(up, "origin").join(hooks, F.col("node") == F.col("container")).where("source <> target").select("source", "target", F.lit("references").alias("kind"), F.lit("constructor").alias("detail")).distinct()
 
 
 def target_node(runner: str = "runner", runner_id: str = "runner_id") -> Column:
@@ -148,13 +149,26 @@ def factored(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, edges
 
 
-def caller_effects(calls: DataFrame, writes: DataFrame) -> DataFrame:
-    """Whoever calls a writer of Y depends on the node ``calls:Y``; that on the writers."""
-    hub = F.concat(F.lit("calls:"), F.col("state"))
-    named = writes.select(F.col("target").alias("state"), F.col("source").alias("writer")).distinct()
-    callers = calls.select(F.col("source").alias("caller"), F.col("target").alias("writer")).join(named, "writer")
-    out = callers.select(F.col("caller").alias("source"), hub.alias("target")).unionByName(named.select(hub.alias("source"), F.col("writer").alias("target")))
-    return out.distinct().select("source", "target", F.lit("references").alias("kind"), F.lit("call_effect").alias("detail"))
+def calls_of(edges: DataFrame) -> DataFrame:
+    """(source, target) of the edges that a call can take: references that are no writer marks, name matches, declared ones."""
+    return edges.where("(kind = 'references' AND coalesce(detail, '') NOT IN ('mutated_by', 'registers', 'writes', 'rebinds')) OR kind IN ('unresolved_name_match', 'declared')").select("source", "target")
+
+
+def caller_effects(calls: DataFrame, mutated: DataFrame, modules: DataFrame) -> DataFrame:
+    """Edges by nodes ``calls:Y``, "Y may now be called differently".
+
+    A variable that Y writes in place (``mutated``: variable, writer) depends on ``calls:Y``; that on each caller of
+    Y and on ``calls:`` of the caller, as the caller hands on what it was given.  Only what leads to a writer gets such a node;
+    a module is not entered, as naming one runs none of its code.
+    """
+    node = lambda c: F.concat(F.lit("calls:"), F.col(c))
+    own = calls.join(modules.select(F.col("node").alias("target")), "target", "left_anti")
+    up = reachable(own.select(F.col("target").alias("source"), F.col("source").alias("target")), mutated.select(F.col("writer").alias("node")))
+    made = own.join(up.select(F.col("node").alias("target")), "target", "left_semi")
+    by = made.select(node("target").alias("source"), F.col("source").alias("target"))
+    through = made.join(modules.select(F.col("node").alias("source")), "source", "left_anti").select(node("target").alias("source"), node("source").alias("target"))
+    called = by.unionByName(through).select("source", "target", F.lit("references").alias("kind"), F.lit("caller").alias("detail"))
+    return called.unionByName(mutated.select(F.col("variable").alias("source"), node("writer").alias("target"), F.lit("references").alias("kind"), F.lit("mutated_by").alias("detail"))).distinct()
 
 
 def without_lazy_writes(edges: DataFrame, lazy: DataFrame) -> DataFrame:

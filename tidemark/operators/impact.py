@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import parent
+from tidemark.functions.names import fnmatch_regex
 from tidemark.operators import fixpoint
-from tidemark.operators.graph import pattern_pairs, target_node
+from tidemark.operators.graph import target_node, tied
 from tidemark.schema import BEHAVIOR, CONTENT, RULES, STRUCTURAL
 from tidemark.tables import written
 
@@ -25,9 +26,16 @@ def import_time_seeds(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     return own.select(F.col("module").alias("node"), F.lit(BEHAVIOR).alias("mode"), F.lit(1).alias("rank")).distinct()
 
 
-def import_call_effects(seeds: DataFrame, calls: DataFrame, mutated: DataFrame) -> DataFrame:
-    """Variables (node, mode content) written by what changed import-time code calls: forward, then one join."""
-    reached = fixpoint.reachable(calls, seeds.select("node").distinct())
+def import_call_effects(roots: DataFrame, calls: DataFrame, mutated: DataFrame, modules: DataFrame | None = None) -> DataFrame:
+    """Variables (node, mode content) written by what import-time code that runs differently (``roots``: node) calls: forward, then one join.
+
+    A module that is called into is not entered further: naming it runs none of its code.
+    """
+    own = roots.select("node").distinct()
+    if modules is not None:
+        inner = modules.select(F.col("node").alias("source")).join(own.select(F.col("node").alias("source")), "source", "left_anti")
+        calls = calls.join(inner, "source", "left_anti")
+    reached = fixpoint.reachable(calls, own)
     hit = mutated.select(F.col("source").alias("variable"), F.col("target").alias("node")).join(reached, "node", "left_semi")
     return hit.select(F.col("variable").alias("node"), F.lit(CONTENT).alias("mode"), F.lit(2).alias("rank")).distinct()
 
@@ -39,6 +47,15 @@ def newly_run(base_edges: DataFrame, head_edges: DataFrame, modules: DataFrame)
     return h.join(b, ["origin", "node"], "left_anti").withColumn("change", F.lit("run")).unionByName(b.join(h, ["origin", "node"], "left_anti").withColumn("change", F.lit("not_run")))
 
 
+def bound_on_package(edges: DataFrame, symbols: DataFrame, newly: DataFrame, reach: DataFrame) -> DataFrame:
+    """Readers (node) of newly run modules (node) or their members whose own module's imports never reach these."""
+    module_of = symbols.select("id", "module")
+    into = edges.where("kind = 'references'").select("source", F.col("target").alias("id")).join(module_of, "id").join(newly.select(F.col("node").alias("module")), "module", "left_semi")
+    placed = into.select("source", F.col("module").alias("node")).join(module_of.select(F.col("id").alias("source"), F.col("module").alias("origin")), "source")
+    lost = placed.join(reach.select("origin", "node"), ["origin", "node"], "left_anti").where("origin <> node")
+    return lost.select(F.col("source").alias("node"), F.lit(BEHAVIOR).alias("mode"), F.lit(3).alias("rank")).distinct()
+
+
 def docstring_seeds(changes: DataFrame, readers: DataFrame) -> DataFrame:
     doc = changes.where("array_contains(changes, 'docstring_changed')").select(F.col("id").alias("symbol"))
     return readers.join(doc, "symbol", "left_semi").select(F.col("reader").alias("node"), F.lit(BEHAVIOR).alias("mode"), F.lit(3).alias("rank")).distinct()
@@ -60,49 +77,76 @@ def propagate(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFr
     return fixpoint.impact(edges, seeds.select("node", "mode"), limit)
 
 
-def entry_relaxed(impacted: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets whose entry's module is structurally hit: parents of entries, after the search."""
-    own = targets.select(target_node().alias("node"), parent("entry_symbol").alias("entry_parent"))
-    return own.join(impacted.select(F.col("node").alias("entry_parent"), "mode").where(F.col("mode") == STRUCTURAL), "entry_parent").select("node", "mode")
+def entry_relaxed(impacted: DataFrame, targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(node, mode, via) of targets whose entry's module is hit: the runner imports it to reach them.  After the search."""
+    own = targets.select(target_node().alias("node"), F.col("entry_symbol").alias("id")).join(symbols.select("id", F.col("module").alias("via")), "id")
+    return own.join(impacted.select(F.col("node").alias("via")), "via", "left_semi").select("node", F.lit(BEHAVIOR).alias("mode"), "via").distinct()
 
 
 def explained(impacted: DataFrame, wanted: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
     """(node, path, changed_symbol, rule): one shortest chain from each wanted node to a seed.
 
-    Follows ``via``; chains meet and are walked at once, one round per step.  A name match on the way gives
-    ``unresolved_name_match``, else a declared edge gives ``declared_dependency``, else ``dependency``.
+    Follows ``via``; chains are walked at once, in one task where there are few nodes, else in one round per step that
+    carries on the open ones alone.  A name match on the way gives ``unresolved_name_match``, else a declared edge
+    gives ``declared_dependency``, else ``dependency``.
     """
-    kinds = edges.groupBy("source", "target").agg(F.min(F.struct("kind", "detail")).alias("e")).select(F.col("source").alias("at"), F.col("target").alias("to"), F.col("e.kind").alias("kind"))
-    step_of = impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left")
-    walk = written(wanted.join(impacted.select("node"), "node", "left_semi").select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(False).alias("done")), "walk")
-    for _ in range(limit):
-        if walk.where("NOT done").isEmpty():
-            break
-        more = walk.where("NOT done").join(step_of, "at").select("node", F.coalesce("to", "at").alias("at"), F.when(F.col("to").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("to"))).alias("path"), F.when(F.col("kind").isNull(), F.col("kinds")).otherwise(F.array_append("kinds", F.col("kind"))).alias("kinds"), F.col("to").isNull().alias("done"))
-        walk = written(walk.where("done").unionByName(more), "walk")
+    weight = F.when(F.col("kind") == "unresolved_name_match", 2).when(F.col("kind") == "declared", 1).otherwise(0)
+    kinds = tied(edges).select(F.col("source").alias("at"), F.col("target").alias("to"), weight.alias("weight"))
+    steps = written(impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left").select("at", "to", F.coalesce("weight", F.lit(0)).alias("weight")), "steps")
+    first = written(wanted.select("node").distinct().join(impacted.select("node"), "node", "left_semi"), "wanted")
+    if steps.count() <= fixpoint.SMALL and first.count() <= fixpoint.SMALL:
+        tables = [steps.select(F.col("at").alias("a"), F.col("to").alias("b"), F.col("weight").alias("x")), first.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("x"))]
+        walk = written(fixpoint.in_one_task(tables, _walked(limit), "node string, path array<string>, weight int"), "walk")
     else:
-        raise fixpoint.NotConverged("explanations")
-    rule = F.when(F.array_contains("kinds", "unresolved_name_match"), "unresolved_name_match").when(F.array_contains("kinds", "declared"), "declared_dependency").otherwise("dependency")
+        open_ = written(first.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).alias("weight")), "walk")
+        ended = []
+        for _ in range(limit):
+            if open_.isEmpty():
+                break
+            more = written(open_.join(steps.withColumnRenamed("weight", "more"), "at").select("node", "to", "path", F.greatest("weight", "more").alias("weight")), "walk")
+            ended.append(more.where("to IS NULL").select("node", "path", "weight"))
+            open_ = more.where("to IS NOT NULL").select("node", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), "weight")
+        else:
+            raise fixpoint.NotConverged("explanations")
+        walk = ended[0] if ended else open_.select("node", "path", "weight")
+        for part in ended[1:]:
+            walk = walk.unionByName(part)
+    rule = F.when(F.col("weight") == 2, "unresolved_name_match").when(F.col("weight") == 1, "declared_dependency").otherwise("dependency")
     hub = lambda x: ~x.rlike("^(name:|runner:|calls:|log:)|<imports>$")
-    return walk.select("node", F.filter("path", hub).alias("path"), F.col("at").alias("changed_symbol"), rule.alias("rule"))
+    return walk.select("node", F.filter("path", hub).alias("path"), F.element_at("path", -1).alias("changed_symbol"), rule.alias("rule"))
+
+
+def _walked(limit: int):
+    def run(tables):
+        steps, wanted = tables
+        after = {a: (b, int(x)) for a, b, x in steps.itertuples(index=False)}
+        for i in range(0, len(wanted), 10_000):
+            out = []
+            for node in wanted["a"].iloc[i : i + 10_000]:
+                path, most, at = [node], 0, node
+                while True:
+                    to, x = after[at]
+                    if to is None or to != to:  # the end of a chain
+                        break
+                    path.append(to)
+                    most, at = max(most, x), to
+                    if len(path) > limit:
+                        raise fixpoint.NotConverged("explanations")
+                out.append((node, path, most))
+            yield pd.DataFrame(out, columns=["node", "path", "weight"])
+
+    return run
 
 
 def for_all(reasons: DataFrame, targets: DataFrame) -> DataFrame:
     """Global fallbacks (rule, detail) for every target, or every target of their ``runner`` if they have one.
 
-    The fallbacks are few; each target gets the array of them, so targets are read once.
+    The fallbacks are few, runners fewer; each target gets its runner's array of them, so targets are read once.
     """
-    own = reasons.columns
-    if "runner" in own:
-        lists = reasons.groupBy("runner").agg(F.array_sort(F.collect_set(F.struct("rule", "detail"))).alias("all"))
-        return targets.join(F.broadcast(lists), "runner").select(target_node().alias("node"), F.explode("all").alias("x")).select("node", "x.rule", "x.detail")
-    rows = reasons.select("rule", "detail").distinct().orderBy("rule", "detail").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("over 10000 global fallbacks")
-    if not rows:
-        return targets.select(target_node().alias("node"), F.lit("").alias("rule"), F.lit("").alias("detail")).limit(0)
-    table = F.array(*(F.struct(F.lit(r.rule).alias("rule"), F.lit(r.detail).alias("detail")) for r in rows))
-    return targets.select(target_node().alias("node"), F.explode(table).alias("x")).select("node", "x.rule", "x.detail")
+    runners = [] if "runner" in reasons.columns else [r.runner for r in targets.select("runner").distinct().collect()]  # names of test runners, a handful
+    every = reasons if "runner" in reasons.columns else reasons.select("rule", "detail").distinct().withColumn("runner", F.explode(F.array(*map(F.lit, runners)).cast("array<string>")))
+    lists = every.groupBy("runner").agg(F.array_sort(F.collect_set(F.struct("rule", "detail"))).alias("all"))
+    return targets.join(lists, "runner").select(target_node().alias("node"), F.explode("all").alias("x")).select("node", "x.rule", "x.detail")
 
 
 def runner_dependencies(runner_modules: DataFrame, reach: DataFrame, changed_modules: DataFrame) -> DataFrame:
@@ -113,16 +157,11 @@ def runner_dependencies(runner_modules: DataFrame, reach: DataFrame, changed_mod
 
 def always_run(targets: DataFrame, patterns: list[tuple[str, str, str | None]]) -> tuple[DataFrame, DataFrame]:
     """Reasons for targets that match (label, pattern, runner or None), and (label, matches) of every pattern."""
-    parts = []
-    for label, pattern, runner in patterns:
-        own = targets if runner is None else targets.where(F.col("runner") == runner)
-        parts.append(pattern_pairs(own, "runner_id", [(label, pattern)]))
-    if not parts:
+    if not patterns:
         none = targets.select(target_node().alias("node"), F.lit("always_run").alias("rule"), F.lit("").alias("detail")).limit(0)
         return none, none.groupBy(F.col("detail").alias("label")).agg(F.count("*").alias("matches"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    fits = lambda pattern, runner: F.col("runner_id").rlike(fnmatch_regex(pattern)) & (F.lit(True) if runner is None else F.col("runner") == runner)
+    rows = targets.withColumn("pattern", F.explode(F.array_compact(F.array(*(F.when(fits(p, r), F.lit(label)) for label, p, r in patterns)))))
     reasons = rows.select(target_node().alias("node"), F.lit("always_run").alias("rule"), F.col("pattern").alias("detail"))
     labels = targets.sparkSession.createDataFrame([(x[0],) for x in patterns], "label string")
     counts = labels.join(reasons.groupBy(F.col("detail").alias("label")).agg(F.count("*").alias("matches")), "label", "left").select("label", F.coalesce("matches", F.lit(0)).alias("matches"))

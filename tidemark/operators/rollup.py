@@ -58,5 +58,6 @@ def window(artifacts: DataFrame) -> DataFrame:
 
 
 def verdict(cell_rows: DataFrame, confirmed_misses: DataFrame) -> DataFrame:
+    """One row; the counted misses are one row too, whatever the input."""
     n = confirmed_misses.agg(F.count("*").alias("confirmed"))
     return cell_rows.agg(F.sum("runs").alias("runs"), F.sum("records").alias("records")).join(F.broadcast(n)).withColumn("ok", F.col("confirmed") == 0)

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.evidence import numbered_by
 from tidemark.operators.graph import target_node
 from tidemark.plans.engine import Plan
 
@@ -15,8 +16,9 @@ SCHEMA_VERSION = 5
 
 def with_fallback_index(reasons: DataFrame, fallbacks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(numbered fallbacks, reasons that name them by number): global reasons are written once."""
-    numbered = fallbacks.select("rule", "detail").distinct().withColumn("fallback", F.xxhash64("rule", "detail"))
-    return numbered, reasons.join(F.broadcast(numbered), ["rule", "detail"], "left").withColumn("detail", F.when(F.col("fallback").isNull(), F.col("detail")))
+    pairs = fallbacks.select("rule", "detail").distinct()
+    numbered = numbered_by(pairs, ["rule", "detail"], "fallback")
+    return numbered, reasons.join(numbered, ["rule", "detail"], "left").withColumn("detail", F.when(F.col("fallback").isNull(), F.col("detail")))
 
 
 def target_documents(plan: Plan) -> DataFrame:
@@ -27,8 +29,12 @@ def target_documents(plan: Plan) -> DataFrame:
     return rows.select("runner", "runner_id", F.to_json(F.struct("runner", "runner_id", "selected", "rules", "conservative", "affected_dependencies", "unselected_reason", "reasons")).alias("document"))
 
 
+def decision_counts(decisions: DataFrame) -> DataFrame:
+    return decisions.agg(F.count("*").alias("targets"), F.count_if("selected").alias("selected"), F.count_if(~F.col("selected")).alias("unselected"), F.count_if(F.array_contains("rules", "always_run")).alias("always_run"))
+
+
 def counts(plan: Plan) -> DataFrame:
-    return plan.decisions.agg(F.count("*").alias("targets"), F.count_if("selected").alias("selected"), F.count_if(~F.col("selected")).alias("unselected"), F.count_if(F.array_contains("rules", "always_run")).alias("always_run"))
+    return decision_counts(plan.decisions)
 
 
 def to_dict(plan: Plan) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import stat
 import subprocess
 from collections.abc import Iterator, Sequence
 
@@ -32,7 +34,10 @@ def _shaped(files: DataFrame, roots: Sequence[str], patterns: Sequence[str]) ->
 
 
 def read_folder(spark: SparkSession, root: str, snapshot: str, roots: Sequence[str] = ("",), patterns: Sequence[str] = ()) -> DataFrame:
-    """A snapshot that lies in a folder of any file system; contents stay on the executors."""
+    """A snapshot that lies in a folder of any file system; contents stay on the executors.
+
+    Such file systems keep no modes, so all files have the plain one: compare two folders, not a folder with a commit.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root.rstrip("/")), r"^\w+:/*", "/")
     path = F.regexp_replace("path", r"^\w+:/*", "/")
@@ -69,22 +74,42 @@ def commits_in_range(repo: str, span: str) -> list[tuple[str, str, str]]:
     return [(c, p.split(" ")[0], s) for c, p, s in (x.split("\t", 2) for x in lines)]
 
 
+#: git's modes.
+PLAIN, EXECUTABLE, LINK = "100644", "100755", "120000"
+
+
+def _mode(path: str) -> str | None:
+    """The mode git gives a file of the working tree; null for what is no file or link."""
+    try:
+        found = os.lstat(path).st_mode
+    except (FileNotFoundError, NotADirectoryError):
+        return None
+    if stat.S_ISLNK(found):
+        return LINK
+    return (EXECUTABLE if found & stat.S_IXUSR else PLAIN) if stat.S_ISREG(found) else None
+
+
+def _read(path: str) -> bytearray:
+    with open(path, "rb") as f:
+        return bytearray(f.read())
+
+
 def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", snapshot: str = "head", roots: Sequence[str] = ("",), patterns: Sequence[str] = ()) -> DataFrame:
     """A commit (any revision), the staged content (``INDEX``) or the working tree (``WORKTREE``).
 
-    Modules are read whole, other files by their ids alone.
+    Modules are read whole, other files and links by their ids and modes alone.
     """
     if revision == "WORKTREE":
         names = [p for p in _git(repo, "ls-files", "-z", "--cached", "--others", "--exclude-standard").decode().split("\0") if p]
-        rows = []
-        for p in dict.fromkeys(names):
-            try:
-                with open(f"{repo}/{p}", "rb") as f:
-                    rows.append((p, "100644", f.read()))
-            except (FileNotFoundError, IsADirectoryError):
-                continue
-        ids = _git(repo, "hash-object", "--stdin-paths", data="".join(f"{p}\n" for p, _, _ in rows).encode()).decode().split()
-        table = [(snapshot, p, bytearray(c) if p.endswith(".py") else None, i, m) for (p, m, c), i in zip(rows, ids, strict=True)]
+        modes = {p: m for p in dict.fromkeys(names) if (m := _mode(f"{repo}/{p}"))}
+        plain = [p for p, m in modes.items() if m != LINK and "\n" not in p]
+        ids = dict(zip(plain, _git(repo, "hash-object", "--stdin-paths", data="".join(f"{p}\n" for p in plain).encode()).decode().split(), strict=True))
+        for p, m in modes.items():
+            if m == LINK:  # a link is what it points to, as git keeps it
+                ids[p] = _git(repo, "hash-object", "--stdin", data=os.fsencode(os.readlink(f"{repo}/{p}"))).decode().strip()
+            elif p not in ids:
+                ids[p] = _git(repo, "hash-object", "--", p).decode().strip()
+        table = [(snapshot, p, _read(f"{repo}/{p}") if p.endswith(".py") and m != LINK else None, ids[p], m) for p, m in modes.items()]
     else:
         if revision == "INDEX":
             listed = [x.split("\t", 1) for x in _git(repo, "ls-files", "-s", "-z").decode().split("\0") if x]
@@ -92,7 +117,7 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", snapshot: s
         else:
             listed = [x.split("\t", 1) for x in _git(repo, "ls-tree", "-r", "-z", resolve_commit(repo, revision)).decode().split("\0") if x]
             entries = [(h.split()[0], h.split()[2], p) for h, p in listed if h.split()[1] == "blob"]
-        wanted = [(m, i, p) for m, i, p in entries if p.endswith(".py")]
+        wanted = [(m, i, p) for m, i, p in entries if p.endswith(".py") and m != LINK]
         content = dict(zip((p for _, _, p in wanted), _blobs(repo, [i for _, i, _ in wanted]), strict=True))
         table = [(snapshot, p, bytearray(content[p]) if p in content else None, i, m) for m, i, p in entries]
     files = spark.createDataFrame(table, "snapshot string, path string, content binary, blob_id string, mode string")
