@@ -27,8 +27,9 @@ def _query(sql: str | None = None):
     return register
 
 
-def _long(*columns: str):
-    return {c: F.col(c).cast("long") for c in columns}
+def _by_hour():
+    """Tests of events: a user and an hour of the day."""
+    return F.concat_ws("/", F.col("user_id").cast("string"), F.hour("ts").cast("string"))
 
 
 # Scans and version diffs.
@@ -113,7 +114,7 @@ def _ring(t: Tables) -> DataFrame:
 
 @_query(f"""WITH RECURSIVE {_RING_SQL}, c AS (SELECT source AS origin, source AS node FROM edge WHERE source LIKE 'n:%' UNION SELECT c.origin, e.target FROM c JOIN edge e ON c.node = e.source) SELECT origin, node FROM c""")
 def q07_import_closure(t: Tables) -> DataFrame:
-    return fixpoint.closure(_ring(t), t.nation.select(node("n", "n_nationkey").alias("node")))
+    return diff.import_closures(_ring(t).withColumn("kind", F.lit("imports")), t.nation.select(node("n", "n_nationkey").alias("id")))
 
 
 @_query("SELECT conv_id, coalesce(min(turn) FILTER (role = 'user') < max(turn) FILTER (role = 'assistant'), false) AS asks_then_answers FROM conversations GROUP BY conv_id")
@@ -223,11 +224,14 @@ def q19_isolated_fixpoint(t: Tables) -> DataFrame:
     return fixpoint.isolated(members, X.references(t).where("target NOT LIKE 's:%'"), members.where("false"))
 
 
-@_query("""WITH w AS (SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R')
-SELECT 'o:' || o AS target, 'calls:s:' || s AS source FROM w UNION SELECT 'calls:s:' || s, 'c:' || o_custkey FROM w JOIN orders ON o = o_orderkey""")
+@_query("""WITH w AS (SELECT l_orderkey AS o, l_suppkey AS s FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R'), c AS (SELECT DISTINCT o, o_custkey AS k, c_nationkey AS n FROM w JOIN orders ON o = o_orderkey JOIN customer ON c_custkey = o_custkey)
+SELECT 's:' || s AS source, 'calls:o:' || o AS target FROM w UNION SELECT 'calls:o:' || o, 'c:' || k FROM c UNION SELECT 'calls:o:' || o, 'calls:c:' || k FROM c UNION SELECT 'calls:c:' || k, 'n:' || n FROM c""")
 def q20_caller_effects(t: Tables) -> DataFrame:
+    """Orders write suppliers and are called by customers, these by nations, which are modules."""
     e = X.references(t)
-    return graph.caller_effects(e.where("source LIKE 'c:%'"), e.where("detail = 'writes'")).select("source", "target")
+    calls = e.where("source LIKE 'c:%'").select("source", "target").unionByName(t.customer.select(node("n", "c_nationkey").alias("source"), node("c", "c_custkey").alias("target")))
+    mutated = e.where("detail = 'writes'").select(F.col("target").alias("variable"), F.col("source").alias("writer"))
+    return graph.caller_effects(calls, mutated, t.nation.select(node("n", "n_nationkey").alias("node"))).select("source", "target")
 
 
 @_query("SELECT 'c:' || c_custkey AS runner_id, CASE WHEN c_custkey % 3 = 0 THEN 'manifest' ELSE 'discovered' END AS entry_symbol FROM customer")
@@ -289,23 +293,30 @@ def q25_shortest_explanation(t: Tables) -> DataFrame:
     return impact.explained(found, wanted, edges).select("node", "changed_symbol", F.array_join("path", ">").alias("path"), "rule")
 
 
-@_query("""WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 1), w AS (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R')
+_CUSTOMER = ("customer", "c_custkey", "c_name", "c_mktsegment")
+
+
+def _changed_customers(t: Tables) -> DataFrame:
+    rows = diff.changed_keys(*X.versions(t.customer, *_CUSTOMER[1:]), "id", ["body_hash", "definition_hash"])
+    return rows.select(node("c", "id").alias("node"))
+
+
+@_query(f"""WITH {X.versions_sql(*_CUSTOMER)}, o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT id FROM j WHERE body OR def)), w AS (SELECT l_orderkey, l_suppkey FROM lineitem GROUP BY ALL HAVING min(l_returnflag) = 'R')
 SELECT DISTINCT 's:' || l_suppkey AS node, 2 AS mode FROM w WHERE l_orderkey IN (FROM o)""")
 def q26_import_call_effects(t: Tables) -> DataFrame:
     e = X.references(t)
-    seeds = t.customer.where("c_custkey % 50 = 1").select(node("c", "c_custkey").alias("node"))
     mutated = e.where("detail = 'writes'").select(F.col("target").alias("source"), F.col("source").alias("target"))
-    return impact.import_call_effects(seeds, e.where("source LIKE 'c:%'").select("source", "target"), mutated).select("node", "mode")
+    return impact.import_call_effects(_changed_customers(t), e.where("source LIKE 'c:%'").select("source", "target"), mutated).select("node", "mode")
 
 
 @_query("""WITH RECURSIVE e AS (SELECT 'c:' || o_custkey AS source, 'o:' || o_orderkey AS target, o_orderkey AS k FROM orders UNION ALL SELECT DISTINCT 'o:' || l_orderkey, 'p:' || l_partkey, l_orderkey FROM lineitem),
-s AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey % 10 = 1),
+s AS (SELECT 'c:' || c_custkey AS node FROM customer),
 b AS (SELECT node AS origin, node FROM s UNION SELECT b.origin, e.target FROM b JOIN e ON e.source = b.node WHERE k % 97 <> 5), h AS (SELECT node AS origin, node FROM s UNION SELECT h.origin, e.target FROM h JOIN e ON e.source = h.node WHERE k % 89 <> 7)
 SELECT *, 'run' AS change FROM (FROM h EXCEPT FROM b) UNION ALL SELECT *, 'not_run' FROM (FROM b EXCEPT FROM h)""")
 def q27_newly_run(t: Tables) -> DataFrame:
     e = X.references(t).where("target NOT LIKE 's:%'").withColumn("kind", F.lit("imports"))
     key = F.when(F.col("source").startswith("o:"), F.substring_index("source", ":", -1)).otherwise(F.substring_index("target", ":", -1)).cast("long")
-    return impact.newly_run(e.where(key % 97 != 5), e.where(key % 89 != 7), t.customer.where("c_custkey % 10 = 1").select(node("c", "c_custkey").alias("node")))
+    return impact.newly_run(e.where(key % 97 != 5), e.where(key % 89 != 7), t.customer.select(node("c", "c_custkey").alias("node")))
 
 
 @_query("SELECT 'target:run:c:' || c_custkey AS node, rule FROM customer, (VALUES ('analysis_error'), ('unanalysed_file_changed')) v(rule)")
@@ -396,11 +407,12 @@ def q36_complete_records(t: Tables) -> DataFrame:
     return evidence.complete(cases)
 
 
-@_query("""WITH b AS (SELECT DISTINCT CASE WHEN day(ts) % 2 = 0 THEN 'even' ELSE 'odd' END AS s, user_id::VARCHAR AS test_id, event_type AS item FROM events WHERE event_id % 3 = 0),
+@_query("""WITH b AS (SELECT DISTINCT CASE WHEN day(ts) % 2 = 0 THEN 'even' ELSE 'odd' END AS s, user_id || '/' || hour(ts) AS test_id, event_type AS item FROM events),
 g AS (SELECT test_id, string_agg(item, ',' ORDER BY item) FILTER (s = 'even') AS x, string_agg(item, ',' ORDER BY item) FILTER (s = 'odd') AS y FROM b GROUP BY test_id) SELECT test_id FROM g WHERE x IS NOT NULL AND y IS NOT NULL AND x <> y""")
 def q37_unstable_tests(t: Tables) -> DataFrame:
-    r = X.recordings(t).where("event_id % 3 = 0").withColumn("item", F.substring_index("item", ":", 1))
-    return evidence.unstable(r.where("store_id = 'even'"), r.where("store_id = 'odd'"))
+    even = F.dayofmonth("ts") % 2 == 0
+    r = t.events.select(_by_hour().alias("test_id"), F.col("event_type").alias("item"), even.alias("even"))
+    return evidence.unstable(r.where("even"), r.where("NOT even"))
 
 
 @_query(f"""WITH {RECORDINGS_SQL}, old_r AS (SELECT test_id, bit_or(flags) | CASE WHEN test_id::INT % 4 = 0 THEN 2 ELSE 0 END AS flags FROM rec WHERE store_id = 'odd' GROUP BY test_id), new_r AS (SELECT test_id, bit_or(flags) AS flags FROM rec WHERE store_id = 'even' AND test_id::INT % 2 = 0 GROUP BY test_id),
@@ -435,12 +447,13 @@ def q40_guarded_readers(t: Tables) -> DataFrame:
 _PATH_SQL = "regexp_extract(url, '://([^?#]*)', 1)"
 
 
-@_query(f"""WITH p AS (SELECT DISTINCT {_PATH_SQL} AS path FROM pages WHERE page_id % 5 = 0), t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_PATH_SQL} ELSE string_split({_PATH_SQL}, '/')[1] END AS place FROM pages),
+@_query(f"""WITH {X.versions_sql("pages", "page_id", "url", "html")}, p AS (SELECT DISTINCT {_PATH_SQL} AS path FROM pages JOIN j ON page_id = j.id WHERE body OR def), t AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {_PATH_SQL} ELSE string_split({_PATH_SQL}, '/')[1] END AS place FROM pages),
 u AS (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS place FROM (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS k FROM p)) SELECT DISTINCT page_id::VARCHAR AS test_id, path FROM t JOIN u USING (place)""")
 def q41_touched_ancestors(t: Tables) -> DataFrame:
     path = F.regexp_extract("url", "://([^?#]*)", 1)
     touched = t.pages.select(F.col("page_id").cast("string").alias("test_id"), F.when(F.col("page_id") % 2 == 0, path).otherwise(F.substring_index(path, "/", 1)).alias("path"))
-    return evidence.touched_ancestors(touched, t.pages.where("page_id % 5 = 0").select(path.alias("path")).distinct())
+    changed = diff.changed_keys(*X.versions(t.pages, "page_id", "url", "html"), "id", ["body_hash", "definition_hash"]).select(F.col("id").alias("page_id"))
+    return evidence.touched_ancestors(touched, t.pages.join(changed, "page_id", "left_semi").select(path.alias("path")).distinct())
 
 
 @_query("""WITH a AS (SELECT n_name AS key, md5(n_name) AS value FROM nation WHERE n_nationkey % 5 <> 1), b AS (SELECT n_name AS key, CASE WHEN n_nationkey % 4 = 0 THEN 'x' ELSE md5(n_name) END AS value FROM nation WHERE n_nationkey % 7 <> 2)
@@ -450,13 +463,13 @@ def q42_env_diff(t: Tables) -> DataFrame:
     return evidence.environment_differences(own("n_nationkey % 5 <> 1", F.md5("n_name")), own("n_nationkey % 7 <> 2", F.when(F.col("n_nationkey") % 4 == 0, "x").otherwise(F.md5("n_name"))))
 
 
-@_query("""WITH c AS (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS commit, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS place FROM orders), s AS (SELECT 'p' || p_partkey AS store_id, 365 + p_partkey * 37 % 4000 AS place, (p_partkey % 11)::DOUBLE AS created FROM part WHERE p_partkey % 9 = 0),
+@_query("""WITH c AS (SELECT DISTINCT o_orderdate::DATE::VARCHAR AS commit, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS place FROM orders), s AS (SELECT 'p' || p_partkey AS store_id, 365 + p_partkey * 37 % 4000 AS place, (p_partkey % 11)::DOUBLE AS created FROM part),
 m AS (SELECT place, max_by(store_id, (created, store_id)) AS store_id FROM s GROUP BY place) SELECT commit, store_id FROM c ASOF LEFT JOIN m ON c.place >= m.place""")
 def q43_nearest_store_asof(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
     commits = t.orders.select(day.cast("string").alias("commit"), F.datediff(day, F.lit("1990-01-01").cast("date")).cast("long").alias("place")).distinct()
     k = F.col("p_partkey")
-    stores = t.part.where("p_partkey % 9 = 0").select(F.concat(F.lit("p"), k.cast("string")).alias("store_id"), (365 + k * 37 % 4000).alias("place"), (k % 11).cast("double").alias("created"))
+    stores = t.part.select(F.concat(F.lit("p"), k.cast("string")).alias("store_id"), (365 + k * 37 % 4000).alias("place"), (k % 11).cast("double").alias("created"))
     return evidence.nearest_store(commits, stores)
 
 
@@ -474,60 +487,63 @@ def q44_no_evidence(t: Tables) -> DataFrame:
 _OUTCOME_SQL = "CASE event_type WHEN 'view' THEN 'PASSED' WHEN 'click' THEN 'SKIPPED' WHEN 'signup' THEN 'XFAIL' WHEN 'purchase' THEN 'FAILED' ELSE 'ERROR' END"
 
 
+_EVEN_SQL, _ODD_SQL = "day(ts) % 2 = 0", "day(ts) % 2 = 1"
+_EVEN, _ODD = "dayofmonth(ts) % 2 = 0", "dayofmonth(ts) % 2 = 1"
+
+
 def _outcomes(t: Tables, keep: str = "true") -> DataFrame:
     outcome = F.when(F.col("event_type") == "view", "PASSED").when(F.col("event_type") == "click", "SKIPPED").when(F.col("event_type") == "signup", "XFAIL").when(F.col("event_type") == "purchase", "FAILED").otherwise("ERROR")
-    return t.events.where(keep).select(F.col("user_id").cast("string").alias("test"), outcome.alias("outcome"), "event_id")
-
+    return t.events.where(keep).select(_by_hour().alias("test"), outcome.alias("outcome"))
 
 
 _RANK_SQL = "list_transform(list_sort(list_distinct(list(list_position(['PASSED', 'SKIPPED', 'XFAIL', 'XPASS', 'FAILED', 'ERROR'], o)))), lambda k: ['PASSED', 'SKIPPED', 'XFAIL', 'XPASS', 'FAILED', 'ERROR'][k])"
 
 
 def _ranked_sql(keep: str = "true") -> str:
-    return f"SELECT user_id::VARCHAR AS test, array_to_string({_RANK_SQL}, '+') AS outcomes FROM (SELECT user_id, {_OUTCOME_SQL} AS o FROM events WHERE {keep}) GROUP BY user_id"
+    return f"SELECT test, array_to_string({_RANK_SQL}, '+') AS outcomes FROM (SELECT user_id || '/' || hour(ts) AS test, {_OUTCOME_SQL} AS o FROM events WHERE {keep}) GROUP BY test"
 
 
-@_query(_ranked_sql("event_id % 5 < 2"))
+@_query(_ranked_sql())
 def q45_outcome_fold(t: Tables) -> DataFrame:
-    return validate.outcome_fold(_outcomes(t, "event_id % 5 < 2"))
+    return validate.outcome_fold(_outcomes(t))
 
 
-@_query(f"""WITH b AS ({_ranked_sql("event_id % 11 = 0")}), h AS ({_ranked_sql("event_id % 13 = 0")}) SELECT coalesce(b.test, h.test) AS test, b.outcomes AS before, h.outcomes AS after, b.outcomes IS DISTINCT FROM h.outcomes AS changed FROM b FULL JOIN h ON b.test = h.test""")
+@_query(f"""WITH b AS ({_ranked_sql(_EVEN_SQL)}), h AS ({_ranked_sql(_ODD_SQL)}) SELECT coalesce(b.test, h.test) AS test, b.outcomes AS before, h.outcomes AS after, b.outcomes IS DISTINCT FROM h.outcomes AS changed FROM b FULL JOIN h ON b.test = h.test""")
 def q46_outcome_transition(t: Tables) -> DataFrame:
-    return validate.transitions(validate.outcome_fold(_outcomes(t, "event_id % 11 = 0")), validate.outcome_fold(_outcomes(t, "event_id % 13 = 0")))
+    return validate.transitions(validate.outcome_fold(_outcomes(t, _EVEN)), validate.outcome_fold(_outcomes(t, _ODD)))
 
 
 def _cases(t: Tables, keep: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "failed").otherwise("passed")
-    return t.events.where(keep).select(F.lit("r").alias("run"), F.when(F.col("event_id") % 29 == 0, "").otherwise("m").alias("classname"), F.concat(F.lit("case"), (F.col("event_id") % 3).cast("string")).alias("name"), kind.alias("outcome"), F.col("user_id").cast("string").alias("runner_id"))
+    return t.events.where(keep).select(F.lit("r").alias("run"), F.when(F.col("event_id") % 29 == 0, "").otherwise("m").alias("classname"), F.concat(F.lit("case"), (F.col("event_id") % 3).cast("string")).alias("name"), kind.alias("outcome"), _by_hour().alias("runner_id"))
 
 
 def _broken_sql(keep: str) -> str:
-    return f"SELECT user_id::VARCHAR AS target, CASE WHEN event_id % 29 = 0 AND event_type = 'error' THEN 'collection' ELSE 'test' END AS kind, list_sort(list_distinct(list('case' || event_id % 3))) AS cases FROM events WHERE event_type IN ('error', 'purchase') AND {keep} GROUP BY ALL"
+    return f"SELECT user_id || '/' || hour(ts) AS target, CASE WHEN event_id % 29 = 0 AND event_type = 'error' THEN 'collection' ELSE 'test' END AS kind, list_sort(list_distinct(list('case' || event_id % 3))) AS cases FROM events WHERE event_type IN ('error', 'purchase') AND {keep} GROUP BY ALL"
 
 
-@_query(f"""WITH n AS ({_broken_sql("event_id % 17 = 0")}), b AS ({_broken_sql("event_id % 5 = 1")}) SELECT n.target, n.kind, coalesce(list_has_all(b.cases, n.cases), false) AS already FROM n LEFT JOIN (FROM b WHERE kind = 'test') b ON n.target = b.target""")
+@_query(f"""WITH n AS ({_broken_sql(_ODD_SQL)}), b AS ({_broken_sql(_EVEN_SQL)}) SELECT n.target, n.kind, coalesce(list_has_all(b.cases, n.cases), false) AS already FROM n LEFT JOIN (FROM b WHERE kind = 'test') b ON n.target = b.target""")
 def q47_already_failing_subset(t: Tables) -> DataFrame:
-    now, before = validate.broken(_cases(t, "event_id % 17 = 0")), validate.broken(_cases(t, "event_id % 5 = 1")).where("kind = 'test'")
+    now, before = validate.broken(_cases(t, _ODD)), validate.broken(_cases(t, _EVEN)).where("kind = 'test'")
     return validate.already_failing(now, before).select("target", "kind", "already")
 
 
-@_query(f"""WITH n AS ({_broken_sql("event_id % 17 = 0")}), b AS (FROM ({_broken_sql("event_id % 5 = 1")}) WHERE kind = 'test'), v AS (SELECT CASE WHEN n.kind = 'collection' THEN 'collection' WHEN coalesce(list_has_all(b.cases, n.cases), false) THEN 'already' WHEN n.target::INT % 3 > 0 THEN 'caught' ELSE 'miss' END AS v FROM n LEFT JOIN b ON n.target = b.target)
+@_query(f"""WITH n AS ({_broken_sql(_ODD_SQL)}), b AS (FROM ({_broken_sql(_EVEN_SQL)}) WHERE kind = 'test'), p AS (SELECT DISTINCT user_id || '/' || hour(ts) AS target, (user_id + hour(ts)) % 3 > 0 AS selected FROM events),
+v AS (SELECT CASE WHEN n.kind = 'collection' THEN 'collection' WHEN coalesce(list_has_all(b.cases, n.cases), false) THEN 'already' WHEN selected THEN 'caught' ELSE 'miss' END AS v FROM n JOIN p USING (target) LEFT JOIN b ON n.target = b.target)
 SELECT count(*) AS failures, count(*) FILTER (v = 'miss') AS misses, count(*) FILTER (v = 'already') AS already, count(*) FILTER (v = 'caught') AS caught, count(*) FILTER (v = 'collection') AS collection, count(*) FILTER (v = 'miss') = 0 AS ok FROM v""")
 def q48_check_misses(t: Tables) -> DataFrame:
-    now, before = validate.broken(_cases(t, "event_id % 17 = 0")), validate.broken(_cases(t, "event_id % 5 = 1")).where("kind = 'test'")
-    plan = t.events.select(F.col("user_id").cast("string").alias("target"), (F.col("user_id") % 3 > 0).alias("selected")).distinct()
+    now, before = validate.broken(_cases(t, _ODD)), validate.broken(_cases(t, _EVEN)).where("kind = 'test'")
+    plan = t.events.select(_by_hour().alias("target"), ((F.col("user_id") + F.hour("ts")) % 3 > 0).alias("selected")).distinct()
     return validate.check_totals(validate.checked(now, before, plan))
 
 
-@_query(f"""WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'tests/' || path || '.py::K' || page_id || '::test_a[' || page_id || ']' END AS runner_id FROM p""")
+@_query(f"""WITH p AS (SELECT page_id, {_PATH_SQL} AS path FROM pages) SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'tests/' || replace(path, '.', '-') || '.py::K' || page_id || '::test_a[' || page_id || ']' END AS runner_id FROM p""")
 def q49_junit_match(t: Tables) -> DataFrame:
     path, k = F.regexp_extract("url", "://([^?#]*)", 1), F.col("page_id").cast("string")
-    targets = t.pages.where("page_id % 3 <> 0").select(F.concat(F.lit("tests/"), path, F.lit(".py::K"), k, F.lit("::test_a["), k, F.lit("]")).alias("runner_id"))
-    cases = t.pages.select("page_id", F.concat(F.lit("tests."), F.translate(path, "/", "."), F.lit(".K"), k).alias("classname"), F.concat(F.lit("test_a["), k, F.lit("]")).alias("name"))
-    own = targets.withColumn("runner_key", F.translate(validate.target_key("runner_id"), ".", "/"))
-    keyed = cases.withColumn("runner_key", F.translate(validate.junit_key(F.col("classname"), F.col("name")), ".", "/"))
-    return keyed.join(own, "runner_key", "left").select("page_id", "runner_id")
+    plain = F.translate(path, ".", "-")  # dots of a path would be parts of a class name
+    targets = t.pages.where("page_id % 3 <> 0").select(F.concat(F.lit("tests/"), plain, F.lit(".py::K"), k, F.lit("::test_a["), k, F.lit("]")).alias("runner_id"))
+    cases = t.pages.select("page_id", F.concat(F.lit("tests."), F.translate(plain, "/", "."), F.lit(".K"), k).alias("classname"), F.concat(F.lit("test_a["), k, F.lit("]")).alias("name"))
+    return validate.matched(cases, targets).select("page_id", "runner_id")
 
 
 _QUALITY_SQL = """count(*) AS n, count(*) FILTER (a) AS affected, count(*) FILTER (s) AS selected, count(*) FILTER (a AND s) AS caught, count(*) FILTER (a AND NOT s) AS missed,
