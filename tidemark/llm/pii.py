@@ -9,8 +9,8 @@ is that of the whole text.
 
 Spans of the patterns always stay; spans of the field are added where they touch none of those.
 
-Edge cases: a null or empty text has no spans; texts of any length are read whole; repeated rows each get a
-row; an empty table gives an empty result; extra columns are ignored.
+Edge cases: a null or empty text has no spans; texts of any length are read whole, in time that grows with their
+length alone; repeated rows each get a row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +25,18 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import by_batch
+from .common import by_batch, column, positional, release, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = ("O", *KINDS)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# An e-mail's first run is read from its start, or from where the e-mail before it ended: one that starts within would fail or succeed as the whole does.
+EMAIL_HERE = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL_HERE.pattern)
+# No match ends within a run of digits, so every match starts at the start of one.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
@@ -47,9 +49,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    out, at = [], 0
+    while m := (EMAIL_HERE.match(text, at) if out else None) or EMAIL.search(text, at):
+        out.append(m.span())
+        at = m.end()
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The patterns' spans, by kind and start."""
-    out = [("email", *m.span()) for m in EMAIL.finditer(text)] if "@" in text else []
+    out = [("email", *x) for x in emails(text)] if "@" in text else []
     if not DIGIT.search(text):
         return out
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(x[-4:]) <= 255 and not x[:-4].strip("0") for x in m.group().split("."))]
@@ -177,9 +187,13 @@ class Field:
             known = self.words = {k: v for k, v in known.items() if len(k) <= 7}
             if len(known) > 200_000:
                 known = self.words = {}
-        for w in set(words).difference(known):
-            known[w] = self._key(features(w))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        fresh = set(words).difference(known)
+        known.update((w, self._key(features(w))) for w in fresh)
+        out = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in fresh:
+            if len(w) > 64:
+                del known[w]
+        return out
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         out = self.table[0, ids]
@@ -342,32 +356,31 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string())])
+_FOUND = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("n_spans", pa.int64())])
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts and digest of the base spans, and all spans in words."""
+    """Per document: doc_id, counts and digest of the base spans, all spans in words, and how many of them are secrets and how many there are."""
     model = field()
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         got = spans_of(rows["text"], model)
-        return {"doc_id": rows["doc_id"], "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], "spans": [written(x) for _, x in got]} | {f"n_{k}": [sum(x[0] == k for x in b) for b, _ in got] for k in KINDS[:4]}
+        return {"doc_id": rows["doc_id"], "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], "spans": [written(x) for _, x in got]} | {f"n_{k}": [sum(x[0] == k for x in b) for b, _ in got] for k in KINDS[:4]} | {"n_secret": [sum(x[0] == "secret" for x in every) for _, every in got], "n_spans": [len(every) for _, every in got]}
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    return read.mapInArrow(by_batch(run, _FOUND), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts_of(docs).mapInArrow(by_batch(run, _FOUND), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with all spans of ``text`` masked; other columns are as they were.  Null stays null."""
     model = field()
-    place = docs.columns.index(text)
+    own, place = positional(docs), int(column(docs, text)[1:])
 
     def run(batches):
+        release()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256)
+            for rows in slices(whole, 256):
                 texts = rows.column(place).to_pylist()
                 new = [t and masked(t, s) for t, (_, s) in zip(texts, spans_of(texts, model), strict=True)]
                 yield rows.set_column(place, rows.schema.field(place), pa.array(new, type=rows.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
