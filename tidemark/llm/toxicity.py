@@ -7,8 +7,9 @@ that of its highest window.  All windows of ``SPAN`` words at steps of ``STEP``
 A word of over ``LONGEST`` bytes, as texts without white space are, is read as its runs of letters, ideographs and
 other characters, and a run that is still longer as overlapping pieces of ``PIECE`` bytes; each takes a word's place.
 
-Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id),
-none of them held out, and is the same at every size; labels, lang, source and doc_id are no inputs of a score.
+Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id) and of those, in
+the same order, what fits into ``MOST_BYTES``, none of them held out, and is the same at every size; labels, lang, source
+and doc_id are no inputs of a score.
 
 Edge cases: a null, empty or blank text has one window of padding; texts of any length are read whole;
 repeated rows score alike; without labels of both classes all scores are the smoothed rate of toxic labels;
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, mix
+from .common import by_batch, column, mix, picked, positional, release, remove, slices, staged, texts_of
 
 SPAN, STEP = 32, 16
 HIDDEN, HALF = 8, 4
 WORDS, GRAMS = 1 << 15, 1 << 15
-#: Most training documents with label 1, and with label 0.
+#: Most training documents with label 1, and with label 0, and most bytes of their texts, which the driver reads.
 MOST = (1000, 3000)
+MOST_BYTES = 16 << 20
 THRESHOLD = 0.7
 _EDGE = b".,;:!?\"'*#$%&()[]<>|"
 #: Bytes of a word that is read in one, and of the pieces of a longer run, which overlap by half.
@@ -290,13 +292,21 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST) -> Network:
-    """Train on at most ``most`` labelled documents of each class that are not held out."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id")).distinct()
+def fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = MOST, most_bytes: int = MOST_BYTES) -> Network:
+    """Train on at most ``most`` labelled documents of each class that are not held out; one that no longer fits into ``most_bytes`` is left out."""
+    own = picked(labels, doc_id="long", toxic="int").where("toxic IN (0, 1) AND doc_id IS NOT NULL").where(~held_out("doc_id")).distinct()
     order = [F.xxhash64("doc_id"), "doc_id"]
     some = own.where("toxic = 1").orderBy(*order).limit(most[0]).unionByName(own.where("toxic = 0").orderBy(*order).limit(most[1]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(some), "doc_id")  # bounded by ``most``
-    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in texts.collect())
+    ids, path = staged(some, "training")
+    texts = texts_of(docs).join(F.broadcast(ids), "doc_id")  # bounded by ``most``
+    used, room = [], most_bytes
+    for d, size in sorted(texts.groupBy("doc_id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")).collect(), key=lambda x: zlib.crc32(str(x[0]).encode())):
+        if size <= room:
+            room -= size
+            used.append(d)
+    kept = docs.sparkSession.createDataFrame([(d,) for d in used], "doc_id long")
+    rows = sorted((r.doc_id, r.text or "", r.toxic) for r in texts.join(F.broadcast(kept), "doc_id", "left_semi").collect())  # bounded by ``most``
+    remove(docs.sparkSession, path)
     return train([t for _, t, _ in rows], [y for _, _, y in rows]) if rows else train([""], [0])
 
 
@@ -308,19 +318,18 @@ def scored(docs: DataFrame, model: Network) -> DataFrame:
     def run(rows: dict[str, list]) -> dict:
         return {"doc_id": rows["doc_id"], "score": model.scores(rows["text"])}
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    out = read.mapInArrow(by_batch(run, _SCORED), "doc_id long, score double")
+    out = texts_of(docs).mapInArrow(by_batch(run, _SCORED), "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Network) -> DataFrame:
     """The documents whose score is under the threshold, all columns as they are."""
-    place = docs.columns.index("text")
+    own, place = positional(docs), int(column(docs, "text")[1:])
 
     def run(batches):
+        release()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                rows = whole.slice(at, 256)
+            for rows in slices(whole, 256):
                 yield rows.filter(pa.array(model.scores(rows.column(place).to_pylist()) < THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
