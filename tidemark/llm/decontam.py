@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, new_path, remove, staged
+from .common import by_batch, new_path, picked, release, remove, slices, staged, texts_of
 
 WINDOW = 10
 #: Most windows in a block, and most candidates that are sent to all executors.
-BLOCK = 40_000
+BLOCK = 200_000
 SMALL = 300_000
+#: Of ten words of a window, how many a proximity match needs.
+NEAR = 8
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -60,9 +62,10 @@ _COUNTS = pa.schema([("term", pa.binary()), ("n", pa.int64())])
 def _counts(vocabulary: frozenset[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        release()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                for text in whole.column(0).slice(at, 256).to_pylist():
+            for rows in slices(whole, 256):
+                for text in rows.column(0).to_pylist():
                     seen.update(vocabulary.intersection(words_of(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], schema=_COUNTS)
 
@@ -94,12 +97,16 @@ def _postings(terms: dict[bytes, int]):
 _FOUND = pa.schema([("doc_id", pa.int64()), ("win", pa.int32()), ("start", pa.int32())])
 
 
-def _verified(windows: list[list[bytes]]):
+def _is_at(words: list[bytes], start: int, window: bytes) -> bool:
+    return start >= 0 and b" ".join(words[start : start + window.count(b" ") + 1]) == window
+
+
+def _verified(windows: list[bytes]):
     def run(rows: dict[str, list]) -> dict:
         out: list[tuple] = []
         for d, text, spots in zip(rows["doc_id"], rows["text"], rows["spots"], strict=True):
             words = words_of(text)
-            out += [(d, x["win"], x["start"]) for x in spots if x["start"] >= 0 and words[x["start"] : x["start"] + len(windows[x["win"]])] == windows[x["win"]]]
+            out += [(d, x["win"], x["start"]) for x in spots if _is_at(words, x["start"], windows[x["win"]])]
         return {k: [x[i] for x in out] for i, k in enumerate(_FOUND.names)}
 
     return run
@@ -108,7 +115,7 @@ def _verified(windows: list[list[bytes]]):
 _NEAR = pa.schema([("doc_id", pa.int64()), ("win", pa.int32()), ("start", pa.int32()), ("apart", pa.int32()), ("n_match", pa.int32())])
 
 
-def _matched(windows: list[list[bytes]]):
+def _matched(windows: list[bytes]):
     """Spots with how many words of the window, each as often as it has them, lie where the spot says; exact ones go."""
 
     def run(rows: dict[str, list]) -> dict:
@@ -116,9 +123,10 @@ def _matched(windows: list[list[bytes]]):
         for d, text, spots in zip(rows["doc_id"], rows["text"], rows["spots"], strict=True):
             words = words_of(text)
             for x in spots:
-                own, start, apart = windows[x["win"]], x["start"], x["apart"]
-                if apart == 0 and start >= 0 and words[start : start + len(own)] == own:
+                start, apart = x["start"], x["apart"]
+                if apart == 0 and _is_at(words, start, windows[x["win"]]):
                     continue
+                own = windows[x["win"]].split()
                 there = Counter(words[max(0, start + min(apart, 0)) : max(0, start + max(apart, 0) + len(own))])
                 out.append((d, x["win"], start, apart, (Counter(own) & there).total()))
         return {k: [x[i] for x in out] for i, k in enumerate(_NEAR.names)}
@@ -131,18 +139,18 @@ class PositionalIndex:
 
     def __init__(self, docs: DataFrame, windows: list[bytes], folder: str):
         self.spark, self.folder = docs.sparkSession, folder
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-        self.windows = [w.split() for w in windows]
-        vocabulary = frozenset(t for w in self.windows for t in w)
+        self.docs = texts_of(docs)
+        self.windows = windows
+        vocabulary = frozenset(t for w in windows for t in w.split())
         counted = self.docs.select("text").mapInArrow(_counts(vocabulary), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
         often = {bytes(t): n for t, n in counted.collect()}  # at most the block's terms
         starts: list[list[tuple[int, bytes]]] = []
-        for w in self.windows:
-            rarest = sorted({t: i for i, t in reversed(list(enumerate(w)))}.items(), key=lambda x: (often.get(x[0], 0), x[1]))
+        for w in windows:
+            rarest = sorted({t: i for i, t in reversed(list(enumerate(w.split())))}.items(), key=lambda x: (often.get(x[0], 0), x[1]))
             starts.append([(i, t) for t, i in rarest[:2]])
         self.terms = {t: k for k, t in enumerate(sorted({t for s in starts for _, t in s}))}
         # A window with a term that no document has cannot occur.
-        self.anchors = [(self.terms[t], k, i, role) for k, s in enumerate(starts) if all(often.get(t) for t in set(self.windows[k])) for role, (i, t) in enumerate(s if len(s) > 1 else s * 2)]
+        self.anchors = [(self.terms[t], k, i, role) for k, s in enumerate(starts) if all(often.get(t) for t in windows[k].split()) for role, (i, t) in enumerate(s if len(s) > 1 else s * 2)]
         self.schema = "term int, doc_id long, places array<int>"
         self.docs.mapInArrow(by_batch(_postings(self.terms), _POSTINGS), self.schema).sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(folder)
         self.postings = self.spark.read.schema(self.schema).parquet(folder)
@@ -179,28 +187,41 @@ class PositionalIndex:
         return self.docs.join(spots, "doc_id").mapInArrow(by_batch(_matched(self.windows), _NEAR, 128), "doc_id long, win int, start int, apart int, n_match int").distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document."""
+def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document.
+
+    With ``slop`` also n_near: items with a window that is there inexactly, ``NEAR`` of its ten words or more about its
+    two rarest terms, which are at most ``slop`` words off their distance.
+    """
     spark = docs.sparkSession
-    read = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
+    read = picked(items, item_id="string", text="string")
     pairs, pairs_path = staged(read.mapInArrow(by_batch(_windows(size), _WINDOWS), "item_id string, win binary"), "windows")
     distinct = pairs.select("win").distinct()
     blocks = max(1, -(-distinct.count() // BLOCK))
-    lengths, hits, held = None, None, None
+    lengths, hits, held, close = None, None, None, None
     for k in range(blocks):
         windows = sorted(bytes(x[0]) for x in distinct.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == k).collect())
         folder = new_path(spark, "postings")
         index = PositionalIndex(docs, windows, folder)
         lengths = lengths or index.lengths()
         found, _ = staged(index.phrases(), "found")
-        names = spark.createDataFrame([(i, w, len(index.windows[i])) for i, w in enumerate(windows)], "win int, words binary, size int")
+        names = spark.createDataFrame([(i, w, w.count(b" ") + 1) for i, w in enumerate(windows)], "win int, words binary, size int")
         named = found.join(F.broadcast(names), "win")  # at most BLOCK rows
         hit = named.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place"))
         own = named.select("doc_id", "words").distinct()
         hits, held = (hit, own) if hits is None else (hits.unionByName(hit), held.unionByName(own))
+        if slop is not None:
+            by_size = index.near(slop).join(F.broadcast(names), "win").where(10 * F.col("n_match") >= NEAR * F.col("size"))  # at most BLOCK rows
+            some, _ = staged(by_size.select("doc_id", "words").distinct(), "near")
+            close = some if close is None else close.unionByName(some)
     n_hit = hits.distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
     by_item = held.join(pairs.withColumnRenamed("win", "words"), "words").select("doc_id", "item_id").distinct()
     named = by_item.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-    out = lengths.join(n_hit.join(named, "doc_id"), "doc_id", "left")
+    found = n_hit.join(named, "doc_id")
+    if close is not None:
+        n_near = close.join(pairs.withColumnRenamed("win", "words"), "words").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
+        found = found.join(n_near, "doc_id", "full_outer")
+    out = lengths.join(found, "doc_id", "left")
     none = F.sha2(F.lit(""), 256)
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    more = [] if close is None else [F.coalesce("n_near", F.lit(0)).alias("n_near")]
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *more)
