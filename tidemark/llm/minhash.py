@@ -23,7 +23,7 @@ sets' intersection.  No bucket is capped.
 Edge cases: null, empty and blank texts have an empty set and are their own component; texts of fewer than
 five words have their whole sequence as the only shingle; copies and repeated rows fall in one class; of rows with
 one doc_id and different texts that are the first of their classes, one (of the least text hash) is searched for
-links; a row without doc_id has null as ``kept`` and, without a copy that has one, as component; an empty table
+links, and all share its component; a row without doc_id has null as ``kept`` and, without a copy that has one, as component; an empty table
 gives an empty result; extra columns are ignored.
 """
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, by_batch
+from .common import SPACE, by_batch, column, positional
 
 #: Rule -> bit.  Bits are never reused, so that ledgers of all versions stay readable.
 RULES = {"min_words": 0, "repeat_words": 1, "word_length": 2, "symbols": 3, "dup_lines": 4, "long_word": 5}
@@ -91,7 +91,7 @@ def fail_bits() -> Column:
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its measurements and ``fail_bits``."""
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    read = positional(docs).select(F.col(column(docs, doc_id)).cast("long").alias("doc_id"), F.col(column(docs, text)).cast("string").alias("text"))
     return read.mapInArrow(by_batch(_measured, _SCHEMA), f"doc_id long, {MEASURES}").withColumn("fail_bits", fail_bits())
 
 

@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, staged
+from .common import picked, remove, staged
 
 #: tool -> field -> (type, required).
 SCHEMAS: Mapping[str, Mapping[str, tuple[str, bool]]] = {
@@ -104,7 +104,7 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A call's identifier is conv_id:turn; a user's call comes after that of two turns before.
     """
-    read = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    read = picked(turns, conv_id="long", turn="long", role="string", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     name = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     asked = read.where("role IN ('user', 'system')")
     after = F.when((F.col("role") == "user") & (F.col("turn") >= 2), name(F.col("turn") - 2))
