@@ -88,7 +88,7 @@ def build(files: DataFrame) -> Index:
         raise NotConverged(f"re-exports did not end in {ROUNDS} rounds")
     hit = done.where("found IS NOT NULL")
     plain = hit.where(c("found") != c("source"))
-    refs = plain.select("source", c("found").alias("target"), F.lit("references").alias("kind"), F.when(c("mark") == "mutates", "").otherwise(c("mark")).alias("detail"))
+    refs = plain.select("source", c("found").alias("target"), F.lit("references").alias("kind"), F.when(c("mark") == "mutates", "writes").otherwise(c("mark")).alias("detail"))
     # Who reads a variable depends on whoever writes it or changes it in place.
     variables = symbols.where("kind = 'variable'").select(c("id").alias("found"))
     wrote = plain.where("mark IN ('mutates', 'writes')").join(variables, "found", "left_semi").select(c("found").alias("source"), c("source").alias("target"), F.lit("references").alias("kind"), F.lit("mutated_by").alias("detail"))
@@ -112,7 +112,7 @@ def build(files: DataFrame) -> Index:
     bases = written(class_bases(symbols, bindings, ids), "bases")
     inherited = _inherited(symbols, bases)
     flags = rows.where("row = 'flag'").select(c("id").alias("node"), F.lit(True).alias("reads_docs")).distinct()
-    escaped = hit.where("is_module AND rest = ''").select(c("found").alias("id")).distinct()
+    escaped = hit.where("is_module AND rest = '' AND mark = ''").select(c("found").alias("id")).distinct()
     return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings, bases, flags, escaped)
 
 

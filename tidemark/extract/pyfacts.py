@@ -30,6 +30,8 @@ _COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
 _BUILTINS = frozenset(dir(builtins))
 #: Methods of the built-in containers that change them in place.
 _MUTATORS = frozenset({"append", "extend", "insert", "remove", "pop", "clear", "sort", "reverse", "update", "setdefault", "popitem", "add", "discard", "appendleft", "extendleft", "popleft", "rotate", "intersection_update", "difference_update", "symmetric_difference_update", "__setitem__", "__delitem__", "move_to_end", "subtract"})
+#: Of these, what also reads.
+_READING = frozenset({"pop", "popitem", "setdefault", "popleft", "subtract"})
 _DOC_READERS = frozenset({"getdoc", "cleandoc", "dedent_doc"})
 _DYNAMIC = frozenset({"import_module", "__import__", "exec", "eval"})
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
@@ -72,6 +74,15 @@ def _mutated(n: ast.AST) -> list[ast.expr]:
     return []
 
 
+def _only_written(n: ast.AST) -> list[ast.expr]:
+    """The dotted chains that a statement or call changes in place without reading what they hold."""
+    if isinstance(n, ast.Call):
+        own = [n.func] if isinstance(n.func, ast.Attribute) and n.func.attr in _MUTATORS - _READING else []
+    else:
+        own = [t.value for t in (n.targets if isinstance(n, (ast.Assign, ast.Delete)) else []) if isinstance(t, ast.Subscript)]
+    return [x for x in own if _chain(x)]
+
+
 def _holder(node: ast.expr) -> ast.expr:
     """The name or dotted chain behind subscripts and attributes of what they hold."""
     while isinstance(node, ast.Subscript) or (isinstance(node, ast.Attribute) and _chain(node) is None):
@@ -244,8 +255,12 @@ class _File:
         """Chains that are read or written; what hangs on unknown values is matched by name later."""
         todo = [n for n in nodes if isinstance(n, ast.AST)]
         globals_ = {x for n in todo for g in ast.walk(n) if isinstance(g, ast.Global) for x in g.names}
+        quiet: set[int] = set()
         while todo:
             n = todo.pop()
+            if id(n) in quiet:
+                continue
+            quiet.update(map(id, _only_written(n)))
             for x in _mutated(n):
                 chain = _chain(_holder(x))
                 if chain and me and chain[0] == me and cls:

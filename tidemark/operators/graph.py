@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.names import fnmatch_regex, prefixes, short_name
 from tidemark.operators.fixpoint import closure, reachable
+from tidemark.tables import written
 
 ITEM = ("source", "target", "kind", "detail")
 
@@ -99,11 +100,15 @@ def declared(declarations: DataFrame, member_pairs: DataFrame, most: int = 5_000
 
 
 def name_hubs(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Name matches through hub nodes: ``name:n`` for bare names, ``name:.n`` for attributes; linear in both sides."""
+    """Name matches through hub nodes: ``name:n`` for bare names, ``name:.n`` for attributes; linear in both sides.
+
+    The uses are written once, as both halves read them.
+    """
     uses = unresolved.where("kind IN ('name', 'attribute')").select(F.col("symbol").alias("source"), F.concat(F.when(F.col("kind") == "attribute", "name:.").otherwise("name:"), "name").alias("hub"))
+    uses = written(uses.distinct(), "uses")
     names = symbols.select(F.col("id").alias("target"), short_name("id").alias("short"), "kind")
     reach = names.select("target", F.concat(F.lit("name:."), "short").alias("hub")).unionByName(names.where("kind IN ('function', 'class', 'variable', 'module')").select("target", F.concat(F.lit("name:"), "short").alias("hub")))
-    out = uses.select("source", F.col("hub").alias("target")).distinct().unionByName(reach.join(uses.select("hub").distinct(), "hub", "left_semi").select(F.col("hub").alias("source"), "target").distinct())
+    out = uses.select("source", F.col("hub").alias("target")).unionByName(reach.join(uses.select("hub").distinct(), "hub", "left_semi").select(F.col("hub").alias("source"), "target").distinct())
     return out.select("source", "target", F.lit("unresolved_name_match").alias("kind"), F.lit("").alias("detail"))
 
 
