@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -123,7 +125,17 @@ def held(key: object, make: Callable[[], object]):
 
 
 def release() -> None:
-    _held.clear()
+    if _held:
+        _held.clear()
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers stay between stages, and an executor's limit counts them all."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,8 @@ def slices(batch: pa.RecordBatch, rows: int, size: int = 4 << 20) -> Iterator[pa
         at += n
 
 
-def by_batch(f: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array]], schema: pa.Schema, rows: int = 256):
-    """A function for ``mapInArrow`` that hands on columns as Python lists, in parts as ``slices`` makes them."""
+def by_batch(f: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Array]], schema: pa.Schema, rows: int = 256, after: Callable[[], None] | None = None):
+    """A function for ``mapInArrow`` that hands on columns as Python lists, in parts as ``slices`` makes them; ``after`` ends a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -149,6 +161,8 @@ def by_batch(f: Callable[[dict[str, list]], dict[str, list | np.ndarray | pa.Arr
             for part in slices(whole, rows):
                 got = f({k: part.column(i).to_pylist() for i, k in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for t, x in ((t, got[t.name]) for t in schema)], schema=schema)
+        if after:
+            after()
 
     return run
 

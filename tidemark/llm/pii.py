@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_batch, column, positional, release, slices, texts_of
+from .common import by_batch, column, positional, release, slices, texts_of, trim
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = ("O", *KINDS)
@@ -183,9 +183,9 @@ class Field:
     def ids(self, words: list[bytes]) -> np.ndarray:
         """The words' feature keys, by a bounded cache."""
         known = self.words
-        if len(known) > 400_000:
+        if len(known) > 300_000:
             known = self.words = {k: v for k, v in known.items() if len(k) <= 7}
-            if len(known) > 200_000:
+            if len(known) > 150_000:
                 known = self.words = {}
         fresh = set(words).difference(known)
         known.update((w, self._key(features(w))) for w in fresh)
@@ -195,6 +195,11 @@ class Field:
                 del known[w]
         return out
 
+    def forget(self) -> None:
+        """End a task: drop the cache of words."""
+        self.words = {}
+        trim()
+
     def scores(self, ids: np.ndarray) -> np.ndarray:
         out = self.table[0, ids]
         out[1:] += self.table[1, ids[:-1]]
@@ -367,7 +372,7 @@ def found(docs: DataFrame) -> DataFrame:
         got = spans_of(rows["text"], model)
         return {"doc_id": rows["doc_id"], "base_sha256": [hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], "spans": [written(x) for _, x in got]} | {f"n_{k}": [sum(x[0] == k for x in b) for b, _ in got] for k in KINDS[:4]} | {"n_secret": [sum(x[0] == "secret" for x in every) for _, every in got], "n_spans": [len(every) for _, every in got]}
 
-    return texts_of(docs).mapInArrow(by_batch(run, _FOUND), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
+    return texts_of(docs).mapInArrow(by_batch(run, _FOUND, after=model.forget), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -382,5 +387,6 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
                 texts = rows.column(place).to_pylist()
                 new = [t and masked(t, s) for t, (_, s) in zip(texts, spans_of(texts, model), strict=True)]
                 yield rows.set_column(place, rows.schema.field(place), pa.array(new, type=rows.schema.field(place).type))
+        model.forget()
 
     return own.mapInArrow(run, own.schema).toDF(*docs.columns)

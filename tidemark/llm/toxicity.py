@@ -7,8 +7,8 @@ that of its highest window.  All windows of ``SPAN`` words at steps of ``STEP``
 A word of over ``LONGEST`` bytes, as texts without white space are, is read as its runs of letters, ideographs and
 other characters, and a run that is still longer as overlapping pieces of ``PIECE`` bytes; each takes a word's place.
 
-Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id) and of those, in
-the same order, what fits into ``MOST_BYTES``, none of them held out, and is the same at every size; labels, lang, source
+Training takes at most ``MOST`` labelled documents of each class (those of the least hash of doc_id) and of those, by
+another hash, what fits into ``MOST_BYTES``, none of them held out, and is the same at every size; labels, lang, source
 and doc_id are no inputs of a score.
 
 Edge cases: a null, empty or blank text has one window of padding; texts of any length are read whole;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, column, mix, picked, positional, release, remove, slices, staged, texts_of
+from .common import by_batch, column, mix, picked, positional, release, remove, slices, staged, texts_of, trim
 
 SPAN, STEP = 32, 16
 HIDDEN, HALF = 8, 4
@@ -191,7 +191,7 @@ class Network:
 
     def _at(self, words: list[bytes]) -> np.ndarray:
         """Row numbers of words, by a bounded cache."""
-        if len(self.index) > 250_000 or not self.rows.size:
+        if len(self.index) > 200_000 or not self.rows.size:
             self.index, self.rows = {}, self.projected(np.zeros((0, 2 * HALF)))
         fresh = list(set(filterfalse(self.index.__contains__, words)))
         if fresh:
@@ -204,6 +204,11 @@ class Network:
             self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
         return np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def forget(self) -> None:
+        """End a task: drop the cache of words."""
+        self.index, self.rows = {}, self.rows[:, :0].copy()
+        trim()
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """The probability of each text's highest window."""
         split = [words_of(t) for t in texts]
@@ -318,7 +323,7 @@ def scored(docs: DataFrame, model: Network) -> DataFrame:
     def run(rows: dict[str, list]) -> dict:
         return {"doc_id": rows["doc_id"], "score": model.scores(rows["text"])}
 
-    out = texts_of(docs).mapInArrow(by_batch(run, _SCORED), "doc_id long, score double")
+    out = texts_of(docs).mapInArrow(by_batch(run, _SCORED, after=model.forget), "doc_id long, score double")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -331,5 +336,6 @@ def accepted(docs: DataFrame, model: Network) -> DataFrame:
         for whole in batches:
             for rows in slices(whole, 256):
                 yield rows.filter(pa.array(model.scores(rows.column(place).to_pylist()) < THRESHOLD))
+        model.forget()
 
     return own.mapInArrow(run, own.schema).toDF(*docs.columns)
