@@ -178,6 +178,13 @@ FROM c JOIN p USING (call_id) LEFT JOIN r USING (call_id)
 """
 
 
+@_query
+def op11_group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import alignment
+
+    return alignment.Alignment(table(spark, sf_dir, "documents"), digest=True).documents().withColumnRenamed("groups", "groups_sha256")
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
