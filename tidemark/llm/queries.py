@@ -185,6 +185,28 @@ def op11_group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.Alignment(table(spark, sf_dir, "documents"), digest=True).documents().withColumnRenamed("groups", "groups_sha256")
 
 
+@_query
+def op12_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_histogram_sort"] = r"""
+WITH bits AS (SELECT unnest(range(256)) AS b),
+t AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS crc FROM bits),
+d AS (SELECT doc_id, coalesce(strlen(text), 0) + 16 AS size,
+ list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
+p AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS place, sum(size) OVER (ORDER BY doc_id) - size AS below, sum(size) OVER () AS total FROM c),
+ends AS (SELECT place, below, total FROM p UNION ALL SELECT max(place) + 1, any_value(total), any_value(total) FROM p),
+s AS (SELECT i, arg_min(place, abs(40 * below - total * i) * (SELECT count(*) + 2 FROM p) + place) AS place FROM ends, (SELECT unnest(range(1, 40)) AS i) GROUP BY i),
+n AS (SELECT list(place ORDER BY place) AS places FROM s),
+o AS (SELECT p.*, len(list_filter(places, lambda x: x <= p.place))::INT AS shard FROM p, n)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM o
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
