@@ -207,6 +207,13 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' A
 """
 
 
+@_query
+def op13_lattice_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
