@@ -101,12 +101,13 @@ class Dictionary:
         self.chunks: dict[bytes, int] = {}
         self.texts: list[str | None] = []  # of a chunk: its groups as text; None if its bytes are not the tokens' bytes
         self.n_a, self.n_b, self.first, self.groups_of = array("q"), array("q"), array("q", [0]), array("i")
-        self.groups: dict[str, int] = {}
+        self.groups: dict[int | str, int] = {}  # by ``_codes``, or by their text
+        self.names: list[str] = []
         self.pairs_first, self.pairs_of = array("q", [0]), array("i")
         self.pairs: dict[int, int] = {}
 
     def full(self, limit: int) -> bool:
-        return len(self.texts) > limit or len(self.groups) > limit or len(self.groups_of) > 8 * limit
+        return len(self.texts) > limit or len(self.names) > limit or len(self.groups_of) > 8 * limit
 
     def learn(self, own: list[bytes], a: list[np.ndarray], b: list[list[int]]) -> list[int]:
         """Numbers of new chunks, given their bytes and ids."""
@@ -120,21 +121,21 @@ class Dictionary:
         both, link_a, link_b = links_of(ends_a, ends_b)
         stop_a, stop_b = (np.searchsorted(e, both) + 1 for e in (ends_a, ends_b))
         stop_link = stop_a + stop_b - np.arange(1, len(both) + 1)  # a group of n and m tokens has n + m - 1 links
-        codes = (ids_a[link_a] << PAIR | ids_b[link_b]).tolist()
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        pairs = (ids_a[link_a] << PAIR | ids_b[link_b]).tolist()
         last_group = np.searchsorted(both, np.cumsum([len(own[i]) for i in good])) + 1 if good else np.zeros(0, dtype=np.int64)
-        keys, numbers_of = [], []
-        at_a = at_b = at_link = 0
-        for x, y, z in zip(stop_a.tolist(), stop_b.tolist(), stop_link.tolist(), strict=True):
-            key = f"{','.join(names_a[at_a:x])}|{','.join(names_b[at_b:y])}"
+        codes = self._codes(ids_a, ids_b, stop_a, stop_b)
+        numbers_of = list(map(self.groups.get, codes))
+        for i in [i for i, x in enumerate(numbers_of) if x is None]:
+            at_a, at_b, at_link = (int(x[i - 1]) if i else 0 for x in (stop_a, stop_b, stop_link))
+            name = f"{','.join(map(str, ids_a[at_a : stop_a[i]].tolist()))}|{','.join(map(str, ids_b[at_b : stop_b[i]].tolist()))}"
+            key = name if codes[i] < 0 else codes[i]
             number = self.groups.get(key)
             if number is None:
-                number = self.groups[key] = len(self.groups)
-                self.pairs_of.extend({self.pairs.setdefault(c, len(self.pairs)) for c in codes[at_link:z]})
+                number = self.groups[key] = len(self.names)
+                self.names.append(name)
+                self.pairs_of.extend({self.pairs.setdefault(c, len(self.pairs)) for c in pairs[at_link : stop_link[i]]})
                 self.pairs_first.append(len(self.pairs_of))
-            keys.append(key)
-            numbers_of.append(number)
-            at_a, at_b, at_link = x, y, z
+            numbers_of[i] = number
         ends, start = iter(last_group.tolist()), 0
         for i, f in enumerate(fine):
             self.n_a.append(len(a[i]) if f else 0)
@@ -142,13 +143,28 @@ class Dictionary:
             if f:
                 end = next(ends)
                 self.groups_of.extend(numbers_of[start:end])
-                self.texts.append(";".join(keys[start:end]))
+                self.texts.append(";".join([self.names[x] for x in numbers_of[start:end]]))
                 start = end
             else:
                 self.texts.append(None)
             self.first.append(len(self.groups_of))
         return numbers
 
+    @staticmethod
+    def _codes(ids_a: np.ndarray, ids_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> list[int]:
+        """Groups of at most three tokens as one number each (-1 for others): 20 bits for an id, and which side has two."""
+        n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        codes = np.full(len(stop_a), -1, dtype=np.int64)
+        if len(codes) and max(ids_a.max(), ids_b.max()) < 1 << 20:
+            for shape, (a, b) in enumerate(((1, 1), (1, 2), (2, 1))):
+                at = np.flatnonzero((n_a == a) & (n_b == b))
+                ids = [ids_a[stop_a[at] - k] for k in range(a, 0, -1)] + [ids_b[stop_b[at] - k] for k in range(b, 0, -1)]
+                code = np.full(len(at), shape, dtype=np.int64)
+                for x in ids:
+                    code = code << 20 | x
+                codes[at] = code
+        return codes.tolist()
+
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
         """Chunk numbers of all texts in turn, the text that each belongs to, and each text's groups as text."""
         joined: list[str | None] = [None] * len(texts)
@@ -171,9 +187,9 @@ class Dictionary:
             keys = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
             numbers = list(map(self.chunks.get, keys))
             new = [i for i, x in enumerate(numbers) if x is None]
-            if new:
-                own = [keys[i] for i in new]
-                for i, n in zip(new, self.learn([c if c[:1] == b"\n" else b" " + c for c in own], *self.tokens.of_chunks(own)), strict=True):
+            for k in range(0, len(new), 20_000):
+                own = [keys[i] for i in new[k : k + 20_000]]
+                for i, n in zip(new[k : k + 20_000], self.learn([c if c[:1] == b"\n" else b" " + c for c in own], *self.tokens.of_chunks(own)), strict=True):
                     numbers[i] = self.chunks[keys[i]] = n
             at = numbered.indices.to_numpy()
             offsets = chunks.offsets.to_numpy()
@@ -213,7 +229,7 @@ def _documents(known: Dictionary, rows: pa.RecordBatch, digest: bool, counts: np
     first, groups = np.frombuffer(known.first, dtype=np.int64), np.frombuffer(known.groups_of, dtype=np.int32)
     n_a, n_b, n_groups = sums(np.frombuffer(known.n_a, dtype=np.int64)[seq]), sums(np.frombuffer(known.n_b, dtype=np.int64)[seq]), sums(np.diff(first)[seq])
     places, at = _spread(first, seq)
-    width = max(1, len(known.groups))
+    width = max(1, len(known.names))
     own, times = np.unique(owner[at] * width + groups[places], return_counts=True)
     doc, number = own // width, own % width
     places, at = _spread(np.frombuffer(known.pairs_first, dtype=np.int64), number)
@@ -249,7 +265,7 @@ def _blocks(path_a: str, path_b: str, digest: bool, block_bytes: int, limit: int
 
         def ended() -> Iterator[pa.RecordBatch]:
             mine = np.unique(np.concatenate(used)) if used else np.zeros(0, dtype=np.int64)
-            names = list(known.groups)
+            names = known.names
             for i in range(0, len(mine), 50_000):
                 part = mine[i : i + 50_000]
                 yield _rows(len(part), block=pa.array(np.full(len(part), block)), number=pa.array(part, type=pa.int32()), key=pa.array([names[x] for x in part.tolist()], type=pa.string()))
