@@ -6,6 +6,7 @@ One package of small areas that do not refer to each other, so that one plan ans
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.discovery.pytest_rules import discover
 from tidemark.extract.index import build
@@ -154,13 +155,11 @@ def test_reexports_long_and_in_a_circle(spark):
     assert ("c.use.go", "c.m60.thing") in edges and any(a == "c.use.spin" for a, _ in edges)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_loops_give_the_same_in_one_task_and_in_rounds(spark, monkeypatch, small):
+@pytest.mark.parametrize("hub", [50_000, 3])
+def test_loops_give_the_same_with_and_without_hubs(spark, monkeypatch, hub):
     from tidemark.operators import fixpoint
 
-    if not small:
-        monkeypatch.setattr(fixpoint, "SMALL", 0)
-        monkeypatch.setattr(fixpoint, "HUB", 3)
+    monkeypatch.setattr(fixpoint, "HUB", hub)
     pairs = [(f"n{i}", f"n{(i * 7 + 3) % 23}") for i in range(20)] + [("n1", f"k{i}") for i in range(9)] + [(f"k{i}", "n2") for i in range(9)]
     edges = spark.createDataFrame([(a, b, [0, 2, 3, 4] if a < "n" else [1, 2, 3, 3]) for a, b in pairs], "source string, target string, xfer array<int>")
     seeds = spark.createDataFrame([("n2", 4), ("k3", 3), ("n2", 3)], "node string, mode int")
@@ -189,3 +188,31 @@ def test_loops_give_the_same_in_one_task_and_in_rounds(spark, monkeypatch, small
         front = set(best)
     found = {r.node: (r.mode, (r.hops, r.via)) for r in fixpoint.impact(edges, seeds).collect()}
     assert found == {x: (mode[x], via[x]) for x in mode}
+
+
+def test_loops_leave_out_edges_and_seeds_without_nodes(spark):
+    from tidemark.operators import fixpoint
+
+    edges = spark.createDataFrame([("a", "b"), ("a", None), (None, "b"), ("x", "y"), (None, None)], "source string, target string")
+    seeds = spark.createDataFrame([("a",), (None,)], "node string")
+    assert {tuple(r) for r in fixpoint.closure(edges, seeds).collect()} == {("a", "a"), ("a", "b")}
+    assert {tuple(r) for r in fixpoint.reachable(edges, seeds).collect()} == {("a", 0), ("b", 1)}
+    xfer = edges.selectExpr("source", "target", "array(1, 2, 3, 4) AS xfer")
+    assert {tuple(r) for r in fixpoint.impact(xfer, spark.createDataFrame([("b", 3), (None, 4)], "node string, mode int")).collect()} == {("b", 3, 0, None), ("a", 3, 1, "b")}
+    nothing = fixpoint.impact(xfer.limit(0), spark.createDataFrame([], "node string, mode int"))
+    assert nothing.collect() == [] and fixpoint.closure(edges, seeds.limit(0)).collect() == []
+
+
+def test_no_task_holds_the_edges_of_a_hub(spark, monkeypatch):
+    from tidemark.operators import fixpoint
+
+    monkeypatch.setattr(fixpoint, "HUB", 1000)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        edges = spark.range(100_000).selectExpr("'hub' AS node", "concat('n', id) AS next").union(spark.range(1000).selectExpr("concat('m', id)", "'x'"))
+        along = fixpoint._Along(edges, "along")
+        sizes = [r.n for r in along.edges.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 8 and max(sizes) <= 3 * sorted(sizes)[4]
+        assert along.met(spark.createDataFrame([("hub",)], "node string")).count() == 100_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")

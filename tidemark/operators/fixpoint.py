@@ -1,30 +1,24 @@
 """Closures and least fixpoints.  The only place where queries iterate.
 
-Inputs are written once and counted.  Up to ``SMALL`` edges a loop runs whole in one task, over arrays: one job
-instead of several for each round.  Beyond, each round is a join that writes only what it improved; the state is the
-union of a few tables, which are merged at powers of two, so that a row is rewritten a logarithmic number of
-times.  Edges of a node that has more than ``HUB`` of them are dealt by a salt, and a frontier row that meets such a
-node goes to each of its salts: no task holds a hub's edges alone.
+Edges are written once, dealt into buckets by the node that a round meets them at, so no round shuffles them.  A round joins
+its frontier with them and writes only what it improved; how much that is, the write itself counts.  The state is the union of a few
+tables, which are merged at powers of two, so that a row is rewritten a logarithmic number of times.  Edges of a node that
+has more than ``HUB`` of them are dealt by a salt, and a frontier row that meets such a node goes to each of its
+salts: no task holds a hub's edges alone.  There is one path for inputs of every size.
 
 The graph is cyclic, so termination comes from "no row improved", never from a depth.  ``limit`` raises, it does not
-truncate.
+truncate.  An edge without one of its ends, and a seed without node, lead nowhere and are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.tables import dropped, written
+from tidemark.tables import bucketed, counted, dropped, written
 
-#: Most edges, and most seeds, of a loop that runs in one task; for pairs (origin, node) also most products of both.
-SMALL = 1_000_000
-PAIRS = 50_000_000
 #: Edges of a node beyond which they are salted.
 HUB = 50_000
 
@@ -33,19 +27,22 @@ class NotConverged(RuntimeError):
     """A loop ran more rounds than its limit."""
 
 
-def _loop(first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], limit: int, name: str) -> DataFrame:
-    frontier = written(first, name)
+def _loop(first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], limit: int, name: str, along: _Along) -> DataFrame:
+    frontier, n = counted(first, name)
     levels: list[tuple[int, DataFrame]] = [(1, frontier)]  # tables with how many rounds each holds, largest first
     whole = lambda: merge(_union([t for _, t in levels]))
-    for _ in range(limit):
-        frontier = written(step(frontier, whole()), name)
-        if frontier.isEmpty():
-            dropped(frontier)
+    for _ in range(limit + 1):
+        if not n:
+            along.done()
             return whole()
+        frontier, n = counted(step(frontier, whole()), name)
+        if not n:
+            dropped(frontier)
+            continue
         levels.append((1, frontier))
         while len(levels) > 4 and levels[-2][0] <= levels[-1][0]:
-            (n, a), (k, b) = levels.pop(), levels.pop()
-            levels.append((n + k, written(merge(_union([a, b])), name)))
+            (k, a), (m, b) = levels.pop(), levels.pop()
+            levels.append((k + m, written(merge(_union([a, b])), name)))
             for t in (a, b):
                 if t is not frontier:
                     dropped(t)
@@ -60,146 +57,32 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 class _Along:
-    """Edges by ``node``, with hubs salted."""
-
-    def __init__(self, edges: DataFrame, node: str):
-        hubs = edges.groupBy(node).agg(F.count("*").alias("n")).where(F.col("n") > HUB).select(node, F.ceil(F.col("n") / HUB).cast("int").alias("salts"))
-        self.node, self.hubs = node, written(hubs, "hubs")
-        self.any = not self.hubs.isEmpty()
-        if self.any:
-            dealt = edges.join(F.broadcast(self.hubs), node, "left")  # at most one row for each HUB edges
-            self.edges = written(dealt.withColumn("salt", F.coalesce(F.floor(F.rand(7) * F.col("salts")).cast("int"), F.lit(0))).drop("salts"), "salted")
-        else:
-            self.edges = edges.withColumn("salt", F.lit(0))
+    """Edges in buckets by ``node``, with hubs salted."""
+
+    def __init__(self, edges: DataFrame, name: str):
+        self.edges = bucketed(edges.withColumn("salt", F.lit(0)), name, "node")
+        hubs = self.edges.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("salts"))
+        self.hubs, n = counted(hubs, "hubs")  # at most one row for each HUB edges
+        self.keys = ["node", "salt"] if n else ["node"]
+        if n:
+            plain, dealt = self.edges, self.edges.join(F.broadcast(self.hubs), "node", "left")
+            self.edges = bucketed(dealt.withColumn("salt", F.coalesce(F.floor(F.rand(7) * F.col("salts")).cast("int"), F.lit(0))).select(*plain.columns), name, *self.keys)
+            dropped(plain)
 
     def met(self, frontier: DataFrame) -> DataFrame:
-        if self.any:
-            frontier = frontier.join(F.broadcast(self.hubs), self.node, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
-        else:
-            frontier = frontier.withColumn("salt", F.lit(0))
-        return frontier.join(self.edges, [self.node, "salt"]).drop("salt")
-
-
-# A whole loop in one task.
-
-
-def in_one_task(tables: list[DataFrame], run: Callable[[list[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """Hand whole tables of one schema, which are small by count, to a function in one task."""
-    names, n = tables[0].columns, len(tables)
-    rows = _union([t.withColumn("table", F.lit(i)) for i, t in enumerate(tables)])
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        every = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[*names, "table"])
-        yield from run([every[every["table"] == i][names] for i in range(n)])
-
-    return rows.coalesce(1).mapInPandas(task, schema)
-
-
-def _result(rows: DataFrame, name: str) -> DataFrame:
-    """Run a loop in its task; that it did not converge is told here as in rounds."""
-    try:
-        return written(rows, name)
-    except PythonException as e:
-        if NotConverged.__name__ in str(e):
-            raise NotConverged(f"{name} did not converge") from e
-        raise
-
-
-class _Graph:
-    """Edges a -> b over codes of names, by their start."""
-
-    def __init__(self, edges: pd.DataFrame, seeds: pd.Series):
-        codes, names = pd.factorize(pd.concat([edges["a"], edges["b"], seeds], ignore_index=True))
-        n = len(edges)
-        self.names, self.seeds = np.asarray(names, dtype=object), codes[2 * n :]
-        self.order = np.argsort(codes[:n], kind="stable")
-        self.to = codes[n : 2 * n][self.order]
-        self.first = np.searchsorted(codes[:n][self.order], np.arange(len(names) + 1))
-
-    def spread(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every edge of some nodes: which of them it starts at, and its place in order of starts."""
-        counts = self.first[nodes + 1] - self.first[nodes]
-        which = np.repeat(np.arange(len(nodes)), counts)
-        return which, np.repeat(self.first[nodes] - (np.cumsum(counts) - counts), counts) + np.arange(len(which))
-
-
-def _closure_task(limit: int):
-    def run(tables: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = _Graph(tables[0], tables[1]["a"])
-        n = max(1, len(g.names))
-        seen = frontier = np.unique(g.seeds) * n + np.unique(g.seeds)
-        for _ in range(limit):
-            which, at = g.spread(frontier % n)
-            new = np.unique(frontier[which] // n * n + g.to[at])
-            place = np.minimum(np.searchsorted(seen, new), max(len(seen) - 1, 0))
-            frontier = new[seen[place] != new] if len(seen) else new
-            if not len(frontier):
-                break
-            seen = np.sort(np.concatenate((seen, frontier)), kind="stable")
-        else:
-            raise NotConverged(f"closure did not converge in {limit} rounds")
-        for i in range(0, len(seen), 200_000):
-            part = seen[i : i + 200_000]
-            yield pd.DataFrame({"origin": g.names[part // n], "node": g.names[part % n]})
-
-    return run
-
-
-def _reachable_task(limit: int):
-    def run(tables: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = _Graph(tables[0], tables[1]["a"])
-        hops = np.full(len(g.names), -1)
-        frontier = np.unique(g.seeds)
-        for k in range(limit + 1):
-            hops[frontier] = k
-            to = np.unique(g.to[g.spread(frontier)[1]])
-            frontier = to[hops[to] < 0]
-            if not len(frontier):
-                break
-        else:
-            raise NotConverged(f"reachable did not converge in {limit} rounds")
-        got = np.flatnonzero(hops >= 0)
-        yield pd.DataFrame({"node": g.names[got], "hops": hops[got].astype("int32")})
-
-    return run
-
-
-def _impact_task(limit: int):
-    def run(tables: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges, seeds = tables
-        g = _Graph(edges, seeds["a"])
-        packed = edges["x"].to_numpy(dtype=np.int64)[g.order]
-        rank = np.empty(len(g.names), dtype=np.int64)
-        rank[np.argsort(g.names.astype(str), kind="stable")] = np.arange(len(g.names))
-        mode, hops, via = np.zeros(len(g.names), dtype=np.int64), np.zeros(len(g.names), dtype=np.int64), np.full(len(g.names), -1)
-        np.maximum.at(mode, g.seeds, seeds["x"].to_numpy(dtype=np.int64))
-        frontier = np.unique(g.seeds)
-        for k in range(1, limit + 2):
-            which, at = g.spread(frontier)
-            source, to = frontier[which], g.to[at]
-            new = packed[at] >> 3 * (mode[source] - 1) & 7
-            better = new > mode[to]
-            source, to, new = source[better], to[better], new[better]
-            if not len(to):
-                break
-            order = np.lexsort((rank[source], -new, to))
-            source, to, new = source[order], to[order], new[order]
-            first = np.concatenate(([True], to[1:] != to[:-1]))
-            frontier = to[first]
-            mode[frontier], via[frontier], hops[frontier] = new[first], source[first], k
-        else:
-            raise NotConverged(f"impact did not converge in {limit} rounds")
-        got = np.flatnonzero(mode > 0)
-        names = np.append(g.names, None)
-        yield pd.DataFrame({"node": g.names[got], "mode": mode[got].astype("int32"), "hops": hops[got].astype("int32"), "via": names[via[got]]})
-
-    return run
-
-
-def _shaped(df: DataFrame, a: str, b: str | None = None, x=None) -> DataFrame:
-    """(a, b, x) for ``in_one_task``."""
-    return df.select(F.col(a).alias("a"), (F.col(b) if b else F.lit(None).cast("string")).alias("b"), (F.lit(None) if x is None else x).cast("int").alias("x"))
+        """The frontier's rows with the edges at their node."""
+        if len(self.keys) == 2:
+            frontier = frontier.join(F.broadcast(self.hubs), "node", "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)"))).drop("salts")
+            return frontier.join(self.edges, self.keys).drop("salt")
+        return frontier.join(self.edges.drop("salt"), self.keys)
+
+    def done(self) -> None:
+        dropped(self.edges)
+        dropped(self.hubs)
+
+
+def _pairs(edges: DataFrame) -> _Along:
+    return _Along(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct(), "along")
 
 
 def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -207,33 +90,26 @@ def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFram
 
     ``seeds`` has one column, node.
     """
-    pairs = written(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "along")
-    first = written(seeds.select("node").distinct(), "seeds")
-    n, k = pairs.count(), first.count()
-    if n <= SMALL and k <= SMALL and n * k <= PAIRS:
-        return _result(in_one_task([_shaped(pairs, "node", "next"), _shaped(first, "node")], _closure_task(limit), "origin string, node string"), "closure")
-    along = _Along(pairs, "node")
+    along = _pairs(edges)
 
     def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
         new = along.met(frontier).select("origin", F.col("next").alias("node")).distinct()
         return new.join(state, ["origin", "node"], "left_anti")
 
-    return _loop(first.select(F.col("node").alias("origin"), "node"), step, lambda s: s, limit, "closure")
+    first = seeds.select("node").where("node IS NOT NULL").distinct()
+    return _loop(first.select(F.col("node").alias("origin"), "node"), step, lambda s: s, limit, "closure", along)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
     """(node, hops): the nodes reached from any seed along (source, target), with the fewest steps."""
-    pairs = written(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).distinct(), "along")
-    first = written(seeds.select("node").distinct(), "seeds")
-    if pairs.count() <= SMALL and first.count() <= SMALL:
-        return _result(in_one_task([_shaped(pairs, "node", "next"), _shaped(first, "node")], _reachable_task(limit), "node string, hops int"), "reachable")
-    along = _Along(pairs, "node")
+    along = _pairs(edges)
 
     def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
         new = along.met(frontier).groupBy(F.col("next").alias("node")).agg((F.min("hops") + 1).alias("hops"))
         return new.join(state.select("node"), "node", "left_anti")
 
-    return _loop(first.select("node", F.lit(0).alias("hops")), step, lambda s: s, limit, "reachable")
+    first = seeds.select("node").where("node IS NOT NULL").distinct()
+    return _loop(first.select("node", F.lit(0).alias("hops")), step, lambda s: s, limit, "reachable", along)
 
 
 def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -244,12 +120,8 @@ def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame
     ``hops`` and ``via`` (the next node towards the change) are those of the round that first gave the mode.
     """
     packed = sum((F.col("xfer")[i] * (1 << 3 * i) for i in range(1, 4)), F.col("xfer")[0])
-    back = written(edges.select("source", F.col("target").alias("node"), packed.cast("int").alias("xfer")), "back")
-    first = written(seeds.groupBy("node").agg(F.max("mode").cast("int").alias("mode")), "seeds")
-    if back.count() <= SMALL and first.count() <= SMALL:
-        tables = [_shaped(back, "node", "source", F.col("xfer")), _shaped(first, "node", None, F.col("mode"))]
-        return _result(in_one_task(tables, _impact_task(limit), "node string, mode int, hops int, via string"), "impact")
-    along = _Along(back, "node")
+    along = _Along(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", F.col("target").alias("node"), packed.cast("int").alias("xfer")), "back")
+    first = seeds.where("node IS NOT NULL").groupBy("node").agg(F.max("mode").cast("int").alias("mode"))
 
     def merge(state: DataFrame) -> DataFrame:
         best = F.max(F.struct(F.col("mode"), (-F.col("hops")).alias("near"), F.col("via")))
@@ -263,7 +135,7 @@ def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame
         old = state.select("node", F.col("mode").alias("had"))
         return new.join(old, "node", "left").where("had IS NULL OR mode > had").select("node", "mode", "hops", "via")
 
-    return _loop(first.select("node", "mode", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")), step, merge, limit, "impact")
+    return _loop(first.select("node", "mode", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")), step, merge, limit, "impact", along)
 
 
 def isolated(members: DataFrame, references: DataFrame, outside: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from tidemark.functions.names import fnmatch_regex
 from tidemark.operators import fixpoint
 from tidemark.operators.graph import target_node, tied
 from tidemark.schema import BEHAVIOR, CONTENT, RULES, STRUCTURAL
-from tidemark.tables import written
+from tidemark.tables import bucketed, counted
 
 
 def seeds_of(changes: DataFrame) -> DataFrame:
@@ -86,58 +85,32 @@ def entry_relaxed(impacted: DataFrame, targets: DataFrame, symbols: DataFrame) -
 def explained(impacted: DataFrame, wanted: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
     """(node, path, changed_symbol, rule): one shortest chain from each wanted node to a seed.
 
-    Follows ``via``; chains are walked at once, in one task where there are few nodes, else in one round per step that
-    carries on the open ones alone.  A name match on the way gives ``unresolved_name_match``, else a declared edge
-    gives ``declared_dependency``, else ``dependency``.
+    Follows ``via``, a step a round, which carries on the open chains alone.  A name match on the way gives
+    ``unresolved_name_match``, else a declared edge gives ``declared_dependency``, else ``dependency``.
     """
     weight = F.when(F.col("kind") == "unresolved_name_match", 2).when(F.col("kind") == "declared", 1).otherwise(0)
     kinds = tied(edges).select(F.col("source").alias("at"), F.col("target").alias("to"), weight.alias("weight"))
-    steps = written(impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left").select("at", "to", F.coalesce("weight", F.lit(0)).alias("weight")), "steps")
-    first = written(wanted.select("node").distinct().join(impacted.select("node"), "node", "left_semi"), "wanted")
-    if steps.count() <= fixpoint.SMALL and first.count() <= fixpoint.SMALL:
-        tables = [steps.select(F.col("at").alias("a"), F.col("to").alias("b"), F.col("weight").alias("x")), first.select(F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0).alias("x"))]
-        walk = written(fixpoint.in_one_task(tables, _walked(limit), "node string, path array<string>, weight int"), "walk")
+    steps = bucketed(impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left").select("at", "to", F.coalesce("weight", F.lit(0)).alias("more")), "steps", "at")
+    first = wanted.select("node").distinct().join(impacted.select("node"), "node", "left_semi")
+    walk, n = counted(first.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).alias("weight")), "walk")
+    parts = [walk]
+    for _ in range(limit + 1):
+        if not n:
+            break
+        on = F.when(F.col("to").isNotNull(), F.array_append("path", F.col("to"))).otherwise(F.col("path"))
+        walk, n = counted(parts[-1].where("at IS NOT NULL").join(steps, "at").select("node", F.col("to").alias("at"), on.alias("path"), F.greatest("weight", "more").alias("weight")), "walk")
+        parts.append(walk)
     else:
-        open_ = written(first.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).alias("weight")), "walk")
-        ended = []
-        for _ in range(limit):
-            if open_.isEmpty():
-                break
-            more = written(open_.join(steps.withColumnRenamed("weight", "more"), "at").select("node", "to", "path", F.greatest("weight", "more").alias("weight")), "walk")
-            ended.append(more.where("to IS NULL").select("node", "path", "weight"))
-            open_ = more.where("to IS NOT NULL").select("node", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), "weight")
-        else:
-            raise fixpoint.NotConverged("explanations")
-        walk = ended[0] if ended else open_.select("node", "path", "weight")
-        for part in ended[1:]:
-            walk = walk.unionByName(part)
+        raise fixpoint.NotConverged("explanations")
+    ended = [p.where("at IS NULL") for p in parts]
+    walk = ended[0]
+    for part in ended[1:]:
+        walk = walk.unionByName(part)
     rule = F.when(F.col("weight") == 2, "unresolved_name_match").when(F.col("weight") == 1, "declared_dependency").otherwise("dependency")
     hub = lambda x: ~x.rlike("^(name:|runner:|calls:|log:)|<imports>$")
     return walk.select("node", F.filter("path", hub).alias("path"), F.element_at("path", -1).alias("changed_symbol"), rule.alias("rule"))
 
 
-def _walked(limit: int):
-    def run(tables):
-        steps, wanted = tables
-        after = {a: (b, int(x)) for a, b, x in steps.itertuples(index=False)}
-        for i in range(0, len(wanted), 10_000):
-            out = []
-            for node in wanted["a"].iloc[i : i + 10_000]:
-                path, most, at = [node], 0, node
-                while True:
-                    to, x = after[at]
-                    if to is None or to != to:  # the end of a chain
-                        break
-                    path.append(to)
-                    most, at = max(most, x), to
-                    if len(path) > limit:
-                        raise fixpoint.NotConverged("explanations")
-                out.append((node, path, most))
-            yield pd.DataFrame(out, columns=["node", "path", "weight"])
-
-    return run
-
-
 def for_all(reasons: DataFrame, targets: DataFrame) -> DataFrame:
     """Global fallbacks (rule, detail) for every target, or every target of their ``runner`` if they have one.
 

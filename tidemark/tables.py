@@ -11,7 +11,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +32,43 @@ def shared_dir(spark: SparkSession) -> str:
 _there: dict[str, tuple] = {}
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table: lineage ends, and lost executors cost no recomputation."""
-    spark = df.sparkSession
+def _path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     _there[path] = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table: lineage ends, and lost executors cost no recomputation."""
+    path = _path(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, and how many rows that were: counted on their way."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"]
+
+
+def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``written``, in as many buckets by some columns as shuffles have partitions: joins on these do not shuffle it again.
+
+    Spark knows buckets of catalogue tables alone, so the table has a name for as long as it is there.
+    """
+    spark = df.sparkSession
+    path, n = _path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"tidemark_{path.rpartition('-')[2]}"
+    df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._tidemark_path, out._tidemark_table = path, table
+    return out
+
+
 def _delete(path: str) -> None:
     if found := _there.pop(path, None):
         with contextlib.suppress(Exception):  # the session may have ended
@@ -51,6 +77,8 @@ def _delete(path: str) -> None:
 
 def dropped(df: DataFrame) -> None:
     """Remove the table behind what ``written`` gave; nothing may read it from now on."""
+    if table := getattr(df, "_tidemark_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
     _delete(getattr(df, "_tidemark_path", ""))
 
 
