@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.extract.flows import state_writers, value_graph
 from tidemark.extract.pyfacts import facts
 from tidemark.functions.names import prefixes
 from tidemark.operators.fixpoint import NotConverged, closure
@@ -22,6 +23,8 @@ ROUNDS = 1_000
 class Index:
     """The relations of one snapshot.
 
+    ``state`` are edges between variables and the code that writes them behind arguments, aliases and results: they follow from
+    what others do, so they are no part of a symbol's own dependencies.
     ``bases`` (cls, base) are direct bases that are symbols; ``flags`` (node, reads_docs); ``escaped`` (id) are modules that
     are handed on as values.
     """
@@ -35,6 +38,10 @@ class Index:
     bases: DataFrame
     flags: DataFrame
     escaped: DataFrame
+    state: DataFrame
+
+    def all_edges(self) -> DataFrame:
+        return self.edges.unionByName(self.state)
 
     def failed_modules(self) -> DataFrame:
         return self.errors.select("module").distinct()
@@ -56,12 +63,16 @@ def build(files: DataFrame) -> Index:
     bindings = rows.where("row = 'binding'").select("module", "name", "target").distinct()
     errors = rows.where("row = 'error'").select("snapshot", "path", "module", c("detail").alias("message"))
     uses = rows.where("row = 'use'").select("module", c("id").alias("source"), c("target").alias("chain"), c("kind").alias("how"), c("detail").alias("mark")).distinct()
+    # The places that values go to are resolved along with the uses, and told by their mark.
+    places = rows.where("row IN ('flow', 'wrote')").select("module", c("id").alias("source"), c("target").alias("chain"), c("kind").alias("how")).unionByName(rows.where("row = 'flow'").select("module", c("id").alias("source"), c("detail").alias("chain"), c("to_how").alias("how")))
+    places = places.where("how IN ('name', 'absolute', 'self')").select("module", "source", "chain", F.when(c("how") == "name", "name").otherwise("absolute").alias("how"), F.concat(F.lit("flow:"), "chain").alias("mark"))
+    uses = uses.unionByName(places.distinct())
     head = F.substring_index("chain", ".", 1)
     named = uses.where("how = 'name'").withColumn("name", head).join(bindings.where("name <> '*'").select("module", "name", "target"), ["module", "name"], "left")
     stars = bindings.where("name = '*'").select("module", c("target").alias("star"))
     open_ = named.where("target IS NULL")
     by_star = open_.join(stars, "module").join(bindings.where("name <> '*'").select(c("module").alias("star"), "name", c("target").alias("star_target")), ["star", "name"])
-    bare = open_.join(by_star.select("module", "source", "chain").distinct(), ["module", "source", "chain"], "left_anti").where(~c("name").isin(*dir(builtins)))
+    bare = open_.join(by_star.select("module", "source", "chain").distinct(), ["module", "source", "chain"], "left_anti").where(~c("name").isin(*dir(builtins)) & ~c("mark").startswith("flow:"))
     tail = F.substring(c("chain"), F.length("name") + 1, F.length("chain"))
     columns = ["source", "full", "mark"]
     chains = (
@@ -86,6 +97,8 @@ def build(files: DataFrame) -> Index:
             break
     else:
         raise NotConverged(f"re-exports did not end in {ROUNDS} rounds")
+    resolved = done.where("mark LIKE 'flow:%' AND found IS NOT NULL").select(c("source").alias("owner"), F.substring(c("mark"), 6, F.length("mark")).alias("chain"), "found", "rest").distinct()
+    done = done.where("mark NOT LIKE 'flow:%'")
     hit = done.where("found IS NOT NULL")
     plain = hit.where(c("found") != c("source"))
     refs = plain.select("source", c("found").alias("target"), F.lit("references").alias("kind"), F.when(c("mark") == "mutates", "writes").otherwise(c("mark")).alias("detail"))
@@ -110,10 +123,14 @@ def build(files: DataFrame) -> Index:
     unresolved = own.unionByName(left).unionByName(bare.select(c("source").alias("symbol"), F.lit("name").alias("kind"), "name", F.lit("").alias("detail"))).unionByName(unknown).distinct()
     external = lost.join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module")).unionByName(imports.withColumn("root", in_scope).join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module"))).distinct()
     bases = written(class_bases(symbols, bindings, ids), "bases")
-    inherited = _inherited(symbols, bases)
+    overrides, inherited = _inherited(symbols, bases)
+    flows, in_place = (written(x, "values") for x in value_graph(rows, resolved, symbols, overrides))
+    behind = state_writers(flows, in_place, variables.withColumnRenamed("found", "node"))
+    behind = behind.select(c("variable").alias("source"), c("writer").alias("target"), F.lit("mutated_by").alias("detail")).unionByName(behind.select(c("writer").alias("source"), c("variable").alias("target"), F.lit("writes").alias("detail")))
+    state = written(behind.where("source <> target").select("source", "target", F.lit("references").alias("kind"), "detail"), "state")
     flags = rows.where("row = 'flag'").select(c("id").alias("node"), F.lit(True).alias("reads_docs")).distinct()
     escaped = hit.where("is_module AND rest = '' AND mark = ''").select(c("found").alias("id")).distinct()
-    return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings, bases, flags, escaped)
+    return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings, bases, flags, escaped, state)
 
 
 def _ends(bindings: DataFrame, ids: DataFrame) -> DataFrame:
@@ -144,11 +161,12 @@ def class_bases(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> Data
     return full.join(ids.select(F.col("id").alias("base")), "base", "left_semi").distinct()
 
 
-def _inherited(symbols: DataFrame, bases: DataFrame) -> DataFrame:
-    """A class depends on its bases, and on the members it inherits; a member on overrides below it."""
+def _inherited(symbols: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overrides (source, target), and edges: a class depends on its bases, and on the members it inherits; a member on overrides below it."""
     up = closure(bases.select(F.col("cls").alias("source"), F.col("base").alias("target")), bases.select(F.col("cls").alias("node")).distinct()).where("origin <> node")
     member = symbols.where("kind IN ('method', 'class', 'function')").select("container", "name", "id")
     below = up.select(F.col("node").alias("container"), F.col("origin").alias("sub")).join(member, "container").select("sub", "name", F.col("id").alias("upper"))
     overrides = below.join(member.select(F.col("container").alias("sub"), "name", F.col("id").alias("lower")), ["sub", "name"]).select(F.col("upper").alias("source"), F.col("lower").alias("target"))
     inherits = below.select(F.col("sub").alias("source"), F.col("upper").alias("target"))
-    return overrides.unionByName(inherits).where("source <> target").distinct().select("source", "target", F.lit("references").alias("kind"), F.lit("").alias("detail"))
+    overrides = written(overrides.where("source <> target").distinct(), "overrides")
+    return overrides, overrides.unionByName(inherits).where("source <> target").distinct().select("source", "target", F.lit("references").alias("kind"), F.lit("").alias("detail"))

@@ -4,6 +4,7 @@ Row kinds: ``symbol``, ``binding`` (name -> dotted target in a module), ``use``
 names; ``detail`` says whether it ``writes`` it or ``mutates`` what it holds in place), ``import`` (a module that a
 symbol imports), ``flag`` (a symbol that reads docstrings), ``unresolved`` and ``error``.  Names are resolved later, by
 joins.  Statements of a module that change a variable in place are part of that variable as well.
+``flow`` rows say where values go, ``wrote`` rows which of them are changed in place (see ``pyflows``).
 Comments and layout change no hash; nested functions belong to the one around them.
 """
 
@@ -19,12 +20,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidemark.extract.pyflows import Scope
 from tidemark.functions.names import relative_module
 
 FACTS = (
     "row string, snapshot string, path string, module string, id string, kind string, name string, lineno int, end_lineno int, container string, "
     "body_hash string, definition_hash string, docstring_hash string, annotation_hash string, imports array<string>, import_layout array<string>, "
-    "statement_layout array<string>, defers_annotations boolean, decorated boolean, params array<string>, decorators array<string>, bases array<string>, target string, detail string"
+    "statement_layout array<string>, defers_annotations boolean, decorated boolean, params array<string>, decorators array<string>, bases array<string>, target string, detail string, part string, to_how string, to_part string"
 )
 _COLUMNS = [x.split()[0] for x in FACTS.split(", ")]
 _BUILTINS = frozenset(dir(builtins))
@@ -217,6 +219,7 @@ class _File:
             self.add("symbol", id=vid, kind="variable", name=name, lineno=nodes[0].lineno, end_lineno=max(x.end_lineno for x in nodes), container=m, body_hash=_digest([type(x).__name__ for x in nodes] + values), definition_hash=_digest([]), docstring_hash="", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=False)
             self.uses(values + notes, vid, set(), None, {})
         self.uses(plain, m, set(), None, {})
+        self.values(body, m, set(), None, {}, None)
         self.add("symbol", id=m, kind="module", name=m.rpartition(".")[2], lineno=1, end_lineno=tree.body[-1].end_lineno if tree.body else 1, container=None, body_hash=_digest(plain), definition_hash=_digest(sorted(self.imports) + self.layout), docstring_hash=_digest([doc]) if doc else "", annotation_hash="", imports=sorted(self.imports), import_layout=self.layout, statement_layout=self.statements([n for n in body if not isinstance(n, (ast.Import, ast.ImportFrom))]), defers_annotations=self.deferred, decorated=False)
 
     def visit_function(self, n: ast.FunctionDef | ast.AsyncFunctionDef, container: str, cls: str | None) -> None:
@@ -236,7 +239,25 @@ class _File:
             if isinstance(n, (ast.Import, ast.ImportFrom)):
                 self.import_(n, owner, "", local)
         inner = {a.arg for s in body for x in ast.walk(s) if isinstance(x, (*_FUNCTIONS, ast.Lambda)) for a in _arguments(x.args)}
-        self.uses(body, owner, (names | inner | _bound(body)) - {me} - set(local), cls, local, me)
+        hidden = (names | inner | _bound(body)) - {me} - set(local)
+        self.uses(body, owner, hidden, cls, local, me)
+        self.values(body, owner, hidden, cls, local, me)
+
+    def values(self, body: list[ast.stmt], owner: str, hidden: set[str], cls: str | None, local: dict[str, str], me: str | None) -> None:
+        """Where the values of a scope go, and which are changed in place; in modules and classes definitions are scopes of their own."""
+        nodes, todo = [], list(body)
+        while todo:
+            n = todo.pop()
+            if isinstance(n, _DEFS) and owner in (self.module, cls):
+                continue
+            nodes.append(n)
+            todo.extend(ast.iter_child_nodes(n))
+        globals_ = {x for n in nodes if isinstance(n, ast.Global) for x in n.names}
+        scope = Scope(owner, hidden, globals_, local, cls, me, _MUTATORS)
+        for a, b in dict.fromkeys(x for n in nodes for x in scope.flows(n)):
+            self.add("flow", id=owner, kind=a[0], target=a[1], part=a[2], to_how=b[0], detail=b[1], to_part=b[2])
+        for how, chain, part in dict.fromkeys(x for n in nodes for x in scope.writes(n, _mutated(n))):
+            self.add("wrote", id=owner, kind=how, target=chain, part=part)
 
     def visit_class(self, n: ast.ClassDef, container: str, _: None) -> None:
         cid = f"{container}.{n.name}"

@@ -103,7 +103,7 @@ def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_
     planned = targets if base_targets is None else written(graph.carried_lifecycle(targets, base_targets), "targets")
 
     # The graph: both versions' edges, what they imply, and the targets'.
-    union = written(graph.union_versions(base.edges, head.edges).select(*graph.ITEM), "union")
+    union = written(graph.union_versions(base.all_edges(), head.all_edges()).select(*graph.ITEM), "union")
     edges = written(graph.without_isolated_writers(union, isolated_code(planned, symbols, union)), "edges")
     unresolved = written(base.unresolved.unionByName(head.unresolved).distinct(), "unresolved")
     slim, shared = graph.factored(planned)
