@@ -10,8 +10,8 @@ benchmark.  Candidates are sent to all executors only when their counted number
 are joined with the documents by a shuffle.
 
 Edge cases: null, empty and wordless texts have no words and no hits; items without words have no windows;
-an item may occur in many documents and a document hold many items, each occurrence counts; repeated doc_ids
-are one document to the index; empty tables give empty results; extra columns are ignored.
+an item may occur in many documents and a document hold many items, each occurrence counts; rows of one doc_id, or of
+none, with different texts are told apart by a 64-bit hash of the text, equal rows share one result and each has its own row; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,29 +72,38 @@ def _counts(vocabulary: frozenset[bytes]):
     return run
 
 
-_POSTINGS = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("places", pa.list_(pa.int32()))])
+#: What tells documents apart in the index; a missing doc_id is 0 there, and part of the hash.
+KEY = ["doc_id", "body"]
+_POSTINGS = pa.schema([("term", pa.int32()), ("doc_id", pa.int64()), ("body", pa.int64()), ("places", pa.list_(pa.int32()))])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, body, nameless and text."""
+    read = texts_of(docs)
+    return read.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("body"), F.col("doc_id").isNull().alias("nameless"), "text")
 
 
 def _postings(terms: dict[bytes, int]):
-    """Positions of each term in each document; term -1 has the document's number of words."""
+    """Positions of each term in each document; term -1 has the document's number of words, and 1 where it has no doc_id."""
 
     def run(rows: dict[str, list]) -> dict:
-        out: tuple[list, ...] = ([], [], [])
-        for d, text in zip(rows["doc_id"], rows["text"], strict=True):
+        out: tuple[list, ...] = ([], [], [], [])
+        for d, body, nameless, text in zip(rows["doc_id"], rows["body"], rows["nameless"], rows["text"], strict=True):
             words = words_of(text)
-            own: dict[int, list[int]] = {-1: [len(words)]}
+            own: dict[int, list[int]] = {-1: [len(words), int(nameless)]}
             for i, w in enumerate(words):
                 if w in terms:
                     own.setdefault(terms[w], []).append(i)
             out[0].extend(own)
             out[1].extend([d] * len(own))
-            out[2].extend(own.values())
+            out[2].extend([body] * len(own))
+            out[3].extend(own.values())
         return dict(zip(_POSTINGS.names, out, strict=True))
 
     return run
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("win", pa.int32()), ("start", pa.int32())])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("win", pa.int32()), ("start", pa.int32())])
 
 
 def _is_at(words: list[bytes], start: int, window: bytes) -> bool:
@@ -104,15 +113,15 @@ def _is_at(words: list[bytes], start: int, window: bytes) -> bool:
 def _verified(windows: list[bytes]):
     def run(rows: dict[str, list]) -> dict:
         out: list[tuple] = []
-        for d, text, spots in zip(rows["doc_id"], rows["text"], rows["spots"], strict=True):
+        for d, body, text, spots in zip(rows["doc_id"], rows["body"], rows["text"], rows["spots"], strict=True):
             words = words_of(text)
-            out += [(d, x["win"], x["start"]) for x in spots if _is_at(words, x["start"], windows[x["win"]])]
+            out += [(d, body, x["win"], x["start"]) for x in spots if _is_at(words, x["start"], windows[x["win"]])]
         return {k: [x[i] for x in out] for i, k in enumerate(_FOUND.names)}
 
     return run
 
 
-_NEAR = pa.schema([("doc_id", pa.int64()), ("win", pa.int32()), ("start", pa.int32()), ("apart", pa.int32()), ("n_match", pa.int32())])
+_NEAR = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("win", pa.int32()), ("start", pa.int32()), ("apart", pa.int32()), ("n_match", pa.int32())])
 
 
 def _matched(windows: list[bytes]):
@@ -120,7 +129,7 @@ def _matched(windows: list[bytes]):
 
     def run(rows: dict[str, list]) -> dict:
         out: list[tuple] = []
-        for d, text, spots in zip(rows["doc_id"], rows["text"], rows["spots"], strict=True):
+        for d, body, text, spots in zip(rows["doc_id"], rows["body"], rows["text"], rows["spots"], strict=True):
             words = words_of(text)
             for x in spots:
                 start, apart = x["start"], x["apart"]
@@ -128,7 +137,7 @@ def _matched(windows: list[bytes]):
                     continue
                 own = windows[x["win"]].split()
                 there = Counter(words[max(0, start + min(apart, 0)) : max(0, start + max(apart, 0) + len(own))])
-                out.append((d, x["win"], start, apart, (Counter(own) & there).total()))
+                out.append((d, body, x["win"], start, apart, (Counter(own) & there).total()))
         return {k: [x[i] for x in out] for i, k in enumerate(_NEAR.names)}
 
     return run
@@ -139,7 +148,7 @@ class PositionalIndex:
 
     def __init__(self, docs: DataFrame, windows: list[bytes], folder: str):
         self.spark, self.folder = docs.sparkSession, folder
-        self.docs = texts_of(docs)
+        self.docs = _keyed(docs)
         self.windows = windows
         vocabulary = frozenset(t for w in windows for t in w.split())
         counted = self.docs.select("text").mapInArrow(_counts(vocabulary), "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -151,30 +160,31 @@ class PositionalIndex:
         self.terms = {t: k for k, t in enumerate(sorted({t for s in starts for _, t in s}))}
         # A window with a term that no document has cannot occur.
         self.anchors = [(self.terms[t], k, i, role) for k, s in enumerate(starts) if all(often.get(t) for t in windows[k].split()) for role, (i, t) in enumerate(s if len(s) > 1 else s * 2)]
-        self.schema = "term int, doc_id long, places array<int>"
-        self.docs.mapInArrow(by_batch(_postings(self.terms), _POSTINGS), self.schema).sortWithinPartitions("term", "doc_id").write.option("compression", "zstd").parquet(folder)
+        self.schema = "term int, doc_id long, body long, places array<int>"
+        self.docs.mapInArrow(by_batch(_postings(self.terms), _POSTINGS), self.schema).sortWithinPartitions("term", *KEY).write.option("compression", "zstd").parquet(folder)
         self.postings = self.spark.read.schema(self.schema).parquet(folder)
 
     def lengths(self) -> DataFrame:
-        return self.postings.where("term = -1").select("doc_id", F.col("places")[0].cast("long").alias("n_words"))
+        """doc_id, body, nameless and n_words of every row."""
+        return self.postings.where("term = -1").select(*KEY, (F.col("places")[1] == 1).alias("nameless"), F.col("places")[0].cast("long").alias("n_words"))
 
     def shifted(self, role: int) -> DataFrame:
-        """(doc_id, win, start): where windows would start by their rarest (0) or second rarest (1) term."""
+        """(doc_id, body, win, start): where windows would start by their rarest (0) or second rarest (1) term."""
         own = self.spark.createDataFrame([x[:3] for x in self.anchors if x[3] == role], "term int, win int, offset int")
         lists = self.postings.where("term >= 0").join(F.broadcast(own), "term")  # at most BLOCK rows
-        return lists.select("doc_id", "win", F.explode("places").alias("place"), "offset").select("doc_id", "win", (F.col("place") - F.col("offset")).alias("start"))
+        return lists.select(*KEY, "win", F.explode("places").alias("place"), "offset").select(*KEY, "win", (F.col("place") - F.col("offset")).alias("start"))
 
     def phrases(self) -> DataFrame:
-        """(doc_id, win, start) of exact occurrences."""
-        both = self.shifted(0).join(self.shifted(1), ["doc_id", "win", "start"]).distinct()
+        """(doc_id, body, win, start) of exact occurrences."""
+        both = self.shifted(0).join(self.shifted(1), [*KEY, "win", "start"]).distinct()
         spots, path = staged(both, "candidates")
         few = spots.count() <= SMALL
-        by_doc = spots.groupBy("doc_id").agg(F.collect_list(F.struct("win", "start")).alias("spots"))
-        texts = self.docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id")
-        return texts.mapInArrow(by_batch(_verified(self.windows), _FOUND, 128), "doc_id long, win int, start int")
+        by_doc = spots.groupBy(*KEY).agg(F.collect_list(F.struct("win", "start")).alias("spots"))
+        texts = self.docs.join(F.broadcast(by_doc) if few else by_doc, KEY).select(*KEY, "text", "spots")
+        return texts.mapInArrow(by_batch(_verified(self.windows), _FOUND, 128), "doc_id long, body long, win int, start int")
 
     def near(self, slop: int) -> DataFrame:
-        """(doc_id, win, start, apart, n_match) of inexact occurrences: the two rarest terms at most ``slop`` words off their
+        """(doc_id, body, win, start, apart, n_match) of inexact occurrences: the two rarest terms at most ``slop`` words off their
         distance, and how many words of the window are there.
 
         Starts are dealt into cells of ``slop`` + 1 words, and neighbouring cells are met: no product of lists.
@@ -182,9 +192,9 @@ class PositionalIndex:
         cell = F.floor(F.col("start") / (slop + 1))
         one = self.shifted(0).withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
         two = self.shifted(1).withColumn("cell", cell).withColumnRenamed("start", "other")
-        met = one.join(two, ["doc_id", "win", "cell"]).withColumn("apart", F.col("other") - F.col("start"))
-        spots = met.where(F.abs("apart") <= slop).groupBy("doc_id").agg(F.collect_set(F.struct("win", "start", "apart")).alias("spots"))
-        return self.docs.join(spots, "doc_id").mapInArrow(by_batch(_matched(self.windows), _NEAR, 128), "doc_id long, win int, start int, apart int, n_match int").distinct()
+        met = one.join(two, [*KEY, "win", "cell"]).withColumn("apart", F.col("other") - F.col("start"))
+        spots = met.where(F.abs("apart") <= slop).groupBy(*KEY).agg(F.collect_set(F.struct("win", "start", "apart")).alias("spots"))
+        return self.docs.join(spots, KEY).select(*KEY, "text", "spots").mapInArrow(by_batch(_matched(self.windows), _NEAR, 128), "doc_id long, body long, win int, start int, apart int, n_match int").distinct()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int | None = None) -> DataFrame:
@@ -207,21 +217,21 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: in
         found, _ = staged(index.phrases(), "found")
         names = spark.createDataFrame([(i, w, w.count(b" ") + 1) for i, w in enumerate(windows)], "win int, words binary, size int")
         named = found.join(F.broadcast(names), "win")  # at most BLOCK rows
-        hit = named.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place"))
-        own = named.select("doc_id", "words").distinct()
+        hit = named.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place"))
+        own = named.select(*KEY, "words").distinct()
         hits, held = (hit, own) if hits is None else (hits.unionByName(hit), held.unionByName(own))
         if slop is not None:
             by_size = index.near(slop).join(F.broadcast(names), "win").where(10 * F.col("n_match") >= NEAR * F.col("size"))  # at most BLOCK rows
-            some, _ = staged(by_size.select("doc_id", "words").distinct(), "near")
+            some, _ = staged(by_size.select(*KEY, "words").distinct(), "near")
             close = some if close is None else close.unionByName(some)
-    n_hit = hits.distinct().groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    by_item = held.join(pairs.withColumnRenamed("win", "words"), "words").select("doc_id", "item_id").distinct()
-    named = by_item.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("ids")).select("doc_id", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-    found = n_hit.join(named, "doc_id")
+    n_hit = hits.distinct().groupBy(*KEY).agg(F.count("*").alias("n_hit"))
+    by_item = held.join(pairs.withColumnRenamed("win", "words"), "words").select(*KEY, "item_id").distinct()
+    named = by_item.groupBy(*KEY).agg(F.array_sort(F.collect_list("item_id")).alias("ids")).select(*KEY, F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    found = n_hit.join(named, KEY)
     if close is not None:
-        n_near = close.join(pairs.withColumnRenamed("win", "words"), "words").groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_near"))
-        found = found.join(n_near, "doc_id", "full_outer")
-    out = lengths.join(found, "doc_id", "left")
+        n_near = close.join(pairs.withColumnRenamed("win", "words"), "words").groupBy(*KEY).agg(F.countDistinct("item_id").alias("n_near"))
+        found = found.join(n_near, KEY, "full_outer")
+    out = lengths.join(found, KEY, "left")
     none = F.sha2(F.lit(""), 256)
     more = [] if close is None else [F.coalesce("n_near", F.lit(0)).alias("n_near")]
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *more)
+    return out.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *more)
