@@ -363,6 +363,30 @@ def test_proximity_keeps_substituted_words_and_counts_the_others(spark, tmp_path
     text = "alpha one two beta three four alpha x one two beta five alpha one six beta alpha six seven beta"
     index = decontam.PositionalIndex(spark.createDataFrame([(1, text)], "doc_id long, text string"), [b"alpha one two beta"], f"file://{tmp_path}/postings")
     index.terms, index.anchors = {b"alpha": 0, b"beta": 1}, [(0, 0, 0, 0), (1, 0, 3, 1)]  # as if these were the rarest
-    index.postings = spark.createDataFrame([(0, 1, [0, 6, 12, 16]), (1, 1, [3, 10, 15, 19])], index.schema)
+    body = index.docs.first().body
+    index.postings = spark.createDataFrame([(0, 1, body, [0, 6, 12, 16]), (1, 1, body, [3, 10, 15, 19])], index.schema)
     got = {(r.start, r.apart): r.n_match for r in index.near(2).collect()}
     assert got == {(6, 1): 4, (12, 0): 3, (16, 0): 2}
+
+
+def test_tool_calls_behind_several_calls_stand_behind_all(spark):
+    r = random.Random(8)
+    rows = [(1, "b", "a"), (1, "b", "c"), (1, "c", "a"), (1, "a", None), (1, "d", "b"), (1, "e", "d"), (1, "e", "b"), (2, "x", "y"), (2, "y", "x"), (2, "x", "a"), (2, "z", "x"), (2, "z", "gone"), (3, "q", "q")]
+    rows += [(4 + i % 3, f"n{r.randrange(40)}", r.choice([None, *(f"n{k}" for k in range(60))])) for i in range(70)] + [(9, f"c{i}", f"c{i - 1}" if i else None) for i in range(30)]
+    behind, ids = {}, {c for _, c, _ in rows}
+    for _, c, a in rows:
+        behind.setdefault(c, set()).update({a} & ids)
+
+    def place(c, on=()):
+        if c in on:
+            return None
+        before = [place(a, (*on, c)) for a in behind[c]]
+        return None if None in before else max((x + 1 for x in before), default=0)
+
+    calls = spark.createDataFrame([(v, c, i, "setup", "{}", a) for i, (v, c, a) in enumerate(rows)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    assert {x.call_id: x.position for x in toolcalls.positions(calls).collect()} == {c: place(c) for c in ids}
+    got = toolcalls.linked(calls, spark.createDataFrame([], "call_id string, turn long, content string")).collect()
+    copies = {c: sum(x == c for _, x, _ in rows) for c in ids}
+    want = sorted(((c, place(c) if copies[c] == 1 else 0 if a not in ids else place(a) if place(a) is None else place(a) + 1) for _, c, a in rows), key=str)
+    assert sorted(((x.call_id, x.position) for x in got), key=str) == want
+    assert place("b") == 2 and {x.position for x in got if x.call_id == "b"} == {1, 2} and place("e") == 4 and place("z") is None

@@ -1,14 +1,14 @@
 """Tool-call linking: calls and results joined by identifier, ordered, validated and written as canonical JSON.
 
 DataFrame operations only.  Calls are hash-joined with their results and with the call they come after.  The
-order is topological: a call's position is the number of calls it stands behind, found by pointer
-doubling (each round doubles the reach of every call's pointer, so chains of n take log n rounds); a pointer
-that never ends stands on a cycle.  Arguments are parsed to variants and checked against a schema: known
+order is topological: a call's position is the most calls that stand one behind the other before it, found by pointer
+doubling (each round doubles the reach of every call's pointer, so chains of n take log n rounds) and, where repeated identifiers
+stand behind several calls, by levels; a pointer that never ends stands on a cycle.  Arguments are parsed to variants and checked against a schema: known
 tool, JSON object, required fields, field types, no other fields.  A variant keeps its fields in order of
 name, so writing it gives canonical JSON.  Nothing is gathered by conversation.
 
 Edge cases: calls without identifier are kept, unlinked, with error ``no_id``; a repeated identifier gives
-``duplicate_id`` on each of its calls; of several results the earliest turn counts; results without
+``duplicate_id`` on each of its calls, each of which is placed by the call that it names itself, and what is behind them by the last; of several results the earliest turn counts; results without
 call are not returned by ``linked`` but by ``orphans``; a call after an unknown one is a first call with
 ``unknown_after``; null or broken arguments give ``not_json``; empty tables give empty results.
 """
@@ -58,20 +58,48 @@ def _joined(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def positions(calls: DataFrame) -> DataFrame:
-    """(call_id, position) of each identifier; position is null on a cycle."""
+    """(call_id, position) of each identifier: the most calls that stand one behind the other before it; null on a cycle or behind one.
+
+    An identifier whose rows name one known call at most is pointed at it, and pointers are doubled until they end: chains of n take
+    log n rounds.  Those whose rows name several, which repeated identifiers alone do, end the chains behind them; they are then
+    placed level by level, each once all that it stands behind are.
+    """
     spark = calls.sparkSession
-    heads = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min("after").alias("after"))
-    ids = heads.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
-    behind = _joined(heads, ids, "after").select("call_id", F.when(F.col("there"), F.col("after")).alias("to"), F.when(F.col("there"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("position"))
-    now, path = staged(behind, "positions")
+    ids = calls.where("call_id IS NOT NULL").select("call_id").distinct()
+    known = ids.select(F.col("call_id").alias("after"), F.lit(True).alias("there"))
+    edges, edges_path = staged(calls.where("call_id IS NOT NULL AND after IS NOT NULL").select("call_id", "after").distinct().join(known, "after", "left_semi"), "edges")
+    heads = edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("after"))
+    start = ids.join(heads, "call_id", "left").select("call_id", F.when(F.col("n") == 1, F.col("after")).alias("to"), F.when(F.coalesce("n", F.lit(0)) != 1, F.col("call_id")).alias("end"), F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("position"), F.coalesce(F.col("n") > 1, F.lit(False)).alias("several"))
+    now, path = staged(start, "positions")
     live, reach, total = now.where("to IS NOT NULL").count(), 1, now.count()
+    several = now.where("several").count()
     while live and reach <= total:
-        far = now.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("position").alias("more"))
-        new, new_path = staged(_joined(now, far, "to").select("call_id", F.col("next").alias("to"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position")), "positions")
+        far = now.select(F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("end").alias("far"), F.col("position").alias("more"))
+        new, new_path = staged(_joined(now, far, "to").select("call_id", F.col("next").alias("to"), F.coalesce("end", "far").alias("end"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"), "several"), "positions")
         remove(spark, path)
         now, path = new, new_path
         live, reach = now.where("to IS NOT NULL").count(), reach * 2
-    return now.select("call_id", F.when(F.col("to").isNull(), F.col("position")).alias("position"))
+    if not several:
+        return now.select("call_id", F.when(F.col("end").isNotNull(), F.col("position")).alias("position"))
+    many = now.where("several").select("call_id")
+    ends = now.select(F.col("call_id").alias("after"), "end", (F.col("position") + 1).alias("step"))
+    steps, _ = staged(edges.join(many, "call_id", "left_semi").join(ends, "after").join(many.select(F.col("call_id").alias("end"), F.lit(True).alias("waits")), "end", "left").groupBy("call_id", "end", "waits").agg(F.max("step").alias("step")), "steps")
+    placed = None
+    while True:
+        level = steps if placed is None else _joined(steps, placed.select(F.col("call_id").alias("end"), F.col("position").alias("before")), "end")
+        before = F.when(F.col("waits"), F.lit(None).cast("long") if placed is None else F.col("before")).otherwise(F.when(F.col("end").isNotNull(), 0))
+        ready = level.withColumn("base", before).groupBy("call_id").agg(F.count_if(F.col("base").isNull()).alias("open"), F.max(F.col("base") + F.col("step")).alias("position")).where("open = 0").select("call_id", "position")
+        if placed is not None:
+            ready = ready.join(placed, "call_id", "left_anti")
+        new, _ = staged(ready, "level")
+        if new.isEmpty():
+            break
+        placed = new if placed is None else placed.unionByName(new)
+    behind = now.join(many.select(F.col("call_id").alias("end"), F.lit(True).alias("waits")), "end", "left")
+    if placed is None:
+        return behind.select("call_id", F.when(F.col("end").isNotNull() & F.col("waits").isNull(), F.col("position")).alias("position"))
+    base = placed.select(F.col("call_id").alias("end"), F.col("position").alias("before"))
+    return _joined(behind, base, "end").select("call_id", F.when(F.col("waits"), F.col("before") + F.col("position")).when(F.col("end").isNotNull(), F.col("position")).alias("position"))
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:
@@ -83,9 +111,12 @@ def linked(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[s
     one = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r")).select("call_id", F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.lit(True).alias("has"))
     order = positions(calls)
     again = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("copies"))
-    there = again.select(F.col("call_id").alias("after"), F.lit(True).alias("after_there"))
+    there = order.select(F.col("call_id").alias("after"), F.lit(True).alias("after_there"), (F.col("position") + 1).alias("behind"))
     rows = calls.select("conv_id", "call_id", "turn", "name", "arguments", "after")
     rows = _joined(_joined(rows, order.join(again, "call_id").hint("shuffle_hash").join(one, "call_id", "left"), "call_id"), there, "after")
+    # A row stands behind the call that it names itself; a lone one where its identifier does.
+    own = F.when(F.col("copies") > 1, F.when(F.col("after_there"), F.col("behind")).otherwise(0)).otherwise(F.col("position")).cast("long")
+    rows = rows.withColumn("position", F.when(F.col("call_id").isNotNull(), own))
     parsed = rows.withColumn("parsed", F.try_parse_json("arguments"))
     notes = F.array_compact(F.array(F.when(F.col("call_id").isNull(), F.lit("no_id")), F.when(F.col("copies") > 1, F.lit("duplicate_id")), F.when(F.col("after").isNotNull() & F.col("after_there").isNull(), F.lit("unknown_after")), F.when(F.col("call_id").isNotNull() & F.col("position").isNull(), F.lit("cycle"))))
     out = parsed.withColumn("errors", F.array_join(F.array_sort(F.concat(argument_errors(F.col("name"), F.col("parsed"), schemas), notes)), ","))
