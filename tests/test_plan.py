@@ -211,6 +211,7 @@ def test_no_task_holds_the_edges_of_a_hub(spark, monkeypatch):
     try:
         edges = spark.range(100_000).selectExpr("'hub' AS node", "concat('n', id) AS next").union(spark.range(1000).selectExpr("concat('m', id)", "'x'"))
         along = fixpoint._Along(edges, "along")
+        assert along.keys == ["node", "salt"]
         sizes = [r.n for r in along.edges.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
         assert len(sizes) == 8 and max(sizes) <= 3 * sorted(sizes)[4]
         assert along.met(spark.createDataFrame([("hub",)], "node string")).count() == 100_000

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.extract.flows import state_writers, value_graph
 from tidemark.extract.pyfacts import facts
 from tidemark.functions.names import prefixes
-from tidemark.operators.fixpoint import NotConverged, closure
-from tidemark.tables import written
+from tidemark.operators.classes import found_first, linearised, overridden
+from tidemark.operators.fixpoint import NotConverged
+from tidemark.tables import counted, together, written
 
 
 #: Most steps of a chain of re-exports.
@@ -25,7 +26,7 @@ class Index:
 
     ``state`` are edges between variables and the code that writes them behind arguments, aliases and results: they follow from
     what others do, so they are no part of a symbol's own dependencies.
-    ``bases`` (cls, base) are direct bases that are symbols; ``flags`` (node, reads_docs); ``escaped`` (id) are modules that
+    ``bases`` (cls, base, place) are direct bases that are symbols; ``flags`` (node, reads_docs); ``escaped`` (id) are modules that
     are handed on as values.
     """
 
@@ -74,29 +75,13 @@ def build(files: DataFrame) -> Index:
     by_star = open_.join(stars, "module").join(bindings.where("name <> '*'").select(c("module").alias("star"), "name", c("target").alias("star_target")), ["star", "name"])
     bare = open_.join(by_star.select("module", "source", "chain").distinct(), ["module", "source", "chain"], "left_anti").where(~c("name").isin(*dir(builtins)) & ~c("mark").startswith("flow:"))
     tail = F.substring(c("chain"), F.length("name") + 1, F.length("chain"))
-    columns = ["source", "full", "mark"]
     chains = (
         named.where("target IS NOT NULL").select("source", F.concat("target", tail).alias("full"), "mark")
         .unionByName(by_star.select("source", F.concat("star_target", tail).alias("full"), "mark"))
         .unionByName(uses.where("how <> 'name'").select("source", c("chain").alias("full"), "mark")).distinct()
     )
-    done, seen = None, None
     modules = symbols.where("kind = 'module'").select(c("id").alias("found"), F.lit(True).alias("is_module"))
-    again = _ends(bindings, ids)
-    for _ in range(ROUNDS):
-        found = written(_longest(chains, ids, columns).join(modules, "found", "left").withColumn("next", F.substring_index("rest", ".", 1)).join(again, ["found", "next"], "left"), "chains")
-        seen = found.select(*columns) if seen is None else seen.unionByName(found.select(*columns))
-        onward = F.concat("there", F.substring(c("rest"), F.length("next") + 1, F.length("rest")))
-        moved = found.where("is_module AND rest <> '' AND there IS NOT NULL AND there <> concat(found, '.', next)").withColumn("onward", onward)
-        # What leads back to where it was is a cycle of re-exports: it stays as it is, on the module.
-        moved = moved.join(seen.select("source", c("full").alias("onward"), "mark").distinct(), ["source", "onward", "mark"], "left_anti")
-        stay = found.join(moved.select(*columns).distinct(), columns, "left_anti").select(*columns, "found", "rest", "is_module")
-        done = stay if done is None else done.unionByName(stay)
-        chains = written(moved.select("source", c("onward").alias("full"), "mark").distinct(), "chains")
-        if chains.isEmpty():
-            break
-    else:
-        raise NotConverged(f"re-exports did not end in {ROUNDS} rounds")
+    done, (bases, overrides, inherited) = together(lambda: _followed(chains, bindings, ids, modules), lambda: _classes(symbols, bindings, ids))
     resolved = done.where("mark LIKE 'flow:%' AND found IS NOT NULL").select(c("source").alias("owner"), F.substring(c("mark"), 6, F.length("mark")).alias("chain"), "found", "rest").distinct()
     done = done.where("mark NOT LIKE 'flow:%'")
     hit = done.where("found IS NOT NULL")
@@ -122,15 +107,41 @@ def build(files: DataFrame) -> Index:
     unknown = lost.join(roots, "root", "left_semi").select(c("source").alias("symbol"), F.lit("attribute").alias("kind"), F.substring_index("full", ".", -1).alias("name"), F.lit("").alias("detail"))
     unresolved = own.unionByName(left).unionByName(bare.select(c("source").alias("symbol"), F.lit("name").alias("kind"), "name", F.lit("").alias("detail"))).unionByName(unknown).distinct()
     external = lost.join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module")).unionByName(imports.withColumn("root", in_scope).join(roots, "root", "left_anti").select(c("source").alias("symbol"), c("root").alias("module"))).distinct()
-    bases = written(class_bases(symbols, bindings, ids), "bases")
-    overrides, inherited = _inherited(symbols, bases)
     flows, in_place = (written(x, "values") for x in value_graph(rows, resolved, symbols, overrides))
     behind = state_writers(flows, in_place, variables.withColumnRenamed("found", "node"))
     behind = behind.select(c("variable").alias("source"), c("writer").alias("target"), F.lit("mutated_by").alias("detail")).unionByName(behind.select(c("writer").alias("source"), c("variable").alias("target"), F.lit("writes").alias("detail")))
-    state = written(behind.where("source <> target").select("source", "target", F.lit("references").alias("kind"), "detail"), "state")
+    state = behind.where("source <> target").select("source", "target", F.lit("references").alias("kind"), "detail")
     flags = rows.where("row = 'flag'").select(c("id").alias("node"), F.lit(True).alias("reads_docs")).distinct()
     escaped = hit.where("is_module AND rest = '' AND mark = ''").select(c("found").alias("id")).distinct()
-    return Index(symbols, written(edges.unionByName(inherited).distinct(), "edges"), written(unresolved, "unresolved"), external, errors, bindings, bases, flags, escaped, state)
+    edges, unresolved, state = together(lambda: written(edges.unionByName(inherited).distinct(), "edges"), lambda: written(unresolved, "unresolved"), lambda: written(state, "state"))
+    return Index(symbols, edges, unresolved, external, errors, bindings, bases, flags, escaped, state)
+
+
+def _followed(chains: DataFrame, bindings: DataFrame, ids: DataFrame, modules: DataFrame) -> DataFrame:
+    """Chains (source, full, mark) with found, rest and is_module: the longest symbol in front, through re-exports."""
+    c, columns = F.col, ["source", "full", "mark"]
+    done, seen = None, None
+    again = _ends(bindings, ids)
+    for _ in range(ROUNDS):
+        found = written(_longest(chains, ids, columns).join(modules, "found", "left").withColumn("next", F.substring_index("rest", ".", 1)).join(again, ["found", "next"], "left"), "chains")
+        seen = found.select(*columns) if seen is None else seen.unionByName(found.select(*columns))
+        onward = F.concat("there", F.substring(c("rest"), F.length("next") + 1, F.length("rest")))
+        moved = found.where("is_module AND rest <> '' AND there IS NOT NULL AND there <> concat(found, '.', next)").withColumn("onward", onward)
+        # What leads back to where it was is a cycle of re-exports: it stays as it is, on the module.
+        moved = moved.join(seen.select("source", c("full").alias("onward"), "mark").distinct(), ["source", "onward", "mark"], "left_anti")
+        stay = found.join(moved.select(*columns).distinct(), columns, "left_anti").select(*columns, "found", "rest", "is_module")
+        done = stay if done is None else done.unionByName(stay)
+        chains, n = counted(moved.select("source", c("onward").alias("full"), "mark").distinct(), "chains")
+        if not n:
+            break
+    else:
+        raise NotConverged(f"re-exports did not end in {ROUNDS} rounds")
+    return done
+
+
+def _classes(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bases = written(class_bases(symbols, bindings, ids), "bases")
+    return bases, *_inherited(symbols, bases)
 
 
 def _ends(bindings: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,18 +166,17 @@ def _ends(bindings: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def class_bases(symbols: DataFrame, bindings: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cls, base) of bases that are symbols."""
-    named = symbols.where("kind = 'class'").select("module", F.col("id").alias("cls"), F.explode("bases").alias("chain")).withColumn("name", F.substring_index("chain", ".", 1))
-    full = named.join(bindings, ["module", "name"]).select("cls", F.concat("target", F.substring(F.col("chain"), F.length("name") + 1, F.length("chain"))).alias("base"))
+    """(cls, base, place) of bases that are symbols, in their order."""
+    named = symbols.where("kind = 'class'").select("module", F.col("id").alias("cls"), F.posexplode("bases").alias("place", "chain")).withColumn("name", F.substring_index("chain", ".", 1))
+    full = named.join(bindings, ["module", "name"]).select("cls", F.concat("target", F.substring(F.col("chain"), F.length("name") + 1, F.length("chain"))).alias("base"), "place")
     return full.join(ids.select(F.col("id").alias("base")), "base", "left_semi").distinct()
 
 
 def _inherited(symbols: DataFrame, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Overrides (source, target), and edges: a class depends on its bases, and on the members it inherits; a member on overrides below it."""
-    up = closure(bases.select(F.col("cls").alias("source"), F.col("base").alias("target")), bases.select(F.col("cls").alias("node")).distinct()).where("origin <> node")
+    """Overrides (source, target), and edges: a class depends on its bases and on what it finds first of the members it inherits, a member on
+    the overrides next below it."""
+    mro = written(linearised(bases, symbols.where("kind = 'class'").select(F.col("id").alias("cls"))), "mro")
     member = symbols.where("kind IN ('method', 'class', 'function')").select("container", "name", "id")
-    below = up.select(F.col("node").alias("container"), F.col("origin").alias("sub")).join(member, "container").select("sub", "name", F.col("id").alias("upper"))
-    overrides = below.join(member.select(F.col("container").alias("sub"), "name", F.col("id").alias("lower")), ["sub", "name"]).select(F.col("upper").alias("source"), F.col("lower").alias("target"))
-    inherits = below.select(F.col("sub").alias("source"), F.col("upper").alias("target"))
-    overrides = written(overrides.where("source <> target").distinct(), "overrides")
+    overrides = written(overridden(mro, member).select(F.col("upper").alias("source"), F.col("lower").alias("target")).where("source <> target"), "overrides")
+    inherits = found_first(mro, member).where("depth > 0").select(F.col("cls").alias("source"), F.col("id").alias("target"))
     return overrides, overrides.unionByName(inherits).where("source <> target").distinct().select("source", "target", F.lit("references").alias("kind"), F.lit("").alias("detail"))

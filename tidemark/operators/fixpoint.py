@@ -27,15 +27,18 @@ class NotConverged(RuntimeError):
     """A loop ran more rounds than its limit."""
 
 
-def _loop(first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], limit: int, name: str, along: _Along) -> DataFrame:
+def _loop(first: DataFrame, edges: DataFrame, step: Callable[[_Along, DataFrame, DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], limit: int, name: str) -> DataFrame:
     frontier, n = counted(first, name)
+    if not n:
+        return frontier
+    along = _Along(edges, f"{name}-edges")
     levels: list[tuple[int, DataFrame]] = [(1, frontier)]  # tables with how many rounds each holds, largest first
     whole = lambda: merge(_union([t for _, t in levels]))
     for _ in range(limit + 1):
-        if not n:
+        if not n or along.none:
             along.done()
             return whole()
-        frontier, n = counted(step(frontier, whole()), name)
+        frontier, n = counted(step(along, frontier, whole()), name)
         if not n:
             dropped(frontier)
             continue
@@ -60,13 +63,16 @@ class _Along:
     """Edges in buckets by ``node``, with hubs salted."""
 
     def __init__(self, edges: DataFrame, name: str):
-        self.edges = bucketed(edges.withColumn("salt", F.lit(0)), name, "node")
+        self.edges, n = bucketed(edges.withColumn("salt", F.lit(0)), name, "node")
+        self.none, self.keys, self.hubs = not n, ["node"], None
+        if n <= HUB:  # then no node has more
+            return
         hubs = self.edges.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("node", F.ceil(F.col("n") / HUB).cast("int").alias("salts"))
-        self.hubs, n = counted(hubs, "hubs")  # at most one row for each HUB edges
-        self.keys = ["node", "salt"] if n else ["node"]
-        if n:
-            plain, dealt = self.edges, self.edges.join(F.broadcast(self.hubs), "node", "left")
-            self.edges = bucketed(dealt.withColumn("salt", F.coalesce(F.floor(F.rand(7) * F.col("salts")).cast("int"), F.lit(0))).select(*plain.columns), name, *self.keys)
+        self.hubs, k = counted(hubs, "hubs")  # at most one row for each HUB edges
+        if k:
+            self.keys, plain = ["node", "salt"], self.edges
+            dealt = plain.join(F.broadcast(self.hubs), "node", "left").withColumn("salt", F.coalesce(F.floor(F.rand(7) * F.col("salts")).cast("int"), F.lit(0)))
+            self.edges, _ = bucketed(dealt.select(*plain.columns), name, *self.keys)
             dropped(plain)
 
     def met(self, frontier: DataFrame) -> DataFrame:
@@ -78,11 +84,12 @@ class _Along:
 
     def done(self) -> None:
         dropped(self.edges)
-        dropped(self.hubs)
+        if self.hubs is not None:
+            dropped(self.hubs)
 
 
-def _pairs(edges: DataFrame) -> _Along:
-    return _Along(edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct(), "along")
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("source").alias("node"), F.col("target").alias("next")).where("node IS NOT NULL AND next IS NOT NULL").distinct()
 
 
 def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -90,26 +97,22 @@ def closure(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFram
 
     ``seeds`` has one column, node.
     """
-    along = _pairs(edges)
-
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
+    def step(along: _Along, frontier: DataFrame, state: DataFrame) -> DataFrame:
         new = along.met(frontier).select("origin", F.col("next").alias("node")).distinct()
         return new.join(state, ["origin", "node"], "left_anti")
 
     first = seeds.select("node").where("node IS NOT NULL").distinct()
-    return _loop(first.select(F.col("node").alias("origin"), "node"), step, lambda s: s, limit, "closure", along)
+    return _loop(first.select(F.col("node").alias("origin"), "node"), _pairs(edges), step, lambda s: s, limit, "closure")
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
     """(node, hops): the nodes reached from any seed along (source, target), with the fewest steps."""
-    along = _pairs(edges)
-
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
+    def step(along: _Along, frontier: DataFrame, state: DataFrame) -> DataFrame:
         new = along.met(frontier).groupBy(F.col("next").alias("node")).agg((F.min("hops") + 1).alias("hops"))
         return new.join(state.select("node"), "node", "left_anti")
 
     first = seeds.select("node").where("node IS NOT NULL").distinct()
-    return _loop(first.select("node", F.lit(0).alias("hops")), step, lambda s: s, limit, "reachable", along)
+    return _loop(first.select("node", F.lit(0).alias("hops")), _pairs(edges), step, lambda s: s, limit, "reachable")
 
 
 def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
@@ -120,14 +123,14 @@ def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame
     ``hops`` and ``via`` (the next node towards the change) are those of the round that first gave the mode.
     """
     packed = sum((F.col("xfer")[i] * (1 << 3 * i) for i in range(1, 4)), F.col("xfer")[0])
-    along = _Along(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", F.col("target").alias("node"), packed.cast("int").alias("xfer")), "back")
+    back = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", F.col("target").alias("node"), packed.cast("int").alias("xfer"))
     first = seeds.where("node IS NOT NULL").groupBy("node").agg(F.max("mode").cast("int").alias("mode"))
 
     def merge(state: DataFrame) -> DataFrame:
         best = F.max(F.struct(F.col("mode"), (-F.col("hops")).alias("near"), F.col("via")))
         return state.groupBy("node").agg(best.alias("b")).select("node", F.col("b.mode").alias("mode"), (-F.col("b.near")).alias("hops"), F.col("b.via").alias("via"))
 
-    def step(frontier: DataFrame, state: DataFrame) -> DataFrame:
+    def step(along: _Along, frontier: DataFrame, state: DataFrame) -> DataFrame:
         got = F.expr("shiftright(xfer, 3 * (mode - 1)) & 7")
         sent = along.met(frontier.select("node", "mode", "hops")).select(F.col("source").alias("to"), got.alias("mode"), (F.col("hops") + 1).alias("hops"), F.col("node").alias("via")).where("mode > 0")
         best = sent.groupBy(F.col("to").alias("node")).agg(F.min(F.struct((-F.col("mode")).alias("mode"), F.col("hops"), F.col("via"))).alias("b"))
@@ -135,7 +138,7 @@ def impact(edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame
         old = state.select("node", F.col("mode").alias("had"))
         return new.join(old, "node", "left").where("had IS NULL OR mode > had").select("node", "mode", "hops", "via")
 
-    return _loop(first.select("node", "mode", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")), step, merge, limit, "impact", along)
+    return _loop(first.select("node", "mode", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")), back, step, merge, limit, "impact")
 
 
 def isolated(members: DataFrame, references: DataFrame, outside: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -9,7 +9,7 @@ from tidemark.functions.names import fnmatch_regex
 from tidemark.operators import fixpoint
 from tidemark.operators.graph import target_node, tied
 from tidemark.schema import BEHAVIOR, CONTENT, RULES, STRUCTURAL
-from tidemark.tables import bucketed, counted
+from tidemark.tables import bucketed, counted, together
 
 
 def seeds_of(changes: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def import_call_effects(roots: DataFrame, calls: DataFrame, mutated: DataFrame,
 def newly_run(base_edges: DataFrame, head_edges: DataFrame, modules: DataFrame) -> DataFrame:
     """(origin, node, change): modules that importing an origin runs in one version only."""
     own = lambda e: fixpoint.closure(e.where("kind = 'imports'").select("source", "target"), modules)
-    b, h = own(base_edges), own(head_edges)
+    b, h = together(lambda: own(base_edges), lambda: own(head_edges))
     return h.join(b, ["origin", "node"], "left_anti").withColumn("change", F.lit("run")).unionByName(b.join(h, ["origin", "node"], "left_anti").withColumn("change", F.lit("not_run")))
 
 
@@ -90,7 +90,7 @@ def explained(impacted: DataFrame, wanted: DataFrame, edges: DataFrame, limit: i
     """
     weight = F.when(F.col("kind") == "unresolved_name_match", 2).when(F.col("kind") == "declared", 1).otherwise(0)
     kinds = tied(edges).select(F.col("source").alias("at"), F.col("target").alias("to"), weight.alias("weight"))
-    steps = bucketed(impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left").select("at", "to", F.coalesce("weight", F.lit(0)).alias("more")), "steps", "at")
+    steps, _ = bucketed(impacted.select(F.col("node").alias("at"), F.col("via").alias("to")).join(kinds, ["at", "to"], "left").select("at", "to", F.coalesce("weight", F.lit(0)).alias("more")), "steps", "at")
     first = wanted.select("node").distinct().join(impacted.select("node"), "node", "left_semi")
     walk, n = counted(first.select("node", F.col("node").alias("at"), F.array("node").alias("path"), F.lit(0).alias("weight")), "walk")
     parts = [walk]

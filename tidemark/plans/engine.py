@@ -12,7 +12,7 @@ from tidemark.extract.index import Index, build
 from tidemark.functions.names import build_input
 from tidemark.operators import diff, fixpoint, graph, impact
 from tidemark.schema import STRUCTURAL
-from tidemark.tables import written
+from tidemark.tables import together, written
 
 
 @dataclass
@@ -45,7 +45,7 @@ def dependency_changes(base: Index, head: Index) -> DataFrame:
     that really changed.
     """
     empty = lambda i: i.errors.select("module").distinct()
-    before, after = (written(diff.signatures(i.edges, i.unresolved, i.external), "signatures") for i in (base, head))
+    before, after = together(*(lambda i=i: written(diff.signatures(i.edges, i.unresolved, i.external), "signatures") for i in (base, head)))
     ladder = lambda **more: diff.classify(base.symbols, head.symbols, before, after, empty(base), empty(head), **more)
     first = written(ladder(), "changes")
     soft = F.array(*map(F.lit, ("dependencies_added", "imports_added", "docstring_changed")))
@@ -93,7 +93,7 @@ def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_
     the seeds to those that recorded execution escalates.  ``base`` and ``head`` are the files' indexes where there are any.
     """
     spark = targets.sparkSession
-    base, head = base or build(base_files), head or build(head_files)
+    base, head = together(lambda: base or build(base_files), lambda: head or build(head_files))
     changes = dependency_changes(base, head)
     columns = ("id", "kind", "module", "name", "container", "decorated")
     symbols = written(base.symbols.select(*columns).unionByName(head.symbols.select(*columns)).dropDuplicates(["id"]), "symbols")

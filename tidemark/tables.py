@@ -10,10 +10,16 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; only where it is unset, in local runs, a folder is made."""
@@ -55,18 +61,25 @@ def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
-def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """``written``, in as many buckets by some columns as shuffles have partitions: joins on these do not shuffle it again.
+def together(*jobs: Callable[[], T]) -> list[T]:
+    """The results of functions that run Spark jobs which do not wait for each other: submitted at once, they share the cluster."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
+
+
+def bucketed(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, int]:
+    """``counted``, in as many buckets by some columns as shuffles have partitions: joins on these do not shuffle it again.
 
     Spark knows buckets of catalogue tables alone, so the table has a name for as long as it is there.
     """
     spark = df.sparkSession
     path, n = _path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tidemark_{path.rpartition('-')[2]}"
-    df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(table)
+    seen = Observation()
+    df.repartition(n, *by).observe(seen, F.count(F.lit(1)).alias("n")).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(table)
     out = spark.table(table)
     out._tidemark_path, out._tidemark_table = path, table
-    return out
+    return out, seen.get["n"]
 
 
 def _delete(path: str) -> None:
