@@ -142,16 +142,6 @@ def guarded(exec_: DataFrame, guards: DataFrame) -> DataFrame:
     return ran.join(held, ["test_id", "reader"], "left_semi")
 
 
-def stored_results(first: DataFrame, calls: DataFrame, writes: DataFrame, reads: DataFrame, limit: int = 1_000) -> DataFrame:
-    """Symbols that notice a change of ``first`` through stored values, to a fixpoint.
-
-    Callers of what notices may store its result in what they write, whose readers notice in turn.
-    """
-    back = calls.select(F.col("target").alias("source"), F.col("source").alias("target"))
-    step = writes.select("source", "target").unionByName(reads.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    return fixpoint.reachable(back.unionByName(step), first.select(F.col("symbol").alias("node")), limit).select(F.col("node").alias("symbol"))
-
-
 def observers(changes: DataFrame, read: DataFrame) -> DataFrame:
     """(symbol, rule) of the symbols whose execution notices a change: the changed ones, and readers of changed definitions."""
     own = changes.where("carries_impact AND NOT array_contains(changes, 'deleted')").select(F.col("id").alias("symbol"), F.lit("executed_changed").alias("rule"))

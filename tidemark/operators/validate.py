@@ -19,7 +19,7 @@ def junit_key(classname: Column, name: Column) -> Column:
 def target_key(runner_id: str = "runner_id", rootdir: str = "") -> Column:
     """A target's key in the same form: path without ending, classes and name, under a root that reports leave out."""
     own = F.regexp_replace(F.col(runner_id), f"^{rootdir.rstrip('/')}/", "") if rootdir else F.col(runner_id)
-    path, rest = F.regexp_replace(F.split_part(own, F.lit("::"), F.lit(1)), r"\.py$", ""), F.slice(F.split(own, "::"), 2, 100)
+    path, rest = F.regexp_replace(F.split_part(own, F.lit("::"), F.lit(1)), r"\.py$", ""), F.slice(F.split(own, "::"), 2, F.greatest(F.size(F.split(own, "::")) - 1, F.lit(0)))
     classes, name = F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0))), F.element_at(rest, -1)
     return F.concat_ws("::", F.concat_ws("/", path, F.array_join(classes, "/")), folded_test(name))
 

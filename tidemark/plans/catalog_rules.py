@@ -138,10 +138,12 @@ def q75_module_collisions(t: Tables) -> DataFrame:
     return graph.duplicates(t.documents.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.concat_ws(".", "lang", "source").alias("module"))).select("message", "path")
 
 
-@_query("""WITH b AS (SELECT DISTINCT 'x' || l_suppkey AS path, l_returnflag AS scope, l_partkey::VARCHAR AS name FROM lineitem WHERE l_linenumber <> 3), h AS (SELECT DISTINCT 'x' || l_suppkey AS path, l_returnflag AS scope, l_partkey::VARCHAR AS name FROM lineitem WHERE l_linenumber <> 4)
-SELECT path, scope AS level, name FROM ((FROM b EXCEPT FROM h) UNION ALL (FROM h EXCEPT FROM b))""")
+@_query("""WITH x AS (SELECT 'x' || l_suppkey AS path, l_returnflag AS level, l_partkey::VARCHAR AS name, l_linenumber AS n, l_quantity AS q FROM lineitem),
+b AS (SELECT path, level, name, sum(q)::BIGINT AS d FROM x WHERE n <> 3 GROUP BY ALL), h AS (SELECT path, level, name, sum(q)::BIGINT AS d FROM x WHERE n <> 4 GROUP BY ALL)
+SELECT path, level, name FROM b FULL JOIN h USING (path, level, name) WHERE b.d IS DISTINCT FROM h.d""")
 def q76_native_changes(t: Tables) -> DataFrame:
-    side = lambda n: t.lineitem.where(F.col("l_linenumber") != n).select(F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_returnflag").alias("scope"), F.col("l_partkey").cast("string").alias("name"), F.lit("d").alias("digest")).distinct()
+    own = [F.concat(F.lit("x"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_returnflag").alias("scope"), F.col("l_partkey").cast("string").alias("name")]
+    side = lambda n: t.lineitem.where(F.col("l_linenumber") != n).groupBy(*own).agg(F.sum("l_quantity").cast("long").cast("string").alias("digest"))
     return diff.native_changes(side(3), side(4))
 
 
@@ -262,14 +264,6 @@ def q89_class_hierarchy(t: Tables) -> DataFrame:
     return evidence.hierarchy(own.select(F.col("source").alias("cls"), F.col("target").alias("base")), classes)
 
 
-@_query("""WITH o AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_suppkey % 9 = 2), c AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey IN (FROM o))
-SELECT 's:' || s_suppkey AS symbol FROM supplier WHERE s_suppkey % 9 = 2 UNION SELECT 'o:' || k FROM o UNION SELECT 'c:' || k FROM c UNION SELECT DISTINCT 'w:' || c_mktsegment FROM customer WHERE c_custkey IN (FROM c)""")
-def q90_stored_results(t: Tables) -> DataFrame:
-    e = X.references(t).where("target NOT LIKE 'p:%'")
-    writes = t.customer.select(node("c", "c_custkey").alias("source"), F.concat(F.lit("w:"), "c_mktsegment").alias("target"))
-    return evidence.stored_results(t.supplier.where("s_suppkey % 9 = 2").select(node("s", "s_suppkey").alias("symbol")), e, writes, writes.where("false"))
-
-
 @_query("SELECT page_id, starts_with(url, 'https://m.') AS inside FROM pages")
 def q91_owned_environment(t: Tables) -> DataFrame:
     at = F.concat(F.lit("/work/"), F.regexp_replace("url", "^https://m\\.", "repo/"))
