@@ -217,3 +217,19 @@ def test_no_task_holds_the_edges_of_a_hub(spark, monkeypatch):
         assert along.met(spark.createDataFrame([("hub",)], "node string")).count() == 100_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_roots_leave_files_out_but_for_what_runners_read(spark):
+    files = {"src/m.py": "def f():\n    return 1\n", "tests/test_m.py": "from m import f\n\ndef test_f():\n    f()\n", "docs/notes.md": "a", "data/rates.csv": "1", "conftest.py": "", "build.py": "", "src/table.json": "{}"}
+    roots = ["src", "tests=tests", "nowhere"]
+    own = spark.createDataFrame([("pytest", "t", "tests.test_m.test_f", [])], TARGETS)
+    snapshot = lambda name, **edits: literal_files(spark, name, {**files, **{k.replace("__", "/").replace("_DOT_", "."): v for k, v in edits.items()}}, roots)
+    base = snapshot("base")
+    index = build(base)
+    plan = lambda head, keep=roots[:2]: make(base, head, own, base=index, head=index, roots=keep)
+    quiet = plan(snapshot("head", docs__notes_DOT_md="b", data__rates_DOT_csv="2"))
+    assert quiet.selected() == [] and quiet.fallbacks.count() == 0
+    loud = plan(snapshot("head", conftest_DOT_py="x = 1", src__table_DOT_json="[]", build_DOT_py="y = 1"), roots)
+    assert {(r.rule, r.detail) for r in loud.fallbacks.collect()} == {
+        ("unanalysed_file_changed", "conftest.py"), ("unanalysed_file_changed", "src/table.json"), ("unanalysed_file_changed", "build.py"), ("analysis_error", "nowhere: source root nowhere holds no Python file in either version"),
+    }

@@ -76,7 +76,7 @@ def _plan(o: argparse.Namespace) -> int:
             before = graph.merged_targets(targets, before)
         targets = found if targets is None else graph.merged_targets(targets, found)
     declared = spark.createDataFrame(edges, "source string, target string, why string") if edges else None
-    plan = engine.make(base, head, targets, before, declared, always, base=old, head=new)
+    plan = engine.make(base, head, targets, before, declared, always, base=old, head=new, roots=roots)
     print(json.dumps(report.to_dict(plan), indent=2, sort_keys=True) if o.format == "json" else report.to_text(plan))
     return 0
 

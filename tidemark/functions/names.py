@@ -80,18 +80,51 @@ def is_conftest(module: Column | str) -> Column:
     return short_name(module) == "conftest"
 
 
-#: Names and endings of files that builds and runners read.
-BUILD_NAMES = ("setup.py", "setup.cfg", "pyproject.toml", "meson.build", "cmakelists.txt", "makefile", "tox.ini", "pytest.ini", "requirements.txt", "environment.yml", "asv.conf.json", "manifest.in")
-BUILD_ENDINGS = (".c", ".h", ".cc", ".cpp", ".hpp", ".pyx", ".pxd", ".pxi", ".f", ".f90", ".rs", ".in", ".cmake")
+#: Names, endings and folders of files that builds, installers, runners and continuous integration read, in lower case.
+BUILD_NAMES = (
+    "pyproject.toml", "setup.cfg", "tox.ini", "pytest.toml", ".pytest.toml", "pytest.ini", ".pytest.ini", "uv.toml", "hatch.toml", "poetry.toml", "pdm.toml", ".pdm.toml", "manifest.in",
+    "meson.build", "meson.options", "meson_options.txt", "cmakelists.txt", "makefile", "gnumakefile", "pipfile", "pixi.toml", ".python-version", ".coveragerc", "cargo.toml", "build.rs",
+    "mypy.ini", ".mypy.ini", "pyrightconfig.json", "ruff.toml", ".ruff.toml", ".flake8", ".pylintrc", "pylintrc", ".env", ".gitlab-ci.yml", "azure-pipelines.yml", ".travis.yml", "appveyor.yml",
+    "setup.py", "hatch_build.py", "pdm_build.py", "noxfile.py", "toxfile.py", "sitecustomize.py", "usercustomize.py", "build.py",
+)
+BUILD_ENDINGS = (
+    ".pyx", ".pxd", ".pxi", ".c", ".h", ".cc", ".cpp", ".cxx", ".hh", ".hpp", ".f", ".f77", ".for", ".f90", ".f95", ".pyf", ".rs", ".cu", ".i", ".swg", ".m", ".mm", ".src", ".in", ".tpl",
+    ".so", ".pyd", ".dylib", ".dll", ".lock", ".pth",
+)
+BUILD_FOLDERS = (".github/workflows/", ".github/actions/", ".circleci/", "ci/", ".ci/")
+DEPENDENCY_WORDS = r"requirement|constraint|^environment|conda-lock|(^|[-_.])(deps|dependencies)([-_.]|$)"
+DEPENDENCY_ENDINGS = (".txt", ".in", ".pip", ".yml", ".yaml")
+METADATA_FOLDERS = (".dist-info", ".egg-info", ".egg", ".egg-link")
+#: runners' own configuration, read at the top of a repository, and that of benchmarks, read anywhere.
+RUNNER_FILES = ("pytest.toml", ".pytest.toml", "pytest.ini", ".pytest.ini", "pyproject.toml", "tox.ini", "setup.cfg", "asv.conf.json", "asv.conf.jsonc")
+BENCHMARK_FILES = ("asv.conf.json", "asv.conf.jsonc")
+#: Of build names, a module of its own name unless it lies at the top or beside a project's file.
+BESIDE_PROJECT, PROJECT_FILES = ("build.py",), ("pyproject.toml", "setup.cfg")
+
+
+def _ends(name: Column, endings: tuple[str, ...]) -> Column:
+    return name.rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + r")$")
 
 
 def build_input(path: Column | str) -> Column:
-    """Whether a file feeds builds, by name or ending in any case."""
-    name = F.lower(F.substring_index(_c(path), "/", -1))
-    found = name.isin(*BUILD_NAMES) | name.rlike(r"^(requirements|constraints)[^/]*\.txt$|^environment[^/]*\.ya?ml$|^\.env|\.lock$")
-    for end in BUILD_ENDINGS:
-        found |= name.endswith(end)
-    return found
+    """Whether a file decides what is built, installed or collected, or how tests run; compared without case."""
+    lower = F.lower(_c(path))
+    parts, name = F.split(lower, "/"), F.substring_index(lower, "/", -1)
+    declares = _ends(name, DEPENDENCY_ENDINGS) & F.exists(parts, lambda p: p.rlike(DEPENDENCY_WORDS))
+    inside = lower.rlike("^(" + "|".join(f.replace(".", r"\.") for f in BUILD_FOLDERS) + ")") | F.exists(parts, lambda p: _ends(p, METADATA_FOLDERS))
+    return name.isin(*BUILD_NAMES) | _ends(name, BUILD_ENDINGS) | name.rlike(r"^\.env\.|^pylock\..*\.toml$") | declares | inside
+
+
+def runner_file(path: Column | str) -> Column:
+    """Whether a file outside the source roots still decides how the tests run."""
+    name = F.substring_index(_c(path), "/", -1)
+    return _c(path).isin(*RUNNER_FILES) | name.isin("conftest.py", *BENCHMARK_FILES) | build_input(path)
+
+
+def under(path: Column | str, roots: list[str]) -> Column:
+    """Whether a path lies under one of some source roots, ``dir`` or ``dir=prefix``."""
+    folders = [f.strip("/") for f in (r.partition("=")[0] for r in roots)]
+    return F.lit(True) if any(f in ("", ".") for f in folders) else F.coalesce(*(F.when(_c(path).startswith(f"{f}/"), True) for f in folders), F.lit(False))
 
 
 def set_bits(bitmap: Column | str) -> Column:

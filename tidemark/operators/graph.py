@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.names import fnmatch_regex, prefixes, short_name
+from tidemark.functions.names import ancestors, fnmatch_regex, prefixes, short_name, under
 from tidemark.operators.fixpoint import closure, reachable
 from tidemark.tables import written
 
@@ -250,6 +250,20 @@ def module_names(files: DataFrame, roots: list[str]) -> DataFrame:
     return files.withColumn("module", best)
 
 
+def role(roots: list[str]) -> Column:
+    """What a named file is to an index: ``source``, ``other`` (it may be read), or ``outside`` of all roots."""
+    return F.when(F.col("module").isNotNull(), "source").when(under("path", roots), "other").otherwise("outside")
+
+
+def empty_roots(base: DataFrame, head: DataFrame, roots: list[str]) -> DataFrame:
+    """(path, message) of source roots that hold no module in either version: most likely a wrong path."""
+    paths = base.where("role = 'source'").select("path").unionByName(head.where("role = 'source'").select("path"))
+    folders = [r for r in roots if r.partition("=")[0].strip("/") not in ("", ".")]
+    table = base.sparkSession.createDataFrame([(r, r.partition("=")[0].strip("/")) for r in folders], "root string, folder string")
+    there = paths.select(F.explode(ancestors("path")).alias("folder")).distinct()
+    return table.join(there, "folder", "left_anti").select(F.col("folder").alias("path"), F.concat(F.lit("source root "), "root", F.lit(" holds no Python file in either version")).alias("message"))
+
+
 def exclude(files: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Files that are indexed, and those that exclusion patterns move to the unread ones."""
     if not patterns:

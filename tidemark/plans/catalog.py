@@ -141,11 +141,19 @@ def q10_unanalysed_files(t: Tables) -> DataFrame:
     return diff.changed_files(base, head)
 
 
-@_query("SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'file' WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%/' THEN 'directory' ELSE 'plain' END AS class, false AS build_input FROM pages")
+_INPUTS = (
+    ("setup.py", True), ("pkg/mod.py", False), ("pkg/fast.CXX", True), ("docs/readme.md", False), ("requirements/dev.txt", True), (".github/workflows/run.yml", True), ("lib/x.pyf", True), ("Pipfile.lock", True), ("a-1.dist-info/RECORD", True), ("data/x.json", False),
+    ("pylock.dev.toml", True), (".env.local", True), ("pkg/environment.yaml", True), ("pkg/deps.py", False), ("x/cargo.toml", True), ("x/.coveragerc", True), ("notci/x.txt", False), ("ci/deps/a.yaml", True), ("img.h5", False), ("w.for", True),
+)
+
+
+@_query(f"""SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'file' WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%/' THEN 'directory' ELSE 'plain' END AS class,
+{[y for _, y in _INPUTS]}[page_id % {len(_INPUTS)} + 1] AS build_input FROM pages""")
 def q11_build_input_class(t: Tables) -> DataFrame:
     u = F.col("url")
     kind = F.when(u.endswith(".html"), "file").when(u.contains("?"), "query").when(u.endswith("/"), "directory").otherwise("plain")
-    return t.pages.select("page_id", kind.alias("class"), N.build_input("url").alias("build_input"))
+    path = F.element_at(F.array(*(F.lit(x) for x, _ in _INPUTS)), (F.col("page_id") % len(_INPUTS) + 1).cast("int"))
+    return t.pages.withColumn("path", path).select("page_id", kind.alias("class"), N.build_input("path").alias("build_input"))
 
 
 def _customer_targets(t: Tables, keep) -> DataFrame:

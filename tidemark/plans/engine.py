@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.extract.index import Index, build
-from tidemark.functions.names import build_input
+from tidemark.functions.names import BESIDE_PROJECT, PROJECT_FILES, build_input, runner_file
 from tidemark.operators import diff, fixpoint, graph, impact
 from tidemark.schema import STRUCTURAL
 from tidemark.tables import together, written
@@ -35,7 +35,7 @@ def literal_files(spark: SparkSession, snapshot: str, content: dict[str, str | b
     rows = [(snapshot, p, bytearray(c.encode() if isinstance(c, str) else c)) for p, c in content.items()]
     files = spark.createDataFrame(rows, "snapshot string, path string, content binary")
     named = graph.module_names(files, list(roots))
-    return named.select("snapshot", "path", "module", F.when(F.col("module").isNotNull(), "source").otherwise("other").alias("role"), "content", F.sha1("content").alias("blob_id"), F.lit("100644").alias("mode"))
+    return named.select("snapshot", "path", "module", graph.role(list(roots)).alias("role"), "content", F.sha1("content").alias("blob_id"), F.lit("100644").alias("mode"))
 
 
 def dependency_changes(base: Index, head: Index) -> DataFrame:
@@ -85,12 +85,13 @@ def _runner_modules(targets: DataFrame, symbols: DataFrame) -> DataFrame:
     return table.join(modules, "root").join(targets.select("runner").distinct(), "runner", "left_semi").select("runner", "module")
 
 
-def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_targets: DataFrame | None = None, declarations: DataFrame | None = None, patterns: Sequence[tuple[str, str, str | None]] = (), evidence_only: DataFrame | None = None, base: Index | None = None, head: Index | None = None) -> Plan:
+def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_targets: DataFrame | None = None, declarations: DataFrame | None = None, patterns: Sequence[tuple[str, str, str | None]] = (), evidence_only: DataFrame | None = None, base: Index | None = None, head: Index | None = None, roots: Sequence[str] = ()) -> Plan:
     """Plan a change.
 
     ``targets`` are those of the head; ``base_targets`` give new targets and changed lifecycles;
     ``declarations`` have source, target, why; ``patterns`` are always run; ``evidence_only`` (node) restricts
-    the seeds to those that recorded execution escalates.  ``base`` and ``head`` are the files' indexes where there are any.
+    the seeds to those that recorded execution escalates.  ``roots`` are the source roots that the snapshots were read by: one
+    without any module is an error, and files outside of all count only where builds and runners read them.  ``base`` and ``head`` are the files' indexes where there are any.
     """
     spark = targets.sparkSession
     base, head = together(lambda: base or build(base_files), lambda: head or build(head_files))
@@ -137,8 +138,8 @@ def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_
     if evidence_only is not None:
         seeds = seeds.join(evidence_only, "node", "left_semi")
     state = edges.where("kind = 'references' AND detail = 'mutated_by'").select("source", "target")
-    roots = changes.where("carries_impact").select("id").join(symbols.where("decorated OR kind IN ('module', 'variable', 'class')"), "id", "left_semi").select(F.col("id").alias("node"))
-    seeds = seeds.unionByName(at_import).unionByName(impact.import_call_effects(roots, calls, state, modules))
+    at_top = changes.where("carries_impact").select("id").join(symbols.where("decorated OR kind IN ('module', 'variable', 'class')"), "id", "left_semi").select(F.col("id").alias("node"))
+    seeds = seeds.unionByName(at_import).unionByName(impact.import_call_effects(at_top, calls, state, modules))
     dynamic_from = None
     if evidence_only is None:
         importers = changes.where("kind = 'module' AND NOT array_contains(changes, 'added') AND NOT array_contains(changes, 'deleted')").select(F.col("id").alias("node"))
@@ -169,9 +170,14 @@ def make(base_files: DataFrame, head_files: DataFrame, targets: DataFrame, base_
 
     # Fallbacks for all targets, and what the targets themselves give.
     key = ["path"]
-    other = lambda f: f.where("role = 'other'").select(*key, "blob_id", "mode").unionByName(f.where("role <> 'other'").where(build_input("path")).select(*key, "blob_id", "mode"))
+    projects = base_files.unionByName(head_files).where(F.substring_index("path", "/", -1).isin(*PROJECT_FILES)).select(F.regexp_replace("path", "(^|/)[^/]*$", "").alias("folder")).distinct()
+    folder = F.regexp_replace("path", "(^|/)[^/]*$", "")
+    # A module named as a build script is one at the top or beside a project's own file.
+    beside = F.substring_index("path", "/", -1).isin(*BESIDE_PROJECT)
+    scripts = lambda f: f.where("role = 'source'").where(build_input("path") & ~beside).unionByName(f.where("role = 'source'").where(beside).withColumn("folder", folder).join(projects.unionByName(projects.sparkSession.createDataFrame([("",)], "folder string")).distinct(), "folder", "left_semi").select(*f.columns))
+    other = lambda f: f.where("role = 'other'").unionByName(f.where("role = 'outside'").where(runner_file("path"))).unionByName(scripts(f)).select(*key, "blob_id", "mode")
     global_ = diff.changed_files(other(base_files), other(head_files)).select(F.lit("unanalysed_file_changed").alias("rule"), F.col("path").alias("detail"))
-    broken = base.errors.select("path", "message").unionByName(head.errors.select("path", "message")).unionByName(graph.duplicates(base_files)).unionByName(graph.duplicates(head_files))
+    broken = base.errors.select("path", "message").unionByName(head.errors.select("path", "message")).unionByName(graph.duplicates(base_files)).unionByName(graph.duplicates(head_files)).unionByName(graph.empty_roots(base_files, head_files, list(roots)))
     global_ = global_.unionByName(broken.select(F.lit("analysis_error").alias("rule"), F.concat_ws(": ", "path", "message").alias("detail"))).unionByName(problems.select(F.lit("analysis_error").alias("rule"), F.col("message").alias("detail")))
     global_ = written(global_.distinct(), "fallbacks")
     by_runner = impact.runner_dependencies(runners, reach, changed_modules)

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import exclude, module_names
+from tidemark.operators.graph import exclude, module_names, role
 from tidemark.schema import FILES
 
 
@@ -26,11 +26,11 @@ def _git(repo: str, *args: str, data: bytes | None = None) -> bytes:
 
 
 def _shaped(files: DataFrame, roots: Sequence[str], patterns: Sequence[str]) -> DataFrame:
-    """FILES rows: modules under the roots are source, the rest and excluded ones are other."""
+    """FILES rows: modules under the roots are source, the rest and excluded ones are other; what lies under no root is outside."""
     named = module_names(files, list(roots))
     kept, out = exclude(named, list(patterns))
     rows = kept.unionByName(out.withColumn("module", F.lit(None).cast("string")))
-    return rows.select("snapshot", "path", "module", F.when(F.col("module").isNotNull(), "source").otherwise("other").alias("role"), "content", "blob_id", "mode")
+    return rows.select("snapshot", "path", "module", role(list(roots)).alias("role"), "content", "blob_id", "mode")
 
 
 def read_folder(spark: SparkSession, root: str, snapshot: str, roots: Sequence[str] = ("",), patterns: Sequence[str] = ()) -> DataFrame:
