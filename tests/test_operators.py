@@ -6,6 +6,7 @@ import re
 import sqlite3
 import struct
 import subprocess
+import time
 import zipfile
 import zlib
 
@@ -74,6 +75,24 @@ def test_change_ladder(spark):
     assert diff._reordered(["a", "b", "c"], ["a", "c", "b"]) and not diff._reordered(["a", "b"], ["a", "x", "b"])
 
 
+def test_reordered_lists_as_by_the_plain_table():
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1] < sum(min(a.count(x), b.count(x)) for x in set(a))
+
+    r = random.Random(2)
+    for _ in range(2000):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 8))] for _ in range(2))
+        assert diff._reordered(a, b) == table(a, b)
+    began, many = time.perf_counter(), [f"s{i}" for i in range(100_000)]
+    assert not diff._reordered(many, many[::2]) and diff._reordered(many, [many[-1], *many[:-1]]) and diff._reordered(many, many[::-1])
+    assert time.perf_counter() - began < 3
+
+
 def test_graph_pieces(spark):
     files = spark.createDataFrame([(p,) for p in ("src/a/__init__.py", "src/a/b.py", "lib/x/c.py", "src/a/no-name.py", "doc.txt")], "path string")
     assert {r.path: r.module for r in graph.module_names(files, ["src", "lib=top", ""]).collect()} == {"src/a/__init__.py": "a", "src/a/b.py": "a.b", "lib/x/c.py": "top.x.c", "src/a/no-name.py": None, "doc.txt": None}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +26,17 @@ def is_subsequence(a: Column, b: Column) -> Column:
     return F.aggregate(b, F.lit(0), lambda k, x: F.when((k < F.size(a)) & F.get(a, k).eqNullSafe(x), k + 1).otherwise(k)) == F.size(a)
 
 
+def order_differs(a: Column, b: Column) -> Column:
+    """Whether common elements stand in another order, in arrays without repeats: each array keeps its own order of them."""
+    return F.array_intersect(a, b) != F.array_intersect(b, a)
+
+
 def _reordered(a: list, b: list) -> bool:
-    """Whether common elements, as often as both have them, stand in another order."""
+    """Whether common elements, as often as both have them, stand in another order.
+
+    The longest common subsequence as a longest ascending one: over the places in b of each element of a, from the last down, so
+    lists without repeats take n log n steps.
+    """
     lo, n = 0, min(len(a), len(b))
     while lo < n and a[lo] == b[lo]:
         lo += 1
@@ -32,19 +44,16 @@ def _reordered(a: list, b: list) -> bool:
     while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    common, left = 0, {}
-    for x in a:
-        left[x] = left.get(x, 0) + 1
-    for x in b:
-        if left.get(x, 0) > 0:
-            left[x] -= 1
-            common += 1
-    row = [0] * (len(b) + 1)
+    places: dict = {}
+    for i, x in enumerate(b):
+        places.setdefault(x, []).append(i)
+    common = sum(min(n, len(places.get(x, ()))) for x, n in Counter(a).items())
+    ends: list[int] = []
     for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1] < common
+        for i in reversed(places.get(x, ())):
+            at = bisect_left(ends, i)
+            ends[at : at + 1] = [i]
+    return len(ends) < common
 
 
 def _reordered_columns(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -104,7 +113,7 @@ def classify(base: DataFrame, head: DataFrame, base_deps: DataFrame, head_deps:
     definition_differs = met & ~kinds_differ & ~same("definition_hash")
     imports_added = definition_differs & only_imports
     definition = kinds_differ | (definition_differs & ~only_imports)
-    moved = met & ~definition & c("kind").isin("module", "class") & ~same("statement_layout") & reordered(arr("b_statement_layout"), arr("h_statement_layout"))
+    moved = met & ~definition & c("kind").isin("module", "class") & ~same("statement_layout") & order_differs(arr("b_statement_layout"), arr("h_statement_layout"))
     definition = definition | moved
     annotated = met & ~same("annotation_hash") & ~definition
     deferred = F.coalesce(c("b_defers_annotations"), F.lit(False)) & F.coalesce(c("h_defers_annotations"), F.lit(False))
