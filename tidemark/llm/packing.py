@@ -45,11 +45,11 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, size) for s in range(head, n, size)]
 
 
-def _pieces(tokenizer: str, end: int, size: int):
+def _pieces(tokenizer: str, end: int, size: int, cache: int):
     stop = struct.pack("<I", end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, task = Encoder.at(tokenizer), Counter(), TaskContext.get().partitionId()
+        encoder, seen, task = Encoder.at(tokenizer, cache), Counter(), TaskContext.get().partitionId()
         for whole in batches:
             for rows in slices(whole, 2048):
                 out = []
@@ -135,9 +135,9 @@ def _placing(patterns: list[tuple[int, list[tuple[int, int]]]]):
     return run
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, end: int = 2, size: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces, _ = staged(texts_of(docs).mapInArrow(_pieces(tokenizer or default_path(), end, size), PIECES), "pieces")
+def packed(docs: DataFrame, tokenizer: str | None = None, end: int = 2, size: int = 1024, cache: int = Encoder.LIMIT) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.  ``cache`` bounds the chunks that a worker keeps."""
+    pieces, _ = staged(texts_of(docs).mapInArrow(_pieces(tokenizer or default_path(), end, size, cache), PIECES), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

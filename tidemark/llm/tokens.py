@@ -53,7 +53,8 @@ class Encoder:
     #: Most chunks that the cache holds; beyond, only its short chunks stay, which are the frequent ones.
     LIMIT = 700_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
@@ -69,9 +70,9 @@ class Encoder:
         self.known: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
-    def at(path: str) -> Encoder:
+    def at(path: str, limit: int = LIMIT) -> Encoder:
         """The worker's own encoder of this file."""
-        return held(("encoder", path), lambda: Encoder(path))
+        return held(("encoder", path, limit), lambda: Encoder(path, limit))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -127,7 +128,7 @@ class Encoder:
                     out[i] = np.concatenate([self._ids(x) for x in self._pieces(text)])
         if not plain:
             return out
-        if len(self.known) > self.LIMIT:
+        if len(self.known) > self.limit:
             self.known = self._bounded(self.known)
         # Each text gets a newline in front, and goes on after its id.
         lines = pc.replace_substring(pc.binary_join_element_wise("", texts.take(pa.array(plain)).cast(pa.string()), "\n"), "\n", " \n")
@@ -152,7 +153,7 @@ class Encoder:
 
     def _bounded(self, cache: dict[bytes, bytes]) -> dict[bytes, bytes]:
         size = 8
-        while len(cache) > self.LIMIT // 2 and size:
+        while len(cache) > self.limit // 2 and size:
             cache, size = {k: v for k, v in cache.items() if len(k) <= size}, size - 2
         return cache
 

@@ -106,6 +106,9 @@ def windows(n: int) -> list[int]:
 class Network:
     """``p``: word and gram vectors, and for each direction input, state and bias weights; attention; output."""
 
+    #: Words that a worker's cache holds.
+    most = 200_000
+
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = p
         self.index: dict[bytes, int] = {}
@@ -191,7 +194,7 @@ class Network:
 
     def _at(self, words: list[bytes]) -> np.ndarray:
         """Row numbers of words, by a bounded cache."""
-        if len(self.index) > 200_000 or not self.rows.size:
+        if len(self.index) > self.most or not self.rows.size:
             self.index, self.rows = {}, self.projected(np.zeros((0, 2 * HALF)))
         fresh = list(set(filterfalse(self.index.__contains__, words)))
         if fresh:
@@ -330,11 +333,12 @@ def scored(docs: DataFrame, model: Network) -> DataFrame:
 def accepted(docs: DataFrame, model: Network) -> DataFrame:
     """The documents whose score is under the threshold, all columns as they are."""
     own, place = positional(docs), int(column(docs, "text")[1:])
+    model.most = 100_000  # a stage among others, whose executors have less room
 
     def run(batches):
         release()
         for whole in batches:
-            for rows in slices(whole, 256):
+            for rows in slices(whole, 256, 2 << 20):
                 yield rows.filter(pa.array(model.scores(rows.column(place).to_pylist()) < THRESHOLD))
         model.forget()
 
