@@ -46,8 +46,12 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return pii.redacted(docs)
 
 
+#: Chunks of text that a worker of the last stage keeps: executors have grown by then.
+CACHE = 250_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    return packing.packed(docs, cache=CACHE)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("personal_data", mask_personal_data), ("packing", pack)]
