@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names as N
-from tidemark.operators import diff, evidence, fixpoint, graph, impact, rollup, validate
+from tidemark.operators import diff, evidence, fixpoint, graph, impact, paths, rollup, validate
 from tidemark.sources import documents, snapshots, stores
 
 TABLE = {k: v for k, v in graph.TRANSFER.items()}
@@ -127,8 +127,8 @@ def test_evidence(spark):
         frame([("s0", "executed_changed"), ("s1", "executed_changed")], "symbol string, rule string"), frame([("c", "p")], "test_id string, path string"), frame([("d",)], "test_id string"), frame([("d", "new_target", "")], "test_id string, rule string, detail string"),
     )
     assert {(r.test_id, r.rule, r.detail) for r in found.collect()} == {("a", "executed_changed", "s0"), ("b", "no_evidence", ""), ("b", "subprocess", ""), ("c", "unstable", ""), ("c", "text_code", ""), ("c", "touched_file", "p"), ("d", "no_evidence", ""), ("d", "changed_target", ""), ("d", "new_target", "")}
-    stored = evidence.stored_results(frame([("f",)], "symbol string"), frame([("g", "f"), ("h", "g")], "source string, target string"), frame([("h", "v")], "source string, target string"), frame([("r", "v")], "source string, target string"))
-    assert {r.symbol for r in stored.collect()} == {"f", "g", "h", "v", "r"}
+    stored = paths.stored_results(frame([("f",)], "symbol string"), frame([("g", "f"), ("h", "g")], "source string, target string"), frame([("h", "v")], "source string, target string"), frame([("r", "v")], "source string, target string"))
+    assert {tuple(r) for r in stored.collect()} == {("f", "changed"), ("g", "changed"), ("h", "changed"), ("v", "held"), ("r", "changed")}
 
 
 def test_validation_and_rollups(spark):
