@@ -23,7 +23,16 @@ def _of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return rows.join(found.select(F.col("doc_id").alias("found")), doc_id == F.col("found"), how).toDF(*docs.columns)
 
 
+#: Rows of an Arrow batch in all stages: with whole texts, the usual 10,000 rows take tens of MB in the JVM and again in each worker.
+BATCH = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return toxicity.accepted(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
 
 
@@ -32,17 +41,20 @@ NEAR = 80
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     kept = minhash.near_duplicates(docs, percent=NEAR).where("kept").select("doc_id")
     unnamed = positional(docs).where(F.col(column(docs, "doc_id")).isNull())  # these cannot be told apart, so they stay
     return positional(_of(docs, kept, "left_semi")).union(unnamed).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
     return _of(docs, found, "left_anti")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return pii.redacted(docs)
 
 
@@ -51,6 +63,7 @@ CACHE = 250_000
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _lean(spark)
     return packing.packed(docs, cache=CACHE)
 
 
