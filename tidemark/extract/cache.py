@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.extract.pyfacts import FACTS, facts
 
-FORMAT = 1
+FORMAT = 2
 
 
 def _key() -> F.Column:

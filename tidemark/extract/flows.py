@@ -64,6 +64,20 @@ def resolved_places(places: DataFrame, resolved: DataFrame, symbols: DataFrame)
     return done.unionByName(method).unionByName(value).unionByName(direct).unionByName(made).unionByName(unknown).distinct()
 
 
+def method_flows(places: DataFrame, symbols: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Flows (source, target) between methods and the hubs of their names, and between methods and those that override them."""
+    c = F.col
+    methods = symbols.where("kind = 'method'").select("name", c("id").alias("method"), F.coalesce("params", F.array().cast("array<string>")).alias("params"), F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d == "staticmethod").alias("static"))
+    hubs = places.where("node LIKE 'method:%'").select("node").distinct().withColumn("name", F.regexp_extract("node", "^method:(.*)::", 1)).withColumn("part", F.substring_index("node", "::", -1)).join(methods, "name")
+    part = F.when((c("part") == "0") & c("static"), F.lit("@")).otherwise(c("part"))
+    into = hubs.where("part <> 'return'").select(c("node").alias("source"), F.explode(given_to(c("method"), c("params"), part, F.when(c("static"), -1).otherwise(0))).alias("target"))
+    out = hubs.where("part = 'return'").select(F.concat("method", F.lit("::return")).alias("source"), c("node").alias("target"))
+    both = overrides.select(c("source").alias("upper"), c("target").alias("lower")).join(methods.select(c("method").alias("upper"), c("params").alias("above")), "upper").join(methods.select(c("method").alias("lower"), c("params").alias("below")), "lower")
+    down = both.select("upper", "lower", F.explode(F.arrays_zip("above", "below")).alias("p")).where("p.above IS NOT NULL AND p.below IS NOT NULL").select(F.concat("upper", F.lit("::"), "p.above").alias("source"), F.concat("lower", F.lit("::"), "p.below").alias("target"))
+    up = both.select(F.concat("lower", F.lit("::return")).alias("source"), F.concat("upper", F.lit("::return")).alias("target"))
+    return into.unionByName(out).unionByName(down).unionByName(up)
+
+
 def value_graph(rows: DataFrame, resolved: DataFrame, symbols: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``flows`` (source, target) and ``writes`` (node, owner) of the facts of rows ``flow`` and ``wrote``."""
     c = F.col
@@ -74,14 +88,5 @@ def value_graph(rows: DataFrame, resolved: DataFrame, symbols: DataFrame, overri
     key = ["owner", "how", "chain", "part"]
     to = places.select("owner", c("how").alias("to_how"), c("chain").alias("to_chain"), c("part").alias("to_part"), c("node").alias("target"))
     flows = flow.join(places.withColumnRenamed("node", "source"), key).join(to, ["owner", "to_how", "to_chain", "to_part"]).select("source", "target")
-    # Methods behind the hubs that are in use, and overriding methods behind the ones they override.
-    methods = symbols.where("kind = 'method'").select("name", c("id").alias("method"), F.coalesce("params", F.array().cast("array<string>")).alias("params"), F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: d == "staticmethod").alias("static"))
-    hubs = places.where("node LIKE 'method:%'").select("node").distinct().withColumn("name", F.regexp_extract("node", "^method:(.*)::", 1)).withColumn("part", F.substring_index("node", "::", -1)).join(methods, "name")
-    part = F.when((c("part") == "0") & c("static"), F.lit("@")).otherwise(c("part"))
-    into = hubs.where("part <> 'return'").select(c("node").alias("source"), F.explode(given_to(c("method"), c("params"), part, F.when(c("static"), -1).otherwise(0))).alias("target"))
-    out = hubs.where("part = 'return'").select(F.concat("method", F.lit("::return")).alias("source"), c("node").alias("target"))
-    both = overrides.select(c("source").alias("upper"), c("target").alias("lower")).join(methods.select(c("method").alias("upper"), c("params").alias("above")), "upper").join(methods.select(c("method").alias("lower"), c("params").alias("below")), "lower")
-    down = both.select("upper", "lower", F.explode(F.arrays_zip("above", "below")).alias("p")).where("p.above IS NOT NULL AND p.below IS NOT NULL").select(F.concat("upper", F.lit("::"), "p.above").alias("source"), F.concat("lower", F.lit("::"), "p.below").alias("target"))
-    up = both.select(F.concat("lower", F.lit("::return")).alias("source"), F.concat("upper", F.lit("::return")).alias("target"))
-    flows = flows.unionByName(into).unionByName(out).unionByName(down).unionByName(up).where("source <> target").distinct()
+    flows = flows.unionByName(method_flows(places, symbols, overrides)).where("source <> target").distinct()
     return flows, wrote.join(places, key).select("node", "owner").distinct()

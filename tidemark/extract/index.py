@@ -5,9 +5,10 @@ from __future__ import annotations
 import builtins
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tidemark.extract.bounds import bounded_lookups, text_places
 from tidemark.extract.flows import state_writers, value_graph
 from tidemark.extract.pyfacts import facts
 from tidemark.functions.names import prefixes
@@ -57,8 +58,9 @@ def _longest(rows: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
 
 def build(files: DataFrame) -> Index:
     """Facts once per file, then names by joins: bindings, star imports, re-exports, longest prefixes."""
-    rows = written(facts(files), "facts")
-    c = F.col
+    seen, c = Observation(), F.col
+    rows = written(facts(files).observe(seen, F.count_if(c("row") == "dyn").alias("lookups")), "facts")
+    lookups = seen.get["lookups"]
     symbols = rows.where("row = 'symbol'").dropDuplicates(["id"])
     ids = symbols.select("id").distinct()
     bindings = rows.where("row = 'binding'").select("module", "name", "target").distinct()
@@ -66,6 +68,8 @@ def build(files: DataFrame) -> Index:
     uses = rows.where("row = 'use'").select("module", c("id").alias("source"), c("target").alias("chain"), c("kind").alias("how"), c("detail").alias("mark")).distinct()
     # The places that values go to are resolved along with the uses, and told by their mark.
     places = rows.where("row IN ('flow', 'wrote')").select("module", c("id").alias("source"), c("target").alias("chain"), c("kind").alias("how")).unionByName(rows.where("row = 'flow'").select("module", c("id").alias("source"), c("detail").alias("chain"), c("to_how").alias("how")))
+    if lookups:
+        places = places.unionByName(text_places(rows))
     places = places.where("how IN ('name', 'absolute', 'self')").select("module", "source", "chain", F.when(c("how") == "name", "name").otherwise("absolute").alias("how"), F.concat(F.lit("flow:"), "chain").alias("mark"))
     uses = uses.unionByName(places.distinct())
     head = F.substring_index("chain", ".", 1)
@@ -84,6 +88,7 @@ def build(files: DataFrame) -> Index:
     done, (bases, overrides, inherited) = together(lambda: _followed(chains, bindings, ids, modules), lambda: _classes(symbols, bindings, ids))
     resolved = done.where("mark LIKE 'flow:%' AND found IS NOT NULL").select(c("source").alias("owner"), F.substring(c("mark"), 6, F.length("mark")).alias("chain"), "found", "rest").distinct()
     done = done.where("mark NOT LIKE 'flow:%'")
+    bounded = bounded_lookups(rows, written(resolved, "resolved"), symbols, overrides, bases) if lookups else None
     hit = done.where("found IS NOT NULL")
     plain = hit.where(c("found") != c("source"))
     refs = plain.select("source", c("found").alias("target"), F.lit("references").alias("kind"), F.when(c("mark") == "mutates", "writes").otherwise(c("mark")).alias("detail"))
@@ -92,6 +97,8 @@ def build(files: DataFrame) -> Index:
     wrote = plain.where("mark IN ('mutates', 'writes')").join(variables, "found", "left_semi").select(c("found").alias("source"), c("source").alias("target"), F.lit("references").alias("kind"), F.lit("mutated_by").alias("detail"))
     left = hit.where("rest <> ''").select(c("source").alias("symbol"), F.when(c("is_module"), "module_attribute").otherwise("attribute").alias("kind"), F.explode(F.split("rest", r"\.")).alias("name"), F.lit("").alias("detail"))
     imports = rows.where("row = 'import'").select(c("id").alias("source"), c("target").alias("full"), c("detail").alias("mark")).distinct()
+    if bounded is not None:
+        imports = imports.unionByName(bounded.where("name <> 'getattr'").select(c("symbol").alias("source"), c("value").alias("full"), F.lit("").alias("mark"))).distinct()
     parents = imports.select("source", "mark", F.explode(prefixes("full")).alias("target"))
     module_ids = symbols.where("kind = 'module'").select(c("id").alias("target"))
     import_edges = parents.join(module_ids, "target", "left_semi").select("source", "target", F.lit("imports").alias("kind"), F.lit("").alias("detail"))
@@ -100,6 +107,9 @@ def build(files: DataFrame) -> Index:
     # A member runs in its module: what the module imports and does at its top is behind it.
     edges = refs.unionByName(wrote).unionByName(import_edges).unionByName(name_edges).unionByName(inside).where("source <> target").distinct()
     own = rows.where("row = 'unresolved'").select(c("id").alias("symbol"), "kind", "name", F.coalesce("detail", F.lit("")).alias("detail"))
+    if bounded is not None:
+        looked_up = bounded.where("name = 'getattr'").select("symbol", F.lit("attribute").alias("kind"), c("value").alias("name"), F.lit("").alias("detail"))
+        own = own.join(bounded.select("symbol", F.lit("dynamic").alias("kind"), "name").distinct(), ["symbol", "kind", "name"], "left_anti").unionByName(looked_up)
     selfless = done.where("found IS NULL")
     in_scope = F.substring_index("full", ".", 1)
     roots = symbols.select(F.substring_index("id", ".", 1).alias("root")).distinct()

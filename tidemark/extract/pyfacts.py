@@ -4,7 +4,8 @@ Row kinds: ``symbol``, ``binding`` (name -> dotted target in a module), ``use``
 names; ``detail`` says whether it ``writes`` it or ``mutates`` what it holds in place), ``import`` (a module that a
 symbol imports), ``flag`` (a symbol that reads docstrings), ``unresolved`` and ``error``.  Names are resolved later, by
 joins.  Statements of a module that change a variable in place are part of that variable as well.
-``flow`` rows say where values go, ``wrote`` rows which of them are changed in place (see ``pyflows``).
+``flow`` rows say where values go, ``wrote`` rows which of them are changed in place (see ``pyflows``).  ``dyn`` rows are lookups by computed
+names, ``text`` rows say which texts come where (see ``pyliterals``), and ``taken`` rows which chains are used without being called.
 Comments and layout change no hash; nested functions belong to the one around them.
 """
 
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidemark.extract.pyflows import Scope
+from tidemark.extract.pyliterals import Literals, asked_by, site
 from tidemark.functions.names import relative_module
 
 FACTS = (
@@ -231,6 +233,12 @@ class _File:
         header = [type(n).__name__, *(a.arg for a in args), str(bool(n.args.vararg)), str(len(n.args.posonlyargs)), str(len(n.args.kwonlyargs))]
         self.add("symbol", id=fid, kind="method" if cls else "function", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(body), definition_hash=_digest(header + defaults + n.decorator_list), docstring_hash=_digest([doc]) if doc else "", annotation_hash=_digest(notes), defers_annotations=self.deferred, decorated=bool(n.decorator_list), params=[a.arg for a in args], decorators=_marks(n.decorator_list))
         self.uses(defaults + n.decorator_list + notes, fid, set(), None, {})
+        around = Literals(Scope(fid, set(), set(), {}, None, None, _MUTATORS), _MUTATORS)
+        plain = [*n.args.posonlyargs, *n.args.args]
+        given = [*zip(plain[len(plain) - len(n.args.defaults) :], n.args.defaults, strict=True), *((a, d) for a, d in zip(n.args.kwonlyargs, n.args.kw_defaults, strict=True) if d is not None)]
+        rows = [x for a, d in given for x in around.into(("node", f"{fid}::{a.arg}", ""), d)]
+        rows += [x for a in (n.args.vararg, n.args.kwarg) if a for x in around.unknown(("node", f"{fid}::{a.arg}", ""))]
+        self.texts(fid, rows)
         self.body(body, fid, {a.arg for a in args}, cls, args[0].arg if cls and args else None)
 
     def body(self, body: list[ast.stmt], owner: str, names: set[str], cls: str | None, me: str | None) -> None:
@@ -258,13 +266,18 @@ class _File:
             self.add("flow", id=owner, kind=a[0], target=a[1], part=a[2], to_how=b[0], detail=b[1], to_part=b[2])
         for how, chain, part in dict.fromkeys(x for n in nodes for x in scope.writes(n, _mutated(n))):
             self.add("wrote", id=owner, kind=how, target=chain, part=part)
+        self.texts(owner, Literals(scope, _MUTATORS).rows(nodes))
+
+    def texts(self, owner: str, rows) -> None:
+        for v, to in dict.fromkeys(rows):
+            self.add("text", id=owner, kind=v[0], target=v[1], part=v[2], params=[v[3], v[4]], to_how=to[0], detail=to[1], to_part=to[2])
 
     def visit_class(self, n: ast.ClassDef, container: str, _: None) -> None:
         cid = f"{container}.{n.name}"
         doc, body = _doc(n.body)
         members = [x for x in body if isinstance(x, _DEFS)]
         plain = [x for x in body if not isinstance(x, _DEFS)]
-        bases = [".".join(c) for b in n.bases if (c := _chain(b))]
+        bases = [".".join(_chain(b) or "?") for b in n.bases]
         header = [*n.bases, *n.keywords, *n.decorator_list, *sorted({x.name for x in members})]
         self.add("symbol", id=cid, kind="class", name=n.name, lineno=n.lineno, end_lineno=n.end_lineno, container=container, body_hash=_digest(plain), definition_hash=_digest(header), docstring_hash=_digest([doc]) if doc else "", annotation_hash="", statement_layout=self.statements(body), defers_annotations=self.deferred, decorated=bool(n.decorator_list), bases=bases, decorators=_marks(n.decorator_list))
         self.uses([*n.bases, *n.keywords, *n.decorator_list], cid, set(), None, {})
@@ -277,10 +290,15 @@ class _File:
         todo = [n for n in nodes if isinstance(n, ast.AST)]
         globals_ = {x for n in todo for g in ast.walk(n) if isinstance(g, ast.Global) for x in g.names}
         quiet: set[int] = set()
+        called: set[int] = set()
         while todo:
             n = todo.pop()
             if id(n) in quiet:
                 continue
+            if isinstance(n, ast.Call):
+                called.add(id(n.func))
+            elif isinstance(n, (ast.Name, ast.Attribute)) and isinstance(n.ctx, ast.Load) and id(n) not in called:
+                self.taken(n, owner, hidden - globals_, cls, local, me)
             quiet.update(map(id, _only_written(n)))
             for x in _mutated(n):
                 chain = _chain(_holder(x))
@@ -301,8 +319,11 @@ class _File:
                         self.add("import", id=owner, target=first, detail="")
                     else:
                         self.add("unresolved", id=owner, kind="dynamic", name=name, detail="")
+                        if asked_by(n):
+                            self.add("dyn", id=owner, kind=name, target=site(owner, n))
                 elif name == "getattr" and len(n.args) > 1 and isinstance(n.args[1], ast.Constant):
                     self.add("unresolved", id=owner, kind="attribute", name=str(n.args[1].value), detail="")
+                    self.add("taken", id=owner, kind="titled", target=str(n.args[1].value))
             if isinstance(n, (ast.Name, ast.Attribute)):
                 chain = _chain(n)
                 store = isinstance(n.ctx, (ast.Store, ast.Del))
@@ -324,6 +345,17 @@ class _File:
                 continue
             todo.extend(ast.iter_child_nodes(n))
 
+    def taken(self, n: ast.expr, owner: str, hidden: set[str], cls: str | None, local: dict[str, str], me: str | None) -> None:
+        """A chain that is not called where it stands: whoever gets it may call it with anything."""
+        chain = _chain(n)
+        if chain is None or chain[0] == me or chain[0] in hidden:
+            if isinstance(n, ast.Attribute):
+                self.add("taken", id=owner, kind="titled", target=n.attr)
+        elif chain[0] in local:
+            self.add("taken", id=owner, kind="absolute", target=".".join([local[chain[0]], *chain[1:]]))
+        else:
+            self.add("taken", id=owner, kind="name", target=".".join(chain))
+
 
 def file_facts(snapshot: str, path: str, module: str, content: bytes) -> list[dict]:
     """All facts of a file; one that cannot be parsed is one ``error`` row."""

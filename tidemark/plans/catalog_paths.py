@@ -1,4 +1,4 @@
-"""The last part of the catalogue: state behind arguments, labelled paths, lookup orders, process trees and commit graphs."""
+"""The last part of the catalogue: state behind arguments, labelled paths, lookup orders, process trees and commit graphs, sets of literals."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.extract import flows
-from tidemark.operators import classes, paths, ranges
+from tidemark.operators import classes, literals, paths, ranges
 from tidemark.plans import proxies as X
 from tidemark.plans.catalog import _query
 from tidemark.plans.catalog_rules import ORACLES, QUERIES
@@ -117,3 +117,20 @@ def q109_process_windows(t: Tables) -> DataFrame:
     processes = processes.unionByName(e.where("event_type = 'purchase'").select(own.alias("pid"), F.col("u").alias("parent"), F.col("at").alias("started"))).unionByName(errors.select(own.alias("pid"), F.col("above").alias("parent"), F.col("at").alias("started")))
     pid = F.when(F.col("event_type").isin("purchase", "error"), own).otherwise(F.col("u"))
     return ranges.window_items(e.select(pid.alias("pid"), "at", "item"), processes, windows)
+
+
+@_query("""WITH first AS (SELECT 'o:' || o_orderkey AS node, CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE left(o_orderpriority, 1) END AS v FROM orders WHERE o_orderkey % 50 <> 8),
+e AS (SELECT DISTINCT 'o:' || l_orderkey AS source, 'p:' || l_partkey AS target, CASE WHEN l_linenumber = 1 THEN l_returnflag || l_linestatus || '_' ELSE '' END AS before, '' AS after FROM lineitem
+ UNION SELECT 'p:' || l_partkey, 's:' || l_suppkey, '', CASE WHEN l_returnflag = 'R' THEN '_r' ELSE '' END FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 20),
+p AS (SELECT DISTINCT target AS node, before || v || after AS v FROM first JOIN e ON source = node), s AS (SELECT DISTINCT target AS node, before || v || after AS v FROM p JOIN e ON source = node),
+every AS (SELECT * FROM first UNION SELECT * FROM p UNION SELECT * FROM s)
+SELECT node, CASE WHEN bool_or(v IS NULL) OR count(*) > 12 THEN '*' ELSE string_agg(v, ',' ORDER BY v) END AS texts FROM every GROUP BY node""")
+def q110_literal_sets(t: Tables) -> DataFrame:
+    """Priorities are texts that orders hand to parts and parts to suppliers, some with flags in front or a flag behind; some orders hold any."""
+    k = F.col("o_orderkey") % 50
+    first = t.orders.where(k != 8).select(node("o", "o_orderkey").alias("node"), F.substring("o_orderpriority", 1, 1).alias("value"), (k == 7).alias("any"))
+    n = F.col("l_linenumber")
+    down = t.lineitem.select(node("o", "l_orderkey").alias("source"), node("p", "l_partkey").alias("target"), F.when(n == 1, F.concat("l_returnflag", "l_linestatus", F.lit("_"))).alias("before"), F.lit("").alias("after"))
+    on = t.lineitem.where("l_linenumber = 2 AND l_quantity < 20").select(node("p", "l_partkey").alias("source"), node("s", "l_suppkey").alias("target"), F.lit("").alias("before"), F.when(F.col("l_returnflag") == "R", "_r").otherwise("").alias("after"))
+    sets = literals.literal_sets(down.unionByName(on), first, most=12)
+    return sets.groupBy("node").agg(F.when(F.bool_or("any"), "*").otherwise(F.array_join(F.array_sort(F.collect_set("value")), ",")).alias("texts"))
