@@ -82,6 +82,19 @@ def encoded(items: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return ids, items.join(ids.select(F.col("value").alias(column), F.col("id").alias(f"{column}_id")), column, "left").drop(column)
 
 
+def interned(rows: DataFrame, key: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """Members (key, set_id) and sets (set_id, item): keys of equal sets of items share one set, which is kept once.
+
+    A set is known by its size and two 64-bit hashes of its items, summed without order, so no set is ever gathered.  Rows without a key or
+    an item are left out, repeated ones count once.
+    """
+    own = rows.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item).distinct()
+    mixed = lambda n: F.hex(F.bit_xor(F.xxhash64(F.lit(n), item)))
+    members = own.groupBy(key).agg(F.concat_ws(".", F.count("*").cast("string"), mixed(1), mixed(2)).alias("set_id"))
+    first = members.groupBy("set_id").agg(F.min(key).alias(key))
+    return members, own.join(first, key).select("set_id", item)
+
+
 def advanced(old_rows: DataFrame, old_records: DataFrame, new_rows: DataFrame, new_records: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A store brought forward: rerun tests are replaced, others carried, dead ones dropped.
 

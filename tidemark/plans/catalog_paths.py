@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.extract import flows
-from tidemark.operators import classes, literals, paths, ranges
+from tidemark.operators import classes, evidence, literals, paths, ranges
 from tidemark.plans import proxies as X
 from tidemark.plans.catalog import _query
 from tidemark.plans.catalog_rules import ORACLES, QUERIES
@@ -134,3 +134,13 @@ def q110_literal_sets(t: Tables) -> DataFrame:
     on = t.lineitem.where("l_linenumber = 2 AND l_quantity < 20").select(node("p", "l_partkey").alias("source"), node("s", "l_suppkey").alias("target"), F.lit("").alias("before"), F.when(F.col("l_returnflag") == "R", "_r").otherwise("").alias("after"))
     sets = literals.literal_sets(down.unionByName(on), first, most=12)
     return sets.groupBy("node").agg(F.when(F.bool_or("any"), "*").otherwise(F.array_join(F.array_sort(F.collect_set("value")), ",")).alias("texts"))
+
+
+@_query("""WITH s AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS test_id, list_sort(list(DISTINCT event_type)) AS items FROM events GROUP BY 1)
+SELECT test_id, min(test_id) OVER (PARTITION BY items) AS first, len(items) AS n FROM s""")
+def q111_interned_sets(t: Tables) -> DataFrame:
+    """The kinds of events of each user and day: days of equal sets share one."""
+    rows = t.events.select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("test_id"), "event_type")
+    members, sets = evidence.interned(rows, "test_id", "event_type")
+    first = members.groupBy("set_id").agg(F.min("test_id").alias("first"))
+    return members.join(first, "set_id").join(sets.groupBy("set_id").agg(F.count("*").alias("n")), "set_id").select("test_id", "first", "n")
