@@ -119,18 +119,40 @@ def read_archives(spark: SparkSession, path: str, members: list[str]) -> DataFra
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, text string")
 
 
+def _coverage_rows(content: bytes) -> Iterator[list[tuple]]:
+    """(test_id, path, bits, line) of one database, in parts; it is opened in memory, without a local file."""
+    own = bytearray(content)
+    own[18:20] = b"\x01\x01"  # no log beside it
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(bytes(own))
+        tables = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+        asked = []
+        if "line_bits" in tables:
+            asked.append("SELECT c.context, f.path, l.numbits, NULL FROM line_bits l JOIN context c ON c.id = l.context_id JOIN file f ON f.id = l.file_id WHERE c.context <> ''")
+        if "arc" in tables:
+            asked.append("SELECT c.context, f.path, NULL, a.tono FROM arc a JOIN context c ON c.id = a.context_id JOIN file f ON f.id = a.file_id WHERE a.tono > 0 AND c.context <> ''")
+        for query in asked:
+            rows = db.execute(query)
+            while part := rows.fetchmany(10_000):
+                yield part
+    finally:
+        db.close()
+
+
 def read_coverage(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(test_id, path, line) of coverage databases, bitmaps and arcs alike."""
-    bits, arcs = [], []
-    for p in paths:
-        with sqlite3.connect(f"file:{p}?mode=ro", uri=True) as db:
-            tables = {r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
-            if "line_bits" in tables:
-                bits += [(c, f, bytearray(b)) for c, f, b in db.execute("SELECT c.context, f.path, l.numbits FROM line_bits l JOIN context c ON c.id = l.context_id JOIN file f ON f.id = l.file_id")]
-            if "arc" in tables:
-                arcs += list(db.execute("SELECT c.context, f.path, a.tono FROM arc a JOIN context c ON c.id = a.context_id JOIN file f ON f.id = a.file_id WHERE a.tono > 0"))
-    one = spark.createDataFrame(bits, "test_id string, path string, bits binary").select("test_id", "path", F.explode(set_bits("bits")).alias("line"))
-    return one.unionByName(spark.createDataFrame(arcs, "test_id string, path string, line int")).where("test_id <> ''").distinct()
+    """(test_id, path, line) of coverage databases, bitmaps and arcs alike; each file is decoded by the task that reads it."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                for rows in _coverage_rows(bytes(content)) if len(content) else ():
+                    out = pd.DataFrame(rows, columns=["test_id", "path", "bits", "line"])
+                    yield out.astype({"line": "Int32"})
+
+    rows = spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, "test_id string, path string, bits binary, line int")
+    line = F.explode(F.when(F.col("bits").isNull(), F.array("line")).otherwise(set_bits("bits")))
+    return rows.select("test_id", "path", line.alias("line")).distinct()
 
 
 def parse_tests(data: bytes) -> Iterator[tuple[str, dict]]:

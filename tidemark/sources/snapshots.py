@@ -1,4 +1,4 @@
-"""Snapshots of a repository: plain folders by Spark, git objects by the driver."""
+"""Snapshots of a repository: plain folders by Spark; of git, names by the driver and contents by tasks, where these reach the repository."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import stat
 import subprocess
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import exclude, module_names, role
 from tidemark.schema import FILES
+from tidemark.tables import written
 
 
 class GitError(RuntimeError):
@@ -58,6 +60,24 @@ def _blobs(repo: str, ids: list[str]) -> Iterator[bytes]:
         at = end + 2 + size
 
 
+#: Files of a task that reads blobs, and blobs of one batch process.
+FILES_A_TASK, BLOBS = 2_000, 200
+
+
+def _with_contents(files: DataFrame, repo: str) -> DataFrame:
+    """Files (snapshot, path, blob_id, mode) with the contents of their modules, read by tasks and written once: later readers take the columns they need."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for at in range(0, len(part), BLOBS):
+                own = part.iloc[at : at + BLOBS]
+                wanted = own["path"].str.endswith(".py") & (own["mode"] != LINK)
+                found = _blobs(repo, own["blob_id"][wanted].tolist())
+                yield own.assign(content=[next(found) if w else None for w in wanted])
+
+    return written(files.mapInPandas(run, "snapshot string, path string, blob_id string, mode string, content binary").select("snapshot", "path", "content", "blob_id", "mode"), "blobs")
+
+
 def resolve_commit(repo: str, revision: str) -> str:
     return _git(repo, "rev-parse", "--verify", f"{revision}^{{commit}}").decode().strip()
 
@@ -94,10 +114,11 @@ def _read(path: str) -> bytearray:
         return bytearray(f.read())
 
 
-def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", snapshot: str = "head", roots: Sequence[str] = ("",), patterns: Sequence[str] = ()) -> DataFrame:
+def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", snapshot: str = "head", roots: Sequence[str] = ("",), patterns: Sequence[str] = (), shared: bool | None = None) -> DataFrame:
     """A commit (any revision), the staged content (``INDEX``) or the working tree (``WORKTREE``).
 
-    Modules are read whole, other files and links by their ids and modes alone.
+    Modules are read whole, other files and links by their ids and modes alone.  ``shared`` says that executors reach the repository's folder,
+    as they do in local runs: then tasks read what commits and the index hold.  Else, and for a working tree, the driver does.
     """
     if revision == "WORKTREE":
         names = [p for p in _git(repo, "ls-files", "-z", "--cached", "--others", "--exclude-standard").decode().split("\0") if p]
@@ -117,6 +138,9 @@ def read_git(spark: SparkSession, repo: str, revision: str = "HEAD", snapshot: s
         else:
             listed = [x.split("\t", 1) for x in _git(repo, "ls-tree", "-r", "-z", resolve_commit(repo, revision)).decode().split("\0") if x]
             entries = [(h.split()[0], h.split()[2], p) for h, p in listed if h.split()[1] == "blob"]
+        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-") if shared is None else shared:
+            names = spark.createDataFrame([(snapshot, p, i, m) for m, i, p in entries], "snapshot string, path string, blob_id string, mode string")
+            return _shaped(_with_contents(names.repartition(len(entries) // FILES_A_TASK + 1), os.path.abspath(repo)), roots, patterns)
         wanted = [(m, i, p) for m, i, p in entries if p.endswith(".py") and m != LINK]
         content = dict(zip((p for _, _, p in wanted), _blobs(repo, [i for _, i, _ in wanted]), strict=True))
         table = [(snapshot, p, bytearray(content[p]) if p in content else None, i, m) for m, i, p in entries]
