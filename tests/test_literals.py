@@ -77,6 +77,10 @@ WAYS = {
     "growing": ("def find(o, n):\n    find(o, n + '_x')\n    return getattr(o, n)\n\ndef go(o):\n    find(o, 'a')\n", None),
     "container handed out": ("import lib\n\ndef find(o):\n    names = ['a']\n    lib.fill(names)\n    return [getattr(o, n) for n in names]\n", None),
     "attribute set elsewhere": ("NAME = 'a'\n\ndef sets(m):\n    m.NAME = 'b'\n\ndef find(o):\n    return getattr(o, NAME)\n", None),
+    "patched": ("NAME = 'a'\n\ndef test_it(monkeypatch):\n    monkeypatch.setattr('lib.NAME', 'b')\n\ndef find(o):\n    return getattr(o, NAME)\n", None),
+    "patched result": ("import lib\n\ndef which():\n    return 'a'\n\ndef test_it(mocker):\n    mocker.patch.object(lib, 'which', lambda: 'b')\n\ndef find(o):\n    return getattr(o, which())\n", None),
+    "patched items": ("T = {'k': 'a'}\n\ndef test_it(monkeypatch):\n    monkeypatch.setitem(T, 'k', 'b')\n\ndef find(o):\n    return getattr(o, T['k'])\n", None),
+    "function replaced": ("import lib\n\ndef chosen():\n    return 'a'\n\ndef sets(m):\n    lib.chosen = m\n\ndef find(o):\n    return getattr(o, chosen())\n", None),
     "global": ("NAME = 'a'\n\ndef sets():\n    global NAME\n    NAME = 'b'\n\ndef find(o):\n    return getattr(o, NAME)\n", {"a", "b"}),
     "unpacked": ("def find(o):\n    n, m = 'a', 'b'\n    return getattr(o, n)\n", None),
     "inner function": ("def find(o):\n    def inner(n):\n        return getattr(o, n)\n    return inner('a')\n", None),
@@ -89,8 +93,8 @@ def looked_up(spark):
     """Each way has names of its own, so that one index answers all."""
     files = {"app/__init__.py": ""}
     for i, (text, _) in enumerate(WAYS.values()):
-        for word in ("find", "NAMES", "NAME", "ask", "pick"):
-            text = text.replace(word, f"{word}{i}_") if word != "NAME" else text.replace("NAME ", f"NAME{i}_ ").replace("NAME)", f"NAME{i}_)").replace("NAME\n", f"NAME{i}_\n")
+        for word in ("find", "NAMES", "NAME", "ask", "pick", "which", "chosen"):
+            text = text.replace(word, f"{word}{i}_") if word != "NAME" else text.replace("NAME ", f"NAME{i}_ ").replace("NAME)", f"NAME{i}_)").replace("NAME'", f"NAME{i}_'").replace("NAME\n", f"NAME{i}_\n")
         files[f"app/w{i}.py"] = text
     rows = build(literal_files(spark, "head", files)).unresolved.collect()
     return [(r.symbol, r.kind, r.name) for r in rows]

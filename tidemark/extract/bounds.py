@@ -52,7 +52,8 @@ def text_graph(rows: DataFrame, resolved: DataFrame, symbols: DataFrame, overrid
     nodes = written(_nodes(ends, resolved, symbols), "text-places")
     to = nodes.select("owner", c("how").alias("to_how"), c("chain").alias("to_chain"), c("part").alias("to_part"), c("node").alias("target"))
     variables = symbols.where("kind = 'variable'").select("name", c("id").alias("target"))
-    by_name = _titled(text, variables)
+    results = symbols.where("kind IN ('function', 'method')").select("name", F.concat("id", F.lit("::return")).alias("target"))
+    by_name = _titled(text, variables.unionByName(results))
     met = text.join(to, ["owner", "to_how", "to_chain", "to_part"]).join(nodes.withColumnRenamed("node", "source"), ["owner", "how", "chain", "part"], "left")
     edges = met.where("source IS NOT NULL AND how NOT IN ('lit', 'any')").select("source", "target", "before", "after")
     first = met.where("source IS NULL OR how IN ('lit', 'any')").select(c("target").alias("node"), F.when(c("how") == "lit", c("chain")).otherwise("").alias("value"), (c("how") != "lit").alias("any")).unionByName(by_name)
@@ -64,7 +65,7 @@ def text_graph(rows: DataFrame, resolved: DataFrame, symbols: DataFrame, overrid
 
 
 def _titled(text: DataFrame, variables: DataFrame) -> DataFrame:
-    """Variables that an attribute of an unknown object may be; ``*`` is any name."""
+    """Variables, and results of functions, that an attribute which is set may stand for; ``*`` is any name."""
     names = text.where("to_how = 'titled'").select(F.col("to_chain").alias("name")).distinct()
     every = variables.join(names.where("name = '*'").select(F.lit(True).alias("all")).limit(1), F.lit(True), "left_semi")
     hit = variables.join(names, "name", "left_semi").unionByName(every).select(F.col("target").alias("node"))

@@ -19,6 +19,8 @@ COPIES = frozenset({"sorted", "list", "tuple", "set", "frozenset", "reversed", "
 HARMLESS = COPIES | frozenset({"len", "print", "isinstance", "dict", "enumerate", "zip", "any", "all", "min", "max", "sum", "repr", "str", "bool", "hasattr", "getattr", "type", "id", "map", "filter", "range"})
 #: Mutators that put their arguments in, that put the elements of their arguments in, and that put nothing in.
 PUT, SPREAD = frozenset({"append", "add", "insert", "appendleft", "setdefault"}), frozenset({"extend", "update", "extendleft"})
+#: Calls that replace what their texts name, as tests do, and those that change the container they are given.
+REPLACE, CHANGE = frozenset({"setattr", "delattr", "patch", "object", "multiple"}), frozenset({"setitem", "delitem", "dict"})
 TAKE = frozenset({"pop", "popitem", "popleft", "clear", "remove", "discard", "sort", "reverse", "difference_update", "intersection_update", "rotate"})
 
 
@@ -197,8 +199,8 @@ class Literals:
         how, full, _ = self.scope.named(chain)
         if how == "node" and len(chain) > 1:  # it may be a variable of a module
             yield ANY, ("titled", chain[-1], "")
-        elif isinstance(t, ast.Attribute):
-            yield from self.unknown((how, full, "")) if value is None else self.into((how, full, ""), value)
+        elif isinstance(t, ast.Attribute):  # a variable of a module, or a function that another takes the place of
+            yield ANY, ("titled", chain[-1], "")
         else:
             given = self.values(t.slice) + self.values(value) if value is not None and not isinstance(t.slice, ast.Slice) else [ANY]
             yield from ((v, (how, full, "[]")) for v in given)
@@ -210,11 +212,15 @@ class Literals:
         if (asked := asked_by(n)) is not None:
             to = ("node", site(self.scope.owner, n), "")
             yield from ((v, to) for v in (self.values(asked[1]) if asked[1] is not None else [ANY]))
-        if name in ("setattr", "delattr") and len(n.args) > 1:
-            if isinstance(n.args[1], ast.Constant):
-                yield ANY, ("titled", str(n.args[1].value), "")
-            elif (chain := _chain(n.args[0])) and self.scope.named(chain)[0] != "node":
+        last = n.func.attr if isinstance(n.func, ast.Attribute) else name
+        if last in REPLACE:
+            texts = [x.value for x in n.args[:2] if isinstance(x, ast.Constant) and isinstance(x.value, str)] + [k.arg for k in n.keywords if last == "multiple" and k.arg]
+            yield from ((ANY, ("titled", x.rpartition(".")[2], "")) for x in texts)
+            if not texts and n.args and (chain := _chain(n.args[0])) and self.scope.named(chain)[0] != "node":
                 yield ANY, ("titled", "*", "")
+        if last in CHANGE and isinstance(n.func, ast.Attribute) and n.args:
+            yield from ((ANY, v[:3]) for v in self.elements(n.args[0]) if v[2])
+            yield from ((ANY, ("titled", x.value.rpartition(".")[2], "")) for x in n.args[:1] if isinstance(x, ast.Constant) and isinstance(x.value, str))
         if name in HARMLESS and name not in self.scope.hidden:
             return
         if isinstance(n.func, ast.Attribute) and n.func.attr in self.mutators:
