@@ -7,7 +7,7 @@ source has too many texts has too many as well, so the result does not depend on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.fixpoint import _Along, _loop
@@ -17,11 +17,16 @@ MOST = 32
 _ROW = ["node", "value", "any"]
 
 
-def _widened(new: DataFrame, state: DataFrame, most: int) -> DataFrame:
-    """New rows, with one row of ``any`` for places that now hold it or more than ``most`` texts."""
-    touched = state.join(new.select("node").distinct(), "node", "left_semi").unionByName(new)
-    full = touched.groupBy("node").agg(F.count("*").alias("n"), F.bool_or("any").alias("open")).where((F.col("n") > most) | F.col("open")).select("node")
-    return new.join(full, "node", "left_anti").unionByName(full.select("node", F.lit("").alias("value"), F.lit(True).alias("any")))
+def _widened(rows: DataFrame, most: int) -> DataFrame:
+    """Of rows with ``had`` (known before), the new ones, with one row of ``any`` for places that now hold it or more than ``most`` texts.
+
+    Known and new rows are counted together, so both are shuffled and sorted once.
+    """
+    place = Window.partitionBy("node")
+    each = rows.groupBy(*_ROW).agg(F.bool_or("had").alias("had"))
+    seen = each.select("*", F.count("*").over(place).alias("n"), F.bool_or("any").over(place).alias("open"), F.bool_or(F.col("any") & F.col("had")).over(place).alias("was"))
+    full = (F.col("n") > most) | F.col("open")
+    return seen.where("NOT had AND NOT was").select("node", F.when(full, "").otherwise(F.col("value")).alias("value"), full.alias("any")).distinct()
 
 
 def literal_sets(edges: DataFrame, first: DataFrame, most: int = MOST, limit: int = 10_000) -> DataFrame:
@@ -30,14 +35,13 @@ def literal_sets(edges: DataFrame, first: DataFrame, most: int = MOST, limit: in
     ``edges`` have source, target, before, after (null: nothing), ``first`` node, value, any.  Rows without a node, and texts that are null, are left out.
     """
     none = lambda c: F.coalesce(F.col(c), F.lit(""))
-    along_edges = edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("node"), F.col("target").alias("next"), none("before").alias("before"), none("after").alias("after")).distinct()
+    along_edges = edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("node"), F.col("target").alias("next"), none("before").alias("before"), none("after").alias("after"))
     start = first.where("node IS NOT NULL AND (any OR value IS NOT NULL)").select("node", F.when(F.col("any"), "").otherwise(F.col("value")).alias("value"), F.coalesce("any", F.lit(False)).alias("any")).distinct()
 
     def step(along: _Along, frontier: DataFrame, state: DataFrame) -> DataFrame:
         text = F.when(F.col("any"), "").otherwise(F.concat("before", "value", "after"))
-        sent = along.met(frontier).select(F.col("next").alias("node"), text.alias("value"), "any").distinct()
-        new = sent.join(state.where("any").select("node"), "node", "left_anti").join(state, _ROW, "left_anti")
-        return _widened(new.select(*_ROW), state.select(*_ROW), most).select(*_ROW)
+        sent = along.met(frontier).select(F.col("next").alias("node"), text.alias("value"), "any", F.lit(False).alias("had"))
+        return _widened(sent.unionByName(state.select(*_ROW, F.lit(True).alias("had"))), most)
 
-    whole = _loop(_widened(start, start.limit(0), most).select(*_ROW), along_edges, step, lambda s: s.select(*_ROW), limit, "literals")
+    whole = _loop(_widened(start.withColumn("had", F.lit(False)), most), along_edges, step, lambda s: s.select(*_ROW), limit, "literals")
     return whole.where("any").unionByName(whole.where("NOT any").join(whole.where("any").select("node"), "node", "left_anti").select(*_ROW))
