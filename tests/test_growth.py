@@ -25,3 +25,10 @@ def test_a_round_of_literals_counts_known_and_new_rows_together(spark, plans):
     assert got == {("a", "1", False), ("b", "", True), ("c", "", True), ("d", "", True), ("e", "2", False)}
     rounds = [p for n, p in plans if n == "literals"][1:]
     assert rounds and all(p.count("Join") == 1 for p in rounds)
+
+
+def test_a_last_round_of_many_rows_ends_before_it_meets_the_state(spark, plans, monkeypatch):
+    monkeypatch.setattr(fixpoint, "MANY", 0)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d"), ("x", "c")], "source string, target string")
+    got = {tuple(r) for r in fixpoint.closure(edges, spark.createDataFrame([("a",), ("c",)], "node string")).collect()}
+    assert got == {("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("c", "c")} and len([n for n, _ in plans if n == "closure"]) == 3

@@ -19,7 +19,7 @@ __all__ = ["ORACLES", "QUERIES"]
 SELECT DISTINCT variable, 's:' || l_suppkey AS writer FROM f JOIN lineitem ON l_partkey = p WHERE l_returnflag = 'R' AND l_linenumber = 1""")
 def q104_state_writers(t: Tables) -> DataFrame:
     """Customers are state that orders hand to parts; suppliers write parts in place."""
-    handed = X.references(t).where("target NOT LIKE 's:%'").select("source", "target")
+    handed = X.references(t, suppliers=False).select("source", "target")
     writes = t.lineitem.where("l_returnflag = 'R' AND l_linenumber = 1").select(node("p", "l_partkey").alias("node"), node("s", "l_suppkey").alias("owner")).distinct()
     return flows.state_writers(handed, writes, t.customer.select(node("c", "c_custkey").alias("node")))
 
