@@ -32,3 +32,16 @@ def test_a_last_round_of_many_rows_ends_before_it_meets_the_state(spark, plans,
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d"), ("x", "c")], "source string, target string")
     got = {tuple(r) for r in fixpoint.closure(edges, spark.createDataFrame([("a",), ("c",)], "node string")).collect()}
     assert got == {("a", "a"), ("a", "b"), ("a", "c"), ("a", "d"), ("c", "c")} and len([n for n, _ in plans if n == "closure"]) == 3
+
+
+def test_isolated_reads_its_references_once(spark):
+    runs = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        runs.add(1)
+        yield from batches
+
+    refs = spark.createDataFrame([("m", "n"), ("out", "o"), ("o", "p"), ("q", "q"), (None, "r"), ("named", "s"), ("m", None)], "source string, target string").coalesce(1).mapInArrow(through, "source string, target string")
+    members = spark.createDataFrame([(x,) for x in ["m", "n", "o", "p", "q", "r", "named", "s"]], "node string")
+    got = {r.node for r in fixpoint.isolated(members, refs, spark.createDataFrame([("named",), ("else",)], "node string")).collect()}
+    assert got == {"m", "n", "q"} and runs.value == 1
