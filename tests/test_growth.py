@@ -1,8 +1,9 @@
 """Steps that grow with the input: what is read, shuffled and joined once, on small tables with odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.operators import fixpoint, literals
+from tidemark.operators import evidence, fixpoint, literals
 
 
 @pytest.fixture
@@ -45,3 +46,15 @@ def test_isolated_reads_its_references_once(spark):
     members = spark.createDataFrame([(x,) for x in ["m", "n", "o", "p", "q", "r", "named", "s"]], "node string")
     got = {r.node for r in fixpoint.isolated(members, refs, spark.createDataFrame([("named",), ("else",)], "node string")).collect()}
     assert got == {"m", "n", "q"} and runs.value == 1
+
+
+def test_touched_ancestors_in_cells_make_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "PLACE_ROWS", 2)
+    touched = [("t1", "a"), ("t1", "a/b"), ("t1", "a/b/f1"), ("t2", "a/b"), (None, "a"), (None, "a/b"), ("t3", None), ("t4", "a/b/f2"), ("t4", "a/b/f2"), ("t5", "a/")] + [(f"u{i}", "a") for i in range(7)]
+    changed = [f"a/b/f{i}" for i in range(7)] + ["a", "c/d", "", None, "a/b/f1"]
+    frame = evidence.touched_ancestors(spark.createDataFrame(touched, "test_id string, path string"), spark.createDataFrame([(c,) for c in changed], "path string"))
+    above = lambda p: {"/".join(p.split("/")[:k + 1]) for k in range(len(p.split("/")))}
+    want = {(t, c) for t, p in touched for c in changed if c is not None and p in above(c)}
+    got = [tuple(r) for r in frame.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in frame.where(F.lit(True))._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.names import ancestors, folded_test, prefixes
 from tidemark.operators import fixpoint
 from tidemark.schema import FAILED, SUBPROCESS, TEXT, UNSTABLE
+from tidemark.tables import dropped, written
 
 CELL = 64
 #: Places in a cell of as-of joins.
@@ -136,10 +137,31 @@ def nearest_store(commits: DataFrame, stores: DataFrame) -> DataFrame:
     return found.select("commit", F.coalesce("nearest", "carried").alias("store_id"))
 
 
+#: Rows of a side that a task joins at one place at most, about.
+PLACE_ROWS = 2_000
+
+
 def touched_ancestors(touched: DataFrame, changed: DataFrame) -> DataFrame:
-    """(test_id, path): tests that opened a changed path or listed a directory above it."""
-    up = changed.select("path", F.explode(F.array_append(ancestors("path"), F.col("path"))).alias("at")).distinct()
-    return touched.select("test_id", F.col("path").alias("at")).join(up, "at").select("test_id", "path").distinct()
+    """(test_id, path): tests that opened a changed path or listed a directory above it.
+
+    Of places that a test touched above one another only the outermost counts, so no pair is made twice and the pairs, which
+    grow with the product of both sides at a place, are neither shuffled nor gathered.  Places with many rows are dealt into cells.
+    """
+    own = written(touched.select("test_id", F.col("path").alias("at")).distinct(), "touched")
+    above = own.select(F.col("test_id").alias("t"), F.col("at").alias("u"))
+    inner = own.withColumn("up", F.explode(ancestors("at"))).join(above, F.col("test_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")), "left_semi").select(F.col("test_id").alias("t"), F.col("at").alias("u")).distinct()
+    tops = written(own.join(inner, F.col("test_id").eqNullSafe(F.col("t")) & (F.col("at") == F.col("u")), "left_anti"), "tops")
+    up = written(changed.select("path").distinct().select("path", F.explode(F.array_append(ancestors("path"), F.col("path"))).alias("at")), "up")
+    dropped(own)
+    count = tops.select("at", F.lit(1).alias("n"), F.lit(0).alias("m")).unionByName(up.select("at", F.lit(0).alias("n"), F.lit(1).alias("m")))
+    cells = lambda c: F.greatest(F.ceil(F.sum(c) / PLACE_ROWS).cast("int"), F.lit(1))
+    large = F.broadcast(count.groupBy("at").agg(cells("n").alias("ns"), cells("m").alias("ms")).where("ns > 1 OR ms > 1"))  # at most two rows for each PLACE_ROWS
+
+    def dealt(side: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        rows = side.join(large, "at", "left").withColumn(mine, F.pmod(F.xxhash64(key), F.coalesce(F.col(mine), F.lit(1))).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)))
+
+    return dealt(tops, "test_id", "ns", "ms").join(dealt(up, "path", "ms", "ns"), ["at", "ns", "ms"]).select("test_id", "path")
 
 
 def readers(symbols: DataFrame, edges: DataFrame, matches: DataFrame) -> DataFrame:
