@@ -105,7 +105,7 @@ def name_hubs(unresolved: DataFrame, symbols: DataFrame) -> DataFrame:
     The uses are written once, as both halves read them.
     """
     uses = unresolved.where("kind IN ('name', 'attribute')").select(F.col("symbol").alias("source"), F.concat(F.when(F.col("kind") == "attribute", "name:.").otherwise("name:"), "name").alias("hub"))
-    uses = written(uses.distinct(), "uses")
+    uses = written(uses.repartition("source").distinct(), "uses")  # most are distinct as they are, so they are not grouped before the shuffle
     names = symbols.select(F.col("id").alias("target"), short_name("id").alias("short"), "kind")
     reach = names.select("target", F.concat(F.lit("name:."), "short").alias("hub")).unionByName(names.where("kind IN ('function', 'class', 'variable', 'module')").select("target", F.concat(F.lit("name:"), "short").alias("hub")))
     out = uses.select("source", F.col("hub").alias("target")).unionByName(reach.join(uses.select("hub").distinct(), "hub", "left_semi").select(F.col("hub").alias("source"), "target").distinct())
