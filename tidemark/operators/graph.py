@@ -34,11 +34,14 @@ def edge_class(kind: Column, marked: Column, deleted: Column) -> Column:
     )
 
 
-def with_transfer(edges: DataFrame, modules: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Edges with ``xfer``; ``modules`` and ``deleted`` have a column node."""
-    m = modules.select(F.col("node").alias("source"), F.lit(True).alias("from_module"))
-    d = deleted.select(F.col("node").alias("target"), F.lit(True).alias("to_deleted"))
-    rows = edges.join(m, "source", "left").join(d, "target", "left")
+def with_transfer(edges: DataFrame, modules: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """Edges with ``xfer``; ``modules`` and ``deleted`` have a column node, none where there are none."""
+    def marked(rows: DataFrame, nodes: DataFrame | None, at: str, name: str) -> DataFrame:
+        if nodes is None:
+            return rows.withColumn(name, F.lit(None).cast("boolean"))
+        return rows.join(nodes.select(F.col("node").alias(at), F.lit(True).alias(name)), at, "left")
+
+    rows = marked(marked(edges, modules, "source", "from_module"), deleted, "target", "to_deleted")
     cls = edge_class(F.col("kind"), mark(F.col("kind"), F.col("detail")), F.col("to_deleted").isNotNull())
     vector = lambda v: F.array(*(F.lit(x) for x in v))
     xfer = vector((0, 0, 0, 0))
