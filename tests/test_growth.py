@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evidence, fixpoint, impact, literals
+from tidemark.operators import evidence, fixpoint, graph, impact, literals
 
 DATA = "/root/testdata/sf0.001"
 
@@ -121,3 +121,20 @@ def test_an_explanation_takes_the_least_kind_of_all_edges_of_a_pair(spark, monke
     want = {"a": (["a"], "dependency"), "b": (["b", "a"], "unresolved_name_match"), "c": (["c", "a"], "dependency"), "d": (["d", "a"], "declared_dependency"), "e": (["e", "a"], "dependency"), "f": (["f", "a"], "dependency"), "g": (["g", "a"], "dependency"), "h": (["h", "d", "a"], "unresolved_name_match"), "i": (["i", "d", "a"], "declared_dependency"), "j": (["j", "a"], "dependency")}
     for got in (impact.explained(found, found), impact.explained(found.drop("tie"), found, edges)):
         assert {r.node: (r.path, r.rule) for r in got.collect()} == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+def test_decisions_read_the_edges_once(spark, reads):
+    against_sql(spark, "q30_decisions")
+    assert reads["lineitem"].value == 1
+
+
+def test_target_edges_are_distinct_by_one_shuffle_of_the_targets(spark):
+    targets = [("r", "1", "e", ["s", "s", None, "gone"]), ("r", "1", "e", ["s"]), ("r", "2", None, None), ("q", None, "e", []), ("r", "3", "s", ["s"])]
+    frame = spark.createDataFrame(targets, "runner string, runner_id string, entry_symbol string, lifecycle_dependencies array<string>")
+    found, missing = graph.target_edges(frame, spark.createDataFrame([("e",), ("s",), ("s",), (None,)], "id string"))
+    want = [("target:r:1", "e", "entry", ""), ("target:r:1", "s", "lifecycle", ""), ("target:r:3", "s", "entry", ""), ("target:r:3", "s", "lifecycle", ""), (None, "e", "entry", "")]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    lost = [("target:r:1", "lifecycle_dependency_unresolved", None), ("target:r:1", "lifecycle_dependency_unresolved", "gone"), ("target:r:2", "entry_symbol_unresolved", None)]
+    assert sorted(map(str, map(tuple, missing.collect()))) == sorted(map(str, lost))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2

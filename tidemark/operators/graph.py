@@ -133,7 +133,7 @@ def target_edges(targets: DataFrame, symbols: DataFrame) -> tuple[DataFrame, Dat
     wanted = targets.select(target_node().alias("source"), F.col("entry_symbol").alias("target"), F.lit("entry").alias("kind")).unionByName(
         targets.select(target_node().alias("source"), F.explode("lifecycle_dependencies").alias("target"), F.lit("lifecycle").alias("kind"))
     )
-    found = wanted.distinct().join(symbols.select(F.col("id").alias("target"), F.lit(True).alias("there")).distinct(), "target", "left")
+    found = wanted.join(symbols.select(F.col("id").alias("target")).distinct().withColumn("there", F.lit(True)), "target", "left").distinct()  # within the join's shuffle
     edges = found.where("there").select("source", "target", "kind", F.lit("").alias("detail"))
     rule = F.when(F.col("kind") == "entry", "entry_symbol_unresolved").otherwise("lifecycle_dependency_unresolved")
     return edges, found.where("there IS NULL").select(F.col("source").alias("node"), rule.alias("rule"), F.col("target").alias("detail"))
